@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 
 import duckdb
@@ -26,9 +27,12 @@ def normal(v):
 
 
 def compare(spark_df, con, sql: str) -> str | None:
+    stop = threading.Timer(60, con.interrupt)
+    stop.start()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = cursor.fetchall()
+    stop.cancel()
     got = spark_df.collect()
     if sorted(names) != sorted(spark_df.columns):
         return f"columns differ: spark {sorted(spark_df.columns)} sql {sorted(names)}"

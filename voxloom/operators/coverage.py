@@ -34,12 +34,9 @@ def _scope_rows(base: DataFrame, item: list[str], total: str) -> DataFrame:
 
     The base table is already aggregated, so only speakers × types × items rows are regrouped.
     """
-    names = ", ".join(item)
-    base.createOrReplaceTempView("_coverage_base")
-    rolled = base.sparkSession.sql(
-        f"SELECT speaker_id, content_type, {names}, sum({total}) AS {total}, grouping(speaker_id) AS gs, grouping(content_type) AS gt "
-        f"FROM _coverage_base GROUP BY GROUPING SETS (({names}), (speaker_id, {names}), (speaker_id, content_type, {names}))"
-    )
+    rolled = base.groupingSets(
+        [item, ["speaker_id", *item], ["speaker_id", "content_type", *item]], "speaker_id", "content_type", *item
+    ).agg(F.sum(total).alias(total), F.grouping("speaker_id").alias("gs"), F.grouping("content_type").alias("gt"))
     kept = rolled.where((F.col("gs") == 1) | (~blank(F.col("speaker_id")) & ((F.col("gt") == 1) | F.col("content_type").isin("speech", "singing"))))
     return kept.select(
         F.when(F.col("gs") == 1, "all").when(F.col("gt") == 1, "speaker").otherwise("speaker_type").alias("scope"),

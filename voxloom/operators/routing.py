@@ -79,33 +79,39 @@ def role_counts(routed: DataFrame) -> DataFrame:
     return long.groupBy("speaker_id", "target").pivot("role", list(ROLES)).count().na.fill(0, list(ROLES))
 
 
-def eligibility(segments: DataFrame) -> DataFrame:
-    """Every segment × target with its decision and ordered reasons (exclusions first).
-
-    A segment is a candidate for its own speaker's job; segments without a speaker, of a confirmed
-    wrong speaker or excluded by the user are candidates of *every* job. Their decision does not
-    depend on the job, so it is emitted once and marked ``shared`` instead of once per speaker.
-    """
+def decision_reasons(target: Column) -> tuple[Column, Column]:
+    """(exclusion codes, review codes) of a segment for one target, in reporting order."""
     excluded = F.coalesce("user_excluded", F.lit(False))
     wrong = F.coalesce("wrong_speaker", F.lit(False))
-    unknown = blank(F.col("speaker_id"))
     unreadable = ~F.coalesce("audio_readable", F.lit(True))
     ratio = F.col("voiced_ratio")
     usable = finite(ratio) & (ratio >= 0) & ((ratio > 0) | blank(F.col("voicing_path")))
-    matches = ((F.col("target") == "talk") & (F.col("content_type") == "speech")) | (
-        (F.col("target") == "singing") & (F.col("content_type") == "singing")
-    )
+    content = F.col("content_type")
+    matches = ((target == "talk") & (content == "speech")) | ((target == "singing") & (content == "singing"))
     removed = reasons(
         (excluded, "user_excluded"), (wrong, "wrong_speaker"),
         (unreadable, "unreadable_audio"), (~unreadable & ~usable, "no_usable_voice"),
     )
     open_points = reasons(
-        (unknown & ~wrong, "speaker_unconfirmed"), (~matches, "wrong_content_type"),
-        ((F.col("target") == "singing") & ~F.col("valid_alignment"), "alignment_required"),
+        (blank(F.col("speaker_id")) & ~wrong, "speaker_unconfirmed"), (~matches, "wrong_content_type"),
+        ((target == "singing") & ~F.col("valid_alignment"), "alignment_required"),
     )
+    return removed, open_points
+
+
+def eligibility(segments: DataFrame) -> DataFrame:
+    """Every segment × target with its decision and ordered reasons (exclusions first).
+
+    A segment is a candidate for its own speaker's job; segments without a speaker, of a confirmed
+    wrong speaker or excluded by the user are candidates of *every* job. Their decision does not
+    depend on the job, so it is emitted once and marked ``shared`` instead of once per speaker.
+    """
+    unknown = blank(F.col("speaker_id"))
+    shared = unknown | F.coalesce("wrong_speaker", F.lit(False)) | F.coalesce("user_excluded", F.lit(False))
+    removed, open_points = decision_reasons(F.col("target"))
     return (
         segments.withColumn("target", F.explode(F.array(*[F.lit(t) for t in TARGETS])))
-        .withColumn("shared", unknown | wrong | excluded)
+        .withColumn("shared", shared)
         .withColumn("_removed", removed)
         .withColumn("_open", open_points)
         .withColumn("reason_codes", F.concat("_removed", "_open"))

@@ -27,7 +27,7 @@ CATEGORIES = """, expected AS (SELECT category, unnest(ps) AS phoneme, len(ps) A
     ('palatalized', ['ky','gy','sh','j','ch','ny','hy','by','py','my','ry']), ('voiced', ['g','z','d','b']), ('semi_voiced', ['p']),
     ('special', ['cl','N',':']), ('foreign', ['f','v','ts','ty','dy','kw','gw'])) x(category, ps)),
  categories AS (SELECT scope, speaker_id, content_type, category, expected, count(n) AS observed, count(n) / expected AS ratio FROM scopes CROSS JOIN expected
-   LEFT JOIN counts USING (scope, speaker_id, content_type, phoneme) GROUP BY ALL)
+   LEFT JOIN counts USING (scope, speaker_id, content_type, phoneme) GROUP BY scope, speaker_id, content_type, category, expected)
 """
 
 
