@@ -7,6 +7,15 @@ from pyspark.sql import Column, functions as F
 from voxloom.functions.vocabulary import FORCED_ALIGNMENT, PLACEHOLDER_ALIGNMENT
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    A lambda that mentions an outer array would evaluate that array again for every element
+    whenever the optimizer inlines its definition; a bound lambda variable is evaluated once.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def finite(value: Column) -> Column:
     """True only for a real number: not NULL, not NaN, not infinite."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
@@ -89,18 +98,18 @@ def placeholder_alignment(method: str = "alignment_method") -> Column:
 
 def valid_singing_alignment(phones: str = "phonemes") -> Column:
     """Forced, in-range, ordered and non-overlapping phones: the alignment singing data needs."""
-    p = F.col(phones)
-    each = F.forall(
-        p,
-        lambda x: ~blank(x["phoneme"]) & finite(x["start_sec"]) & finite(x["end_sec"]) & in_unit(x["confidence"])
-        & (x["start_sec"] >= 0) & (x["end_sec"] > x["start_sec"]),
-    )
-    ordered = F.forall(
-        F.transform(p, lambda x, i: (i == 0) | (x["start_sec"] >= F.get(p, i - 1)["end_sec"] - F.lit(1e-6))),
-        lambda ok: ok,
-    )
+    def good(x: Column) -> Column:
+        return (
+            ~blank(x["phoneme"]) & finite(x["start_sec"]) & finite(x["end_sec"]) & in_unit(x["confidence"])
+            & (x["start_sec"] >= 0) & (x["end_sec"] > x["start_sec"])
+        )
+
+    def rule(p: Column) -> Column:
+        later = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: y.isNull() | (y["start_sec"] >= x["end_sec"] - F.lit(1e-6)))
+        return (F.size(p) > 0) & F.forall(p, good) & F.forall(later, lambda ok: ok)
+
     return F.coalesce(
         F.col("has_measurement") & (F.col("alignment_method") == FORCED_ALIGNMENT)
-        & in_unit(F.col("alignment_confidence")) & (F.size(p) > 0) & each & ordered,
+        & in_unit(F.col("alignment_confidence")) & let(F.col(phones), rule),
         F.lit(False),
     )

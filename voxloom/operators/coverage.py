@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import blank, clamp
+from voxloom.functions.measure import blank, clamp, let
 from voxloom.functions.vocabulary import CORE_PHONES, KANA_PHONES, VOWELS, category_phones
 
 LOW_COUNT, GOOD_RATIO, WARNING_RATIO = 3, 0.80, 0.50
@@ -62,13 +62,12 @@ def scope_summary(segments: DataFrame, counts: DataFrame) -> DataFrame:
 
 def context_counts(segments: DataFrame) -> DataFrame:
     """Phone trigram counts per scope, with sentence borders as context."""
-    p = F.col("phonemes")
-    trigrams = F.transform(
-        p,
-        lambda x, i: F.concat_ws(
-            "|", F.coalesce(F.get(p, i - 1)["phoneme"], F.lit("<BOS>")), x["phoneme"], F.coalesce(F.get(p, i + 1)["phoneme"], F.lit("<EOS>"))
-        ),
-    )
+    def around(names: Column) -> Column:
+        return F.transform(
+            names, lambda x, i: F.concat_ws("|", F.coalesce(F.get(names, i - 1), F.lit("<BOS>")), x, F.coalesce(F.get(names, i + 1), F.lit("<EOS>")))
+        )
+
+    trigrams = let(F.transform("phonemes", lambda x: x["phoneme"]), around)
     base = segments.select("speaker_id", "content_type", F.explode(trigrams).alias("context")).groupBy(
         "speaker_id", "content_type", "context"
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -189,17 +188,12 @@ def singing_scopes(segments: DataFrame) -> DataFrame:
 
 def singing_transitions(segments: DataFrame) -> DataFrame:
     """Consonant→vowel transitions per speaker and overall (speaker_id '')."""
-    p = F.col("phonemes")
-    pairs = F.filter(
-        F.transform(
-            p,
-            lambda x, i: F.when(
-                ~x["phoneme"].isin(*VOWELS) & F.get(p, i + 1)["phoneme"].isin(*VOWELS),
-                F.concat(x["phoneme"], F.lit("->"), F.get(p, i + 1)["phoneme"]),
-            ),
-        ),
-        lambda t: t.isNotNull(),
+    names = F.transform("phonemes", lambda x: x["phoneme"])
+    step = F.zip_with(
+        names, F.slice(names, F.lit(2), F.greatest(F.size(names) - 1, F.lit(0))),
+        lambda x, y: F.when(~x.isin(*VOWELS) & y.isin(*VOWELS), F.concat(x, F.lit("->"), y)),
     )
+    pairs = F.filter(step, lambda t: t.isNotNull())
     per = segments.where("content_type = 'singing'").select("speaker_id", F.explode(pairs).alias("transition")).groupBy(
         "speaker_id", "transition"
     ).agg(F.count(F.lit(1)).alias("n"))
