@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import faulthandler
 import math
 import sys
 import threading
@@ -49,7 +48,6 @@ def compare(spark_df, con, sql: str) -> str | None:
 
 
 def main(sf: str, *patterns: str) -> int:
-    faulthandler.dump_traceback_later(45, exit=False)
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as entry
     from voxloom.session import local_session

@@ -11,6 +11,7 @@ from voxloom.functions.vectors import all_finite, group_vector_sum, norm
 from voxloom.functions.vocabulary import CORE_PHONES, FOREIGN_PHONES, PALATALIZED_PHONES, VOWELS
 from voxloom.operators.sequences import carry, with_neighbours
 from voxloom.operators.signal import summarize
+from voxloom.session import durable
 
 REJECT, WEAK, RELIABLE, LOW_COUNT, MAX_FRAMES = 0.35, 0.65, 0.65, 3, 200_000
 PITCH_METHOD = "short-vowel-gap-1"
@@ -135,9 +136,10 @@ def gap_decisions(frames: DataFrame, phones: DataFrame, settings: GapSettings =
     """(one decision per gap, the frames inside gaps with their estimate).
 
     ``frames`` brings the evidence columns periodicity and rms of each frame. A gap is filled only
-    if every condition holds for all of its frames; every other gap keeps a reason.
+    if every condition holds for all of its frames; every other gap keeps a reason. Gap frames and
+    judged gaps are a small part of all frames and are read several times, so each is written once.
     """
-    inside = _gaps(frames)
+    inside = durable(_gaps(frames))
     steps = frames.groupBy("segment_id").agg((F.max(F.when(F.col("idx") == 1, F.col("time_sec"))) - F.max(F.when(F.col("idx") == 0, F.col("time_sec")))).alias("_step"))
     gaps = inside.groupBy("segment_id", "start_frame").agg(
         (F.max("idx") + 1).alias("end_frame"), F.min_by("_l1", "idx").alias("l1"), F.min_by("_l2", "idx").alias("l2"), F.max_by("_r1", "idx").alias("r1"), F.max_by("_r2", "idx").alias("r2"),
@@ -156,8 +158,8 @@ def gap_decisions(frames: DataFrame, phones: DataFrame, settings: GapSettings =
         .when((_semitones(l1["f0"], r1["f0"]) > settings.max_boundary_semitones) | (_semitones(l2["f0"], l1["f0"]) > 1.0) | (_semitones(r1["f0"], r2["f0"]) > 1.0), "pitch_jump")
         .when(F.col("_quiet") < quiet_limit, "energy_drop")
     )
-    judged = gaps.withColumn("_early", early).withColumn("_left", l2["time_sec"]).withColumn(
-        "_right", r2["time_sec"] + F.greatest(F.lit(0.04), F.lit(3.0) / F.least(l1["f0"], r1["f0"])))
+    right = r2["time_sec"] + F.greatest(F.lit(0.04), F.lit(3.0) / F.least(l1["f0"], r1["f0"]))
+    judged = durable(gaps.withColumn("_early", early).withColumn("_left", l2["time_sec"]).withColumn("_right", right))
     # Interval join by whole seconds: a pair is counted only in the first second both touch.
     spans = judged.where("_early IS NULL").select("segment_id", "start_frame", "_left", "_right", F.floor("_left").alias("_g0"), F.explode(F.sequence(F.floor("_left"), F.floor("_right"))).alias("_sec"))
     timed = phones.where(finite(F.col("start_sec")) & finite(F.col("end_sec")) & (F.col("end_sec") >= F.col("start_sec"))).withColumn("_p0", F.floor("start_sec")).withColumn(

@@ -85,8 +85,8 @@ def carry(
     """Nearest non-NULL ``value`` before (or after) each position, over any number of chunks."""
     tagged = df.withColumn("_v", value).withColumn("_chunk", chunk_of(position, size))
     edge = F.max_by if forward else F.min_by
-    summary = tagged.where(F.col("_v").isNotNull()).groupBy(*keys, "_chunk").agg(edge("_v", position).alias("_edge"))
-    chunks = tagged.select(*keys, "_chunk").distinct()
+    known_at = F.when(F.col("_v").isNotNull(), F.col(position))
+    summary = tagged.groupBy(*keys, "_chunk").agg(edge(F.col("_v"), known_at).alias("_edge"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     by_row = Window.partitionBy(*keys, "_chunk").orderBy(position)
     if forward:
@@ -95,7 +95,7 @@ def carry(
     else:
         far = F.first("_edge", ignorenulls=True).over(by_chunk.rowsBetween(1, _DOWN))
         near = F.first("_v", ignorenulls=True).over(by_row.rowsBetween(0 if inclusive else 1, _DOWN))
-    borders = chunks.join(summary, [*keys, "_chunk"], "left").select(*keys, "_chunk", far.alias("_far"))
+    borders = summary.select(*keys, "_chunk", far.alias("_far"))
     return (
         tagged.withColumn("_near", near)
         .join(borders, [*keys, "_chunk"])

@@ -48,7 +48,7 @@ def _nearest_in_block(threshold: float):
     return run
 
 
-def _block_table(means: DataFrame, threshold: float) -> DataFrame:
+def _block_table(means: DataFrame, threshold: float, count: int) -> DataFrame:
     """Rows tagged with their block and every block pair that may hold a partner below the threshold.
 
     Means have length at most one, so distance < t implies Euclidean distance < sqrt(2 t). Each row
@@ -57,13 +57,15 @@ def _block_table(means: DataFrame, threshold: float) -> DataFrame:
     holds many rows is cut into blocks of about BLOCK_ROWS by hash: no task sees more than two.
     The driver only sees the pivots (at most PIVOTS rows) and one summary row per cell.
     """
-    wanted = min(PIVOTS, -(-means.count() // BLOCK_ROWS))
-    pivots = [np.asarray(r["mean"]) for r in means.orderBy(F.xxhash64("cid"), "cid").limit(max(1, wanted)).collect()]
+    only = F.struct(F.lit(0).alias("cell"), F.lit(0).alias("block"))
+    if count <= BLOCK_ROWS:
+        return means.select("cid", "mean", only.alias("low"), only.alias("high"), F.lit(0).alias("side"), F.lit(True).alias("same"))
+    wanted = min(PIVOTS, -(-count // BLOCK_ROWS))
+    pivots = [np.asarray(r["mean"]) for r in means.orderBy(F.xxhash64("cid"), "cid").limit(wanted).collect()]
     table = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in pivots])
     gaps = F.transform(table, lambda p, i: F.struct(
         norm(F.zip_with("mean", p, lambda x, y: x - y)).alias("r"), i.alias("cell")))
     homed = means.withColumn("_home", F.array_min(gaps)).select("cid", "mean", F.col("_home.r").alias("r"), F.col("_home.cell").alias("cell"))
-    homed = durable(homed)
     facts = {r["cell"]: (r["radius"], r["n"]) for r in homed.groupBy("cell").agg(F.max("r").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
     reach = float(np.sqrt(2 * threshold)) + 1e-9
     blocks = {c: max(1, -(-n // BLOCK_ROWS)) for c, (_, n) in facts.items()}
@@ -84,10 +86,10 @@ def _block_table(means: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _merge_round(clusters: DataFrame, threshold: float) -> DataFrame | None:
+def _merge_round(clusters: DataFrame, threshold: float, count: int) -> DataFrame:
     """Pairs (cid, keep) of clusters that are each other's nearest partner below the threshold."""
     means = clusters.select("cid", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
-    found = _block_table(means, threshold).groupBy("low", "high").applyInPandas(
+    found = _block_table(means, threshold, count).groupBy("low", "high").applyInPandas(
         _nearest_in_block(threshold), "cid string, other string, distance double"
     )
     pair = F.struct("distance", F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b"))
@@ -108,18 +110,22 @@ def cluster(vectors: DataFrame, threshold: float = 0.30) -> DataFrame:
     zero = norm(F.col("u")) == 0
     groups = units.groupBy("u").agg(F.min("segment_id").alias("cid"), F.count(F.lit(1)).cast("double").alias("n"))
     alone = units.where(zero).select("segment_id", F.col("segment_id").alias("cid"))
-    members = durable(units.where(~zero).join(groups, "u").select("segment_id", "cid").unionByName(alone))
+    members = units.where(~zero).join(groups, "u").select("segment_id", "cid").unionByName(alone)
     clusters = durable(groups.where(~zero).select("cid", "n", F.transform("u", lambda x: x * F.col("n")).alias("total")))
+    count = clusters.count()
     while True:
-        merges = durable(_merge_round(clusters, threshold))
-        if merges.isEmpty():
+        merges = durable(_merge_round(clusters, threshold, count))
+        merged = merges.count()
+        if merged == 0:
             break
+        count -= merged
         renamed = clusters.join(merges, "cid", "left").withColumn("cid", F.coalesce("keep", "cid")).drop("keep")
+        # a merge joins exactly two clusters, so the list below holds one or two vectors
         clusters = durable(renamed.groupBy("cid").agg(
             F.sum("n").alias("n"),
             F.reduce(F.collect_list("total"), F.lit(None).cast(_VECTOR), lambda acc, x: F.when(acc.isNull(), x).otherwise(F.zip_with(acc, x, lambda a, b: a + b))).alias("total"),
         ))
-        members = durable(members.join(merges, "cid", "left").select("segment_id", F.coalesce("keep", "cid").alias("cid")))
+        members = members.join(merges, "cid", "left").select("segment_id", F.coalesce("keep", "cid").alias("cid"))
     return members.select("segment_id", F.col("cid").alias("cluster"))
 
 

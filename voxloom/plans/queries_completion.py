@@ -8,6 +8,7 @@ from voxloom.operators import completion as c
 from voxloom.plans import views as v
 from voxloom.plans.queries_text import APPLIED, _applied
 from voxloom.plans.registry import query
+from voxloom.session import durable
 
 TRIAGE = """, tm AS (SELECT *, list_filter([CASE WHEN CASE asr_status WHEN 'measured' THEN true WHEN 'legacy_unknown' THEN asr_confidence > 0 ELSE false END THEN asr_confidence END, CASE WHEN alignment_status = 'measured' THEN alignment_confidence END], lambda x: x IS NOT NULL) AS m FROM segments),
  tri AS (SELECT *, coalesce(list_min(m), 1) < 35e-2 AS rej, coalesce(list_min(m), 1) < 65e-2 AS weak FROM tm), kept AS (SELECT * FROM tri WHERE NOT rej)
@@ -42,7 +43,9 @@ def label_reviews(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    return c.gap_decisions(v.frames(spark, sf_dir), v.clip_phones(spark, sf_dir))
+    """Placed frames with the decisions and estimates made on them."""
+    frames = durable(v.frames(spark, sf_dir))
+    return frames, *c.gap_decisions(frames, v.clip_phones(spark, sf_dir, frames))
 
 
 GAPS = """, fr AS (SELECT *, f0 = 0 OR f0_conf < 45e-2 AS need FROM frames),
@@ -73,13 +76,12 @@ GAPS = """, fr AS (SELECT *, f0 = 0 OR f0_conf < 45e-2 AS need FROM frames),
 @query("cmp_5_gap_decisions", "frames clip_phones", GAPS + """SELECT segment_id, start_frame, end_frame, reason IS NULL AS applied, reason, phoneme, round(CASE WHEN reason IS NULL THEN conf ELSE 0 END, 9) AS confidence,
   CASE WHEN reason IS NULL THEN 'estimated' ELSE 'weak_observed' END AS state, CASE WHEN reason IS NULL THEN 'applied' ELSE 'deferred' END AS application_status, 'short-vowel-gap-1' AS method FROM dec""")
 def gap_decisions(spark, sf_dir):
-    return _decided(spark, sf_dir)[0].withColumn("confidence", F.round("confidence", 9))
+    return _decided(spark, sf_dir)[1].withColumn("confidence", F.round("confidence", 9))
 
 
 @query("cmp_5_filled_frames", "frames clip_phones", GAPS + "SELECT segment_id, idx, round(f0, 6) AS f0, round(f0_conf, 9) AS f0_conf, voicing::DOUBLE AS voicing, filled FROM fil")
 def filled_frames(spark, sf_dir):
-    decisions, estimates = _decided(spark, sf_dir)
-    return c.filled_frames(v.frames(spark, sf_dir), decisions, estimates).select("segment_id", "idx", F.round("f0", 6).alias("f0"), F.round("f0_conf", 9).alias("f0_conf"), "voicing", "filled")
+    return c.filled_frames(*_decided(spark, sf_dir)).select("segment_id", "idx", F.round("f0", 6).alias("f0"), F.round("f0_conf", 9).alias("f0_conf"), "voicing", "filled")
 
 
 def _stored_series(spark, sf_dir):
@@ -105,8 +107,7 @@ def frame_audit(spark, sf_dir):
 SELECT f.segment_id, round(coalesce(avg(f0) FILTER (f0 > 0), 0), 6) AS mean_f0_hz, round(coalesce(stddev_pop(f0) FILTER (f0 > 0), 0), 6) AS f0_std_dev_hz, round(avg(CASE WHEN voicing >= 5e-1 THEN 1e0 ELSE 0e0 END), 9) AS voiced_ratio,
   round(CASE WHEN max(e.n) >= 2 AND max(hi) > max(lo) THEN 12 * log2(max(hi) / max(lo)) ELSE 0 END, 6) AS pitch_range_semitones FROM fil f LEFT JOIN ends e USING (segment_id) GROUP BY ALL""")
 def resummarized(spark, sf_dir):
-    decisions, estimates = _decided(spark, sf_dir)
-    out = c.resummarize(c.filled_frames(v.frames(spark, sf_dir), decisions, estimates))
+    out = c.resummarize(c.filled_frames(*_decided(spark, sf_dir)))
     return out.select("segment_id", F.round("mean_f0_hz", 6).alias("mean_f0_hz"), F.round("f0_std_dev_hz", 6).alias("f0_std_dev_hz"), F.round("voiced_ratio", 9).alias("voiced_ratio"), F.round("pitch_range_semitones", 6).alias("pitch_range_semitones"))
 
 

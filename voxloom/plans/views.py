@@ -146,9 +146,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clip_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clip_phones(spark: SparkSession, sf_dir: str, placed: DataFrame | None = None) -> DataFrame:
     """One long vowel per 40 frames of every clip, with a consonant across some borders."""
-    spans = frames(spark, sf_dir).groupBy("segment_id", F.expr("idx div 40").alias("block")).agg(F.count(F.lit(1)).alias("n"))
+    source = frames(spark, sf_dir) if placed is None else placed
+    spans = source.groupBy("segment_id", F.expr("idx div 40").alias("block")).agg(F.count(F.lit(1)).alias("n"))
     vowel = spans.select(
         "segment_id",
         F.expr("CASE block % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'i' ELSE 'u' END").alias("phoneme"),
