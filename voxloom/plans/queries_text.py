@@ -30,14 +30,14 @@ def _worded(spark, sf_dir):
  u AS (SELECT *, i * 3e-1 AS ws, i * 3e-1 + 25e-2 AS we, len(regexp_extract_all(lower(word), '[a-z]')) AS n FROM w WHERE i % 11 <> 5),
  c AS (SELECT *, greatest(0, ws) AS s, least(dur, we) AS e, least(1e0, greatest(0e0, asr_confidence * ((i % 10) / 1e1))) AS cf FROM u WHERE n > 0 AND doc_id % 9 <> 0 AND dur > 0),
  g AS (SELECT segment_id, sum(n) FILTER (e > s)::BIGINT AS phones, min(s) FILTER (e > s) AS first_start, max(e) FILTER (e > s) AS last_end, sum(e - s) FILTER (e > s) AS seconds, sum(n * cf) FILTER (e > s) / sum(n) FILTER (e > s) AS conf FROM c GROUP BY ALL)
-SELECT s.segment_id, coalesce(phones, 0) AS phones, round(first_start, 6) AS first_start, round(last_end, 6) AS last_end, round(seconds, 4) AS seconds, round(coalesce(conf, 0), 6) AS alignment_confidence,
+SELECT s.segment_id, coalesce(phones, 0) AS phones, round(first_start, 6) AS first_start, round(last_end, 6) AS last_end, round(seconds, 4) AS seconds, round(coalesce(conf, 0), 9) AS alignment_confidence,
   CASE WHEN phones > 0 THEN 'asr-word-boundary-proportional' ELSE 'unavailable' END AS alignment_method FROM segments s LEFT JOIN g USING (segment_id)""")
 def word_timing(spark, sf_dir):
     x = t.word_timing(_worded(spark, sf_dir))
     return x.select(
         "segment_id", F.coalesce(F.size("timed"), F.lit(0)).cast("long").alias("phones"), F.round(F.get("timed", F.lit(0))["start_sec"], 6).alias("first_start"),
         F.round(F.array_max(F.transform("timed", lambda p: p["end_sec"])), 6).alias("last_end"), F.round(F.aggregate("timed", F.lit(0.0), lambda a, p: a + p["end_sec"] - p["start_sec"]), 4).alias("seconds"),
-        F.round("alignment_confidence", 6).alias("alignment_confidence"), "alignment_method",
+        F.round("alignment_confidence", 9).alias("alignment_confidence"), "alignment_method",
     ).withColumn("phones", F.greatest("phones", F.lit(0).cast("long")))
 
 
