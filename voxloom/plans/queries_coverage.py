@@ -8,6 +8,7 @@ from voxloom.functions.vocabulary import KANA_PHONES
 from voxloom.operators import coverage as c
 from voxloom.plans import views as v
 from voxloom.plans.registry import query
+from voxloom.session import durable
 
 SCOPED = """, scopes AS (SELECT 'all' AS scope, '' AS speaker_id, '' AS content_type
    UNION ALL SELECT DISTINCT 'speaker', speaker_id, '' FROM segments WHERE speaker_id IS NOT NULL
@@ -36,7 +37,7 @@ def _segs(spark, sf_dir):
 
 
 def _both(spark, sf_dir):
-    return v.segments(spark, sf_dir), c.phone_counts(_segs(spark, sf_dir))
+    return v.segments(spark, sf_dir), durable(c.phone_counts(_segs(spark, sf_dir)))
 
 
 @query("cov_1_phone_coverage", "segments phonemes", SCOPED + """SELECT scope, speaker_id, content_type, coalesce(phoneme, '') AS phoneme, coalesce(n, 0) AS n

@@ -10,6 +10,7 @@ from voxloom.operators import inventory as inv, selection as sel
 from voxloom.plans import views as v
 from voxloom.plans.queries_weights import DECIDED, KNOWN, ROUTED, _routed, eligible_input
 from voxloom.plans.registry import query
+from voxloom.session import durable
 
 
 def _full(spark, sf_dir):
@@ -82,7 +83,7 @@ SECONDS = ("speech_raw_seconds", "speech_eligible_seconds", "singing_raw_seconds
 
 
 def _inventory(spark, sf_dir):
-    return inv.speaker_inventory(_full(spark, sf_dir))
+    return durable(inv.speaker_inventory(_full(spark, sf_dir)))
 
 
 @query("inv_2_speaker_inventory", FV, INVENTORY + "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in SECONDS) + ") FROM inv")

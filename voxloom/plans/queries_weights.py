@@ -8,14 +8,19 @@ from voxloom.functions.measure import valid_singing_alignment
 from voxloom.operators import routing, weights
 from voxloom.plans import views as v
 from voxloom.plans.registry import query
+from voxloom.session import durable
 
 
 def eligible_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments with alignment validity, observed phones and pitch bins, phones already folded away."""
+    """Segments with alignment validity, observed phones and pitch bins, phones already folded away.
+
+    Rarity, means and weights read this table several times, and folding the phones is the costly
+    part, so the narrow result is written once.
+    """
     segs = v.phoned_segments(spark, sf_dir).withColumn(
         "f0_values", F.array(F.col("mean_f0_hz"), F.col("mean_f0_hz") + F.col("f0_std_dev_hz"), F.lit(0.0))
     )
-    return (
+    return durable(
         segs.withColumn("valid_alignment", valid_singing_alignment())
         .withColumn("phones", weights.observed_phones())
         .withColumn("bins", weights.observed_bins())
