@@ -48,8 +48,9 @@ def _scope_rows(base: DataFrame, item: list[str], total: str) -> DataFrame:
 
 def phone_counts(segments: DataFrame) -> DataFrame:
     """Phone counts per scope (only phones that occur)."""
-    base = segments.select("speaker_id", "content_type", F.explode("phonemes").alias("p")).groupBy(
-        "speaker_id", "content_type", F.col("p.phoneme").alias("phoneme")
+    names = F.transform("phonemes", lambda p: p["phoneme"])  # exploding names is far cheaper than exploding structs
+    base = segments.select("speaker_id", "content_type", F.explode(names).alias("phoneme")).groupBy(
+        "speaker_id", "content_type", "phoneme"
     ).agg(F.count(F.lit(1)).alias("n"))
     return _scope_rows(base, ["phoneme"], "n")
 

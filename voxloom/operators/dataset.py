@@ -80,7 +80,7 @@ def set_transcripts(segments: DataFrame, provenance: DataFrame, edits: DataFrame
 
 def coverage_counts(segments: DataFrame) -> DataFrame:
     """Phone counts and content-type counts of the whole dataset, as (kind, name, n)."""
-    phones = segments.select(F.explode("phonemes").alias("p")).groupBy(F.col("p.phoneme").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    phones = segments.select(F.explode(F.transform("phonemes", lambda p: p["phoneme"])).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     types = segments.groupBy(F.col("content_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     return phones.select(F.lit("phoneme").alias("kind"), "name", "n").unionByName(types.select(F.lit("content_type").alias("kind"), "name", "n"))
 
