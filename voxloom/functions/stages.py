@@ -14,6 +14,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from voxloom.session import ship_package
+
 RESULT_SCHEMA = "request_id string, status string, result string, error string"
 _LOADED: dict[str, object] = {}
 
@@ -50,4 +52,5 @@ def run_stage(requests: DataFrame, commands: dict[str, str]) -> DataFrame:
                     rows.append((request_id, "error", None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["request_id", "status", "result", "error"])
 
+    ship_package(requests.sparkSession)
     return requests.select("request_id", "command", "payload").mapInPandas(run, RESULT_SCHEMA)

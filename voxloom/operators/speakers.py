@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from voxloom.functions.measure import clamp, finite
 from voxloom.functions.vectors import dot, group_vector_sum, norm, unit
 from voxloom.operators.sequences import global_rank
-from voxloom.session import durable
+from voxloom.session import durable, ship_package
 
 BLOCK_ROWS = 2048
 PIVOTS = 48
@@ -106,6 +106,7 @@ def cluster(vectors: DataFrame, threshold: float = 0.30) -> DataFrame:
     merging every mutually nearest pair at once gives the same tree as merging the closest pair one
     by one. Equal vectors join first. Rounds stop when no pair is below the threshold.
     """
+    ship_package(vectors.sparkSession)
     units = vectors.select("segment_id", unit(F.col("embedding")).alias("u"))
     zero = norm(F.col("u")) == 0
     groups = units.groupBy("u").agg(F.min("segment_id").alias("cid"), F.count(F.lit(1)).cast("double").alias("n"))

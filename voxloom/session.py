@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ def local_session(cores: str | int = "*", app: str = "voxloom") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(parallel))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -37,3 +39,21 @@ def durable(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         )
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Operators with an Arrow kernel call this, so that executors need no installation and the
+    driver's working folder does not matter.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="spark-package-", dir="/tmp")
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "voxloom"), "zip", root, "voxloom"))
+    _SHIPPED.add(context.applicationId)
