@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import exact, mixing, packing, quality, simhash
+from voxloom.llm import chats, exact, mixing, packing, personal, quality, recompression, simhash, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(_documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(_documents(spark, sf_dir))
 
@@ -23,13 +27,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_documents(spark, sf_dir))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    return chats.report(rows.unionByName(more))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_documents(spark, sf_dir))
 
 
+def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup(_documents(spark, sf_dir))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.resolve(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_quality_rules, op4_simhash_near_dedup, op6_mix_sources, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup, op2_best_fit_packing, op3_quality_rules, op4_simhash_near_dedup, op5_chat_formatting,
+        op6_mix_sources, op7_recompression_dedup, op8_personal_data, op10_exact_dedup,
+    )
+}
 ORACLES: dict[str, str] = {}
