@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import chats, exact, mixing, packing, personal, quality, recompression, simhash, suffixes
+from voxloom.llm import chats, exact, languages, mixing, packing, personal, quality, recompression, simhash, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(_documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.resolve(_documents(spark, sf_dir))
 
@@ -54,7 +58,72 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_quality_rules, op4_simhash_near_dedup, op5_chat_formatting,
-        op6_mix_sources, op7_recompression_dedup, op8_personal_data, op10_exact_dedup,
+        op6_mix_sources, op7_recompression_dedup, op8_personal_data, op9_language_id, op10_exact_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_EXACT = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS body FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM d
+"""
+
+_SAID = "\\### Assistant: </turn> ok"
+_CHATS = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_SAID}' UNION ALL SELECT -7, 1, 'assistant', '{_SAID}'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(14 + length(role) + length(replace(replace(replace(text, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\e'))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+def _quality() -> str:
+    """Measures by unnesting words and lines; the prior of each rule from the host table."""
+    rules = {
+        "short": "n_words < 50", "repeating": "100 * n_repeat_words > 50 * n_words", "symbols": "n_symbols > n_words",
+        "lines": "2 * n_dup_lines > n_lines", "word_length": "word_chars > 15 * n_words OR word_chars < 2 * n_words",
+    }
+    flags = ", ".join(f"({sql}) AS {r}" for r, sql in rules.items())
+    sums = ", ".join(f"sum(CAST({r} AS INTEGER)) AS {r}" for r in rules)
+    priors = ", ".join(f"avg({r} / n) AS {r}_m, var_pop({r} / n) AS {r}_v" for r in rules)
+    strength = {
+        r: f"CASE WHEN {r}_v > 1e-12 THEN least(greatest({r}_m * (1 - {r}_m) / {r}_v - 1, 0), 1e6) ELSE 1e6 END" for r in rules
+    }
+    over = " OR ".join(f"({r} + {r}_m * {strength[r]}) / (n + {strength[r]}) > {quality.HOST_LIMIT}" for r in rules)
+    failed = " OR ".join(rules)
+    named = ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in rules)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT uid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+p AS (SELECT uid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT uid, i, word, lead(word) OVER q AS b, lead(word, 2) OVER q AS c FROM p WINDOW q AS (PARTITION BY uid ORDER BY i)),
+r AS (SELECT uid, i, count(*) OVER (PARTITION BY uid, word, b, c) AS n FROM g WHERE c IS NOT NULL),
+covered AS (SELECT uid, count(DISTINCT i + k) AS n_repeat_words FROM r, (VALUES (0), (1), (2)) AS t(k) WHERE n > 1 GROUP BY uid),
+chars AS (SELECT uid, count(*) AS n_words, sum(length(word)) AS word_chars FROM p GROUP BY uid),
+l AS (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT uid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM l
+          WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY uid),
+m AS (SELECT d.uid, doc_id, source, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars,
+             length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_lines, 0) AS n_lines,
+             coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM d LEFT JOIN chars USING (uid) LEFT JOIN lines USING (uid) LEFT JOIN covered USING (uid)),
+f AS (SELECT *, {flags} FROM m),
+h AS (SELECT source AS host, CAST(count(*) AS DOUBLE) AS n, {sums} FROM f GROUP BY source),
+prior AS (SELECT {priors} FROM h),
+v AS (SELECT host, {over} AS host_refused FROM h, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeating AS base_failed,
+       NOT ({failed}) AND NOT host_refused AS kept, host_refused, concat_ws(',', {named}) AS rules
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.host
+"""
+
+
+#: The other operators hash with functions SQL lacks, iterate or train; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op3_quality_rules": _quality(), "op5_chat_formatting": _CHATS, "op10_exact_dedup": _EXACT}
