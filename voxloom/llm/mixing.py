@@ -20,6 +20,8 @@ from voxloom.llm.common import fresh, stored, unit, words_of
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
+#: Slots that one task fills.
+TASK_SLOTS = 1 << 17
 ROUNDS = 16
 SHARE = 1.5
 MOST = 2
@@ -105,6 +107,7 @@ def block_uses(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     within = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     numbered = numbered.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    numbered = numbered.repartition(-(-slots // TASK_SLOTS), "shard")  # a row of counts becomes many slots
     each = numbered.select("shard", "rank", "first", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     each = each.join(sources.select("rank", "blocks"), "rank").withColumn("j", F.col("first") + F.col("k")).where(F.col("j") < MOST * F.col("blocks"))
     epoch = F.floor(F.col("j") / F.col("blocks"))
