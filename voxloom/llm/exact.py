@@ -110,4 +110,5 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     stay = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_k"), F.col(sha).alias("_s"), F.col(uid).alias("_uid"))
     stay = stay.join(table, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_sha"))).where(F.col("_id").eqNullSafe(F.col("_keep")))
     stay = stored(stay.groupBy("_key", "_sha").agg(F.min("_uid").alias(uid)).select(uid))
-    return rows.join(stay, uid, "left_semi").select(*docs.columns)
+    # The list grows with the corpus: one plan at every size, a sort-merge join, never a broadcast.
+    return rows.join(stay.hint("merge"), uid, "left_semi").select(*docs.columns)

@@ -219,4 +219,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     fps = stored(fingerprints(ids, uid))
     keyed = stored(fps.join(ids.select(F.col(uid).alias("key0"), F.col("key").alias("order")), F.col("key") == F.col("key0")).select(F.col("order").alias("key"), "fp"))
     stay = groups(keyed).select(F.col("component")["u"].alias(uid)).distinct()
-    return rows.join(stored(stay), uid, "left_semi").select(*docs.columns)
+    # The list grows with the corpus: one plan at every size, a sort-merge join, never a broadcast.
+    return rows.join(stored(stay).hint("merge"), uid, "left_semi").select(*docs.columns)
