@@ -154,3 +154,51 @@ def test_decode_confidence(spark):
     got = rows(spark, [(-1.0, True), (None, True), (None, False)], "m double, t boolean").select(text.decode_confidence(F.col("m"), F.col("t"))).collect()
     assert [r[0] for r in got] == [0.5, 0.5, 0.0]
     assert math.isclose(1 / (1 + math.exp(-2 * (0 + 1))), 0.8807970779778823)
+
+
+def test_frames_and_periodicity_reach_over_several_chunks(spark):
+    import numpy as np
+    from voxloom.operators import signal
+    from voxloom.operators.sequences import CHUNK
+
+    rng = np.random.default_rng(2)
+    for rate in (96_000, 192_000):
+        wave = rng.integers(-9000, 9000, 40_000).tolist()
+        rows = [("c", k, wave[k * CHUNK : (k + 1) * CHUNK], rate) for k in range(-(-len(wave) // CHUNK))]
+        chunks = spark.createDataFrame(rows, "clip_id string, chunk long, samples array<int>, sample_rate int")
+        size, hop = rate * 4 // 100, rate // 100
+        want = {f: wave[f * hop : f * hop + size] for f in range((len(wave) - size) // hop + 1)}
+        assert {r.frame: r.samples for r in signal.frames(chunks).collect()} == want
+        first, count, lag = 4000, -(-rate // 20), round(rate / 60)
+        request = spark.createDataFrame([("c", first / rate, 60.0, 0.01)], "clip_id string, time_sec double, f0 double, step_sec double")
+        s = np.array(wave[first : first + count]) / 32768
+        s = s - s.mean()
+        a, b = s[:-lag], s[lag:]
+        got = signal.periodicity(request, chunks).first().periodicity
+        assert abs(got - np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))) < 1e-9
+
+
+def test_bad_weights_are_rows_and_stop_only_their_key(spark):
+    from voxloom.operators import sampling
+
+    items = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", None), ("b", "y", 1.0), ("c", "z", float("nan"))], "job_id string, name string, weight double")
+    assert {r.job_id for r in sampling.draw_epoch(items, ["job_id"], 1, 0).collect()} == {"a"}
+    assert sorted((r.job_id, r.name) for r in sampling.weight_problems(items).collect()) == [("b", "x"), ("c", "z")]
+
+
+def test_digests_nulls_blanks_and_unvoiced_frames(spark):
+    from pyspark.sql import functions as F
+    from voxloom.functions.fingerprints import row_digest
+    from voxloom.functions.measure import blank
+    from voxloom.operators import signal
+    from voxloom.sinks import datasets
+
+    rows = spark.createDataFrame([("a|vb", "c"), ("a", "b|vc"), ("a", None), ("a", "")], "x string, y string")
+    assert rows.select(row_digest(F.col("x"), F.col("y")).alias("d")).distinct().count() == 4
+    texts = spark.createDataFrame([("　",), ("\t",), (None,), (" a　",)], "t string").select(blank(F.col("t")).alias("b"))
+    assert [r.b for r in texts.collect()] == [True, True, True, False]
+    manifest = spark.createDataFrame([("j", "p", None)], "job_id string, path string, sha256 string")
+    actual = spark.createDataFrame([("j", "p", 5, "ff")], "job_id string, path string, size long, sha256 string")
+    assert [r.problem for r in datasets.artifact_problems(manifest, actual, manifest.select("job_id")).collect()] == ["hash_mismatch"]
+    series = spark.createDataFrame([("s", float("nan"), 0.9, 0.1, 0.0), ("s", 100.0, 0.9, 0.1, 1.0)], "segment_id string, f0 double, f0_conf double, energy double, voicing double")
+    assert signal.summarize(series).first().mean_f0_hz == 100.0

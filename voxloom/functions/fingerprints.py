@@ -13,8 +13,10 @@ _LANES, _HEX = 4, 15
 
 
 def row_digest(*columns: Column) -> Column:
-    """SHA-256 of the columns' text forms; NULL and empty text stay different."""
-    parts = [F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n")) for c in columns]
+    """SHA-256 of the columns' text forms, each with its length, so that no two lists of values read
+    alike; NULL and empty text stay different."""
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.lit("v"), F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

@@ -30,7 +30,8 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text) == "", F.lit(True))
+    """NULL, or nothing but blanks of any script."""
+    return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
 def reasons(*pairs: tuple[Column, str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.measure import finite
 from voxloom.operators.sequences import global_rank, position_in, running_sum
 
 MICRO = 1_000_000
@@ -11,6 +12,11 @@ CELL = 2 * MICRO  # the largest weight: an interval touches at most two cells
 MAX_HELD, HELD_SHARE = 5, 0.1
 
 
+def weight_problems(items: DataFrame) -> DataFrame:
+    """The items whose weight is missing, not finite or negative."""
+    return items.where(~finite(F.col("weight")) | (F.col("weight") < 0)).withColumn("problem", F.lit("bad_weight"))
+
+
 def draw_epoch(items: DataFrame, keys: list[str], seed: int, epoch: int) -> DataFrame:
     """Draw, with replacement and p = weight / total, as many items as each key holds.
 
@@ -18,20 +24,22 @@ def draw_epoch(items: DataFrame, keys: list[str], seed: int, epoch: int) -> Data
     are exact whatever the partitioning. Items lie on a line in the order of md5(name); each is
     also the seat of one draw, whose point comes from md5(seed:epoch:key:draw). Points meet
     intervals through cells one maximum weight wide: a cell holds at most nine intervals, so the
-    join has no hot key even when one job owns most rows.
+    join has no hot key even when one job owns most rows. Keys with a bad weight draw nothing; their
+    items are in ``weight_problems``.
     """
-    placed = items.withColumn("_w", F.round(F.col("weight") * MICRO).cast("long")).withColumn("_md5", F.md5("name")).withColumn(
+    bad = weight_problems(items).select(*keys).distinct()
+    placed = items.join(bad, keys, "left_anti").withColumn("_w", F.round(F.col("weight") * MICRO).cast("long")).withColumn("_md5", F.md5("name")).withColumn(
         "_slot", F.substring("_md5", 1, 3)
     )
     lined = running_sum(placed, keys, "_slot", ["_md5", "name"], F.col("_w"), "_hi")
     seats = position_in(placed, keys, "_slot", ["_md5", "name"], "draw")
     totals = placed.groupBy(*keys).agg(F.sum("_w").alias("_total"))
     key_text = F.concat_ws("/", *keys)
-    unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), key_text, F.col("draw"))), 1, 8), 16, 10)
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(epoch), key_text, F.col("draw"))), 1, 15), 16, 10)
     points = (
         seats.select(*keys, "draw").join(totals, keys)
-        .withColumn("_u", unit.cast("decimal(12,0)"))
-        .withColumn("_point", F.expr("cast(_u * cast(_total as decimal(20,0)) as decimal(38,0)) div 4294967296"))
+        .withColumn("_u", unit.cast("decimal(19,0)"))
+        .withColumn("_point", F.expr("cast(_u * cast(_total as decimal(19,0)) as decimal(38,0)) div 1152921504606846976"))
         .select(*keys, "draw", "_point", F.expr(f"_point div {CELL}").alias("_cell"))
     )
     intervals = lined.select(

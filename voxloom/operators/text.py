@@ -57,7 +57,7 @@ def decode_confidence(mean_logprob: Column, has_text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """Text without white space and sentence punctuation."""
-    return F.regexp_replace(text, r"[\s、。,.!?！？「」『』（）()［］\[\]]+", "")
+    return F.regexp_replace(text, r"(?U)[\s、。,.!?！？「」『』（）()［］\[\]]+", "")
 
 
 def review_transcripts(rows: DataFrame) -> DataFrame:
@@ -84,16 +84,17 @@ def correction_targets(segments: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_reviews(targets: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(corrected segments, correction rows). A review that fails its own contract is refused as invalid.
+    """(corrected segments, correction rows). A review that fails its own contract is refused as invalid; a
+    target without a review is deferred with what was observed.
 
     ``reviews``: segment_id, candidate_transcript, candidate_phones, confidence, duration_sec,
     changed, machine_passed, reasons.
     """
-    joined = targets.join(reviews.select("segment_id", F.struct(*[c for c in reviews.columns if c != "segment_id"]).alias("r")), "segment_id")
+    joined = targets.join(reviews.select("segment_id", F.struct(*[c for c in reviews.columns if c != "segment_id"]).alias("r")), "segment_id", "left")
     n = F.size("r.candidate_phones")
     invalid = ~in_unit(F.col("r.confidence")) | ~finite(F.col("r.duration_sec")) | (F.col("r.duration_sec") <= 0) | (n > MAX_REVIEW_PHONES) | (
         F.col("r.machine_passed") & (~F.col("r.changed") | blank(F.col("r.candidate_transcript")) | (n == 0) | (F.col("r.confidence") < MIN_REVIEW)))
-    state = F.when(invalid, "invalid").when(F.col("r.machine_passed"), "applied").otherwise("deferred")
+    state = F.when(F.col("r").isNull(), "deferred").when(invalid, "invalid").when(F.col("r.machine_passed"), "applied").otherwise("deferred")
     judged = joined.withColumn("_state", state)
     step = F.col("r.duration_sec") / n
     aligned = clamp(F.col("r.confidence") * 0.8)
@@ -137,7 +138,7 @@ def read_intervals(rows: DataFrame) -> DataFrame:
 def convert_aliases(found: Column, expected: Column) -> Column:
     """The found phones in expected spelling, or NULL when they are not the expected ones."""
     spelled = F.transform(found, lambda p: F.coalesce(F.try_element_at(_map(PHONE_ALIASES), p), p))
-    odd = F.exists(F.concat(found, expected), lambda p: blank(p) | p.rlike(r"\s"))
+    odd = F.exists(F.concat(found, expected), lambda p: blank(p) | p.rlike(r"(?U)\s"))
     return let(spelled, lambda s: F.when((F.size(s) > 0) & ~odd & (s == expected), s))
 
 

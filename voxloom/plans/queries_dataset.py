@@ -145,11 +145,11 @@ def _print(spark, sf_dir):
 
 
 def _nv(c):
-    return f"CASE WHEN {c} IS NULL THEN 'n' ELSE concat('v', {c}) END"
+    return f"CASE WHEN {c} IS NULL THEN 'n' ELSE concat('v', length(CAST({c} AS VARCHAR)), ':', {c}) END"
 
 
 PRINT = ", sp AS (" + set_print_sql("segments", "1", f"sha256(concat_ws('|', {', '.join(_nv(c) for c in ('cache_key', 'content_type', 'segment_id', 'speaker_id'))}))", "f").replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "") + "), cp AS (" + set_print_sql(
-    "(SELECT segment_id, sha256(value) AS cv FROM edits WHERE field = 'note')", "1", "sha256(concat_ws('|', concat('v', cv), concat('v', segment_id)))", "f").replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "") + "), fp AS (SELECT sha256(concat_ws('|', 'training-snapshot-3', 'enabled', sp.f, cp.f)) AS fingerprint FROM sp, cp)\n"
+    "(SELECT segment_id, sha256(value) AS cv FROM edits WHERE field = 'note')", "1", "sha256(concat_ws('|', concat('v', length(CAST(cv AS VARCHAR)), ':', cv), concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id)))", "f").replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "") + "), fp AS (SELECT sha256(concat_ws('|', 'training-snapshot-3', 'enabled', sp.f, cp.f)) AS fingerprint FROM sp, cp)\n"
 
 
 @query("dat_8_snapshot_fingerprint", "segments edits", PRINT + "SELECT fingerprint FROM fp")
@@ -163,7 +163,7 @@ def _members(spark, sf_dir):
 
 
 MEMBERS = """, mb AS (SELECT concat(speaker_id, '/', CASE content_type WHEN 'speech' THEN 'talk' ELSE 'singing' END) AS job_id, speaker_id, CASE content_type WHEN 'speech' THEN 'talk' ELSE 'singing' END AS target, segment_id, doc_id FROM segments WHERE speaker_id IS NOT NULL AND content_type <> 'ambiguous'),
- js AS (""" + set_print_sql("mb", "job_id, speaker_id, target", "sha256(concat('v', segment_id))", "s") + ")\n"
+ js AS (""" + set_print_sql("mb", "job_id, speaker_id, target", "sha256(concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id))", "s") + ")\n"
 
 
 @query("dat_8_job_fingerprints", "segments edits", PRINT + MEMBERS + "SELECT job_id, speaker_id, target, row_count AS members, sha256(concat_ws('|', 'training-job-input-2', (SELECT fingerprint FROM fp), speaker_id, target, s)) AS job_fingerprint FROM js")

@@ -109,7 +109,7 @@ def timbre(spark, sf_dir):
 def _print_sql():
     from voxloom.plans.queries_jobs import set_print_sql
 
-    return set_print_sql("(SELECT * FROM refs WHERE kind = 'reference')", "speaker_id, target", "sha256(concat_ws('|', concat('v', segment_id), concat('v', source_id), concat('v', cache_key)))", "input_hash")
+    return set_print_sql("(SELECT * FROM refs WHERE kind = 'reference')", "speaker_id, target", "sha256(concat_ws('|', concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id), concat('v', length(CAST(source_id AS VARCHAR)), ':', source_id), concat('v', length(CAST(cache_key AS VARCHAR)), ':', cache_key)))", "input_hash")
 
 
 @query("inv_3_reference_hash", FV, TIMBRE + _print_sql())

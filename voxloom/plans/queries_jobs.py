@@ -89,7 +89,7 @@ def _draw_sql(keys: str, text: str) -> str:
    CAST(round((25e-2 + (doc_id * 17 % 176) / 1e2) * 1000000) AS BIGINT) AS w FROM segments WHERE speaker_id IS NOT NULL),
  lined AS (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY md5(name), name) AS hi, row_number() OVER (PARTITION BY {keys} ORDER BY md5(name), name) - 1 AS draw,
    sum(w) OVER (PARTITION BY {keys}) AS total FROM items),
- points AS (SELECT {keys}, draw, (CAST(concat('0x', substr(md5(concat('7:3:', {text}, ':', draw)), 1, 8)) AS BIGINT)::HUGEINT * total::HUGEINT) // 4294967296 AS point FROM lined)
+ points AS (SELECT {keys}, draw, (CAST(concat('0x', substr(md5(concat('7:3:', {text}, ':', draw)), 1, 15)) AS BIGINT)::HUGEINT * total::HUGEINT) // 1152921504606846976 AS point FROM lined)
 SELECT {', '.join('p.' + k.strip() for k in keys.split(','))}, p.draw, l.name FROM points p JOIN lined l ON {' AND '.join(f'p.{k.strip()} = l.{k.strip()}' for k in keys.split(','))}
   AND l.hi - l.w <= p.point AND p.point < l.hi"""
 
@@ -154,7 +154,7 @@ def job_members(spark, sf_dir):
     return _members(spark, sf_dir)
 
 
-@query("wgt_15_jobs", "segments aligned", SELECTED + ", f AS (" + set_print_sql("members", "job_id, speaker_id, target, auto_correction", "sha256(concat('v', segment_id))", "member_fingerprint")
+@query("wgt_15_jobs", "segments aligned", SELECTED + ", f AS (" + set_print_sql("members", "job_id, speaker_id, target, auto_correction", "sha256(concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id))", "member_fingerprint")
        + ") SELECT job_id, speaker_id, target, auto_correction, row_count AS members, member_fingerprint FROM f")
 def job_table(spark, sf_dir):
     return jobs.fan_out(_selections(spark, sf_dir), _members(spark, sf_dir))[0]
@@ -228,9 +228,9 @@ def contract_fingerprints(spark, sf_dir):
 
 @query("wgt_17_input_fingerprint", "segments aligned phonemes", ASSESSED + ", " + CANDIDATES + ", f AS (" + set_print_sql(
     "job_of", "job_id",
-    "sha256(concat_ws('|', concat('v', segment_id), concat('v', eligibility), concat('v', array_to_string(list_sort(reason_codes), ',')), "
-    "concat('v', CASE WHEN quality_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN quality_value IS NULL THEN 'n' ELSE concat('v', CAST(round(quality_value * 1e9) AS BIGINT)) END, "
-    "concat('v', CASE WHEN utility_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN utility_value IS NULL THEN 'n' ELSE concat('v', CAST(round(utility_value * 1e9) AS BIGINT)) END, "
-    "concat('v', CAST(round(raw_weight * 1e9) AS BIGINT)), concat('v', CAST(round(training_weight * 1e9) AS BIGINT))))", "input_fingerprint") + ") SELECT * FROM f")
+    "sha256(concat_ws('|', concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id), concat('v', length(CAST(eligibility AS VARCHAR)), ':', eligibility), concat('v', length(CAST(array_to_string(list_sort(reason_codes), ',') AS VARCHAR)), ':', array_to_string(list_sort(reason_codes), ',')), "
+    "concat('v', length(CAST(CASE WHEN quality_value IS NULL THEN 'unavailable' ELSE 'measured' END AS VARCHAR)), ':', CASE WHEN quality_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN quality_value IS NULL THEN 'n' ELSE concat('v', length(CAST(CAST(round(quality_value * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(quality_value * 1e9) AS BIGINT)) END, "
+    "concat('v', length(CAST(CASE WHEN utility_value IS NULL THEN 'unavailable' ELSE 'measured' END AS VARCHAR)), ':', CASE WHEN utility_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN utility_value IS NULL THEN 'n' ELSE concat('v', length(CAST(CAST(round(utility_value * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(utility_value * 1e9) AS BIGINT)) END, "
+    "concat('v', length(CAST(CAST(round(raw_weight * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(raw_weight * 1e9) AS BIGINT)), concat('v', length(CAST(CAST(round(training_weight * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(training_weight * 1e9) AS BIGINT))))", "input_fingerprint") + ") SELECT * FROM f")
 def input_fingerprints(spark, sf_dir):
     return jobs.input_fingerprint(_assessed_jobs(spark, sf_dir), ["job_id"])

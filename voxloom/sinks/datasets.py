@@ -64,7 +64,7 @@ def artifact_problems(manifest: DataFrame, actual: DataFrame, jobs: DataFrame) -
     escapes = F.col("path").rlike(r"^([/\\]|[A-Za-z]:)|(^|[/\\])\.\.([/\\]|$)")
     found = actual.select("job_id", "path", F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
     joined = manifest.join(found, ["job_id", "path"], "left").select("job_id", "path", F.when(escapes, "path_escapes").when(
-        F.col("_size").isNull() | (F.col("_size") == 0), "missing_or_empty").when(F.lower("sha256") != F.lower("_sha"), "hash_mismatch").alias("problem"))
+        F.col("_size").isNull() | (F.col("_size") == 0), "missing_or_empty").when(~F.lower("sha256").eqNullSafe(F.lower("_sha")), "hash_mismatch").alias("problem"))
     empty = jobs.join(manifest.select("job_id"), "job_id", "left_anti").select("job_id", F.lit(None).cast("string").alias("path"), F.lit("no_artifacts").alias("problem"))
     return joined.where("problem IS NOT NULL").unionByName(empty)
 
