@@ -94,25 +94,31 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     level = on(nodes, known, "up", "k", "left").select(
         "node", F.when(F.col("known"), F.col("up")).alias("up"), F.col("node").alias("top"), F.lit(1).cast("long").alias("length"), F.col("score").alias("total")
     )
-    levels = [stored(level)]
-    limit = levels[0].count().bit_length() + 1
-    while levels[-1].where("up is not null").limit(1).count():
-        if len(levels) > limit:
+    started = stored(level)
+    first, active, resolved = started, started.where("up is not null"), [started.where("up is null")]
+    levels, limit = [], started.count().bit_length() + 1
+    while not active.isEmpty():
+        if len(levels) == limit:
             raise ValueError("messages answer one another in a circle")
-        here = levels[-1]
-        above = here.select(*[F.col(c).alias(f"a_{c}") for c in here.columns])
-        jumped = on(here, above, "up", "a_node", "left")
-        levels.append(stored(jumped.select(
-            "node", F.col("a_up").alias("up"), F.coalesce("a_top", "top").alias("top"),
-            (F.col("length") + F.coalesce("a_length", F.lit(0))).alias("length"), (F.col("total") + F.coalesce("a_total", F.lit(0.0))).alias("total"),
-        )))
-    done, first = levels[-1], levels[0]
+        levels.append(active)
+        state = active  # every message as it stands; only those that have not reached their root go on
+        for table in resolved:
+            state = state.union(table)
+        above = state.select(*[F.col(c).alias(f"a_{c}") for c in state.columns])
+        met = stored(on(active, above, "up", "a_node").select(
+            "node", F.col("a_up").alias("up"), F.col("a_top").alias("top"), (F.col("length") + F.col("a_length")).alias("length"), (F.col("total") + F.col("a_total")).alias("total")
+        ))
+        active = met.where("up is not null")
+        resolved.append(met.where("up is null"))
+    done = resolved[0]
+    for table in resolved[1:]:
+        done = done.union(table)
     answered = first.where("up is not null").select(F.col("up").alias("p")).distinct()
     leaves = on(done, answered, "node", "p", "left_anti")
     rank = F.row_number().over(Window.partitionBy("top").orderBy((F.col("total") / F.col("length")).desc(), "node"))
     path = stored(leaves.withColumn("rank", rank).where(F.col("rank") <= branches).select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("place")))
-    for r in reversed(range(len(levels) - 1)):
-        jump = levels[r].where("up is not null").select(F.col("node").alias("from"), "up")
+    for r in reversed(range(len(levels))):
+        jump = levels[r].select(F.col("node").alias("from"), "up")
         path = stored(path.union(on(path, jump, "node", "from").select("leaf", "up", F.col("place") + (1 << r))))
     return path.select(F.col("leaf.conv_id").alias("conv_id"), F.col("leaf.node").alias("leaf"), F.col("node.node").alias("node"), "place")
 
