@@ -202,3 +202,49 @@ def test_digests_nulls_blanks_and_unvoiced_frames(spark):
     assert [r.problem for r in datasets.artifact_problems(manifest, actual, manifest.select("job_id")).collect()] == ["hash_mismatch"]
     series = spark.createDataFrame([("s", float("nan"), 0.9, 0.1, 0.0), ("s", 100.0, 0.9, 0.1, 1.0)], "segment_id string, f0 double, f0_conf double, energy double, voicing double")
     assert signal.summarize(series).first().mean_f0_hz == 100.0
+
+
+def test_a_refused_merge_changes_nothing(spark):
+    from voxloom.operators import speakers
+
+    people = spark.createDataFrame(
+        [(s, [float(x) for x in c], False, [], []) for s, c in [("a", [1, 0]), ("b", [0, 1]), ("c", [1, 0, 0]), ("d", [1, 1]), ("e", []), ("f", [2, 0])]],
+        "speaker_id string, centroid array<double>, selected boolean, merged_from array<string>, representatives array<string>")
+    assigned = spark.createDataFrame([(f"s_{s}", s, 2.0) for s in "abcdef"], "segment_id string, speaker_id string, duration_sec double")
+    none = spark.createDataFrame([], "segment_id string")
+
+    def run(*pairs):
+        merges = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(pairs)], "source_id string, target_id string, order int")
+        out = speakers.merge_speakers(people, assigned, merges, none)
+        problems = {(r.target_id, r.speaker_id, r.problem) for r in out["problems"].collect()}
+        moved = sorted((r.segment_id, r.speaker_id) for r in out["assignments"].collect())
+        assert len(moved) == 6
+        return problems, {s[2:]: t for s, t in moved if s[2:] != t}, {r.speaker_id: r for r in out["speakers"].collect()}
+
+    problems, moved, left = run(("b", "a"), ("e", "a"), ("a", "a"), ("d", "ghost"), ("zz", "f"))
+    assert problems == {("ghost", "d", "unknown_target"), ("f", "zz", "unknown_source")} and moved == {"b": "a", "e": "a"}
+    assert sorted(left) == ["a", "c", "d", "f"] and left["a"].total_sec == 6.0 and left["a"].merged_from == ["b", "e"]
+    assert [round(x, 6) for x in left["a"].centroid] == [0.707107, 0.707107]
+    problems, moved, left = run(("b", "a"), ("c", "a"))
+    assert {p[2] for p in problems} == {"dimension_mismatch"} and not moved and len(left) == 6
+    problems, moved, _ = run(("b", "a"), ("b", "d"), ("e", "f"))
+    assert problems == {("a", "b", "repeated_source"), ("d", "b", "repeated_source")} and moved == {"e": "f"}
+    problems, moved, _ = run(("a", "b"), ("b", "d"))
+    assert {p[2] for p in problems} == {"chained"} and not moved
+
+
+def test_twelve_significant_digits(spark):
+    from pyspark.sql import functions as F
+    from voxloom.sinks.datasets import significant
+
+    values = [0.25, 5e-05, 1e-4, 0.1 + 0.2, 1 / 3, 7.0, 100.0, 123456.789, 1.5e-9, 0.0001000000000001, 2.50000000000004, 99999999999.0]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", significant(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == {v: f"{v:.12g}" for v in values}
+
+
+def test_noise_and_reverb_of_a_clip_without_samples_on_the_grid(spark):
+    from voxloom.operators import signal
+
+    chunks = spark.createDataFrame([("c", 0, [5], 8000), ("e", 0, [], 8000)], "clip_id string, chunk bigint, samples array<int>, sample_rate int")
+    assert {r.clip_id: r.reverb_score for r in signal.reverb_scores(chunks).collect()} == {"c": 0.0, "e": 0.0}
+    assert [r.clip_id for r in signal.noise_scores(chunks).collect()] == ["c"]

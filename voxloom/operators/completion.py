@@ -38,10 +38,17 @@ class GapSettings:
                 raise ValueError(f"{name} must lie in [{low}, {high}]")
 
 
+def _measured() -> Column:
+    return F.array_compact(F.array(F.when(asr_measured(), F.col("asr_confidence")), F.when(alignment_measured(), F.col("alignment_confidence"))))
+
+
+def _lowest() -> Column:
+    return F.coalesce(F.array_min(_measured()), F.lit(1.0))
+
+
 def triage(segments: DataFrame) -> DataFrame:
     """Observed, weak or rejected by measured confidences only; unmeasured segments are kept."""
-    measured = F.filter(F.array(F.when(asr_measured(), F.col("asr_confidence")), F.when(alignment_measured(), F.col("alignment_confidence"))), lambda x: x.isNotNull())
-    low = F.coalesce(F.array_min(measured), F.lit(1.0))
+    measured, low = _measured(), _lowest()
     rejected = low < REJECT
     return segments.select(
         "segment_id", "speaker_id", F.when(rejected, "rejected").when(low < WEAK, "weak_observed").otherwise("observed").alias("state"),
@@ -52,8 +59,7 @@ def triage(segments: DataFrame) -> DataFrame:
 
 
 def _not_rejected(segments: DataFrame) -> DataFrame:
-    state = triage(segments).select("segment_id", "state")
-    return segments.join(state.where("state <> 'rejected'"), "segment_id", "left_semi")
+    return segments.where(~(_lowest() < REJECT))
 
 
 def missing_core_phones(segments: DataFrame) -> DataFrame:
@@ -195,8 +201,13 @@ def filled_frames(frames: DataFrame, decisions: DataFrame, estimates: DataFrame)
 
 
 def resummarize(filled: DataFrame) -> DataFrame:
-    """Pitch summary after filling. Reliability stays the original estimator's and is not part of it."""
-    return summarize(filled).select("segment_id", "mean_f0_hz", "f0_std_dev_hz", "voiced_ratio", "pitch_range_semitones")
+    """New pitch summaries of the segments in which a gap was filled; all others keep theirs.
+
+    Reliability stays the original estimator's and is not part of it. A filled gap has four voiced
+    frames around it, so there always is a range.
+    """
+    touched = filled.where("filled").select("segment_id").distinct()
+    return summarize(filled.join(touched, "segment_id", "left_semi")).select("segment_id", "mean_f0_hz", "f0_std_dev_hz", "voiced_ratio", "pitch_range_semitones")
 
 
 def _reference_segments(segments: DataFrame) -> DataFrame:
@@ -265,14 +276,15 @@ def _fold_vowel(p: Column) -> Column:
 def estimate_speaker_features(generated: DataFrame, segments: DataFrame) -> DataFrame:
     """Speaker vector of each generated segment from recordings that hold another reliable phone.
 
-    ``generated``: segment_id, speaker_id, speaker_similarity, assisted (phones). There is at most
-    one accepted candidate per speaker, so the join multiplies nothing. Refusals are deferred rows.
+    ``generated``: segment_id, source_id, content_type, speaker_id, speaker_embedding,
+    speaker_similarity, assisted (phones). There is at most one accepted candidate per speaker, so the join multiplies nothing. Refusals are deferred rows.
     """
     targets = F.array_distinct(F.transform(F.filter("assisted", lambda p: ~blank(p)), _fold_vowel))
-    asked = generated.select("segment_id", "speaker_id", "speaker_similarity", targets.alias("_targets"))
+    asked = generated.select("segment_id", "speaker_id", "speaker_similarity", "source_id", "content_type", "speaker_embedding", targets.alias("_targets"))
     sim = F.col("speaker_similarity")
+    made = F.coalesce(F.col("source_id").startswith("generated:") & (F.col("content_type") == "speech"), F.lit(False))
     early = (
-        F.when(blank(F.col("speaker_id")), "speaker_unknown").when(~finite(sim) | (sim < 0.80) | (sim > 1), "similarity").when(F.size("_targets") == 0, "no_target_phones"))
+        F.when(~made, "not_generated_speech").when(blank(F.col("speaker_id")), "speaker_unknown").when(F.size("speaker_embedding") > 0, "vector_present").when(~finite(sim) | (sim < 0.80) | (sim > 1), "similarity").when(F.size("_targets") == 0, "no_target_phones"))
     asked = asked.withColumn("_early", early)
     reliable = F.array_distinct(F.transform(F.filter("phonemes", lambda p: (p["confidence"] >= RELIABLE) & ~blank(p["phoneme"])), lambda p: _fold_vowel(p["phoneme"])))
     real = _reference_segments(segments).where(~F.col("source_id").startswith("generated:") & (F.size("speaker_embedding") > 0)).select("speaker_id", "speaker_embedding", reliable.alias("_phones"))

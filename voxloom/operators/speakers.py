@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.functions.measure import clamp, finite
+from voxloom.functions.measure import clamp, finite, reasons
 from voxloom.functions.vectors import dot, group_vector_sum, norm, unit
 from voxloom.operators.sequences import global_rank
 from voxloom.session import durable, ship_package
@@ -159,34 +159,63 @@ def assignments(assigned: DataFrame, centers: DataFrame) -> DataFrame:
     return with_distance(assigned, centers).select("segment_id", "speaker_id", clamp(F.lit(1.0) - F.col("distance")).alias("confidence"))
 
 
+def merge_problems(speakers: DataFrame, merges: DataFrame) -> DataFrame:
+    """Why merge requests are refused: (target_id, speaker_id, problem), a row per source and reason.
+
+    A request is all sources of one target, and one reason refuses all of it: an unknown speaker,
+    vectors of different dimensions, a source that two requests claim, or a speaker that is both a
+    source and a target.
+    """
+    wanted = merges.where(~F.col("source_id").eqNullSafe(F.col("target_id"))).select("source_id", "target_id").distinct()
+    sizes = speakers.select("speaker_id", F.greatest(F.size("centroid"), F.lit(0)).alias("_dim"))
+    claims = wanted.groupBy("source_id").agg((F.count(F.lit(1)) > 1).alias("_twice"))
+    sources, targets = wanted.select("source_id").distinct(), wanted.select("target_id").distinct()
+    both = sources.join(targets, F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("_both"))
+    joined = (
+        wanted.join(sizes.select(F.col("speaker_id").alias("source_id"), F.col("_dim").alias("_source_dim")), "source_id", "left")
+        .join(sizes.select(F.col("speaker_id").alias("target_id"), F.col("_dim").alias("_target_dim")), "target_id", "left")
+        .join(claims, "source_id", "left")
+        .join(both.withColumnRenamed("_both", "source_id").withColumn("_as_source", F.lit(True)), "source_id", "left")
+        .join(both.withColumnRenamed("_both", "target_id").withColumn("_as_target", F.lit(True)), "target_id", "left")
+    )
+    length = lambda c: F.when(F.col(c) > 0, F.col(c))
+    shapes = joined.groupBy("target_id").agg(
+        (F.greatest(F.max(length("_source_dim")), F.max(length("_target_dim"))) != F.least(F.min(length("_source_dim")), F.min(length("_target_dim")))).alias("_mixed"))
+    return joined.join(shapes, "target_id", "left").select("target_id", F.col("source_id").alias("speaker_id"), F.explode(reasons(
+        (F.col("_source_dim").isNull(), "unknown_source"), (F.col("_target_dim").isNull(), "unknown_target"), (F.coalesce("_mixed", F.lit(False)), "dimension_mismatch"),
+        (F.coalesce("_twice", F.lit(False)), "repeated_source"), (F.col("_as_source").isNotNull() | F.col("_as_target").isNotNull(), "chained"),
+    )).alias("problem")).distinct()
+
+
 def merge_speakers(speakers: DataFrame, assigned: DataFrame, merges: DataFrame, excluded: DataFrame) -> dict[str, DataFrame]:
-    """Fold speakers into targets.
+    """Fold speakers into targets; a refused request (see ``merge_problems``) changes nothing.
 
-    ``speakers``: speaker_id, centroid, total_sec, selected, merged_from, representatives (up to
-    three). ``merges``: source_id, target_id, order. Returns speakers, assignments, log, problems.
+    ``speakers``: speaker_id, centroid, selected, merged_from, representatives (up to three).
+    ``assigned``: segment_id, speaker_id, duration_sec, from which all lengths are taken. ``merges``:
+    source_id, target_id, order. Returns speakers, assignments, log, problems.
     """
-    ids = speakers.select("speaker_id")
-    problems = merges.join(ids, F.col("source_id") == F.col("speaker_id"), "left_anti").select(F.col("source_id").alias("speaker_id"), F.lit("unknown_source").alias("problem")).unionByName(
-        merges.select("target_id").distinct().join(ids, F.col("target_id") == F.col("speaker_id"), "left_anti").select(F.col("target_id").alias("speaker_id"), F.lit("unknown_target").alias("problem")))
-    wanted = merges.where("source_id <> target_id").dropDuplicates(["source_id", "target_id"])
+    problems = merge_problems(speakers, merges)
+    wanted = merges.where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.min("order").alias("order")).join(
+        problems.select("target_id").distinct(), "target_id", "left_anti")
+    lengths = assigned.groupBy("speaker_id").agg(F.sum("duration_sec").alias("total_sec"))
+    columns = ["speaker_id", "centroid", "total_sec", "selected", "merged_from", "representatives"]
+    speakers = speakers.drop("total_sec").join(lengths, "speaker_id", "left").withColumn("total_sec", F.coalesce("total_sec", F.lit(0.0))).select(*columns)
     heads = wanted.select(F.col("target_id").alias("speaker_id"), F.lit("").alias("source_id"), F.col("target_id"), F.lit(-1).alias("order")).distinct()
     parts = wanted.select(F.col("source_id").alias("speaker_id"), "source_id", "target_id", "order").unionByName(heads)
     members = speakers.join(parts, "speaker_id")
     sums = group_vector_sum(members.where(F.size("centroid") > 0), ["target_id"], "centroid", F.col("total_sec"))
-    shapes = members.groupBy("target_id").agg(
-        F.count_distinct(F.when(F.size("centroid") > 0, F.size("centroid"))).alias("_dims"), F.bool_or("selected").alias("selected"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("source_id") != "", F.concat(F.array("speaker_id"), F.col("merged_from"))).otherwise(F.col("merged_from")))))).alias("merged_from"),
-        F.sum("total_sec").alias("total_sec"),
-    )
+    own = F.when(F.col("source_id") != "", F.concat(F.array("speaker_id"), F.col("merged_from"))).otherwise(F.col("merged_from"))
+    facts = members.groupBy("target_id").agg(
+        F.bool_or("selected").alias("selected"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("merged_from"), F.sum("total_sec").alias("total_sec"))
     listed = members.select("target_id", "order", "speaker_id", F.posexplode("representatives").alias("_p", "segment_id")).join(excluded.select("segment_id"), "segment_id", "left_anti")
     first = listed.groupBy("target_id", "segment_id").agg(F.min(F.struct("order", "speaker_id", "_p")).alias("_at"))
     top = first.withColumn("_r", F.row_number().over(Window.partitionBy("target_id").orderBy("_at"))).where("_r <= 3").groupBy("target_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_r", "segment_id"))), lambda x: x["segment_id"]).alias("representatives"))
-    merged = shapes.join(sums, "target_id", "left").join(top, "target_id", "left").select(
-        F.col("target_id").alias("speaker_id"), F.when(F.col("_dims") <= 1, unit(F.col("vector_sum"))).alias("centroid"), "total_sec", "selected", "merged_from",
-        F.coalesce("representatives", F.array().cast("array<string>")).alias("representatives"), F.when(F.col("_dims") > 1, "dimension_mismatch").alias("problem"),
+    merged = facts.join(sums, "target_id", "left").join(top, "target_id", "left").select(
+        F.col("target_id").alias("speaker_id"), F.coalesce(unit(F.col("vector_sum")), F.array().cast("array<double>")).alias("centroid"), "total_sec", "selected", "merged_from",
+        F.coalesce("representatives", F.array().cast("array<string>")).alias("representatives"),
     )
-    kept = speakers.join(parts.select("speaker_id"), "speaker_id", "left_anti").withColumn("problem", F.lit(None).cast("string"))
+    kept = speakers.join(parts.select("speaker_id"), "speaker_id", "left_anti")
     moved = assigned.join(wanted.select(F.col("source_id").alias("speaker_id"), "target_id"), "speaker_id", "left").select("segment_id", F.coalesce("target_id", "speaker_id").alias("speaker_id"))
     log = wanted.groupBy("target_id").agg(F.array_sort(F.collect_set("source_id")).alias("sources"))
     return {"speakers": kept.unionByName(merged), "assignments": moved, "log": log, "problems": problems}

@@ -60,32 +60,38 @@ def _best_rarity(items: str, counts: str) -> Column:
     return F.when(F.size(items) > 0, F.lit(1.0) / F.sqrt(F.greatest(F.lit(1), least)))
 
 
-def utility(decisions: DataFrame) -> DataFrame:
-    """Rarity utility inside each (speaker, target), over eligible segments only.
+def with_utility(decisions: DataFrame) -> DataFrame:
+    """Rarity utility inside each (speaker, target), added in place; only eligible segments have one.
 
     ``decisions`` brings ``phones`` and ``bins`` arrays. Document frequencies are two small maps
     per group (at most one entry per catalog phone or pitch bin), joined back on the group.
     """
-    singing = F.col("target") == "singing"
-    eligible = decisions.where("eligibility = 'eligible'").withColumn(
-        "phones", F.when(~singing | F.col("valid_alignment"), F.col("phones")).otherwise(F.array().cast("array<string>"))
-    ).withColumn("bins", F.when(singing, F.col("bins")).otherwise(F.array().cast("array<int>")))
-    phone_counts = _group_counts(eligible, "phones", "_phone_counts")
-    bin_counts = _group_counts(eligible, "bins", "_bin_counts")
+    singing, eligible = F.col("target") == "singing", F.col("eligibility") == "eligible"
+    rows = decisions.withColumn(
+        "_phones", F.when(eligible & (~singing | F.col("valid_alignment")), F.col("phones")).otherwise(F.array().cast("array<string>"))
+    ).withColumn("_bins", F.when(eligible & singing, F.col("bins")).otherwise(F.array().cast("array<int>")))
     scored = (
-        eligible.join(phone_counts, GROUP, "left").join(bin_counts, GROUP, "left")
-        .withColumn("_p", _best_rarity("phones", "_phone_counts"))
-        .withColumn("_b", _best_rarity("bins", "_bin_counts"))
-        .withColumn("_rare", F.coalesce(F.exists("phones", lambda x: F.element_at(F.col("_phone_counts"), x) == 1), F.lit(False)))
+        rows.join(_group_counts(rows.where(eligible), "_phones", "_phone_counts"), GROUP, "left")
+        .join(_group_counts(rows.where(eligible), "_bins", "_bin_counts"), GROUP, "left")
+        .withColumn("_p", _best_rarity("_phones", "_phone_counts"))
+        .withColumn("_b", _best_rarity("_bins", "_bin_counts"))
+        .withColumn("_rare", F.coalesce(F.exists("_phones", lambda x: F.element_at(F.col("_phone_counts"), x) == 1), F.lit(False)))
     )
     value = F.when(F.col("_p").isNotNull() & F.col("_b").isNotNull(), (F.col("_p") + F.col("_b")) / 2).otherwise(F.coalesce("_p", "_b"))
-    return scored.select(
-        "segment_id", "target", value.alias("utility_value"),
-        F.when(value.isNotNull(), "measured").otherwise("unavailable").alias("utility_status"),
-        F.when(value.isNotNull() & F.col("_rare"), F.array(F.lit("rare_phoneme"))).otherwise(F.array().cast("array<string>")).alias("utility_reasons"),
+    known = F.col("utility_value").isNotNull()
+    return (
+        scored.withColumn("utility_value", value)
+        .withColumn("utility_status", F.when(known, "measured").otherwise("unavailable"))
+        .withColumn("utility_reasons", F.when(known & F.col("_rare"), F.array(F.lit("rare_phoneme"))).otherwise(F.array().cast("array<string>")))
+        .drop("_phones", "_bins", "_phone_counts", "_bin_counts", "_p", "_b", "_rare")
     )
 
 
+def utility(decisions: DataFrame) -> DataFrame:
+    """The utility of the eligible segments alone."""
+    return with_utility(decisions.where("eligibility = 'eligible'")).select("segment_id", "target", "utility_value", "utility_status", "utility_reasons")
+
+
 def quality_components() -> Column:
     """MAP name -> (value, status). Singing pitch reliability is never a measurement."""
     unavailable = F.struct(F.lit(None).cast("double").alias("value"), F.lit("unavailable").alias("status"))
@@ -153,9 +159,7 @@ def group_status(assessed: DataFrame) -> DataFrame:
 def assess(decisions: DataFrame) -> DataFrame:
     """Assessment of every segment × target of every speaker in one plan."""
     rows = (
-        decisions.join(utility(decisions), ["segment_id", "target"], "left")
-        .withColumn("utility_status", F.coalesce("utility_status", F.lit("unavailable")))
-        .withColumn("utility_reasons", F.coalesce("utility_reasons", F.array().cast("array<string>")))
+        with_utility(decisions)
         .withColumn("components", quality_components())
         .withColumn("quality_value", quality_value())
         .withColumn("quality_status", F.when(F.col("quality_value").isNotNull(), "measured").otherwise("unavailable"))

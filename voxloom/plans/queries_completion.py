@@ -105,7 +105,7 @@ def frame_audit(spark, sf_dir):
 @query("cmp_7_resummarized", "frames clip_phones", GAPS + """, ranked AS (SELECT segment_id, f0, row_number() OVER (PARTITION BY segment_id ORDER BY f0) AS r, count(*) OVER (PARTITION BY segment_id) AS n FROM fil WHERE f0 > 0),
  ends AS (SELECT segment_id, max(n) AS n, max(f0) FILTER (r = greatest(1, CAST(floor(n * 1e-1) AS BIGINT))) AS lo, max(f0) FILTER (r = least(n, CAST(floor(n * 9e-1) AS BIGINT) + 1)) AS hi FROM ranked GROUP BY ALL)
 SELECT f.segment_id, round(coalesce(avg(f0) FILTER (f0 > 0), 0), 6) AS mean_f0_hz, round(coalesce(stddev_pop(f0) FILTER (f0 > 0), 0), 6) AS f0_std_dev_hz, round(avg(CASE WHEN voicing >= 5e-1 THEN 1e0 ELSE 0e0 END), 9) AS voiced_ratio,
-  round(CASE WHEN max(e.n) >= 2 AND max(hi) > max(lo) THEN 12 * log2(max(hi) / max(lo)) ELSE 0 END, 6) AS pitch_range_semitones FROM fil f LEFT JOIN ends e USING (segment_id) GROUP BY ALL""")
+  round(CASE WHEN max(e.n) >= 2 AND max(hi) > max(lo) THEN 12 * log2(max(hi) / max(lo)) ELSE 0 END, 6) AS pitch_range_semitones FROM fil f LEFT JOIN ends e USING (segment_id) WHERE f.segment_id IN (SELECT segment_id FROM fil WHERE filled) GROUP BY ALL""")
 def resummarized(spark, sf_dir):
     out = c.resummarize(c.filled_frames(*_decided(spark, sf_dir)))
     return out.select("segment_id", F.round("mean_f0_hz", 6).alias("mean_f0_hz"), F.round("f0_std_dev_hz", 6).alias("f0_std_dev_hz"), F.round("voiced_ratio", 9).alias("voiced_ratio"), F.round("pitch_range_semitones", 6).alias("pitch_range_semitones"))
@@ -176,7 +176,9 @@ def generated_segments(spark, sf_dir):
 def _asked(spark, sf_dir):
     """Every generated candidate that names a rare phone, to exercise the estimate per speaker."""
     cand = _candidates(spark, sf_dir).groupBy("speaker_id").agg(F.min_by("candidate_id", "doc_id").alias("candidate_id"), F.max("speaker_similarity").alias("speaker_similarity"))
-    return cand.select(F.concat(F.lit("generated_"), "candidate_id").alias("segment_id"), "speaker_id",
+    return cand.select(F.concat(F.lit("generated_"), "candidate_id").alias("segment_id"), "speaker_id", F.lit("speech").alias("content_type"),
+                       F.when(F.col("speaker_id") == "spk_4", "src_1").otherwise(F.concat(F.lit("generated:"), "candidate_id")).alias("source_id"),
+                       F.when(F.col("speaker_id") == "spk_5", F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("speaker_embedding"),
                        F.when(F.col("speaker_id") == "spk_2", 0.5).otherwise(F.col("speaker_similarity")).alias("speaker_similarity"),
                        F.when(F.col("speaker_id") == "spk_3", F.array().cast("array<string>")).otherwise(F.array(F.lit("U"), F.lit("kw"))).alias("assisted"))
 
@@ -185,8 +187,8 @@ def _asked(spark, sf_dir):
  oth AS (SELECT DISTINCT segment_id FROM phonemes WHERE confidence >= 65e-2 AND phoneme NOT IN ('u', 'kw')),
  rf AS (SELECT e.* FROM embedded e JOIN oth USING (segment_id) WHERE content_type = 'speech' AND asr_confidence >= 65e-2 AND alignment_confidence >= 65e-2 AND len(speaker_embedding) = 4 AND speaker_id IS NOT NULL AND NOT isnan(speaker_embedding[1])),
  sm AS (SELECT speaker_id, count(*) AS k, [sum(speaker_embedding[1]), sum(speaker_embedding[2]), sum(speaker_embedding[3]), sum(speaker_embedding[4])] AS s FROM rf GROUP BY ALL),
- j AS (SELECT a.*, k, s, CASE WHEN speaker_id = 'spk_2' THEN 'similarity' WHEN speaker_id = 'spk_3' THEN 'no_target_phones' WHEN k IS NULL THEN 'no_reference' END AS reason FROM ask a LEFT JOIN sm USING (speaker_id))
-SELECT segment_id, speaker_id, reason, CASE WHEN reason IS NULL THEN 'applied' ELSE 'deferred' END AS application_status, CASE WHEN reason IS NULL THEN sim END AS confidence, CASE WHEN speaker_id IN ('spk_2', 'spk_3') THEN 0 ELSE coalesce(k, 0) END AS "references",
+ j AS (SELECT a.*, k, s, CASE speaker_id WHEN 'spk_4' THEN 'not_generated_speech' WHEN 'spk_5' THEN 'vector_present' WHEN 'spk_2' THEN 'similarity' WHEN 'spk_3' THEN 'no_target_phones' ELSE CASE WHEN k IS NULL THEN 'no_reference' END END AS reason FROM ask a LEFT JOIN sm USING (speaker_id))
+SELECT segment_id, speaker_id, reason, CASE WHEN reason IS NULL THEN 'applied' ELSE 'deferred' END AS application_status, CASE WHEN reason IS NULL THEN sim END AS confidence, CASE WHEN speaker_id IN ('spk_2', 'spk_3', 'spk_4', 'spk_5') THEN 0 ELSE coalesce(k, 0) END AS "references",
   round(CASE WHEN reason IS NULL THEN s[1] / sqrt(list_inner_product(s, s)) END, 7) AS first_value FROM j""")
 def feature_estimates(spark, sf_dir):
     segs = v.embeddings_of_segments(v.phoned_segments(spark, sf_dir)).where("size(speaker_embedding) <> 3 AND NOT coalesce(isnan(get(speaker_embedding, 0)), false)")

@@ -61,12 +61,12 @@ def _speakers(spark, sf_dir):
 
 
 def _merges(spark, sf_dir):
-    """Odd speakers above one fold into spk_0; the largest even one into spk_2; one request names a stranger."""
+    """Odd speakers fold into spk_0. Refused: a request for a stranger, and two that chain over spk_8."""
     labels = v.speaker_vectors(spark, sf_dir).select("label").distinct()
     return labels.select(
         F.expr("concat('spk_', cast(label as varchar(20)))").alias("source_id"),
-        F.expr("CASE WHEN label % 2 = 1 THEN 'spk_0' WHEN label = 4 THEN 'spk_ghost' ELSE 'spk_2' END").alias("target_id"), F.col("label").cast("int").alias("order"),
-    ).where("source_id <> 'spk_0' AND source_id <> target_id AND target_id <> 'spk_2'")
+        F.expr("CASE WHEN label % 2 = 1 THEN 'spk_0' WHEN label = 4 THEN 'spk_ghost' WHEN label = 6 THEN 'spk_8' ELSE 'spk_2' END").alias("target_id"), F.col("label").cast("int").alias("order"),
+    ).where("source_id NOT IN ('spk_0', 'spk_2')")
 
 
 def _excluded(spark, sf_dir):
@@ -84,10 +84,9 @@ MERGED = CENTER + """, info AS (SELECT speaker_id, sum(duration_sec) AS total_se
 """
 
 
-@query("spk_6_merged_centroid", "speaker_vectors", MERGED + "SELECT 'spk_0' AS speaker_id, CAST(dim - 1 AS INTEGER) AS dim, round(s / (SELECT sqrt(sum(s * s)) FROM ms), 7) AS value FROM ms UNION ALL SELECT speaker_id, CAST(dim - 1 AS INTEGER), round(c, 7) FROM center WHERE speaker_id NOT IN (SELECT speaker_id FROM part) AND speaker_id <> 'spk_4'")
+@query("spk_6_merged_centroid", "speaker_vectors", MERGED + "SELECT 'spk_0' AS speaker_id, CAST(dim - 1 AS INTEGER) AS dim, round(s / (SELECT sqrt(sum(s * s)) FROM ms), 7) AS value FROM ms UNION ALL SELECT speaker_id, CAST(dim - 1 AS INTEGER), round(c, 7) FROM center WHERE speaker_id NOT IN (SELECT speaker_id FROM part)")
 def merged_centroid(spark, sf_dir):
-    kept = _merged(spark, sf_dir)["speakers"].where("speaker_id <> 'spk_ghost'")
-    return kept.select("speaker_id", F.posexplode("centroid").alias("dim", "x")).select("speaker_id", "dim", F.round("x", 7).alias("value"))
+    return _merged(spark, sf_dir)["speakers"].select("speaker_id", F.posexplode("centroid").alias("dim", "x")).select("speaker_id", "dim", F.round("x", 7).alias("value"))
 
 
 @query("spk_6_merged_speaker", "speaker_vectors", MERGED + """, reps AS (SELECT p.ord, r.rank, r.segment_id FROM (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY distance, segment_id) AS rank FROM dist) r JOIN part p USING (speaker_id)
@@ -101,11 +100,17 @@ def merged_speaker(spark, sf_dir):
     return out.select("speaker_id", "total_sec", "selected", F.array_join("merged_from", ",").alias("merged_from"), F.array_join("representatives", ",").alias("representatives"))
 
 
-@query("spk_6_merged_assignments", "speaker_vectors", "SELECT segment_id, CASE WHEN label % 2 = 1 THEN 'spk_0' WHEN label = 4 THEN 'spk_ghost' ELSE speaker_id END AS speaker_id FROM speaker_vectors")
+@query("spk_6_merged_assignments", "speaker_vectors", "SELECT segment_id, CASE WHEN label % 2 = 1 THEN 'spk_0' ELSE speaker_id END AS speaker_id FROM speaker_vectors")
 def merged_assignments(spark, sf_dir):
     return _merged(spark, sf_dir)["assignments"]
 
 
+@query("spk_6_merge_problems", "speaker_vectors", """SELECT DISTINCT CASE label WHEN 4 THEN 'spk_ghost' WHEN 6 THEN 'spk_8' ELSE 'spk_2' END AS target_id, speaker_id, CASE label WHEN 4 THEN 'unknown_target' ELSE 'chained' END AS problem
+FROM speaker_vectors WHERE label IN (4, 6, 8)""")
+def merge_problems(spark, sf_dir):
+    return _merged(spark, sf_dir)["problems"]
+
+
 @query("spk_7_usable_durations", "speaker_vectors", "SELECT speaker_id, sum(duration_sec) AS total_sec, coalesce(sum(duration_sec) FILTER (vec_id % 3 <> 0), 0) AS usable_sec FROM speaker_vectors GROUP BY ALL")
 def usable(spark, sf_dir):
     vectors = v.speaker_vectors(spark, sf_dir)

@@ -38,10 +38,11 @@ def singing_items(segments: DataFrame) -> DataFrame:
 
 
 def significant(value: Column) -> Column:
-    """Text of a positive number with up to twelve significant digits, without trailing zeros."""
-    factor = F.pow(F.lit(10.0), F.lit(11) - F.floor(F.log10(value)))
-    plain = (F.round(value * factor) / factor).cast("decimal(38,18)").cast("string")
-    return F.when(value > 0, F.regexp_replace(plain, r"\.?0+$", "")).otherwise("0")
+    """Text of a positive number with up to twelve significant digits, without trailing zeros; below
+    a ten-thousandth with an exponent."""
+    plain = F.regexp_replace(F.format_string("%.12g", value), r"\.0*$|(?<=\.[0-9]{1,15})0+$", "")
+    tiny = F.regexp_replace(F.format_string("%.11e", value), r"\.?0+e", "e")
+    return F.when(value >= 1e-4, plain).when(value > 0, tiny).otherwise("0")
 
 
 def clip_name(segment_id: Column) -> Column:
