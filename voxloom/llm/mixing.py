@@ -17,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.llm.common import fresh, stored, unit, words_of
+from voxloom.operators.sequences import running_sum
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
+#: Shards whose counts one task adds up; the sums of such spans are one row per source and span.
+SPAN_SHARDS = 4096
 #: Slots that one task fills.
 TASK_SLOTS = 1 << 17
 ROUNDS = 16
@@ -103,8 +106,8 @@ def block_uses(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     drawn = drawn.withColumn("x", (F.col("i") + unit(F.lit(seed), "shard", "i")) / width * shard_slots).withColumn("cell", F.floor("x"))
     hits = drawn.join(stored(cells), "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
     counts = stored(hits.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")))
-    earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    spans = counts.withColumn("span", F.floor(F.col("shard") / SPAN_SHARDS))
+    numbered = running_sum(spans, ["rank"], "span", ["shard"], F.col("n"), "first").withColumn("first", F.col("first") - F.col("n")).drop("span")
     within = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     numbered = numbered.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
     numbered = numbered.repartition(-(-slots // TASK_SLOTS), "shard")  # a row of counts becomes many slots
