@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.vocabulary import FORCED_ALIGNMENT, PLACEHOLDER_ALIGNMENT
 
@@ -34,6 +34,11 @@ def blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
 
 
+def log_place(log: DataFrame) -> Column:
+    """Place of an entry in its log: its time and, among equal times, ``seq`` where the log has one."""
+    return F.struct("changed_at", *[c for c in ("seq",) if c in log.columns])
+
+
 def reasons(*pairs: tuple[Column, str]) -> Column:
     """Ordered array of the codes whose condition holds."""
     return F.array_compact(F.array(*[F.when(condition, F.lit(code)) for condition, code in pairs]))

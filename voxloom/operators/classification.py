@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxloom.functions.measure import clamp, high_rank, low_rank
+from voxloom.functions.measure import clamp, high_rank, log_place, low_rank
 from voxloom.operators.sequences import carry, order_picks, position_in, with_neighbours
 
 VOICED_RMS = 300.0
@@ -45,8 +45,10 @@ def classify(frames: DataFrame) -> DataFrame:
 
 
 def reapply_overrides(classes: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Put each segment's latest override on top of new classes; overrides of vanished segments fall away."""
-    latest = overrides.groupBy("segment_id").agg(F.max_by("new_type", "changed_at").alias("_new"))
+    """Put each segment's latest override on top of new classes; overrides of vanished segments fall away.
+
+    Of overrides with the same time the later in the log (``seq``) wins."""
+    latest = overrides.groupBy("segment_id").agg(F.max_by("new_type", log_place(overrides)).alias("_new"))
     return classes.join(latest, "segment_id", "left").select(
         "segment_id", F.coalesce("_new", "content_type").alias("content_type"), "confidence",
         (F.coalesce("user_overridden", F.lit(False)) | F.col("_new").isNotNull()).alias("user_overridden"),
@@ -54,13 +56,14 @@ def reapply_overrides(classes: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def record_overrides(classes: DataFrame, requests: DataFrame) -> DataFrame:
-    """Turn requests (segment_id, new_type, changed_at) into log rows and refusals.
+    """Turn requests (segment_id, new_type, changed_at, and ``seq`` among equal times) into log rows and refusals.
 
     Each request sees the type left by the one before it. Asking again for a type that is already an
     override changes nothing and is not logged; an unknown segment is an error row.
     """
+    order = [c for c in ("changed_at", "seq") if c in requests.columns]
     known = requests.join(classes.select("segment_id", F.col("content_type").alias("_type"), "user_overridden"), "segment_id", "left")
-    placed = position_in(known.withColumn("_slot", F.floor(F.col("changed_at") / 1024)), ["segment_id"], "_slot", ["changed_at"], "_pos")
+    placed = position_in(known.withColumn("_slot", F.floor(F.col("changed_at") / 1024)), ["segment_id"], "_slot", order, "_pos")
     seen = with_neighbours(placed, ["segment_id"], "_pos", {"_previous": (F.col("new_type"), -1)})
     before = F.coalesce("_previous", "_type")
     overridden = F.col("_previous").isNotNull() | F.coalesce("user_overridden", F.lit(False))

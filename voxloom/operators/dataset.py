@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.fingerprints import row_digest, set_fingerprint
-from voxloom.functions.measure import blank, finite, legacy_measurement
+from voxloom.functions.measure import blank, finite, legacy_measurement, log_place
 from voxloom.functions.vocabulary import INVALIDATED_ALIGNMENT, PHONEME_METHOD_PREFIX, PROVENANCE_METHODS
 
 
@@ -43,7 +43,8 @@ def refresh_phoneme_methods(provenance: DataFrame, segments: DataFrame) -> DataF
 
 
 def latest_transcripts(edits: DataFrame) -> DataFrame:
-    return edits.where("field = 'transcript'").groupBy("segment_id").agg(F.max_by("value", "changed_at").alias("new_transcript"))
+    """The last transcript edit of each segment by time; of equal times the later in the log (``seq``)."""
+    return edits.where("field = 'transcript'").groupBy("segment_id").agg(F.max_by("value", log_place(edits)).alias("new_transcript"))
 
 
 def _invalidate(rows: DataFrame, when: Column) -> DataFrame:
@@ -66,7 +67,7 @@ def apply_transcript_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
 
 def set_transcripts(segments: DataFrame, provenance: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
     """Interactive edit: always invalidates the alignment, marks the provenance, and appends to the log."""
-    latest = edits.groupBy("segment_id").agg(F.max_by("value", "changed_at").alias("_new"))
+    latest = edits.groupBy("segment_id").agg(F.max_by("value", log_place(edits)).alias("_new"))
     marked = segments.join(latest, "segment_id", "left").withColumn("_hit", F.col("_new").isNotNull())
     changed = _invalidate(marked, F.col("_hit")).withColumn("transcript", F.coalesce("_new", "transcript")).drop("_new", "_hit")
     hit = edits.join(segments.select("segment_id"), "segment_id", "left_semi")
@@ -152,7 +153,7 @@ def resolve_jobs(jobs: DataFrame, members: DataFrame, view: DataFrame, snapshot_
 def emotion_problem(name: str = "name", source: str = "source", confidence: str = "confidence") -> Column:
     n, s, c = F.col(name), F.col(source), F.col(confidence)
     return (
-        F.when(blank(n) | (n != F.trim(n)), "blank_or_padded").when(F.length(n) > 32, "too_long").when(n.rlike(r"[\x00-\x1f\x7f]"), "control_character")
+        F.when(blank(n) | n.rlike(r"(?U)^\s|\s\z"), "blank_or_padded").when(F.length(n) > 32, "too_long").when(n.rlike(r"\p{Cc}"), "control_character")
         .when(~F.coalesce(s.isin("user", "inferred"), F.lit(False)), "unknown_source").when(c.isNotNull() & (~finite(c) | (c < 0) | (c > 1)), "confidence_range")
         .when((s == "user") & c.isNotNull(), "user_label_with_confidence")
     )

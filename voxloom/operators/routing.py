@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import blank, finite, in_unit, reasons
+from voxloom.functions.measure import blank, finite, in_unit, log_place, reasons
 from voxloom.functions.vocabulary import ROLES, TARGETS
 
 
@@ -47,7 +47,7 @@ def route(segments: DataFrame, classes: DataFrame, overrides: DataFrame) -> Data
     ``segments`` brings segment_id, speaker_id and user_excluded. The last class and the first
     override per segment count. All joins share the segment key, so each side shuffles once.
     """
-    first_override = overrides.groupBy("segment_id").agg(F.min_by("original_type", "changed_at").alias("_original"), F.lit(True).alias("_changed"))
+    first_override = overrides.groupBy("segment_id").agg(F.min_by("original_type", log_place(overrides)).alias("_original"), F.lit(True).alias("_changed"))
     joined = (
         segments.withColumn("user_excluded", F.coalesce("user_excluded", F.lit(False)))
         .join(last_classes(classes), "segment_id", "left")

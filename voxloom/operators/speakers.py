@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.functions.measure import clamp, finite, reasons
+from voxloom.functions.measure import clamp, finite, log_place, reasons
 from voxloom.functions.vectors import dot, group_vector_sum, norm, unit
 from voxloom.operators.sequences import global_rank
 from voxloom.session import durable, ship_package
@@ -240,5 +240,5 @@ def duration_problems(assigned: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def select_speakers(speakers: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply the latest selection edit (speaker_id, selected, changed_at) per speaker."""
-    latest = edits.groupBy("speaker_id").agg(F.max_by("selected", "changed_at").alias("_s"))
+    latest = edits.groupBy("speaker_id").agg(F.max_by("selected", log_place(edits)).alias("_s"))
     return speakers.join(latest, "speaker_id", "left").withColumn("selected", F.coalesce("_s", "selected")).drop("_s")

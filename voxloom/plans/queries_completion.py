@@ -144,12 +144,12 @@ def candidate_gate(spark, sf_dir):
 
 def _log(spark, sf_dir):
     cand = v.benchmark_candidates(spark, sf_dir)
-    took = cand.select("speaker_id", "candidate_id", F.lit(True).alias("accepted"), F.expr("doc_id * 10 % 997").alias("seq"))
-    gave = cand.where("doc_id % 2 = 1").select("speaker_id", "candidate_id", F.lit(False).alias("accepted"), F.expr("doc_id * 10 % 997 + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE -1 END").alias("seq"))
+    took = cand.select("speaker_id", "candidate_id", F.lit(True).alias("accepted"), F.expr("doc_id * 10 % 997 * 10000000000 + doc_id * 10").alias("seq"))
+    gave = cand.where("doc_id % 2 = 1").select("speaker_id", "candidate_id", F.lit(False).alias("accepted"), F.expr("doc_id * 10 % 997 * 10000000000 + doc_id * 10 + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE -1 END").alias("seq"))
     return took.unionByName(gave)
 
 
-LOG = """, lg AS (SELECT speaker_id, candidate_id, true AS accepted, doc_id * 10 % 997 AS seq FROM candidates UNION ALL SELECT speaker_id, candidate_id, false, doc_id * 10 % 997 + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE -1 END FROM candidates WHERE doc_id % 2 = 1),
+LOG = """, lg AS (SELECT speaker_id, candidate_id, true AS accepted, doc_id * 10 % 997 * 10000000000 + doc_id * 10 AS seq FROM candidates UNION ALL SELECT speaker_id, candidate_id, false, doc_id * 10 % 997 * 10000000000 + doc_id * 10 + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE -1 END FROM candidates WHERE doc_id % 2 = 1),
  ch AS (SELECT speaker_id, arg_max(candidate_id, seq) AS candidate_id, max(seq) AS taken FROM lg WHERE accepted GROUP BY ALL),
  acc AS (SELECT ch.speaker_id, ch.candidate_id FROM ch LEFT JOIN (SELECT speaker_id, candidate_id, max(seq) AS outs FROM lg WHERE NOT accepted GROUP BY ALL) w USING (speaker_id, candidate_id) WHERE coalesce(outs < taken, true))
 """

@@ -64,7 +64,7 @@ def refreshed(spark, sf_dir):
     return d.refresh_phoneme_methods(_sequenced(spark, sf_dir), now).select("segment_id", "feature", "seq", "method")
 
 
-EDITED = """, lt AS (SELECT segment_id, arg_max(value, changed_at) AS nt FROM edits WHERE field = 'transcript' GROUP BY ALL),
+EDITED = """, lt AS (SELECT segment_id, arg_max(value, seq) AS nt FROM edits WHERE field = 'transcript' GROUP BY ALL),
  np AS (SELECT segment_id, count(*) AS n FROM phonemes GROUP BY ALL), ed AS (SELECT s.*, nt, coalesce(nt <> transcript, false) AS ch, coalesce(n, 0) AS n FROM segments s LEFT JOIN lt USING (segment_id) LEFT JOIN np USING (segment_id))
 """
 
@@ -77,11 +77,11 @@ def transcript_edits(spark, sf_dir):
 
 
 def _set(spark, sf_dir):
-    asked = v.edits(spark, sf_dir).where("field <> 'note'").select("segment_id", "value", "changed_at")
+    asked = v.edits(spark, sf_dir).where("field <> 'note'").select("segment_id", "value", "changed_at", "seq")
     return d.set_transcripts(v.phoned_segments(spark, sf_dir), _sequenced(spark, sf_dir), asked.unionByName(asked.where("changed_at = 0").withColumn("segment_id", F.concat("segment_id", F.lit("_x")))))
 
 
-SET = """, ask AS (SELECT segment_id, value, changed_at FROM edits WHERE field <> 'note'), lt AS (SELECT segment_id, arg_max(value, changed_at) AS nt FROM ask GROUP BY ALL)
+SET = """, ask AS (SELECT segment_id, value, changed_at, seq FROM edits WHERE field <> 'note'), lt AS (SELECT segment_id, arg_max(value, seq) AS nt FROM ask GROUP BY ALL)
 """
 
 

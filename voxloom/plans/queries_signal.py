@@ -220,13 +220,13 @@ def _classes(spark, sf_dir):
     return v.segments(spark, sf_dir).select("segment_id", "content_type", "asr_confidence", F.expr("doc_id % 29 = 0").alias("user_overridden")).withColumnRenamed("asr_confidence", "confidence")
 
 
-@query("cls_2_reapply_overrides", "segments content_overrides", """, l AS (SELECT segment_id, arg_max(new_type, changed_at) AS nt FROM content_overrides GROUP BY ALL)
+@query("cls_2_reapply_overrides", "segments content_overrides", """, l AS (SELECT segment_id, arg_max(new_type, seq) AS nt FROM content_overrides GROUP BY ALL)
 SELECT s.segment_id, coalesce(nt, content_type) AS content_type, asr_confidence AS confidence, doc_id % 29 = 0 OR nt IS NOT NULL AS user_overridden FROM segments s LEFT JOIN l USING (segment_id)""")
 def reapply(spark, sf_dir):
     return cls.reapply_overrides(_classes(spark, sf_dir), v.content_overrides(spark, sf_dir))
 
 
-@query("cls_3_record_overrides", "segments content_overrides", """, r AS (SELECT o.segment_id, changed_at, new_type, content_type, coalesce(doc_id % 29 = 0, false) AS ov, lag(new_type) OVER (PARTITION BY o.segment_id ORDER BY changed_at) AS prev FROM content_overrides o LEFT JOIN segments s USING (segment_id))
+@query("cls_3_record_overrides", "segments content_overrides", """, r AS (SELECT o.segment_id, changed_at, new_type, content_type, coalesce(doc_id % 29 = 0, false) AS ov, lag(new_type) OVER (PARTITION BY o.segment_id ORDER BY seq) AS prev FROM content_overrides o LEFT JOIN segments s USING (segment_id))
 SELECT segment_id, changed_at, coalesce(prev, content_type) AS original_type, new_type, CASE WHEN content_type IS NULL THEN 'unknown_segment' WHEN (prev IS NOT NULL OR ov) AND coalesce(prev, content_type) = new_type THEN 'unchanged' ELSE 'logged' END AS result FROM r""")
 def record_overrides(spark, sf_dir):
     return cls.record_overrides(_classes(spark, sf_dir), v.content_overrides(spark, sf_dir))

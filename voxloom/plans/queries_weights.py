@@ -41,7 +41,7 @@ def _routed(spark, sf_dir):
 
 ROUTED = """, last_class AS (SELECT segment_id, arg_max(content_type, position) AS content_type, arg_max(confidence, position) AS confidence,
     arg_max(user_overridden, position) AS user_overridden FROM content_classes GROUP BY segment_id),
-  first_override AS (SELECT segment_id, arg_min(original_type, changed_at) AS original_type FROM content_overrides GROUP BY segment_id),
+  first_override AS (SELECT segment_id, arg_min(original_type, seq) AS original_type FROM content_overrides GROUP BY segment_id),
   routed0 AS (SELECT s.segment_id, s.speaker_id, s.user_excluded, c.segment_id IS NOT NULL AS has_class, c.content_type, c.confidence,
     coalesce(c.user_overridden, false) OR o.segment_id IS NOT NULL AS manual, o.original_type
     FROM segments s LEFT JOIN last_class c ON s.segment_id = c.segment_id LEFT JOIN first_override o ON s.segment_id = o.segment_id),

@@ -108,20 +108,20 @@ def content_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edit log of content types, from conversation turns."""
+    """The edit log of content types, from conversation turns; two turns share one time."""
     return table(spark, sf_dir, "conversations").where("role <> 'system'").select(
         F.expr("concat('seg_', lpad(cast(conv_id * 3 as varchar(20)), 8, '0'))").alias("segment_id"),
         F.expr("CASE turn % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'ambiguous' ELSE 'singing' END").alias("original_type"),
         F.expr("CASE (turn + conv_id) % 3 WHEN 0 THEN 'singing' WHEN 1 THEN 'speech' ELSE 'ambiguous' END").alias("new_type"),
-        F.col("turn").alias("changed_at"),
+        F.expr("turn div 2").alias("changed_at"), F.col("turn").alias("seq"),
     )
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The edit log of features, from conversation turns."""
+    """The edit log of features, from conversation turns; two turns share one time."""
     return table(spark, sf_dir, "conversations").select(
         F.expr("concat('seg_', lpad(cast(conv_id as varchar(20)), 8, '0'))").alias("segment_id"),
-        F.col("turn").alias("changed_at"),
+        F.expr("turn div 2").alias("changed_at"), F.col("turn").alias("seq"),
         F.expr("CASE role WHEN 'user' THEN 'transcript' WHEN 'system' THEN 'Transcript' ELSE 'note' END").alias("field"),
         F.col("text").alias("value"),
     )
@@ -248,8 +248,8 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "content_overrides": ((), """SELECT concat('seg_', lpad(cast(conv_id * 3 as varchar(20)), 8, '0')) AS segment_id,
         CASE turn % 3 WHEN 0 THEN 'speech' WHEN 1 THEN 'ambiguous' ELSE 'singing' END AS original_type,
         CASE (turn + conv_id) % 3 WHEN 0 THEN 'singing' WHEN 1 THEN 'speech' ELSE 'ambiguous' END AS new_type,
-        turn AS changed_at FROM conversations WHERE role <> 'system'"""),
-    "edits": ((), """SELECT concat('seg_', lpad(cast(conv_id as varchar(20)), 8, '0')) AS segment_id, turn AS changed_at,
+        turn // 2 AS changed_at, turn AS seq FROM conversations WHERE role <> 'system'"""),
+    "edits": ((), """SELECT concat('seg_', lpad(cast(conv_id as varchar(20)), 8, '0')) AS segment_id, turn // 2 AS changed_at, turn AS seq,
         CASE role WHEN 'user' THEN 'transcript' WHEN 'system' THEN 'Transcript' ELSE 'note' END AS field, text AS value FROM conversations"""),
     "frames": ((), """SELECT segment_id, idx, event_id, event_type, value, idx * 1e-2 AS time_sec,
         CASE WHEN event_type = 'error' THEN 0e0 ELSE 2e2 + event_id % 7 END AS f0,
