@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.fingerprints import row_digest, set_fingerprint
+from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
 from voxloom.functions.measure import blank, finite, legacy_measurement, log_place
 from voxloom.functions.vocabulary import INVALIDATED_ALIGNMENT, PHONEME_METHOD_PREFIX, PROVENANCE_METHODS
 
@@ -116,12 +116,14 @@ def snapshot(
     return out, problems
 
 
-def snapshot_fingerprint(segments: DataFrame, corrections: DataFrame, settings: str) -> DataFrame:
-    """One fingerprint over all segments, all corrections, the settings and the versions."""
-    a = set_fingerprint(segments, [], row_digest(*[F.col(c) for c in sorted(segments.columns)]), "segment_print")
-    b = set_fingerprint(corrections, [], row_digest(*[F.col(c) for c in sorted(corrections.columns)]), "correction_print")
+def snapshot_fingerprint(segments: DataFrame, corrections: DataFrame, settings: dict[str, str | None]) -> DataFrame:
+    """One fingerprint over every column of all segments and all corrections, and the named settings:
+    versions of schema, stage and correction, whether correction is on, and how pitch is filled."""
+    a = set_fingerprint(segments, [], row_digest(*plain_columns(segments)), "segment_print")
+    b = set_fingerprint(corrections, [], row_digest(*plain_columns(corrections)), "correction_print")
+    named = [F.lit(x) for pair in sorted(settings.items()) for x in pair]
     return a.select("segment_print").join(b.select("correction_print"), F.lit(True)).select(
-        F.sha2(F.concat_ws("|", F.lit("training-snapshot-3"), F.lit(settings), "segment_print", F.coalesce("correction_print", F.lit("none"))), 256).alias("fingerprint"))
+        row_digest(F.lit("training-snapshot"), *named, F.col("segment_print"), F.col("correction_print")).alias("fingerprint"))
 
 
 def job_fingerprints(members: DataFrame, snapshot_print: DataFrame) -> DataFrame:
@@ -129,7 +131,7 @@ def job_fingerprints(members: DataFrame, snapshot_print: DataFrame) -> DataFrame
     sets = set_fingerprint(members, ["job_id", "speaker_id", "target"], row_digest(F.col("segment_id")), "_set")
     return sets.join(F.broadcast(snapshot_print.limit(1)), F.lit(True)).select(
         "job_id", "speaker_id", "target", F.col("row_count").alias("members"),
-        F.sha2(F.concat_ws("|", F.lit("training-job-input-2"), "fingerprint", "speaker_id", "target", "_set"), 256).alias("job_fingerprint"))
+        row_digest(F.lit("training-job"), *map(F.col, ("fingerprint", "speaker_id", "target", "_set"))).alias("job_fingerprint"))
 
 
 def resolve_jobs(jobs: DataFrame, members: DataFrame, view: DataFrame, snapshot_print: DataFrame) -> DataFrame:

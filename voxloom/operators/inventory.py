@@ -86,11 +86,16 @@ def _status(condition: Column, measured: Column) -> Column:
     return F.when((total == 0) | (good == 0), "unavailable").when(total == good, "measured").otherwise("partially_measured")
 
 
-def speaker_inventory(segments: DataFrame) -> DataFrame:
+#: Counts up whenever the same material would give other figures.
+CALCULATION_VERSION = "1"
+
+
+def speaker_inventory(segments: DataFrame, dataset_fingerprint: str, override_revision: str | None = None) -> DataFrame:
     """Material of every speaker in one aggregate.
 
     ``segments`` brings routing roles, eligibility columns and the ``phones`` and ``bins`` arrays.
-    Distinct counts are exact; Spark spreads them by (speaker, value), so a large speaker is not
+    The revision also covers the version of this calculation, the fingerprint of the dataset and the
+    revision of manual overrides. Distinct counts are exact; Spark spreads them by (speaker, value), so a large speaker is not
     one task. Phone and bin coverage aggregate distinct (speaker, item) pairs map-side first.
     """
     own = segments.where(~blank(F.col("speaker_id")))
@@ -131,12 +136,14 @@ def speaker_inventory(segments: DataFrame) -> DataFrame:
     def ms(name: str) -> Column:
         return F.round(F.col(name) * 1000).cast("long")
 
-    canonical = F.concat_ws(
-        "|", "speaker_id", ms("speech_raw_seconds"), ms("speech_eligible_seconds"), "speech_recordings", "speech_utterances", "transcript_usable", "phoneme_coverage",
+    columns = (
+        "speaker_id", ms("speech_raw_seconds"), ms("speech_eligible_seconds"), "speech_recordings", "speech_utterances", "transcript_usable", "phoneme_coverage",
         ms("singing_raw_seconds"), ms("singing_eligible_seconds"), "singing_recordings", "singing_phrases", "pitch_bins", ms("identity_seconds"), "identity_sources",
         "status_duration", "status_transcription", "status_singing_f0", "status_speaker_identity",
     )
-    return joined.withColumn("derived_tags", tags).withColumn("inventory_revision", F.sha2(canonical, 256)).drop("_speech", "_singing", "_identity")
+    context = (F.lit(CALCULATION_VERSION), F.lit(dataset_fingerprint), F.lit(override_revision))
+    revision = row_digest(*context, *[F.col(c) if isinstance(c, str) else c for c in columns])
+    return joined.withColumn("derived_tags", tags).withColumn("inventory_revision", revision).drop("_speech", "_singing", "_identity")
 
 
 def timbre_references(segments: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from voxloom.functions.fingerprints import row_digest, set_fingerprint
+from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
 from voxloom.functions.measure import blank, reasons
 
 TALK_BIT, SINGING_BIT = 1, 2
@@ -81,28 +81,45 @@ def contract_problems(jobs: DataFrame) -> DataFrame:
 
 
 def contract_fingerprint(jobs: DataFrame) -> DataFrame:
-    """Fingerprint of what was asked for, per job."""
-    text = F.concat_ws(
-        "\n", F.lit("training-job-contract-v1"), F.concat(F.lit("target="), "target"), F.concat(F.lit("preset="), F.coalesce("texture", F.lit(""))),
-        F.concat(F.lit("requested="), "requested_mode"), F.concat(F.lit("resolved="), F.coalesce("resolved_mode", F.lit("unresolved"))),
-        F.concat(F.lit("init="), F.coalesce("initialization", F.lit("none"))),
-        F.concat(F.lit("components="), F.array_join(F.array_sort(F.transform(
-            F.coalesce("components", F.array().cast("array<struct<name:string,sha256:string,path:string>>")),
-            lambda c: F.concat_ws("|", c["name"], F.lower(c["sha256"]), c["path"]))), ",")),
+    """Fingerprint of what was asked for, per job that has a contract: target, texture with its version,
+    description and reference ids, both modes, seed, and initialization with its components.
+
+    The order of references and components, and the case of their hashes, do not count.
+    """
+    components = F.transform("components", lambda c: F.array(c["name"], F.lower(c["sha256"]), c["path"]))
+    digest = row_digest(
+        F.lit("training-job-contract"), *map(F.col, ("target", "texture", "preset_version", "description")), F.to_json(F.array_sort("reference_ids")),
+        *map(F.col, ("requested_mode", "resolved_mode", "seed", "initialization")), F.to_json(F.array_sort(components)),
     )
-    return jobs.where("requested_mode IS NOT NULL AND texture IS NOT NULL").select("job_id", F.sha2(text, 256).alias("contract_fingerprint"))
+    return jobs.where("requested_mode IS NOT NULL AND texture IS NOT NULL").select("job_id", digest.alias("contract_fingerprint"))
 
 
-def input_fingerprint(assessed: DataFrame, keys: list[str]) -> DataFrame:
-    """Fingerprint of the assessment a group trains on; statuses and numbers both count.
+#: What a group's fingerprint takes from its job, and which of these may not be blank.
+REQUIRED_CONTEXT = ("dataset_fingerprint", "contract_fingerprint", "backend", "backend_revision")
+CONTEXT = (*REQUIRED_CONTEXT, "trainer_config_sha256", "policy_version", "speaker_id", "target", "source_fingerprint", "override_revision")
 
-    Numbers enter as billionths, so that the last bits of a sum do not decide.
-    """
-    def number(name: str):
-        return F.round(F.col(name) * 1e9).cast("long")
 
+def input_fingerprint(assessed: DataFrame, keys: list[str], contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints, problems) of the assessments that groups train on, with the job around them.
+
+    ``contexts`` has one row per group: the keys and ``CONTEXT``. Role, eligibility, reasons, every
+    quality component, statuses and numbers of each segment count. A group with a blank required field,
+    without a context, or with a segment twice gets a problem row and no fingerprint.
+    """
+    role = F.col("role") if "role" in assessed.columns else F.lit(None).cast("string")
     digest = row_digest(
-        F.col("segment_id"), F.col("eligibility"), F.array_join(F.array_sort("reason_codes"), ","), F.col("quality_status"), number("quality_value"),
-        F.col("utility_status"), number("utility_value"), number("raw_weight"), number("training_weight"),
+        F.col("segment_id"), role, F.col("eligibility"), F.to_json(F.array_sort("reason_codes")), F.col("quality_status"),
+        *plain_columns(assessed, "quality_value", "components"), F.col("utility_status"), *plain_columns(assessed, "utility_value", "raw_weight", "training_weight"),
+    )
+    sets = set_fingerprint(assessed, keys, digest, "_set")
+    repeated = assessed.groupBy(*keys, "segment_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys).distinct().withColumn("_twice", F.lit(True))
+    joined = sets.join(contexts.select(*keys, F.struct(*CONTEXT).alias("_context")), keys, "left").join(repeated, keys, "left")
+    found = reasons(
+        (F.col("_context").isNull(), "context_missing"),
+        *[(F.col("_context").isNotNull() & blank(F.col("_context")[c]), f"{c}_blank") for c in REQUIRED_CONTEXT],
+        (F.col("_twice").isNotNull(), "segment_repeated"),
     )
-    return set_fingerprint(assessed, keys, digest, "input_fingerprint")
+    judged = joined.withColumn("_problems", found)
+    whole = row_digest(F.lit("training-input"), *[F.col("_context")[c] for c in CONTEXT], F.col("_set"))
+    prints = judged.where(F.size("_problems") == 0).select(*keys, "row_count", whole.alias("input_fingerprint"))
+    return prints, judged.select(*keys, F.explode("_problems").alias("problem"))

@@ -7,10 +7,9 @@ import tempfile
 from pyspark.sql import functions as F
 
 from voxloom.functions import stages
-from voxloom.functions.fingerprints import row_digest
 from voxloom.operators import dataset as d, speakers
 from voxloom.plans import views as v
-from voxloom.plans.queries_jobs import set_print_sql
+from voxloom.plans.queries_jobs import billionths, digest_sql, json_sql, set_print_sql
 from voxloom.plans.registry import query
 from voxloom.sinks import versioned
 
@@ -138,21 +137,33 @@ def snapshot_problems(spark, sf_dir):
     return _snapshot(spark, sf_dir)[1]
 
 
+SETTINGS = {"schema": "1", "stage": "v9", "correction": "v1", "enabled": "true", "pitch": None}
+
+
 def _print(spark, sf_dir):
-    segs = v.segments(spark, sf_dir).select("segment_id", "speaker_id", "content_type", "cache_key")
-    fixes = v.edits(spark, sf_dir).where("field = 'note'").select("segment_id", F.sha2("value", 256).alias("corrected_value"))
-    return d.snapshot_fingerprint(segs, fixes, "enabled")
+    """Every column of the segments, phones included, and every edit."""
+    return d.snapshot_fingerprint(v.phoned_segments(spark, sf_dir).drop("doc_id"), v.edits(spark, sf_dir), SETTINGS)
 
 
-def _nv(c):
-    return f"CASE WHEN {c} IS NULL THEN 'n' ELSE concat('v', length(CAST({c} AS VARCHAR)), ':', {c}) END"
+def _one(sql: str) -> str:
+    """A set fingerprint over the whole table."""
+    return sql.replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "")
 
 
-PRINT = ", sp AS (" + set_print_sql("segments", "1", f"sha256(concat_ws('|', {', '.join(_nv(c) for c in ('cache_key', 'content_type', 'segment_id', 'speaker_id'))}))", "f").replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "") + "), cp AS (" + set_print_sql(
-    "(SELECT segment_id, sha256(value) AS cv FROM edits WHERE field = 'note')", "1", "sha256(concat_ws('|', concat('v', length(CAST(cv AS VARCHAR)), ':', cv), concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id)))", "f").replace("SELECT 1, count", "SELECT count").replace(" GROUP BY 1", "") + "), fp AS (SELECT sha256(concat_ws('|', 'training-snapshot-3', 'enabled', sp.f, cp.f)) AS fingerprint FROM sp, cp)\n"
+_REAL = {
+    "asr_confidence", "alignment_confidence", "voiced_ratio", "mean_f0_hz", "f0_std_dev_hz", "pitch_reliability", "duration_sec", "speaking_rate",
+    "pitch_range_semitones", "energy_variation", "pause_ratio",
+}
+_FIELDS = sorted(["phonemes", *[n for n, _ in v.SEGMENT_COLUMNS if n != "doc_id"]])
+_PHONE = json_sql("[phoneme, " + ", ".join(billionths(c) for c in ("start_sec", "end_sec", "confidence")) + "]")
+_NAMED = [f"'{x}'" if x is not None else "CAST(NULL AS VARCHAR)" for pair in sorted(SETTINGS.items()) for x in pair]
+PRINT = f", ph AS (SELECT segment_id, {json_sql(f"list({_PHONE} ORDER BY pos)")} AS phonemes FROM phonemes GROUP BY segment_id), sp AS (" + _one(set_print_sql(
+    "(SELECT s.*, coalesce(ph.phonemes, '[]') AS phonemes FROM segments s LEFT JOIN ph USING (segment_id))", "1",
+    digest_sql(*[billionths(c) if c in _REAL else c for c in _FIELDS]), "f")) + "), cp AS (" + _one(set_print_sql(
+    "edits", "1", digest_sql("changed_at", "field", "segment_id", "seq", "value"), "f")) + "), fp AS (SELECT " + digest_sql("'training-snapshot'", *_NAMED, "sp.f", "cp.f") + " AS fingerprint FROM sp, cp)\n"
 
 
-@query("dat_8_snapshot_fingerprint", "segments edits", PRINT + "SELECT fingerprint FROM fp")
+@query("dat_8_snapshot_fingerprint", "segments phonemes edits", PRINT + "SELECT fingerprint FROM fp")
 def snapshot_fingerprint(spark, sf_dir):
     return _print(spark, sf_dir)
 
@@ -163,10 +174,10 @@ def _members(spark, sf_dir):
 
 
 MEMBERS = """, mb AS (SELECT concat(speaker_id, '/', CASE content_type WHEN 'speech' THEN 'talk' ELSE 'singing' END) AS job_id, speaker_id, CASE content_type WHEN 'speech' THEN 'talk' ELSE 'singing' END AS target, segment_id, doc_id FROM segments WHERE speaker_id IS NOT NULL AND content_type <> 'ambiguous'),
- js AS (""" + set_print_sql("mb", "job_id, speaker_id, target", "sha256(concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id))", "s") + ")\n"
+ js AS (""" + set_print_sql("mb", "job_id, speaker_id, target", digest_sql("segment_id"), "s") + ")\n"
 
 
-@query("dat_8_job_fingerprints", "segments edits", PRINT + MEMBERS + "SELECT job_id, speaker_id, target, row_count AS members, sha256(concat_ws('|', 'training-job-input-2', (SELECT fingerprint FROM fp), speaker_id, target, s)) AS job_fingerprint FROM js")
+@query("dat_8_job_fingerprints", "segments phonemes edits", PRINT + MEMBERS + "SELECT job_id, speaker_id, target, row_count AS members, " + digest_sql("'training-job'", "fingerprint", "speaker_id", "target", "s") + " AS job_fingerprint FROM js, fp")
 def job_fingerprints(spark, sf_dir):
     return d.job_fingerprints(_members(spark, sf_dir), _print(spark, sf_dir))
 

@@ -8,6 +8,7 @@ from voxloom.functions import vocabulary as vocab
 from voxloom.functions.measure import blank
 from voxloom.operators import inventory as inv, selection as sel
 from voxloom.plans import views as v
+from voxloom.plans.queries_jobs import digest_sql
 from voxloom.plans.queries_weights import DECIDED, KNOWN, ROUTED, _routed, eligible_input
 from voxloom.plans.registry import query
 from voxloom.session import durable
@@ -63,6 +64,10 @@ def _stat(cond, good):
     return f"CASE WHEN count(*) FILTER ({cond}) = 0 OR count(*) FILTER (({cond}) AND ({good})) = 0 THEN 'unavailable' WHEN count(*) FILTER ({cond}) = count(*) FILTER (({cond}) AND ({good})) THEN 'measured' ELSE 'partially_measured' END"
 
 
+def _ms(seconds):
+    return f"CAST(round({seconds} * 1000) AS BIGINT)"
+
+
 INVENTORY = FULL + KNOWN + """, flags AS (SELECT *, coalesce(duration_sec, 0) AS sec, talk_role = 'primary' AS sp, talk_role = 'primary' AND talk_eligibility = 'eligible' AS spe, singing_role = 'primary' AS si,
    singing_role = 'primary' AND singing_eligibility = 'eligible' AS sie, (talk_role IN ('primary', 'feature_only') OR singing_role IN ('primary', 'feature_only')) AND talk_eligibility <> 'excluded' AS idn,
    CASE asr_status WHEN 'measured' THEN true WHEN 'legacy_unknown' THEN asr_confidence > 0 ELSE false END AS asr_ok FROM full_rows WHERE speaker_id IS NOT NULL),
@@ -75,15 +80,16 @@ INVENTORY = FULL + KNOWN + """, flags AS (SELECT *, coalesce(duration_sec, 0) AS
  cov AS (SELECT speaker_id, count(DISTINCT phoneme) AS phoneme_coverage FROM flags JOIN observed USING (segment_id) WHERE spe GROUP BY ALL),
  bin AS (SELECT speaker_id, count(DISTINCT pitch_bin) AS pitch_bins FROM flags JOIN bins USING (segment_id) WHERE sie GROUP BY ALL),
  inv0 AS (SELECT base.*, coalesce(phoneme_coverage, 0) AS phoneme_coverage, coalesce(pitch_bins, 0) AS pitch_bins FROM base LEFT JOIN cov USING (speaker_id) LEFT JOIN bin USING (speaker_id)),
- inv AS (SELECT *, sha256(concat_ws('|', speaker_id, CAST(round(speech_raw_seconds * 1000) AS BIGINT), CAST(round(speech_eligible_seconds * 1000) AS BIGINT), speech_recordings, speech_utterances, transcript_usable, phoneme_coverage,
-   CAST(round(singing_raw_seconds * 1000) AS BIGINT), CAST(round(singing_eligible_seconds * 1000) AS BIGINT), singing_recordings, singing_phrases, pitch_bins, CAST(round(identity_seconds * 1000) AS BIGINT), identity_sources,
-   status_duration, status_transcription, status_singing_f0, status_speaker_identity)) AS inventory_revision FROM inv0)
+ inv AS (SELECT *, """ + digest_sql(
+    "'1'", "'dataset-1'", "CAST(NULL AS VARCHAR)", "speaker_id", _ms("speech_raw_seconds"), _ms("speech_eligible_seconds"), "speech_recordings", "speech_utterances", "transcript_usable", "phoneme_coverage",
+    _ms("singing_raw_seconds"), _ms("singing_eligible_seconds"), "singing_recordings", "singing_phrases", "pitch_bins", _ms("identity_seconds"), "identity_sources",
+    "status_duration", "status_transcription", "status_singing_f0", "status_speaker_identity") + """ AS inventory_revision FROM inv0)
 """
 SECONDS = ("speech_raw_seconds", "speech_eligible_seconds", "singing_raw_seconds", "singing_eligible_seconds", "identity_seconds")
 
 
 def _inventory(spark, sf_dir):
-    return durable(inv.speaker_inventory(_full(spark, sf_dir)))
+    return durable(inv.speaker_inventory(_full(spark, sf_dir), "dataset-1"))
 
 
 @query("inv_2_speaker_inventory", FV, INVENTORY + "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in SECONDS) + ") FROM inv")

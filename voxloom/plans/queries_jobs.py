@@ -144,6 +144,19 @@ SELECTED = """, chosen0 AS (SELECT DISTINCT speaker_id, CAST(substr(speaker_id,
 LANES = ", ':', ".join(f"CAST(sum(CAST(concat('0x', substr(d, {1 + 15 * i}, 15)) AS BIGINT)) AS HUGEINT)" for i in range(4))
 
 
+def digest_sql(*texts: str) -> str:
+    """The SQL twin of a row digest."""
+    return "sha256(concat_ws('|', " + ", ".join(f"CASE WHEN ({t}) IS NULL THEN 'n' ELSE concat('v', length(CAST({t} AS VARCHAR)), ':', {t}) END" for t in texts) + "))"
+
+
+def billionths(number: str) -> str:
+    return f"CAST(CAST(({number}) * 1e9 AS BIGINT) AS VARCHAR)"
+
+
+def json_sql(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
 def set_print_sql(source: str, keys: str, digest: str, out: str) -> str:
     """The SQL twin of a set fingerprint."""
     return f"SELECT {keys}, count(*) AS row_count, sha256(concat(count(*), ':', {LANES})) AS {out} FROM (SELECT *, {digest} AS d FROM {source}) GROUP BY {keys}"
@@ -154,7 +167,7 @@ def job_members(spark, sf_dir):
     return _members(spark, sf_dir)
 
 
-@query("wgt_15_jobs", "segments aligned", SELECTED + ", f AS (" + set_print_sql("members", "job_id, speaker_id, target, auto_correction", "sha256(concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id))", "member_fingerprint")
+@query("wgt_15_jobs", "segments aligned", SELECTED + ", f AS (" + set_print_sql("members", "job_id, speaker_id, target, auto_correction", digest_sql("segment_id"), "member_fingerprint")
        + ") SELECT job_id, speaker_id, target, auto_correction, row_count AS members, member_fingerprint FROM f")
 def job_table(spark, sf_dir):
     return jobs.fan_out(_selections(spark, sf_dir), _members(spark, sf_dir))[0]
@@ -192,6 +205,10 @@ def _stored_jobs(spark, sf_dir):
         F.expr("""CASE WHEN o_orderkey % 3 = 0 THEN array(named_struct('name', 'base', 'sha256',
             CASE WHEN o_orderkey % 2 = 0 THEN sha2('x', 256) ELSE 'short' END, 'path', CASE WHEN o_orderkey % 9 = 0 THEN '../up' ELSE 'models/base' END))
             ELSE cast(array() as array<struct<name:string,sha256:string,path:string>>) END""").alias("components"),
+        F.expr("CASE WHEN o_orderkey % 5 <> 2 THEN concat('v', cast(o_orderkey % 3 as varchar(20))) END").alias("preset_version"),
+        F.expr("CASE WHEN o_orderkey % 7 <> 3 THEN concat('soft \"voice\" ', cast(o_custkey as varchar(20))) END").alias("description"),
+        F.expr("CASE WHEN o_orderkey % 8 < 3 THEN cast(array() as array<string>) ELSE array(concat('seg_', cast(o_custkey as varchar(20))), 'seg_0') END").alias("reference_ids"),
+        F.expr("CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 1000 END").alias("seed"),
     )
 
 
@@ -201,7 +218,10 @@ STORED_JOBS = """WITH stored AS (SELECT concat('batch_', o_custkey) AS batch_id,
    CASE o_orderstatus WHEN 'F' THEN 'fine_tune' WHEN 'O' THEN 'from_scratch' ELSE CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'auto' END END AS req,
    CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'auto' WHEN 2 THEN 'fine_tune' ELSE 'from_scratch' END AS res,
    CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'pretrained_checkpoint' WHEN 2 THEN 'pretrained_checkpoint' ELSE 'random_initialization' END AS init,
-   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'builtin.natural' END AS texture, o_orderkey % 3 = 0 AS comp, o_orderkey % 2 = 0 AS good_sha, o_orderkey % 9 = 0 AS up FROM orders)
+   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE 'builtin.natural' END AS texture, o_orderkey % 3 = 0 AS comp,
+   CASE WHEN o_orderkey % 5 <> 2 THEN concat('v', o_orderkey % 3) END AS preset_version, CASE WHEN o_orderkey % 7 <> 3 THEN concat('soft "voice" ', o_custkey) END AS description,
+   CASE WHEN o_orderkey % 8 < 3 THEN '[]' ELSE CAST(to_json(list_sort([concat('seg_', o_custkey), 'seg_0'])) AS VARCHAR) END AS refs, CASE WHEN o_orderkey % 9 <> 4 THEN o_orderkey % 1000 END AS seed,
+   o_orderkey % 2 = 0 AS good_sha, o_orderkey % 9 = 0 AS up FROM orders)
 """
 
 
@@ -218,19 +238,49 @@ def job_contracts(spark, sf_dir):
     return jobs.contract_problems(_stored_jobs(spark, sf_dir))
 
 
-@query("wgt_17_contract_fingerprint", sql=STORED_JOBS + """SELECT job_id, sha256(concat_ws(chr(10), 'training-job-contract-v1', concat('target=', target), concat('preset=', texture), concat('requested=', req),
-  concat('resolved=', coalesce(res, 'unresolved')), concat('init=', coalesce(init, 'none')),
-  concat('components=', CASE WHEN comp THEN concat('base|', CASE WHEN good_sha THEN sha256('x') ELSE 'short' END, '|', CASE WHEN up THEN '../up' ELSE 'models/base' END) ELSE '' END))) AS contract_fingerprint
-  FROM stored WHERE req IS NOT NULL AND texture IS NOT NULL""")
+_COMPONENTS = "CASE WHEN comp THEN CAST(to_json([['base', CASE WHEN good_sha THEN sha256('x') ELSE 'short' END, CASE WHEN up THEN '../up' ELSE 'models/base' END]]) AS VARCHAR) ELSE '[]' END"
+
+
+@query("wgt_17_contract_fingerprint", sql=STORED_JOBS + "SELECT job_id, " + digest_sql(
+    "'training-job-contract'", "target", "texture", "preset_version", "description", "refs", "req", "res", "seed", "init", _COMPONENTS)
+    + " AS contract_fingerprint FROM stored WHERE req IS NOT NULL AND texture IS NOT NULL")
 def contract_fingerprints(spark, sf_dir):
     return jobs.contract_fingerprint(_stored_jobs(spark, sf_dir))
 
 
-@query("wgt_17_input_fingerprint", "segments aligned phonemes", ASSESSED + ", " + CANDIDATES + ", f AS (" + set_print_sql(
-    "job_of", "job_id",
-    "sha256(concat_ws('|', concat('v', length(CAST(segment_id AS VARCHAR)), ':', segment_id), concat('v', length(CAST(eligibility AS VARCHAR)), ':', eligibility), concat('v', length(CAST(array_to_string(list_sort(reason_codes), ',') AS VARCHAR)), ':', array_to_string(list_sort(reason_codes), ',')), "
-    "concat('v', length(CAST(CASE WHEN quality_value IS NULL THEN 'unavailable' ELSE 'measured' END AS VARCHAR)), ':', CASE WHEN quality_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN quality_value IS NULL THEN 'n' ELSE concat('v', length(CAST(CAST(round(quality_value * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(quality_value * 1e9) AS BIGINT)) END, "
-    "concat('v', length(CAST(CASE WHEN utility_value IS NULL THEN 'unavailable' ELSE 'measured' END AS VARCHAR)), ':', CASE WHEN utility_value IS NULL THEN 'unavailable' ELSE 'measured' END), CASE WHEN utility_value IS NULL THEN 'n' ELSE concat('v', length(CAST(CAST(round(utility_value * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(utility_value * 1e9) AS BIGINT)) END, "
-    "concat('v', length(CAST(CAST(round(raw_weight * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(raw_weight * 1e9) AS BIGINT)), concat('v', length(CAST(CAST(round(training_weight * 1e9) AS BIGINT) AS VARCHAR)), ':', CAST(round(training_weight * 1e9) AS BIGINT))))", "input_fingerprint") + ") SELECT * FROM f")
+def _inputs(spark, sf_dir):
+    """Contexts of all jobs but one; that of another lacks its backend, and a third has a segment twice."""
+    assessed = _assessed_jobs(spark, sf_dir)
+    found = assessed.select("job_id", "speaker_id", "target").distinct().where("job_id <> 'spk_5/talk'")
+    contexts = found.select(
+        "job_id", "speaker_id", "target", F.sha2("speaker_id", 256).alias("dataset_fingerprint"), F.sha2("job_id", 256).alias("contract_fingerprint"),
+        F.expr("CASE WHEN job_id = 'spk_6/talk' THEN ' ' ELSE concat(target, '-trainer') END").alias("backend"), F.lit("r1").alias("backend_revision"),
+        F.expr("CASE WHEN target = 'talk' THEN sha2(target, 256) END").alias("trainer_config_sha256"), F.lit("p1").alias("policy_version"),
+        F.lit("s1").alias("source_fingerprint"), F.expr("CASE WHEN speaker_id = 'spk_1' THEN 'o1' END").alias("override_revision"),
+    )
+    again = assessed.where("job_id = 'spk_7/talk'")
+    return jobs.input_fingerprint(assessed.unionByName(again), ["job_id"], contexts)
+
+
+def _status(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN 'unavailable' ELSE 'measured' END"
+
+
+INPUTS = ASSESSED + ", " + CANDIDATES + """, parts AS (SELECT segment_id, target, """ + json_sql("list(" + json_sql("[name, " + json_sql(f"[{billionths('value')}, status]") + "]") + " ORDER BY name)") + """ AS parts FROM components GROUP BY ALL),
+ f AS (""" + set_print_sql("(SELECT * FROM job_of JOIN parts USING (segment_id, target))", "job_id", digest_sql(
+    "segment_id", "CAST(NULL AS VARCHAR)", "eligibility", json_sql("list_sort(reason_codes)"), _status("quality_value"), billionths("quality_value"), "parts",
+    _status("utility_value"), billionths("utility_value"), billionths("raw_weight"), billionths("training_weight")), "s") + ")\n"
+
+
+@query("wgt_17_input_fingerprint", "segments aligned phonemes", INPUTS + """, c AS (SELECT *, split_part(job_id, '/', 1) AS speaker_id, split_part(job_id, '/', 2) AS target FROM f)
+SELECT job_id, row_count, """ + digest_sql(
+    "'training-input'", "sha256(speaker_id)", "sha256(job_id)", "concat(target, '-trainer')", "'r1'", "CASE WHEN target = 'talk' THEN sha256(target) END", "'p1'",
+    "speaker_id", "target", "'s1'", "CASE WHEN speaker_id = 'spk_1' THEN 'o1' END", "s") + " AS input_fingerprint FROM c WHERE job_id NOT IN ('spk_5/talk', 'spk_6/talk', 'spk_7/talk')")
 def input_fingerprints(spark, sf_dir):
-    return jobs.input_fingerprint(_assessed_jobs(spark, sf_dir), ["job_id"])
+    return _inputs(spark, sf_dir)[0]
+
+
+@query("wgt_17_input_problems", "segments aligned phonemes", INPUTS + """SELECT job_id, CASE job_id WHEN 'spk_5/talk' THEN 'context_missing' WHEN 'spk_6/talk' THEN 'backend_blank' ELSE 'segment_repeated' END AS problem
+FROM f WHERE job_id IN ('spk_5/talk', 'spk_6/talk', 'spk_7/talk')""")
+def input_problems(spark, sf_dir):
+    return _inputs(spark, sf_dir)[1]

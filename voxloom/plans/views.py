@@ -26,7 +26,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 # Expressions below are valid in both dialects; {sha} is the only dialect difference.
-_SEGMENT_COLUMNS = [
+SEGMENT_COLUMNS = [
     ("doc_id", "d.doc_id"),
     ("segment_id", "concat('seg_', lpad(cast(d.doc_id as varchar(20)), 8, '0'))"),
     ("source_id", "d.source"),
@@ -61,7 +61,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments without their phones."""
     d, l = spread(table(spark, sf_dir, "documents"), "doc_id"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_doc_id")
     joined = d.alias("d").join(l.alias("l"), F.expr("d.doc_id = l.l_doc_id"), "left")
-    return joined.select(*[F.expr(e.format(sha="sha2(d.text, 256)")).alias(n) for n, e in _SEGMENT_COLUMNS])
+    return joined.select(*[F.expr(e.format(sha="sha2(d.text, 256)")).alias(n) for n, e in SEGMENT_COLUMNS])
 
 
 def with_phones(segs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def benchmark_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- the same views in SQL
 
 def _columns(sha: str) -> str:
-    return ",\n  ".join(f"{e.format(sha=sha)} AS {n}" for n, e in _SEGMENT_COLUMNS)
+    return ",\n  ".join(f"{e.format(sha=sha)} AS {n}" for n, e in SEGMENT_COLUMNS)
 
 
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
