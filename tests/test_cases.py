@@ -248,3 +248,96 @@ def test_noise_and_reverb_of_a_clip_without_samples_on_the_grid(spark):
     chunks = spark.createDataFrame([("c", 0, [5], 8000), ("e", 0, [], 8000)], "clip_id string, chunk bigint, samples array<int>, sample_rate int")
     assert {r.clip_id: r.reverb_score for r in signal.reverb_scores(chunks).collect()} == {"c": 0.0, "e": 0.0}
     assert [r.clip_id for r in signal.noise_scores(chunks).collect()] == ["c"]
+
+
+def test_every_field_of_a_contract_counts(spark):
+    from voxloom.operators import jobs
+
+    schema = ("job_id string, target string, texture string, preset_version string, description string, reference_ids array<string>, requested_mode string, "
+              "resolved_mode string, seed bigint, initialization string, components array<struct<name:string,sha256:string,path:string>>")
+    one, two = {"name": "a", "sha256": "FF", "path": "p"}, {"name": "b", "sha256": "00", "path": "q"}
+    base = {"target": "talk", "texture": "t", "preset_version": "1", "description": "d", "reference_ids": ["x", "y"], "requested_mode": "auto", "resolved_mode": "fine_tune",
+            "seed": 7, "initialization": "pretrained_checkpoint", "components": [one, two]}
+    other = {"target": "singing", "texture": "u", "preset_version": None, "description": "", "reference_ids": ["x,y"], "requested_mode": "fine_tune", "resolved_mode": None,
+             "seed": None, "initialization": "none", "components": [one]}
+    data = [{"job_id": "base", **base}, {"job_id": "same", **base, "reference_ids": ["y", "x"], "components": [two, {**one, "sha256": "ff"}]}]
+    data += [{"job_id": k, **base, k: v} for k, v in other.items()]
+    prints = {r.job_id: r.contract_fingerprint for r in jobs.contract_fingerprint(spark.createDataFrame(data, schema)).collect()}
+    assert len(prints) == len(data) and prints.pop("same") == prints["base"] and len(set(prints.values())) == len(prints)
+
+
+def test_every_field_of_a_training_input_counts(spark):
+    from voxloom.operators import jobs
+
+    kinds = "role string, eligibility string, reason_codes array<string>, quality_status string, quality_value double, components map<string,struct<value:double,status:string>>, utility_status string, utility_value double, raw_weight double, training_weight double"
+    item = {"role": "primary", "eligibility": "eligible", "reason_codes": ["a"], "quality_status": "measured", "quality_value": 0.5, "components": {"asr": (0.5, "measured")},
+            "utility_status": "measured", "utility_value": 0.25, "raw_weight": 1.0, "training_weight": 2.0}
+    changed = {"role": None, "eligibility": "excluded", "reason_codes": ["a", "b"], "quality_status": "legacy", "quality_value": None, "components": {"asr": (0.5, "legacy")},
+               "utility_status": "unavailable", "utility_value": 0.5, "raw_weight": 1.5, "training_weight": 2.5}
+    fields = {c: "v" for c in jobs.CONTEXT}
+    items = [{"job": "base", "segment_id": "s", **item}, *[{"job": k, "segment_id": "s", **item, k: v} for k, v in changed.items()], {"job": "segment", "segment_id": "z", **item}]
+    items += [{"job": f"c_{c}", "segment_id": "s", **item} for c in jobs.CONTEXT] + [{"job": "lost", "segment_id": "s", **item}] + [{"job": "twice", "segment_id": "s", **item}] * 2
+    contexts = [{"job": j, **fields} for j in {i["job"] for i in items} - {"lost"} if not j.startswith("c_")] + [{"job": f"c_{c}", **fields, c: "w"} for c in jobs.CONTEXT]
+    contexts = [{**c, "backend": "　"} if c["job"] == "segment" else c for c in contexts]
+    prints, problems = jobs.input_fingerprint(
+        rows(spark, items, f"job string, segment_id string, {kinds}"), ["job"], rows(spark, contexts, "job string, " + ", ".join(f"{c} string" for c in jobs.CONTEXT)))
+    found = {r.job: r.input_fingerprint for r in prints.collect()}
+    assert len(set(found.values())) == len(found) == 1 + len(changed) + len(jobs.CONTEXT)
+    assert {(r.job, r.problem) for r in problems.collect()} == {("lost", "context_missing"), ("twice", "segment_repeated"), ("segment", "backend_blank")}
+
+
+def test_every_column_of_a_snapshot_counts(spark):
+    from voxloom.operators import dataset
+
+    schema = "segment_id string, transcript string, confidence double, phonemes array<struct<phoneme:string,start:double>>, tags map<string,int>"
+    base = ("s", "t", 0.5, [("a", 0.1), ("o", 0.2)], {"x": 1, "y": 2})
+    others = [("z", *base[1:]), ("s", None, *base[2:]), (*base[:2], 0.25, *base[3:]), (*base[:2], float("nan"), *base[3:]), (*base[:3], [("a", 0.1), ("o", 0.3)], base[4]),
+              (*base[:3], [("o", 0.2), ("a", 0.1)], base[4]), (*base[:4], {"x": 2, "y": 1}), (*base[:4], None)]
+    edits = spark.createDataFrame([("s", "e")], "segment_id string, value string")
+
+    def fingerprint(row, settings={"enabled": "true", "pitch": None}, log=edits):
+        return dataset.snapshot_fingerprint(rows(spark, [row], schema), log, settings).first().fingerprint
+
+    found = [fingerprint(r) for r in [base, *others]]
+    found += [fingerprint(base, {"enabled": "false", "pitch": None}), fingerprint(base, {"enabled": "true", "pitch": "fill"}), fingerprint(base, log=edits.limit(0))]
+    assert len(set(found)) == len(found) and fingerprint((*base[:4], {"y": 2, "x": 1})) == found[0]
+
+
+def test_equal_times_and_labels_of_any_script(spark):
+    from voxloom.operators import classification, dataset, speakers
+
+    log = rows(spark, [("s", 5, 1, "speech"), ("s", 5, 3, "singing"), ("s", 5, 2, "ambiguous"), ("s", 4, 9, "speech")], "segment_id string, changed_at long, seq long, new_type string")
+    classes = rows(spark, [("s", "speech", 0.5, False)], "segment_id string, content_type string, confidence double, user_overridden boolean")
+    assert classification.reapply_overrides(classes, log).first().content_type == "singing"
+    edits = log.select("segment_id", "changed_at", "seq", F.lit("transcript").alias("field"), F.col("new_type").alias("value"))
+    assert dataset.latest_transcripts(edits).first().new_transcript == "singing"
+    people = rows(spark, [("s", True)], "speaker_id string, selected boolean")
+    picks = log.select(F.col("segment_id").alias("speaker_id"), "changed_at", "seq", (F.col("new_type") != "singing").alias("selected"))
+    assert speakers.select_speakers(people, picks).first().selected is False
+    names = rows(spark, [("　calm",), ("calm ",), ("a\u0085b",), ("ca lm",), ("a\tb",), ("calm\n",)], "name string").select("name", F.lit("user").alias("source"), F.lit(None).cast("double").alias("confidence"))
+    assert [r.p for r in names.select(dataset.emotion_problem().alias("p")).collect()] == ["blank_or_padded", "blank_or_padded", "control_character", None, "control_character", "blank_or_padded"]
+
+
+def test_window_sums_inside_chunks_equal_plain_windows(spark):
+    import numpy as np
+    from voxloom.operators import signal
+
+    rng = np.random.default_rng(5)
+    clips = {"a": (rng.integers(-32768, 32768, 10_000), 16_000), "b": (np.full(5_000, -32768), 96_000), "c": (rng.integers(-9, 9, 100), 8_000)}
+    data = [(c, k, [int(x) for x in s[k * 4096 : (k + 1) * 4096]], rate) for c, (s, rate) in clips.items() for k in range(-(-len(s) // 4096) + 1)]
+    chunks = rows(spark, data, "clip_id string, chunk long, samples array<int>, sample_rate int")
+    found = {(r.clip_id, r.idx): r.rms for r in signal.rms_windows(chunks).collect()}
+    stats = {r.clip_id: r for r in signal.wave_stats(chunks).collect()}
+    facts = {r.clip_id: r for r in signal.reference_facts(chunks).collect()}
+    windows = 0
+    for c, (s, rate) in clips.items():
+        width, level = int(rate * 0.03), np.abs(s)
+        for i in range(-(-len(s) // width)):
+            windows += 1
+            assert found[c, i] == pytest.approx(np.sqrt(np.mean(s[i * width : (i + 1) * width].astype(float) ** 2)))
+        assert stats[c].sample_count == len(s) and stats[c].peak == level.max() / 32768 and stats[c].rms == pytest.approx(np.sqrt(np.mean(s.astype(float) ** 2)) / 32768)
+        assert stats[c].clipping_ratio == pytest.approx((level >= 32700).mean()) and stats[c].silence_ratio == pytest.approx((level <= 180).mean())
+        block = rate // 50
+        quiet = [np.sqrt(np.mean(s[i : i + block].astype(float) ** 2)) / 32768 < 0.008 for i in range(0, len(s), block)]
+        assert facts[c].silence_ratio == pytest.approx(np.mean(quiet)) and facts[c].clipping_ratio == pytest.approx((level >= 32760).mean())
+    assert windows == len(found)
