@@ -300,20 +300,30 @@ def estimate_speaker_features(generated: DataFrame, segments: DataFrame) -> Data
         F.when(F.col("reason").isNull(), F.transform("vector_sum", lambda x: x / F.col("_norm"))).alias("vector"))
 
 
-def supplement_plans(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(plan per speaker: best reference clip and missing phones, speakers without a plan)."""
+def supplement_needs(segments: DataFrame) -> DataFrame:
+    """Per speaker: the phones of the catalog not yet heard reliably, the best reference clip with its
+    hash (``cache_key``), and why there is no plan, if so."""
     good = segments.where((F.col("content_type") == "speech") & finite(F.col("asr_confidence")) & finite(F.col("alignment_confidence")) & (F.col("asr_confidence") >= 0.75) & (F.col("alignment_confidence") >= RELIABLE) & F.col("speaker_id").isNotNull())
     heard = F.array_distinct(F.transform(F.filter("phonemes", lambda p: finite(p["confidence"]) & (p["confidence"] >= RELIABLE)), lambda p: _fold_vowel(p["phoneme"])))
     observed = good.select("speaker_id", F.explode_outer(heard).alias("p")).groupBy("speaker_id").agg(F.collect_set("p").alias("_seen"))
     wanted = F.array(*[F.lit(p) for p in dict.fromkeys(CORE_PHONES + PALATALIZED_PHONES + FOREIGN_PHONES)])
     length = F.array_max(F.transform("phonemes", lambda p: p["end_sec"]))
     fit = good.where(~blank(F.col("transcript")) & (F.length("transcript") <= 500) & (F.size("phonemes") > 0) & length.between(3, 15))
-    best = fit.groupBy("speaker_id").agg(F.min_by("segment_id", F.struct(-F.col("asr_confidence"), F.col("segment_id"))).alias("reference_segment_id"))
+    best = fit.groupBy("speaker_id").agg(F.min(F.struct(-F.col("asr_confidence"), F.col("segment_id"), F.col("cache_key"))).alias("_best")).select(
+        "speaker_id", F.col("_best.segment_id").alias("reference_segment_id"), F.col("_best.cache_key").alias("reference_sha256"))
     every = segments.where("speaker_id IS NOT NULL").select("speaker_id").distinct().join(observed, "speaker_id", "left").join(best, "speaker_id", "left").withColumn(
         "missing", F.array_sort(F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))))
     problem = F.when(F.col("_seen").isNull(), "no_usable_speech").when(F.size("missing") == 0, "nothing_missing").when(F.col("reference_segment_id").isNull(), "no_reference_clip")
-    judged = every.withColumn("problem", problem)
-    return judged.where("problem IS NULL").select("speaker_id", "reference_segment_id", "missing"), judged.where("problem IS NOT NULL").select("speaker_id", "problem")
+    return every.withColumn("problem", problem)
+
+
+def supplement_plans(segments: DataFrame, snapshot_print: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plan per speaker: best reference clip with its hash, missing phones and the fingerprint of the
+    snapshot planned on; speakers without a plan). A plan whose hash or fingerprint no longer holds is
+    to be made again. ``snapshot_print`` has one row."""
+    judged = supplement_needs(segments)
+    plans = judged.where("problem IS NULL").join(F.broadcast(snapshot_print.limit(1).select(F.col("fingerprint").alias("snapshot_fingerprint"))), F.lit(True))
+    return plans.select("speaker_id", "reference_segment_id", "reference_sha256", "missing", "snapshot_fingerprint"), judged.where("problem IS NOT NULL").select("speaker_id", "problem")
 
 
 def choose_prompts(needs: DataFrame, prompts: list[tuple[str, list[str]]], maximum: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from voxloom.operators import completion as c
 from voxloom.plans import views as v
 from voxloom.plans.queries_text import APPLIED, _applied
+from voxloom.plans.queries_dataset import PRINT, snapshot_print
 from voxloom.plans.registry import query
 from voxloom.session import durable
 
@@ -185,28 +186,41 @@ def _asked(spark, sf_dir):
 
 @query("cmp_12_feature_estimates", "segments phonemes candidates embedded", """, ask AS (SELECT speaker_id, concat('generated_', arg_min(candidate_id, doc_id)) AS segment_id, max(speaker_similarity) AS sim FROM candidates GROUP BY ALL),
  oth AS (SELECT DISTINCT segment_id FROM phonemes WHERE confidence >= 65e-2 AND phoneme NOT IN ('u', 'kw')),
- rf AS (SELECT e.* FROM embedded e JOIN oth USING (segment_id) WHERE content_type = 'speech' AND asr_confidence >= 65e-2 AND alignment_confidence >= 65e-2 AND len(speaker_embedding) = 4 AND speaker_id IS NOT NULL AND NOT isnan(speaker_embedding[1])),
- sm AS (SELECT speaker_id, count(*) AS k, [sum(speaker_embedding[1]), sum(speaker_embedding[2]), sum(speaker_embedding[3]), sum(speaker_embedding[4])] AS s FROM rf GROUP BY ALL),
- j AS (SELECT a.*, k, s, CASE speaker_id WHEN 'spk_4' THEN 'not_generated_speech' WHEN 'spk_5' THEN 'vector_present' WHEN 'spk_2' THEN 'similarity' WHEN 'spk_3' THEN 'no_target_phones' ELSE CASE WHEN k IS NULL THEN 'no_reference' END END AS reason FROM ask a LEFT JOIN sm USING (speaker_id))
+ rf AS (SELECT e.* REPLACE (CASE WHEN speaker_id <> 'spk_6' AND (len(speaker_embedding) = 3 OR isnan(speaker_embedding[1])) THEN [1e0, 1e0, 1e0, 1e0] ELSE speaker_embedding END AS speaker_embedding)
+   FROM embedded e JOIN oth USING (segment_id) WHERE content_type = 'speech' AND asr_confidence >= 65e-2 AND alignment_confidence >= 65e-2 AND len(speaker_embedding) > 0 AND speaker_id IS NOT NULL),
+ sm AS (SELECT speaker_id, count(*) AS k, count(DISTINCT len(speaker_embedding)) > 1 OR bool_or(isnan(speaker_embedding[1])) AS bad, [sum(speaker_embedding[1]), sum(speaker_embedding[2]), sum(speaker_embedding[3]), sum(speaker_embedding[4])] AS s FROM rf GROUP BY ALL),
+ j AS (SELECT a.*, k, s, bad, CASE speaker_id WHEN 'spk_4' THEN 'not_generated_speech' WHEN 'spk_5' THEN 'vector_present' WHEN 'spk_2' THEN 'similarity' WHEN 'spk_3' THEN 'no_target_phones' ELSE CASE WHEN k IS NULL THEN 'no_reference' WHEN bad THEN 'bad_reference_vectors' END END AS reason FROM ask a LEFT JOIN sm USING (speaker_id))
 SELECT segment_id, speaker_id, reason, CASE WHEN reason IS NULL THEN 'applied' ELSE 'deferred' END AS application_status, CASE WHEN reason IS NULL THEN sim END AS confidence, CASE WHEN speaker_id IN ('spk_2', 'spk_3', 'spk_4', 'spk_5') THEN 0 ELSE coalesce(k, 0) END AS "references",
   round(CASE WHEN reason IS NULL THEN s[1] / sqrt(list_inner_product(s, s)) END, 7) AS first_value FROM j""")
 def feature_estimates(spark, sf_dir):
-    segs = v.embeddings_of_segments(v.phoned_segments(spark, sf_dir)).where("size(speaker_embedding) <> 3 AND NOT coalesce(isnan(get(speaker_embedding, 0)), false)")
+    """One speaker keeps vectors of another dimension or without numbers; elsewhere they are replaced."""
+    odd = "coalesce(speaker_id, '') <> 'spk_6' AND (size(speaker_embedding) = 3 OR coalesce(isnan(get(speaker_embedding, 0)), false))"
+    segs = v.embeddings_of_segments(v.phoned_segments(spark, sf_dir))
+    segs = segs.withColumn("speaker_embedding", F.when(F.expr(odd), F.array(*[F.lit(1.0)] * 4)).otherwise(F.col("speaker_embedding")))
     return c.estimate_speaker_features(_asked(spark, sf_dir), segs).select("segment_id", "speaker_id", "reason", "application_status", "confidence", "references", F.round(F.get("vector", F.lit(0)), 7).alias("first_value"))
 
 
 PLAN = """, good AS (SELECT * FROM segments WHERE content_type = 'speech' AND asr_confidence >= 75e-2 AND alignment_confidence >= 65e-2 AND speaker_id IS NOT NULL),
- len_ AS (SELECT segment_id, max(end_sec) AS l FROM phonemes GROUP BY ALL), seen AS (SELECT DISTINCT speaker_id, phoneme FROM good JOIN phonemes p USING (segment_id) WHERE p.confidence >= 65e-2),
- best AS (SELECT speaker_id, arg_min(segment_id, (-asr_confidence, segment_id)) AS reference_segment_id FROM good JOIN len_ USING (segment_id) WHERE trim(transcript) <> '' AND length(transcript) <= 500 AND l BETWEEN 3 AND 15 GROUP BY ALL),
+ len_ AS (SELECT segment_id, max(end_sec / 20) AS l FROM phonemes GROUP BY ALL), seen AS (SELECT DISTINCT speaker_id, phoneme FROM good JOIN phonemes p USING (segment_id) WHERE p.confidence >= 65e-2),
+ best AS (SELECT speaker_id, arg_min(segment_id, (-asr_confidence, segment_id)) AS reference_segment_id, arg_min(cache_key, (-asr_confidence, segment_id)) AS reference_sha256 FROM good JOIN len_ USING (segment_id) WHERE trim(transcript) <> '' AND length(transcript) <= 500 AND l BETWEEN 3 AND 15 GROUP BY ALL),
  want AS (SELECT unnest(['a','i','u','e','o','k','s','t','n','h','m','y','r','w','g','z','d','b','p','N','cl','ky','gy','sh','j','ch','ny','hy','by','py','my','ry','f','v','ts','ty','dy','kw','gw']) AS phoneme),
  miss AS (SELECT speaker_id, string_agg(phoneme, ',' ORDER BY phoneme) AS missing FROM (SELECT DISTINCT speaker_id FROM segments WHERE speaker_id IS NOT NULL) CROSS JOIN want ANTI JOIN seen USING (speaker_id, phoneme) GROUP BY ALL),
- pl AS (SELECT speaker_id, reference_segment_id, missing, CASE WHEN speaker_id NOT IN (SELECT speaker_id FROM good) THEN 'no_usable_speech' WHEN missing IS NULL THEN 'nothing_missing' WHEN reference_segment_id IS NULL THEN 'no_reference_clip' END AS problem FROM miss LEFT JOIN best USING (speaker_id))
+ pl AS (SELECT speaker_id, reference_segment_id, reference_sha256, missing, CASE WHEN speaker_id NOT IN (SELECT speaker_id FROM good) THEN 'no_usable_speech' WHEN missing IS NULL THEN 'nothing_missing' WHEN reference_segment_id IS NULL THEN 'no_reference_clip' END AS problem FROM miss LEFT JOIN best USING (speaker_id))
 """
 
 
-@query("cmp_13_supplement_plan", "segments phonemes", PLAN + "SELECT speaker_id, CASE WHEN problem IS NULL THEN reference_segment_id END AS reference_segment_id, CASE WHEN problem IS NULL THEN missing END AS missing, problem FROM pl")
+def _quick(spark, sf_dir):
+    """Segments whose phones come twenty times as fast, so that some clips have the length of a reference."""
+    def faster(p):
+        return p.withField("start_sec", p["start_sec"] / 20).withField("end_sec", p["end_sec"] / 20)
+
+    return v.phoned_segments(spark, sf_dir).withColumn("phonemes", F.transform("phonemes", faster))
+
+
+@query("cmp_13_supplement_plan", "segments phonemes edits", PRINT + PLAN + """SELECT speaker_id, CASE WHEN problem IS NULL THEN reference_segment_id END AS reference_segment_id, CASE WHEN problem IS NULL THEN missing END AS missing,
+  CASE WHEN problem IS NULL THEN reference_sha256 END AS reference_sha256, CASE WHEN problem IS NULL THEN fingerprint END AS snapshot_fingerprint, problem FROM pl, fp""")
 def supplement_plan(spark, sf_dir):
-    plans, problems = c.supplement_plans(v.phoned_segments(spark, sf_dir))
+    plans, problems = c.supplement_plans(_quick(spark, sf_dir), snapshot_print(spark, sf_dir))
     return plans.withColumn("missing", F.array_join("missing", ",")).unionByName(problems, allowMissingColumns=True)
 
 
@@ -217,10 +231,20 @@ PROMPTS = [
 ]
 
 
-@query("cmp_14_prompts")
+_LIST = "[" + ", ".join(f"{{'i': {i}, 'phones': {list(dict.fromkeys(p.lower() if p in ('I', 'U') else p for p in phones))}}}" for i, (_, phones) in enumerate(PROMPTS)) + "]"
+#: Greedy choice as a recursion: in each round the sentence with the most uncovered phones, of equals the first.
+CHOICE = """, picks(speaker_id, missing, chosen, round) AS (SELECT speaker_id, string_split(missing, ','), CAST([] AS VARCHAR[]), 0 FROM pl WHERE missing IS NOT NULL
+  UNION ALL SELECT speaker_id, CASE WHEN best.n = 0 THEN missing ELSE list_filter(missing, lambda x: NOT list_contains(best.t, x)) END,
+    CASE WHEN best.n = 0 THEN chosen ELSE list_append(chosen, concat(best.i, ':', array_to_string(best.t, '+'))) END, round + 1
+  FROM (SELECT *, list_sort(list_transform(""" + _LIST + """, lambda p: {'n': -len(list_intersect(p.phones, missing)), 'i': p.i, 't': list_sort(list_intersect(p.phones, missing))}))[1] AS best FROM picks WHERE round < 4))
+"""
+
+
+@query("cmp_14_prompts", sql=v.with_views(
+    "segments phonemes", PLAN + CHOICE + "SELECT speaker_id, array_to_string(chosen, ' ') AS picks, array_to_string(list_sort(missing), ',') AS uncovered FROM picks WHERE round = 4",
+).replace("WITH", "WITH RECURSIVE", 1))
 def prompts(spark, sf_dir):
-    needs = c.missing_core_phones(_bare(spark, sf_dir)).groupBy("speaker_id").agg(F.array_sort(F.collect_set("phoneme")).alias("missing"))
-    return c.choose_prompts(needs, PROMPTS, 4).select("speaker_id", F.array_join(F.transform("picks", lambda p: F.concat(p["prompt"].cast("string"), F.lit(":"), F.array_join(p["targets"], "+"))), " ").alias("picks"), F.array_join("uncovered", ",").alias("uncovered"))
+    return c.choose_prompts(c.supplement_needs(_quick(spark, sf_dir)).where("size(missing) > 0").select("speaker_id", "missing"), PROMPTS, 4).select("speaker_id", F.array_join(F.transform("picks", lambda p: F.concat(p["prompt"].cast("string"), F.lit(":"), F.array_join(p["targets"], "+"))), " ").alias("picks"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
 @query("cmp_4_corrected_view", "segments edits candidates phonemes", APPLIED + TRIAGE.replace("kept AS", "kept4 AS") + """SELECT k.segment_id, k.speaker_id, k.content_type, sha256(CASE WHEN st = 'applied' THEN ta ELSE k.transcript END) AS transcript, round(CASE WHEN st = 'applied' THEN conf ELSE k.asr_confidence END, 9) AS asr_confidence,

@@ -140,7 +140,7 @@ def snapshot_problems(spark, sf_dir):
 SETTINGS = {"schema": "1", "stage": "v9", "correction": "v1", "enabled": "true", "pitch": None}
 
 
-def _print(spark, sf_dir):
+def snapshot_print(spark, sf_dir):
     """Every column of the segments, phones included, and every edit."""
     return d.snapshot_fingerprint(v.phoned_segments(spark, sf_dir).drop("doc_id"), v.edits(spark, sf_dir), SETTINGS)
 
@@ -165,7 +165,7 @@ PRINT = f", ph AS (SELECT segment_id, {json_sql(f"list({_PHONE} ORDER BY pos)")}
 
 @query("dat_8_snapshot_fingerprint", "segments phonemes edits", PRINT + "SELECT fingerprint FROM fp")
 def snapshot_fingerprint(spark, sf_dir):
-    return _print(spark, sf_dir)
+    return snapshot_print(spark, sf_dir)
 
 
 def _members(spark, sf_dir):
@@ -179,7 +179,7 @@ MEMBERS = """, mb AS (SELECT concat(speaker_id, '/', CASE content_type WHEN 'spe
 
 @query("dat_8_job_fingerprints", "segments phonemes edits", PRINT + MEMBERS + "SELECT job_id, speaker_id, target, row_count AS members, " + digest_sql("'training-job'", "fingerprint", "speaker_id", "target", "s") + " AS job_fingerprint FROM js, fp")
 def job_fingerprints(spark, sf_dir):
-    return d.job_fingerprints(_members(spark, sf_dir), _print(spark, sf_dir))
+    return d.job_fingerprints(_members(spark, sf_dir), snapshot_print(spark, sf_dir))
 
 
 @query("dat_9_resolve_jobs", "segments", MEMBERS + """, n AS (SELECT job_id, any_value(speaker_id) AS sp, count(*) AS n, count(*) FILTER (doc_id % 50 = 9 AND speaker_id = 'spk_1') AS gone FROM mb GROUP BY ALL)
@@ -187,12 +187,12 @@ SELECT job_id, CASE WHEN sp = 'spk_3' THEN 0 WHEN sp = 'spk_4' THEN n * 2 ELSE n
   CASE WHEN sp = 'spk_3' THEN 'empty' WHEN sp = 'spk_4' THEN 'repeated_members' WHEN gone > 0 THEN 'members_changed' WHEN sp = 'spk_2' THEN 'input_changed' ELSE 'ok' END AS status FROM n""")
 def resolve_jobs(spark, sf_dir):
     members = _members(spark, sf_dir)
-    prints = d.job_fingerprints(members, _print(spark, sf_dir))
+    prints = d.job_fingerprints(members, snapshot_print(spark, sf_dir))
     jobs = prints.withColumn("job_fingerprint", F.when(F.col("speaker_id") == "spk_2", F.lit("old")).otherwise(F.col("job_fingerprint"))).drop("members")
     stored = members.where("speaker_id <> 'spk_3'").select("job_id", "segment_id")
     stored = stored.unionByName(stored.where("job_id LIKE 'spk_4/%'"))
     view = v.segments(spark, sf_dir).where("NOT (doc_id % 50 = 9 AND coalesce(speaker_id, '') = 'spk_1')")
-    return d.resolve_jobs(jobs, stored, view, _print(spark, sf_dir))
+    return d.resolve_jobs(jobs, stored, view, snapshot_print(spark, sf_dir))
 
 
 _NAME = "CASE doc_id % 7 WHEN 0 THEN ' calm' WHEN 1 THEN '' WHEN 2 THEN repeat('x', 33) WHEN 3 THEN concat('a', chr(9), 'b') ELSE 'calm' END"
