@@ -304,9 +304,9 @@ def supplement_needs(segments: DataFrame) -> DataFrame:
     """Per speaker: the phones of the catalog not yet heard reliably, the best reference clip with its
     hash (``cache_key``), and why there is no plan, if so."""
     good = segments.where((F.col("content_type") == "speech") & finite(F.col("asr_confidence")) & finite(F.col("alignment_confidence")) & (F.col("asr_confidence") >= 0.75) & (F.col("alignment_confidence") >= RELIABLE) & F.col("speaker_id").isNotNull())
-    heard = F.array_distinct(F.transform(F.filter("phonemes", lambda p: finite(p["confidence"]) & (p["confidence"] >= RELIABLE)), lambda p: _fold_vowel(p["phoneme"])))
-    observed = good.select("speaker_id", F.explode_outer(heard).alias("p")).groupBy("speaker_id").agg(F.collect_set("p").alias("_seen"))
     wanted = F.array(*[F.lit(p) for p in dict.fromkeys(CORE_PHONES + PALATALIZED_PHONES + FOREIGN_PHONES)])
+    heard = F.array_distinct(F.transform(F.filter("phonemes", lambda p: finite(p["confidence"]) & (p["confidence"] >= RELIABLE)), lambda p: _fold_vowel(p["phoneme"])))
+    observed = good.select("speaker_id", F.explode_outer(F.array_intersect(heard, wanted)).alias("p")).groupBy("speaker_id").agg(F.collect_set("p").alias("_seen"))
     length = F.array_max(F.transform("phonemes", lambda p: p["end_sec"]))
     fit = good.where(~blank(F.col("transcript")) & (F.length("transcript") <= 500) & (F.size("phonemes") > 0) & length.between(3, 15))
     best = fit.groupBy("speaker_id").agg(F.min(F.struct(-F.col("asr_confidence"), F.col("segment_id"), F.col("cache_key"))).alias("_best")).select(
