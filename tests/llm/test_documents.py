@@ -220,6 +220,23 @@ def test_mixing_emits_what_it_counts(spark):
     assert counted == Counter({r.doc_id: r.taken for r in mixing.report(docs).collect() if r.taken})
 
 
+def test_small_sources_among_many_shards(spark):
+    """Every source gets its rounded share, whatever the number of shards, and no slot is left empty."""
+    wanted = {0: 9001.4, 1: 0.8, **{r: 2.0 for r in range(2, 42)}, 42: 80.3, 43: 1000.0}
+    plan = spark.createDataFrame([(r, 10000 if r == 0 else max(1, round(w / 2)), float(w)) for r, w in wanted.items()], "rank int, source_size long, target double")
+    rows = mixing.block_uses(plan, block_words=1, shard_slots=8).collect()
+    assert Counter(r["rank"] for r in rows) == {r: max(1, round(w)) for r, w in wanted.items()}
+    assert len({(r["rank"], r.epoch, r.block) for r in rows}) == len(rows) and max(r.epoch for r in rows) == 1
+    filled = defaultdict(set)
+    for r in rows:
+        filled[r.shard].add(r.slot)
+    full, rest = divmod(len(rows), 8)
+    assert full > 1000 and rest and sorted(filled) == list(range(full + 1))
+    assert all(filled[k] == set(range(8 if k < full else rest)) for k in filled) and sum(map(len, filled.values())) == len(rows)
+    held = Counter(r.shard for r in rows if r["rank"] == 0)
+    assert all(abs(held[k] - 8 * 9001 / len(rows)) < 2 for k in range(full))
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         rows = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5)).alias("p")).collect()

@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
-Words of each source form one long stream in ``doc_id`` order, cut into blocks of fixed length. Each
-output shard draws how many of its slots go to each source: a multinomial draw with one uniform
-point per equal stratum, so that totals stay near their targets. Slots of a source are numbered
-over all shards; a keyed permutation (swap-or-not rounds) maps each number to a block, one pass over
-all blocks per epoch, and slots meet blocks by index.
+Words of each source form one long stream in ``doc_id`` order, cut into blocks of fixed length. A
+source gets its share of the slots of the whole mix, rounded to blocks, one at least. Given these
+totals, the shards draw: all slots in source order are cut into as many equal strata as a shard has
+slots, and a keyed permutation (swap-or-not rounds) deals each stratum to the shards, one slot each
+(the last shard takes part in as many strata as it has slots). Another maps the slots of a source to
+blocks, one pass over all blocks per epoch, and slots meet blocks by index.
 
 Sources are ordered by code point, null last, and weigh 3, 1, 2, repeating. Together they get 150 %
 of all words; a target stops at twice its source's size and the excess is shared again by weight.
@@ -16,13 +17,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.llm.common import fresh, stored, unit, words_of
-from voxloom.operators.sequences import running_sum
+from voxloom.llm.common import fresh, stored, words_of
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
-#: Shards whose counts one task adds up; the sums of such spans are one row per source and span.
-SPAN_SHARDS = 4096
+#: Slots of one source that become rows at once.
+PART_SLOTS = 1 << 14
 #: Slots that one task fills.
 TASK_SLOTS = 1 << 17
 ROUNDS = 16
@@ -89,33 +89,24 @@ def block_uses(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     spark = plan.sparkSession
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     sources = plan.where("target > 0").withColumn("blocks", blocks)
-    wanted = F.col("target") * F.col("blocks") / F.col("source_size")
+    share = F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long")
+    wanted = F.least(F.col("blocks") * MOST, F.greatest(F.lit(1).cast("long"), share))
     order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    sources = stored(sources.withColumn("wanted", wanted).withColumn("high", F.sum("wanted").over(order)).withColumn("low", F.col("high") - F.col("wanted")))
-    total = sources.agg(F.max("high")).first()[0] or 0.0
-    slots = round(total)
+    sources = stored(sources.withColumn("wanted", wanted).withColumn("low", F.sum("wanted").over(order) - F.col("wanted")))
+    slots = sources.agg(F.sum("wanted")).first()[0] or 0
     if slots == 0:
         return spark.range(0).select(F.col("id").alias("shard"), F.col("id").alias("slot"), F.lit(0).alias("rank"), F.col("id").alias("epoch"), F.col("id").alias("block"))
-    scale = shard_slots / total
-    cells = sources.select(
-        "rank", (F.col("low") * scale).alias("low"), F.when(F.col("high") >= total, F.lit(float("inf"))).otherwise(F.col("high") * scale).alias("high"),
-        F.explode(F.sequence(F.floor(F.col("low") * scale), F.least(F.lit(shard_slots - 1).cast("long"), F.floor(F.col("high") * scale)))).alias("cell"),
-    )
-    drawn = spark.range(slots).select(F.floor(F.col("id") / shard_slots).alias("shard"), (F.col("id") % shard_slots).alias("i"))
-    width = F.least(F.lit(shard_slots), F.lit(slots) - F.col("shard") * shard_slots)
-    drawn = drawn.withColumn("x", (F.col("i") + unit(F.lit(seed), "shard", "i")) / width * shard_slots).withColumn("cell", F.floor("x"))
-    hits = drawn.join(stored(cells), "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-    counts = stored(hits.groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n")))
-    spans = counts.withColumn("span", F.floor(F.col("shard") / SPAN_SHARDS))
-    numbered = running_sum(spans, ["rank"], "span", ["shard"], F.col("n"), "first").withColumn("first", F.col("first") - F.col("n")).drop("span")
-    within = Window.partitionBy("shard").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = numbered.withColumn("place", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    numbered = numbered.repartition(-(-slots // TASK_SLOTS), "shard")  # a row of counts becomes many slots
-    each = numbered.select("shard", "rank", "first", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    each = each.join(sources.select("rank", "blocks"), "rank").withColumn("j", F.col("first") + F.col("k")).where(F.col("j") < MOST * F.col("blocks"))
-    epoch = F.floor(F.col("j") / F.col("blocks"))
-    return each.select("shard", "place", "k", "rank", "blocks", epoch.alias("epoch"), (F.col("j") % F.col("blocks")).alias("x")).select(
-        "shard", (F.col("place") + F.col("k")).alias("slot"), "rank", "epoch",
+    shards = -(-slots // shard_slots)
+    width = slots - (shards - 1) * shard_slots  # slots of the last shard
+    parts = sources.select("rank", "blocks", "low", "wanted", F.expr(f"explode(sequence(0L, (wanted - 1) div {PART_SLOTS})) as part"))
+    parts = parts.repartition(-(-slots // TASK_SLOTS))  # a part becomes many slots
+    each = parts.selectExpr("rank", "blocks", "low", f"explode(sequence(part * {PART_SLOTS}, least(wanted, (part + 1) * {PART_SLOTS}) - 1)) as j")
+    each = each.selectExpr("rank", "blocks", "j", "low + j as at", f"((low + j + 1) * {shard_slots} - 1) div {slots} as stratum")
+    each = each.selectExpr("*", f"(stratum * {slots}) div {shard_slots} as begin", f"((stratum + 1) * {slots}) div {shard_slots} as end")
+    each = each.selectExpr("rank", "blocks", "stratum", "at - begin as y", "end - begin as n", "j div blocks as epoch", "j % blocks as x")
+    each = each.withColumn("shard", permuted(F.col("y"), F.col("n"), F.lit(seed), F.col("stratum")))
+    return each.select(
+        "shard", F.expr(f"if(shard = {shards - 1}, (stratum * {width}) div {shard_slots}, stratum) as slot"), "rank", "epoch",
         permuted(F.col("x"), F.col("blocks"), F.lit(seed), F.col("rank"), F.col("epoch")).alias("block"),
     )
 
