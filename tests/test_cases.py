@@ -178,6 +178,30 @@ def test_frames_and_periodicity_reach_over_several_chunks(spark):
         assert abs(got - np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))) < 1e-9
 
 
+def test_periodicity_at_every_position_of_every_clip(spark):
+    import numpy as np
+    from voxloom.plans import queries_signal as q
+
+    sf_dir = "/root/testdata/sf0.001"
+    waves = {}
+    for r in q._placed(spark, sf_dir).select("clip_id", "idx", "sample").collect():
+        waves.setdefault(r.clip_id, {})[r.idx] = r["sample"]
+    got = {(r.clip_id, round(r.time_sec * q.RATE)): r for r in q.periodicity(spark, sf_dir).collect()}
+    assert len(got) == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert got.keys() == {(c, i) for c, w in waves.items() for i in w}
+    for (c, i), r in got.items():
+        f0, wave = 60 + i % 300, waves[c]
+        n, lag = math.ceil(max(0.04, 3 / f0) * q.RATE), int(np.round(q.RATE / f0))
+        value = rms = 0.0
+        if i + n <= len(wave):
+            s = np.array([wave[k] for k in range(i, i + n)]) / 32768
+            s -= s.mean()
+            a, b = s[: n - lag], s[lag:]
+            scale = np.sqrt(np.dot(a, a) * np.dot(b, b))
+            value, rms = (np.dot(a, b) / scale if scale > 1e-12 else 0.0), s[:4].std()
+        assert r.periodicity == pytest.approx(value, abs=1e-9) and r.rms == pytest.approx(rms, abs=1e-9)
+
+
 def test_bad_weights_are_rows_and_stop_only_their_key(spark):
     from voxloom.operators import sampling
 

@@ -164,7 +164,7 @@ def reference_gate(spark, sf_dir):
 
 @query("sig_15_periodicity")
 def periodicity(spark, sf_dir):
-    wanted = _placed(spark, sf_dir).where("idx % 25 = 0").select(
+    wanted = _placed(spark, sf_dir).select(
         "clip_id", (F.col("idx") / float(RATE)).alias("time_sec"), F.expr("6e1 + idx % 300").alias("f0"), F.lit(0.01).alias("step_sec"))
     return sig.periodicity(wanted, _chunks(spark, sf_dir))
 
