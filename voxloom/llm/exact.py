@@ -4,7 +4,8 @@ Texts are equal when identical after lower-casing A-Z. Copies meet by their byte
 aggregation that Spark combines before its shuffle, so a text that fills a third of the table is
 one row per task there. The distinct texts then go into the index: a directory of hash prefixes
 doubles until no bucket is overfull, owner tasks take whole buckets (key ranges) and chain keys
-that collide. Documents find their class through the index.
+that collide. The aggregation decides what stays and the size of each group; documents are joined to
+the rows of the index by key and digest, not by slot and bucket.
 
 Null text counts as empty. A null ``doc_id`` sorts below all others. Rows equal in ``doc_id`` and
 text cannot be told apart: one of them stays. Extra columns are left alone; an empty table gives an
