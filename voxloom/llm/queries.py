@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxloom.llm import chats, exact, languages, mixing, packing, personal, quality, recompression, simhash, suffixes
+from voxloom.llm import alignment, cascade, chats, exact, languages, merkle, mixing, packing, personal, quality, recompression, simhash, suffixes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,11 +54,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.resolve(_documents(spark, sf_dir))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(_documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(_documents(spark, sf_dir))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return cascade.verdicts(pages, cascade.junk_list(pages))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_quality_rules, op4_simhash_near_dedup, op5_chat_formatting,
         op6_mix_sources, op7_recompression_dedup, op8_personal_data, op9_language_id, op10_exact_dedup,
+        op11_token_alignment, op12_merkle_manifest, op13_url_filters,
     )
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,5 +139,71 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.host
 """
 
 
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _rising(name: str, leaves: str) -> str:
+    """A recursive table of all nodes above ``leaves`` (grp, pos, h, n)."""
+    return f"""{name}(grp, level, pos, h, n) AS (
+  SELECT grp, 0, pos, h, n FROM {leaves}
+  UNION ALL SELECT grp, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY grp, level, pos // 2, n)"""
+
+
+def _beside(stage: int, leaves: str, nodes: str, at: str) -> str:
+    """Siblings on the way up from position ``at`` of ``leaves``; null where a node is alone."""
+    return f"""SELECT uid, {stage} AS stage, a.level, b.h, b.pos < a.pos AS before FROM {leaves} x
+  JOIN {nodes} a ON a.grp = x.grp AND a.pos = x.{at} >> a.level AND a.n > 1
+  LEFT JOIN {nodes} b ON b.grp = a.grp AND b.level = a.level AND b.pos = xor(a.pos, 1)"""
+
+
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+  lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS uid, doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS grp, n_chars, {_CRC} % 7 = 0 AS hit,
+         {_field("doc_id")} || {_field("source")} || {_field("lang")} AS head, {_field("text")} AS tail FROM documents),
+l AS (SELECT *, sha256(head || {_field("n_chars")} || tail) AS h,
+             CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(head || {_field("n_chars + 1")} || tail) END AS changed FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM l),
+{_rising("inner_nodes", "leaves")},
+subroots AS (SELECT grp AS lang, h, '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM inner_nodes WHERE n = 1),
+{_rising("upper_nodes", "subroots")},
+placed AS (SELECT uid, s.grp, s.pos AS lang_pos, s.h AS subroot FROM leaves x JOIN subroots s ON s.lang = x.grp),
+steps AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY stage, level) AS step FROM (
+  {_beside(0, "leaves", "inner_nodes", "pos")} UNION ALL {_beside(1, "placed", "upper_nodes", "lang_pos")})),
+proofs AS (SELECT uid, coalesce(string_agg(h, '' ORDER BY step), '') AS proof FROM steps GROUP BY uid),
+fold(uid, step, h) AS (
+  SELECT uid, 0, coalesce(changed, h) FROM leaves
+  UNION ALL SELECT uid, s.step, sha256(CASE WHEN s.h IS NULL THEN f.h WHEN s.before THEN s.h || f.h ELSE f.h || s.h END)
+  FROM fold f JOIN steps s USING (uid) WHERE s.step = f.step + 1),
+ends AS (SELECT uid, arg_max(h, step) AS folded_root FROM fold GROUP BY uid)
+SELECT doc_id, leaves.h AS leaf, subroot, u.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = u.h AS verified
+FROM leaves JOIN placed USING (uid) JOIN ends USING (uid) LEFT JOIN proofs USING (uid) JOIN (SELECT h FROM upper_nodes WHERE n = 1) u ON true
+"""
+
+
+def _urls() -> str:
+    ordered = sorted(cascade.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in ordered]
+    rule = " ".join(f"WHEN {fit} THEN '{h + p}'" for fit, (_, h, p) in zip(fits, ordered, strict=True))
+    verdict = " ".join(f"WHEN {fit} THEN '{v}'" for fit, (v, _, _) in zip(fits, ordered, strict=True))
+    return f"""
+WITH p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+             regexp_matches(regexp_extract(coalesce(html, ''), '<title>([^<]*)</title>', 1), '%%%|[*][*][*]|###') AS junk FROM p),
+listed AS (SELECT host || path AS key FROM q WHERE junk AND host <> ''
+           UNION SELECT host FROM q WHERE host <> '' GROUP BY host HAVING avg(CAST(junk AS INTEGER)) >= 0.5),
+j AS (SELECT *, host <> '' AND (host IN (FROM listed) OR host || path IN (FROM listed)) AS listed FROM q)
+SELECT page_id, host, path, CASE {rule} END AS rule,
+       CASE {verdict} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM j
+"""
+
+
 #: The other operators hash with functions SQL lacks, iterate or train; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op3_quality_rules": _quality(), "op5_chat_formatting": _CHATS, "op10_exact_dedup": _EXACT}
+ORACLES: dict[str, str] = {"op3_quality_rules": _quality(), "op5_chat_formatting": _CHATS, "op10_exact_dedup": _EXACT,
+                           "op12_merkle_manifest": _MERKLE, "op13_url_filters": _urls()}
