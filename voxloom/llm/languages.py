@@ -10,7 +10,8 @@ corpus. The posterior multiplies the four.
 Items are documents (host: their source; no markup or address) and pages. Null or empty text leaves the
 other evidence to decide, and with none the corpus prior. A null host is a host of its own. Ties go to
 the language that sorts first. Repeated rows are items of their own; null ids are returned; extra
-columns are not read. Without labelled documents the language is null. At most ``MOST`` languages.
+columns are not read. Without labelled documents the language is null. Any number of languages:
+the driver and each task hold ``BINS`` numbers a language.
 """
 
 from __future__ import annotations
@@ -27,19 +28,49 @@ from voxloom.llm.common import stored
 from voxloom.session import ship_package
 
 TRAIN_DOCS = 500
-MOST = 64
 BINS = 1 << 13
 #: Trigrams of a text are far from independent: their evidence counts this much.
 TEMPER = 0.05
 STRENGTH = 10.0
 #: Before any count: so many items are taken to declare, or to have in their address, the language they are in.
 HONEST = 5.0
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
+_OPEN = re.compile(r"(script|style)\b", re.I)
+
+
+def _hidden(page: str, at: int, never: set[str]) -> int:
+    """End of what the ``<`` at this place hides, or -1. ``never``: closings that do not come any more."""
+
+    def closing(name: str, start: int) -> int:
+        if name in never:
+            return -1
+        if name in _CLOSE:
+            found = _CLOSE[name].search(page, start)
+            end = found.end() if found else -1
+        else:
+            end = page.find(name, start)
+            end += len(name) if end >= 0 else 0
+        if end < 0:
+            never.add(name)
+        return end
+
+    opened = _OPEN.match(page, at + 1)
+    if opened and (end := closing(opened[1].lower(), opened.end())) >= 0:
+        return end
+    if page.startswith("<!--", at) and (end := closing("-->", at + 4)) >= 0:
+        return end
+    return closing(">", at + 1)
 
 
 def visible(page: str | None) -> str:
-    """The text of a page without scripts, styles, comments and tags."""
-    return html.unescape(_HIDDEN.sub(" ", page or ""))
+    """The text of a page without scripts, styles, comments and tags, in one pass."""
+    text, out, at, never = page or "", [], 0, set()
+    while (start := text.find("<", at)) >= 0:
+        out.append(text[at:start])
+        end = _hidden(text, start, never)
+        out.append(" " if end >= 0 else "<")
+        at = end if end >= 0 else start + 1
+    return html.unescape("".join([*out, text[at:]]))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -54,8 +85,11 @@ def trigrams(text: str | None) -> np.ndarray:
 def fit(labelled: DataFrame, seed: int = 11) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities of trigrams) from rows (doc_id, text, lang)."""
     ship_package(labelled.sparkSession)
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    ids = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id").withColumn("r", F.row_number().over(pick)).where(F.col("r") <= TRAIN_DOCS)
+    # First within buckets of each language, then among what they leave: no task ranks a whole language.
+    order = [F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id")]
+    ids = labelled.where("lang is not null and doc_id is not null").select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(256)).alias("bucket"))
+    for keys in (["lang", "bucket"], ["lang"]):
+        ids = ids.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("r") <= TRAIN_DOCS).drop("r")
     sample = labelled.select("doc_id", "lang", "text").join(stored(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +101,12 @@ def fit(labelled: DataFrame, seed: int = 11) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bin", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()  # languages x BINS at most
-    langs = sorted({r["lang"] for r in rows})
-    if len(langs) > MOST:
-        raise ValueError(f"more than {MOST} languages")
+    rows = sample.mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # languages x BINS at most
+    named = rows.column("lang").to_pylist()
+    langs = sorted(set(named))
+    place = {lang: k for k, lang in enumerate(langs)}
     counts = np.full((len(langs), BINS), 0.1)
-    for r in rows:
-        counts[langs.index(r["lang"]), r["bin"]] += r["n"]
+    np.add.at(counts, ([place[lang] for lang in named], rows.column("bin").to_numpy()), rows.column("n").to_numpy())
     return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
 
 
@@ -108,7 +141,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
     top = found(F.col("host"), r"\.([a-z]+)$")
     return rows.select(
         F.lit(None).cast("long").alias("doc_id"), "page_id", F.col("html").alias("text"),
-        F.lower(found(F.col("html"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})")).alias("declared"),
+        F.lower(found(F.col("html"), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})(?![a-z])")).alias("declared"),
         F.nullif(F.concat_ws("/", top, F.col("path")), F.lit("")).alias("suffix"), "host", found(F.col("host"), r"([^.]+\.[^.]+)$").alias("domain"),
     )
 
@@ -121,15 +154,20 @@ def fuse(items: DataFrame, langs: list[str]) -> DataFrame:
     best = F.array_position("likes", F.array_max("likes")).cast("int")
     told = F.coalesce(F.array_max("likes") < 0, F.lit(False))  # a text without trigrams says nothing
     rows = items.withColumn("best", F.when(told, best))
-    tally = [F.sum((F.col("best") == k + 1).cast("long")) for k in range(n)]
-    counted = F.array(*[F.coalesce(t, F.lit(0)) for t in tally])
-    whole = rows.agg(counted.alias("n")).first()["n"]  # one number a language
+
+    def tallied(keys: list[str]) -> DataFrame:
+        """By ``keys`` the number of items of each language, as an array ``n``; counted as (keys, language) rows."""
+        pairs = rows.groupBy(*keys, "best").agg(F.count(F.lit(1)).alias("count"))
+        held = pairs.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "count")))).alias("held"))
+        return held.withColumn("n", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.coalesce(F.try_element_at("held", k), F.lit(0).cast("long")))).drop("held")
+
+    whole = (tallied([]).first() or {"n": [0] * n})["n"]  # one number a language
     total = sum(whole)
     prior = [(w + 1) / (total + n) for w in whole]
 
     def seen(column: str) -> DataFrame:
         """By value of noisy evidence: its log likelihood under each language, smoothed."""
-        counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(counted.alias("n"))
+        counts = tallied([column]).where(F.col(column).isNotNull())
         kinds = counts.agg(F.array(*[F.coalesce(F.sum(F.col("n")[k]), F.lit(0)) for k in range(n)]).alias("n"), F.count(F.lit(1)).alias("kinds")).first()
         scale = F.array(*[F.lit(float(x + 0.5 * kinds["kinds"] + HONEST)) for x in kinds["n"]])
         named = F.array(*[F.when((F.col(column) == x) | F.endswith(F.col(column), F.lit(f"/{x}")), HONEST).otherwise(0.0) for x in langs])
@@ -141,11 +179,22 @@ def fuse(items: DataFrame, langs: list[str]) -> DataFrame:
         return F.zip_with(counts, above, lambda c, p: (c + STRENGTH * p) / (size + STRENGTH))
 
     flat = F.array(*[F.lit(p) for p in prior])
-    domains = rows.where("domain is not null").groupBy("domain").agg(counted.alias("n")).select("domain", smoothed(F.col("n"), flat).alias("domain_prior"))
-    hosts = rows.where("host is not null").groupBy("host").agg(counted.alias("n"), F.max("domain").alias("domain"))
+    domains = tallied(["domain"]).where("domain is not null").select("domain", smoothed(F.col("n"), flat).alias("domain_prior"))
+    of_host = rows.where("host is not null").groupBy("host").agg(F.max("domain").alias("domain"))
+    hosts = tallied(["host"]).join(of_host, "host")
     hosts = hosts.join(domains, "domain", "left").select("host", F.transform(smoothed(F.col("n"), F.coalesce("domain_prior", flat)), F.ln).alias("host_log"))
     zero = F.array(*[F.lit(0.0)] * n)
-    out = rows.join(seen("declared"), "declared", "left").join(seen("suffix"), "suffix", "left").join(stored(hosts), "host", "left")
+
+    def told_by(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        """A left join in which rows without a value are dealt to a thousand keys that match nothing."""
+        dealt = F.when(F.col(column).isNull(), 1 + F.pmod(F.xxhash64("doc_id", "page_id"), F.lit(1000))).otherwise(F.lit(0)).cast("int")
+        left = left.withColumns({"key": F.coalesce(column, F.lit("")), "deal": dealt})
+        right = right.withColumnRenamed(column, "key").withColumn("deal", F.lit(0))
+        return left.join(right, ["key", "deal"], "left").drop("key", "deal")
+
+    out = told_by(rows, seen("declared"), "declared")
+    out = told_by(out, seen("suffix"), "suffix")
+    out = told_by(out, stored(hosts), "host")
     parts = [F.col("likes"), F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero), F.coalesce("host_log", F.transform(flat, F.ln))]
     score = parts[0]
     for p in parts[1:]:

@@ -10,7 +10,8 @@ with the largest that still fits, greedily. Smaller pieces, longest first, go to
 sequence that still has room.
 
 Token ids are those of ``byte_bpe_50k.json``; the same vocabulary in rank form is read by the faster
-of the two installed libraries (a test compares ids). Null text is empty: one piece with the end
+of the two installed libraries, and the other takes texts that this one gives up on, such as a million
+blanks in a row (tests compare ids). Null text is empty: one piece with the end
 mark alone. Repeated rows are packed as often as they come. A null ``doc_id`` is kept. Extra columns
 are left alone; an empty table gives an empty table. Only lone surrogates, which UTF-8 cannot hold,
 are replaced.
@@ -18,7 +19,6 @@ are replaced.
 
 from __future__ import annotations
 
-import base64
 from bisect import bisect_left
 from collections.abc import Iterator
 import zlib
@@ -29,27 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxloom.llm.common import stored
+from voxloom.llm.tokens import byte_ids
 from voxloom.session import ship_package
 
 CAPACITY = 1024
 END = 2
-_LOADED: dict = {}
-
-
-def encoder(name: str = "byte_bpe_50k.tiktoken"):
-    """The tokenizer of this process; ``<|endoftext|>`` in a text is its special token, as in the JSON form."""
-    if name not in _LOADED:
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(name), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        _LOADED[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-    return _LOADED[name]
 
 
 def token_ids(text: str | None, name: str = "byte_bpe_50k.tiktoken") -> np.ndarray:
-    found = encoder(name).encode(text or "", allowed_special="all")
+    """Ids of a whole text and the end mark; ``<|endoftext|>`` in a text is its special token, as in the JSON form."""
+    found = byte_ids(text or "", name, plain=False)
     found.append(END)
     return np.array(found, dtype="<u4")
 
@@ -173,7 +162,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = places(plan(totals, capacity))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before")
+    # These grow with the number of tasks: one plan at every size, a sort-merge join, never a broadcast.
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before")
     columns = [c for c in cut.columns if c not in ("part", "nth")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

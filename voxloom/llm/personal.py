@@ -11,7 +11,8 @@ There are at most 81 vote patterns and 20 feature cells, so the table of counts
 driver has at most 1,620 rows whatever the corpus; texts and spans never do. All work on rows is
 DataFrame functions.
 
-Null text is empty. Texts of any length are searched whole, in linear time. Repeated rows and null ids
+Null text is empty. Texts of any length are searched whole; work grows with the text and, by a
+logarithm more, with its hits. Repeated rows and null ids
 are returned as they come; extra columns are not read; an empty table gives an empty table. Offsets
 are code points, ends exclusive.
 """
@@ -42,19 +43,55 @@ VOTERS = 4
 _SPAN = "array<struct<start: int, end: int, hit: string, before: string>>"
 
 
+def scan(values: Column, combine) -> Column:
+    """Running ``combine`` (of two numbers) over an array, in as many rounds as its length has binary digits.
+
+    Each round takes in the value 1, 2, 4, ... places before; a fold that appends would copy its result
+    at every step.
+    """
+    rounds = F.slice(F.sequence(F.lit(0), F.lit(31)), F.lit(1), F.when(F.size(values) > 1, F.length(F.bin(F.size(values) - 1))).otherwise(F.lit(0)))
+
+    def one(done: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(done, lambda v, i: F.when(i < back, v).otherwise(combine(v, F.get(done, i - back))))
+
+    return F.aggregate(rounds, values, one)
+
+
 def hits(text: Column, rule: str) -> Column:
     """All leftmost non-overlapping hits: (start, end, hit, the 40 characters before it)."""
     found, between = F.regexp_extract_all(text, F.lit(rule), F.lit(0)), F.split(text, rule, -1)
+    pairs = F.filter(F.zip_with(between, found, lambda b, h: F.struct(b.alias("between"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
 
-    def step(done: Column, x: Column) -> Column:
-        start = done["at"] + F.length(x["between"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["between"], F.lit(40)).alias("before"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        ends = scan(F.transform(pairs, lambda p: F.length(p["between"]) + F.length(p["hit"])), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, lambda p, end: F.struct(
+            (end - F.length(p["hit"])).alias("start"), end.alias("end"), p["hit"].alias("hit"), F.right(p["between"], F.lit(40)).alias("before"),
+        ))
 
-    pairs = F.filter(F.zip_with(between, found, lambda b, h: F.struct(b.alias("between"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(pairs, none, step, lambda done: done["spans"])
+    return let(pairs, lambda p: F.when(F.size(p) == 0, F.array().cast(_SPAN)).otherwise(placed(p)))
+
+
+def apart(tokens: Column, others: Column) -> Column:
+    """The tokens that overlap none of the other spans.
+
+    Both stand in one array by start; running maxima of the ends before, and of the negated starts after,
+    tell what is next to each token.
+    """
+    last = F.lit(2**31 - 1)
+    marked = F.concat(
+        F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t.alias("token"))),
+        F.transform(others, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(None).cast(_SPAN[6:-1]).alias("token"))),
+    )
+
+    def free(rows: Column) -> Column:
+        ends = scan(F.transform(rows, lambda r: F.when(r["token"].isNull(), r["end"]).otherwise(0)), F.greatest)
+        starts = F.reverse(scan(F.transform(F.reverse(rows), lambda r: F.when(r["token"].isNull(), -r["start"]).otherwise(-last)), F.greatest))
+        joined = F.zip_with(F.zip_with(rows, ends, lambda r, e: F.struct(r["token"].alias("token"), e.alias("before"))), starts, lambda r, s: F.struct(
+            r["token"].alias("token"), ((r["before"] <= r["token"]["start"]) & (-s >= r["token"]["end"])).alias("free")))
+        return F.transform(F.filter(joined, lambda r: F.coalesce(r["free"], F.lit(False))), lambda r: r["token"])
+
+    return F.when((F.size(tokens) == 0) | (F.size(others) == 0), tokens).otherwise(let(F.sort_array(marked), free))
 
 
 def _digits(hit: Column) -> Column:
@@ -165,7 +202,7 @@ def spans(docs: DataFrame) -> DataFrame:
         "doc_id", base_spans(F.col("text")).alias("base"),
         F.when(F.col("text").rlike("[0-9]"), hits(F.col("text"), TOKEN)).otherwise(F.array().cast(_SPAN)).alias("tokens"),
     )
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    free = apart(F.col("tokens"), F.col("base"))
     voted = F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _votes(t).alias("code")))
     table = stored(rows.select("doc_id", "base", voted.alias("tokens")))
     codes = table.select(F.explode("tokens.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """Substring deduplication by recompression: repeated windows of 13 words go, the first stays.
 
-Words are named by hashes, the same everywhere. A round then names runs of one word (the word and its
+Words are named by a hash of their bytes under a key drawn for each run, the same everywhere in it, so
+that no two words can be chosen to share a name. A round then names runs of one word (the word and its
 length) as one symbol; two further rounds split the symbols into left and right ones by a bit of their
 names and name every adjacent left-right pair as one new symbol. What a round does to a symbol depends
 on its neighbours only, so equal substrings get equal symbols inside, whatever surrounds them: a second
@@ -16,7 +17,9 @@ are fine.
 
 from __future__ import annotations
 
+from functools import partial
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,14 @@ LONGEST = 4
 _PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _units(data: np.ndarray, lens: np.ndarray) -> tuple:
+def _names(raw: bytes, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+    """64-bit keyed hashes of words; each different word is hashed once."""
+    words = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
+    known = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little") for w in set(words)}
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def _units(data: np.ndarray, lens: np.ndarray, key: bytes = b"") -> tuple:
     """Names of words, words per document, and (start, end) of each word."""
     inside = (data != 32) & ((data < 9) | (data > 13))
     before = np.r_[False, inside[:-1]] if len(data) else inside
@@ -42,7 +52,7 @@ def _units(data: np.ndarray, lens: np.ndarray) -> tuple:
     after[border[1:] - 1] = False
     after[-1:] = False
     end = np.flatnonzero(inside & ~after) + 1
-    names = Rolling(data.astype(np.uint64) + np.uint64(1)).of(start, end - start)
+    names = _names(data.tobytes(), start, end, key)
     counts = np.searchsorted(start, ends) - np.searchsorted(start, ends - lens)
     return names, counts.astype(np.int64), (start, end)
 
@@ -110,4 +120,4 @@ def _report(with_kept: bool):
 def dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words."""
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept binary" * with_kept
-    return Passages(_units, _anchors, WINDOW, _report(with_kept), schema).marked(docs)
+    return Passages(partial(_units, key=secrets.token_bytes(16)), _anchors, WINDOW, _report(with_kept), schema).marked(docs)
