@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from voxloom.functions.measure import high_rank, low_rank
 from voxloom.operators import sampling, segmentation, selection, sequences as seq, signal, speakers
 from voxloom.operators.completion import choose_prompts
-from voxloom.sinks import versioned
+from voxloom.sinks import files, versioned
 
 
 @pytest.fixture(scope="module")
@@ -235,13 +235,57 @@ def test_hold_out(spark, n, held):
 
 
 def test_stale_writer_is_refused(spark, tmp_path):
-    path = str(tmp_path / "set")
-    one = versioned.save_if_unchanged(spark.range(3), path, None)
-    two = versioned.save_if_unchanged(spark.range(4), path, one)
-    for stale in (None, one):
-        with pytest.raises(versioned.RevisionConflict):
-            versioned.save_if_unchanged(spark.range(9), path, stale)
-    assert versioned.current_revision(spark, path) == (2, two) and versioned.read_current(spark, path).count() == 4
+    current = spark.createDataFrame([("a", 3), ("b", 1)], "dataset_id string, revision long")
+    saves = spark.createDataFrame(
+        [("a", 3, 2, "x"), ("a", 3, 1, "y"), ("a", 2, 0, "z"), ("b", None, 3, "u"), ("new", None, 5, "v"), ("new", None, 9, "w"), ("new2", 1, 1, "t")],
+        "dataset_id string, expected long, place long, body string")
+    judged = versioned.judge_saves(saves, current)
+    won = {(r.dataset_id, r.body, r.revision) for r in judged.collect() if r.outcome == "saved"}
+    assert won == {("a", "y", 4), ("new", "v", 1)} and judged.count() == 7
+    folder = str(tmp_path / "saves")
+    saved = versioned.save_all(judged, folder)
+    assert {(r.dataset_id, r.body, r.revision) for r in saved.collect()} == won
+    with pytest.raises(Exception, match="(?i)exists"):
+        versioned.save_all(judged, folder)
+    assert dict(map(tuple, versioned.advance(current, saved).collect())) == {"a": 4, "b": 1, "new": 1}
+    history = saved.unionByName(saved.withColumn("revision", F.col("revision") - 1).withColumn("body", F.lit("old")))
+    assert {r.body for r in versioned.latest_rows(history).collect()} == {"y", "v"}
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv", "json"])
+def test_what_is_published_comes_back(spark, tmp_path, form):
+    rows = [("j1", "a", "x \"y\", z\n\\q", 0.1 + 0.2), ("j1", "b", "", -1e-300), ("j2", "c", None, None), (" j 3/ü", "d", " s ", 1e17)]
+    df = spark.createDataFrame(rows, "job string, id string, text string, x double")
+    if form == "csv":
+        df = df.where("id <> 'a'")  # a line break inside a cell needs a reader that cannot split files
+    back = files.publish(df, str(tmp_path / "set"), "job", form)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert files.differences(back, df, ["id"]).count() == 0
+    assert [r.id for r in files.differences(back.where("id <> 'b'"), df, ["id"]).collect()] == ["b"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        files.publish(df, str(tmp_path / "set"), "job", form)
+
+
+def test_corrections_know_their_input(spark):
+    from voxloom.operators import completion
+
+    frames = spark.createDataFrame(
+        [("s", i, i * 0.01, 0.0 if i in (3, 4, 8) else 200.0 + i, 0.9, 0.5, 1.0, 0.95, 0.1) for i in range(14)],
+        "segment_id string, idx long, time_sec double, f0 double, f0_conf double, energy double, voicing double, periodicity double, rms double")
+    phones = spark.createDataFrame([("s", "a", 0.0, 1.0, 0.9)], "segment_id string, phoneme string, start_sec double, end_sec double, confidence double")
+    records = completion.correction_records(frames, phones, *completion.gap_decisions(frames, phones)).collect()
+    gaps = {r.start_frame: r for r in records if r.start_frame is not None}
+    assert len(records) == 3 and set(gaps) == {3, 8} and len({r.input_fingerprint for r in records}) == 1
+    for r in gaps.values():
+        assert len(r.original_values) == r.end_frame - r.start_frame and set(r.original_values) == {0.0}
+        assert (len(r.result_values) == len(r.original_values)) == (r.application_status == "applied")
+    before = completion.input_fingerprints(frames, phones).first().input_fingerprint
+    changed = [
+        completion.input_fingerprints(frames.withColumn("energy", F.when(F.col("idx") == 13, 0.4).otherwise(F.col("energy"))), phones),
+        completion.input_fingerprints(frames.where("idx <> 13"), phones), completion.input_fingerprints(frames, phones.withColumn("confidence", F.lit(0.8))),
+        completion.input_fingerprints(frames, phones, completion.GapSettings(max_gap_sec=0.05)),
+    ]
+    assert len({before, *(x.first().input_fingerprint for x in changed)}) == 5
 
 
 def test_assessment_ignores_input_order(spark):

@@ -1,56 +1,34 @@
-"""Named worker stages: opaque per-row work (models, external tools) behind one Arrow interface.
+"""Requests to worker stages: what is wrong with a request is a column, never a failed task.
 
-A stage takes a JSON payload per row and returns ``request_id, status, result, error``. A failing
-row is an error row; it never fails the task. Handlers are looked up by name inside the Python
-worker, so no driver data travels in closures, and expensive objects are loaded once per worker.
+A request is (request_id, command, payload), the payload JSON text. Handlers are column expressions over
+the parsed payload, so a stage stays one projection, whatever it is asked.
 """
 
 from __future__ import annotations
 
-import importlib
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.session import ship_package
+#: From the payload's fields (a map of texts) to the answer.
+Handler = Callable[[Column], Column]
 
-RESULT_SCHEMA = "request_id string, status string, result string, error string"
-_LOADED: dict[str, object] = {}
 
+def request_error(command: Column, fields: Column, needs: dict[str, tuple[str, ...]]) -> Column:
+    """The first thing wrong with a request, or null. ``needs`` names the fields of each known command."""
+    missing = F.lit(None).cast("string")
+    for name, wanted in needs.items():
+        for field in reversed(wanted):
+            missing = F.when((command == name) & ~F.map_contains_key(fields, field), F.lit(f"KeyError: '{field}'")).otherwise(missing)
+    known = F.coalesce(command.isin(*needs), F.lit(False))
+    return F.when(~known, F.lit("ValueError: unknown command")).when(fields.isNull(), F.lit("ValueError: payload is not an object")).otherwise(missing)
 
-def load_once(key: str, loader: Callable[[], object]) -> object:
-    """The object for ``key``, loaded at most once in this worker process."""
-    if key not in _LOADED:
-        _LOADED[key] = loader()
-    return _LOADED[key]
 
-
-def resolve(target: str) -> Callable[[dict], dict]:
-    """``package.module:function`` to the function, imported on first use."""
-    module, _, name = target.partition(":")
-    return load_once(target, lambda: getattr(importlib.import_module(module), name))
-
-
-def run_stage(requests: DataFrame, commands: dict[str, str]) -> DataFrame:
-    """Run each request (request_id, command, payload JSON). ``commands`` maps names to ``module:function``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for request_id, command, payload in zip(batch["request_id"], batch["command"], batch["payload"]):
-                try:
-                    if command not in commands:
-                        raise ValueError("unknown command")
-                    body = json.loads(payload)
-                    if not isinstance(body, dict):
-                        raise ValueError("payload is not an object")
-                    answer = json.dumps(resolve(commands[command])(body), ensure_ascii=False, allow_nan=False, sort_keys=True)
-                    rows.append((request_id, "ok", answer, None))
-                except Exception as error:
-                    rows.append((request_id, "error", None, f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(rows, columns=["request_id", "status", "result", "error"])
-
-    ship_package(requests.sparkSession)
-    return requests.select("request_id", "command", "payload").mapInPandas(run, RESULT_SCHEMA)
+def run_stage(requests: DataFrame, needs: dict[str, tuple[str, ...]], answers: dict[str, Handler]) -> DataFrame:
+    """(request_id, status, error, and one column for each answer; null where the request is refused)."""
+    read = requests.select("request_id", "command", F.from_json("payload", "map<string,string>").alias("fields"))
+    judged = read.withColumn("error", request_error(F.col("command"), F.col("fields"), needs))
+    fine = F.col("error").isNull()
+    return judged.select(
+        "request_id", F.when(fine, F.lit("ok")).otherwise(F.lit("error")).alias("status"), "error", *[F.when(fine, f(F.col("fields"))).alias(n) for n, f in answers.items()]
+    )

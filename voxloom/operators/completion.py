@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
 from voxloom.functions.measure import alignment_measured, asr_measured, blank, finite, in_unit, reasons
 from voxloom.functions.vectors import all_finite, group_vector_sum, norm
 from voxloom.functions.vocabulary import CORE_PHONES, FOREIGN_PHONES, PALATALIZED_PHONES, VOWELS
@@ -192,6 +193,45 @@ def gap_decisions(frames: DataFrame, phones: DataFrame, settings: GapSettings =
     return decisions, estimates.select("segment_id", "start_frame", "idx", F.col("f0").alias("original_f0"), "estimate")
 
 
+def input_fingerprints(frames: DataFrame, phones: DataFrame, settings: GapSettings = GapSettings()) -> DataFrame:
+    """(segment_id, input_fingerprint): all that gap filling reads of a segment, and the settings it used.
+
+    Sums of row digests, so a long clip is neither sorted nor collected; any frame or phone that changes,
+    comes or goes changes it.
+    """
+    seen = ("idx", "time_sec", "f0", "f0_conf", "energy", "voicing", "periodicity", "rms")
+    heard = ("phoneme", "start_sec", "end_sec", "confidence")
+    of_frames = set_fingerprint(frames, ["segment_id"], row_digest(*plain_columns(frames, *seen)), "_frames")
+    of_phones = set_fingerprint(phones, ["segment_id"], row_digest(*plain_columns(phones, *heard)), "_phones")
+    values = [F.rint(F.lit(float(x)) * 1e9).cast("long") for _, x in sorted(asdict(settings).items())]
+    both = of_frames.select("segment_id", "_frames").join(of_phones.select("segment_id", "_phones"), "segment_id", "left")
+    return both.select("segment_id", row_digest(F.lit(PITCH_METHOD), *values, F.col("segment_id"), F.col("_frames"), F.col("_phones")).alias("input_fingerprint"))
+
+
+def correction_records(frames: DataFrame, phones: DataFrame, decisions: DataFrame, estimates: DataFrame, settings: GapSettings = GapSettings()) -> DataFrame:
+    """One record for each segment's input and one for each gap, with the values before and after.
+
+    A record of a gap holds its original pitches in order, and the new ones if it was filled (else none).
+    A gap lies in one segment, and a series longer than ``MAX_FRAMES`` is refused by ``frame_problems``, so a
+    record is bounded. Results of a filled gap are found under its segment's input fingerprint.
+    """
+    prints = durable(input_fingerprints(frames, phones, settings))
+    inside = _gaps(frames).select("segment_id", "start_frame", "idx", "f0")
+    guessed = inside.join(estimates.select("segment_id", "idx", "estimate"), ["segment_id", "idx"], "left")
+    held = guessed.groupBy("segment_id", "start_frame").agg(F.sort_array(F.collect_list(F.struct("idx", "f0", "estimate"))).alias("_v"))
+    place = F.concat(F.lit(f"features/completion/{PITCH_METHOD}/"), F.col("input_fingerprint"), F.lit("/f0.json"))
+    gaps = decisions.join(held, ["segment_id", "start_frame"]).join(prints, "segment_id").select(
+        "segment_id", "state", "method", "application_status", "confidence", "reason", "phoneme", "start_frame", "end_frame",
+        F.transform("_v", lambda x: x["f0"]).alias("original_values"),
+        F.when(F.col("applied"), F.transform("_v", lambda x: x["estimate"])).otherwise(F.array().cast("array<double>")).alias("result_values"),
+        F.when(F.col("applied"), place).alias("result_path"), "input_fingerprint",
+    )
+    none = {f.name: F.lit(None).cast(f.dataType) for f in gaps.schema}
+    fixed = {"state": F.lit("observed"), "method": F.lit("pitch-input-snapshot"), "application_status": F.lit("not_required")}
+    inputs = prints.select(*[F.col(c) if c in prints.columns else fixed.get(c, none[c]).alias(c) for c in gaps.columns])
+    return inputs.unionByName(gaps)
+
+
 def filled_frames(frames: DataFrame, decisions: DataFrame, estimates: DataFrame) -> DataFrame:
     """Frames with accepted estimates in place; all others untouched."""
     new = estimates.join(decisions.where("applied").select("segment_id", "start_frame", F.col("confidence").alias("_c")), ["segment_id", "start_frame"]).select("segment_id", "idx", "estimate", "_c")

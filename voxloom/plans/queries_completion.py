@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from voxloom.operators import completion as c
 from voxloom.plans import views as v
 from voxloom.plans.queries_text import APPLIED, _applied
 from voxloom.plans.queries_dataset import PRINT, snapshot_print
+from voxloom.plans.queries_jobs import billionths, digest_sql, set_print_sql
 from voxloom.plans.registry import query
 from voxloom.session import durable
 
@@ -103,6 +106,28 @@ def frame_audit(spark, sf_dir):
     return c.frame_problems(_stored_series(spark, sf_dir))
 
 
+_SETTINGS = [str(round(float(x) * 1e9)) for _, x in sorted(asdict(c.GapSettings()).items())]
+_MILLIONTHS = "array_to_string(list_transform({0}, lambda x: CAST(CAST(x * 1e6 AS BIGINT) AS VARCHAR)), ',')"
+RECORDS = GAPS + ", pf AS (" + set_print_sql("frames", "segment_id", digest_sql("idx", *map(billionths, ("time_sec", "f0", "f0_conf", "energy", "voicing", "periodicity", "rms"))), "f") + "), pp AS (" + set_print_sql(
+    "clip_phones", "segment_id", digest_sql("phoneme", *map(billionths, ("start_sec", "end_sec", "confidence"))), "p") + """),
+ pr AS (SELECT pf.segment_id, """ + digest_sql("'short-vowel-gap-1'", *[f"'{x}'" for x in _SETTINGS], "pf.segment_id", "f", "p") + """ AS input_fingerprint FROM pf LEFT JOIN pp USING (segment_id)),
+ vals AS (SELECT i.segment_id, i.start_frame, list(i.f0 ORDER BY i.idx) AS was, list(es.estimate ORDER BY i.idx) AS new FROM isl i LEFT JOIN es USING (segment_id, idx) WHERE i.need GROUP BY ALL)
+"""
+
+
+@query("cmp_7_corrections", "frames clip_phones", RECORDS + f"""SELECT segment_id, 'observed' AS state, 'pitch-input-snapshot' AS method, 'not_required' AS application_status, NULL::DOUBLE AS confidence, NULL AS reason, NULL AS phoneme, NULL::BIGINT AS start_frame, NULL::BIGINT AS end_frame,
+  NULL AS original_values, NULL AS result_values, NULL AS result_path, input_fingerprint FROM pr
+UNION ALL SELECT d.segment_id, CASE WHEN reason IS NULL THEN 'estimated' ELSE 'weak_observed' END, 'short-vowel-gap-1', CASE WHEN reason IS NULL THEN 'applied' ELSE 'deferred' END, round(CASE WHEN reason IS NULL THEN conf ELSE 0 END, 9), reason, phoneme, d.start_frame, end_frame,
+  {_MILLIONTHS.format("was")}, CASE WHEN reason IS NULL THEN {_MILLIONTHS.format("new")} ELSE '' END, CASE WHEN reason IS NULL THEN concat('features/completion/short-vowel-gap-1/', input_fingerprint, '/f0.json') END, input_fingerprint
+FROM dec d JOIN vals USING (segment_id, start_frame) JOIN pr ON pr.segment_id = d.segment_id""")
+def corrections(spark, sf_dir):
+    frames = durable(v.frames(spark, sf_dir))
+    phones = v.clip_phones(spark, sf_dir, frames)
+    out = c.correction_records(frames, phones, *c.gap_decisions(frames, phones))
+    text = lambda name: F.array_join(F.transform(name, lambda x: F.rint(x * 1e6).cast("long").cast("string")), ",").alias(name)
+    return out.withColumn("confidence", F.round("confidence", 9)).select(*[text(n) if n.endswith("_values") else n for n in out.columns])
+
+
 @query("cmp_7_resummarized", "frames clip_phones", GAPS + """, ranked AS (SELECT segment_id, f0, row_number() OVER (PARTITION BY segment_id ORDER BY f0) AS r, count(*) OVER (PARTITION BY segment_id) AS n FROM fil WHERE f0 > 0),
  ends AS (SELECT segment_id, max(n) AS n, max(f0) FILTER (r = greatest(1, CAST(floor(n * 1e-1) AS BIGINT))) AS lo, max(f0) FILTER (r = least(n, CAST(floor(n * 9e-1) AS BIGINT) + 1)) AS hi FROM ranked GROUP BY ALL)
 SELECT f.segment_id, round(coalesce(avg(f0) FILTER (f0 > 0), 0), 6) AS mean_f0_hz, round(coalesce(stddev_pop(f0) FILTER (f0 > 0), 0), 6) AS f0_std_dev_hz, round(avg(CASE WHEN voicing >= 5e-1 THEN 1e0 ELSE 0e0 END), 9) AS voiced_ratio,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,6 +11,7 @@ from voxloom.operators import dataset as d, speakers
 from voxloom.plans import views as v
 from voxloom.plans.queries_jobs import billionths, digest_sql, json_sql, set_print_sql
 from voxloom.plans.registry import query
+from voxloom.session import shared_folder
 from voxloom.sinks import versioned
 
 
@@ -214,36 +215,54 @@ def legacy_import(spark, sf_dir):
     return out.select("segment_id", F.col("asr_confidence.value").alias("asr_value"), F.col("asr_confidence.status").alias("asr_status"), F.col("alignment_confidence.value").alias("alignment_value"), F.col("alignment_confidence.status").alias("alignment_status"))
 
 
-@query("snk_1_versioned_save")
+SAVES = """WITH cur AS (SELECT c_custkey AS dataset_id, c_custkey % 4 AS revision FROM customer WHERE c_custkey % 10 <> 0),
+ s AS (SELECT o_orderkey AS place, o_custkey AS dataset_id, CASE WHEN o_custkey % 10 = 0 AND o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 4 END AS expected, o_totalprice AS price FROM orders),
+ j AS (SELECT s.*, revision AS now, expected IS NOT DISTINCT FROM revision AS fits FROM s LEFT JOIN cur USING (dataset_id)),
+ w AS (SELECT *, coalesce(fits AND place = min(place) FILTER (fits) OVER (PARTITION BY dataset_id), false) AS won FROM j)
+"""
+
+
+def _saves(spark, sf_dir):
+    """Every order is a save of its customer's dataset; every tenth dataset is new."""
+    key = F.col("o_custkey")
+    expected = F.when((key % 10 == 0) & (F.col("o_orderkey") % 3 == 0), F.lit(None)).otherwise(F.col("o_orderkey") % 4)
+    saves = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("place"), key.alias("dataset_id"), expected.cast("long").alias("expected"), F.col("o_totalprice").alias("price"))
+    current = v.table(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("dataset_id"), (F.col("c_custkey") % 4).cast("long").alias("revision"))
+    return saves, current
+
+
+@query("snk_1_versioned_save", sql=SAVES + "SELECT place, dataset_id, CASE WHEN won THEN 'saved' ELSE 'stale' END AS outcome, CASE WHEN won THEN coalesce(now, 0) + 1 END AS revision, CASE WHEN won THEN price END AS price FROM w")
 def versioned_save(spark, sf_dir):
-    """Save, save again on the right revision, and be refused on a stale one."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{root}/versioned-{spark.sparkContext.applicationId}-{id(object())}" if root else tempfile.mkdtemp(prefix="spark-versioned-", dir="/tmp")
-    segs = v.segments(spark, sf_dir).select("segment_id", "speaker_id", "content_type")
-    first = versioned.save_if_unchanged(segs, folder, None)
-    second = versioned.save_if_unchanged(segs.where("speaker_id IS NOT NULL"), folder, first)
-    try:
-        versioned.save_if_unchanged(segs, folder, first)
-        outcome = "accepted"
-    except versioned.RevisionConflict:
-        outcome = "refused"
-    return versioned.read_current(spark, folder).groupBy("content_type").agg(F.count(F.lit(1)).alias("n")).withColumns({"stale_writer": F.lit(outcome), "revision": F.lit(second[:8])})
+    """Every save with its outcome; the accepted ones as they come back from their files."""
+    judged = versioned.judge_saves(*_saves(spark, sf_dir))
+    saved = versioned.save_all(judged, f"{shared_folder(spark)}/saves-{uuid.uuid4().hex}")
+    accepted = saved.select("place", "dataset_id", F.lit("saved").alias("outcome"), "revision", "price")
+    refused = judged.where("outcome = 'stale'").select("place", "dataset_id", "outcome", F.lit(None).cast("long").alias("revision"), F.lit(None).cast("double").alias("price"))
+    return accepted.unionByName(refused)
 
 
-def count_letters(payload: dict) -> dict:
-    """Demonstration handler: needs ``text``."""
-    seen = stages.load_once("letters", lambda: frozenset("abcdefghijklmnopqrstuvwxyz"))
-    return {"letters": sum(c in seen for c in payload["text"].lower()), "length": len(payload["text"])}
+@query("snk_1_revisions", sql=SAVES + "SELECT dataset_id, max(revision) AS revision FROM (SELECT dataset_id, revision FROM cur UNION ALL SELECT dataset_id, coalesce(now, 0) + 1 FROM w WHERE won) GROUP BY ALL")
+def revisions(spark, sf_dir):
+    """The revision of every dataset after the saves."""
+    saves, current = _saves(spark, sf_dir)
+    return versioned.advance(current, versioned.judge_saves(saves, current).where("outcome = 'saved'"))
 
 
-COMMANDS = {"extract_universal_features": "voxloom.plans.queries_dataset:count_letters"}
+NEEDS = {"extract_universal_features": ("text",)}
 
 
 def _stage(spark, sf_dir):
     asked = v.table(spark, sf_dir, "conversations").select(
         F.expr("concat(cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))").alias("request_id"), F.expr("CASE turn % 5 WHEN 4 THEN 'fly' ELSE 'extract_universal_features' END").alias("command"),
         F.when(F.col("turn") % 5 == 3, F.lit("[1]")).when(F.col("turn") % 5 == 2, F.lit("{}")).otherwise(F.to_json(F.struct("text"))).alias("payload"))
-    return stages.run_stage(asked, COMMANDS)
+    return stages.run_stage(asked, NEEDS, {})
+
+
+def _answers(spark, sf_dir):
+    """A well-formed request for every turn, and what comes back."""
+    asked = v.table(spark, sf_dir, "conversations").select(
+        F.expr("concat(cast(conv_id as varchar(20)), '/', cast(turn as varchar(20)))").alias("request_id"), F.lit("extract_universal_features").alias("command"), F.to_json(F.struct("text")).alias("payload"))
+    return stages.run_stage(asked, NEEDS, {"letters": lambda f: F.regexp_count(F.lower(f["text"]), F.lit("[a-z]")).cast("long"), "n": lambda f: F.length(f["text"]).cast("long")})
 
 
 @query("udf_1_stage_status", sql="SELECT concat(conv_id, '/', turn) AS request_id, CASE WHEN turn % 5 < 2 THEN 'ok' ELSE 'error' END AS status, CASE turn % 5 WHEN 2 THEN 'KeyError: ''text''' WHEN 3 THEN 'ValueError: payload is not an object' WHEN 4 THEN 'ValueError: unknown command' END AS error FROM conversations")
@@ -251,11 +270,11 @@ def stage_status(spark, sf_dir):
     return _stage(spark, sf_dir).select("request_id", "status", "error")
 
 
-@query("udf_2_cached_resource", sql="SELECT concat(conv_id, '/', turn) AS request_id, len(regexp_extract_all(lower(text), '[a-z]')) AS letters FROM conversations WHERE turn % 5 < 2")
+@query("udf_2_cached_resource", sql="SELECT concat(conv_id, '/', turn) AS request_id, len(regexp_extract_all(lower(text), '[a-z]')) AS letters FROM conversations")
 def cached_resource(spark, sf_dir):
-    return _stage(spark, sf_dir).where("status = 'ok'").select("request_id", F.get_json_object("result", "$.letters").cast("long").alias("letters"))
+    return _answers(spark, sf_dir).select("request_id", "letters")
 
 
-@query("udf_3_injected_values", sql="SELECT concat(conv_id, '/', turn) AS request_id, length(text) AS n FROM conversations WHERE turn % 5 < 2")
+@query("udf_3_injected_values", sql="SELECT concat(conv_id, '/', turn) AS request_id, length(text) AS n FROM conversations")
 def injected_values(spark, sf_dir):
-    return _stage(spark, sf_dir).where("status = 'ok'").select("request_id", F.get_json_object("result", "$.length").cast("long").alias("n"))
+    return _answers(spark, sf_dir).select("request_id", "n")

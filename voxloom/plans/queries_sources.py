@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voxloom.functions.measure import valid_singing_alignment
 from voxloom.operators import text
 from voxloom.plans import views as v
 from voxloom.plans.registry import query
-from voxloom.sinks import datasets as sink
+from voxloom.session import shared_folder
+from voxloom.sinks import datasets as sink, files
 from voxloom.sources import media, series
 
 VERSION = "analysis-2"
@@ -162,9 +165,14 @@ def refused_lines(spark, sf_dir):
     return sink.talk_lines(_talk(spark, sf_dir))[1]
 
 
-def _singing(spark, sf_dir):
+def _singing(spark, sf_dir, *more):
     segs = v.phoned_segments(spark, sf_dir).where("content_type = 'singing' AND speaker_id IS NOT NULL")
-    return sink.singing_items(segs.where(valid_singing_alignment()))
+    return sink.singing_items(segs.where(valid_singing_alignment()), *more)
+
+
+def _published(spark, df, form):
+    """One folder a speaker's job, written below the shared folder and read back."""
+    return files.publish(df, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", "speaker_id", form)
 
 
 SINGING = """, it AS (SELECT p.*, s.speaker_id FROM phonemes p JOIN segments s USING (segment_id) JOIN aligned a USING (segment_id) WHERE s.content_type = 'singing' AND s.speaker_id IS NOT NULL AND valid_alignment)
@@ -173,14 +181,17 @@ SINGING = """, it AS (SELECT p.*, s.speaker_id FROM phonemes p JOIN segments s U
 
 @query("snk_3_singing_items", "segments phonemes aligned", SINGING + """SELECT segment_id, string_agg(phoneme, ' ' ORDER BY pos) AS phones, count(*)::INTEGER AS n, round(sum(greatest(0, end_sec - start_sec)), 6) AS seconds, max(start_sec) AS last_start, max(end_sec) AS last_end FROM it GROUP BY ALL""")
 def singing_items(spark, sf_dir):
-    items = _singing(spark, sf_dir)
+    """The singing sets as they come back from their JSON files."""
+    items = _published(spark, _singing(spark, sf_dir, "speaker_id"), "json")
     return items.select("segment_id", F.array_join("phones", " ").alias("phones"), F.size("durations").alias("n"), F.round(F.aggregate("durations", F.lit(0.0), lambda a, x: a + x), 6).alias("seconds"),
                         F.array_max("starts").alias("last_start"), F.array_max("ends").alias("last_end"))
 
 
 @query("snk_4_transcription_rows", "segments phonemes aligned", SINGING + "SELECT concat('segment_', sha256(segment_id)) AS name, string_agg(phoneme, ' ' ORDER BY pos) AS ph_seq, string_agg(format('{:.12g}', end_sec - start_sec), ' ' ORDER BY pos) AS ph_dur FROM it GROUP BY segment_id")
 def transcription_rows(spark, sf_dir):
-    return sink.transcription_rows(_singing(spark, sf_dir))
+    """The transcription tables as they come back from their CSV files."""
+    rows = sink.transcription_rows(_singing(spark, sf_dir, "speaker_id"), "speaker_id")
+    return _published(spark, rows, "csv").drop("speaker_id")
 
 
 @query("snk_5_phone_dictionary", "segments phonemes aligned", SINGING + "SELECT DISTINCT phoneme AS phone, concat(phoneme, chr(9), phoneme) AS entry FROM it")

@@ -41,11 +41,14 @@ def word_timing(spark, sf_dir):
     ).withColumn("phones", F.greatest("phones", F.lit(0).cast("long")))
 
 
-@query("txt_2_decode_confidence", sql="""WITH m AS (SELECT conv_id, avg(CASE WHEN role <> 'system' THEN -(length(text) % 37) / 1e1 END) AS m, bool_or(length(trim(text)) > 0) AS has FROM conversations WHERE conv_id % 7 <> 0 OR role = 'system' GROUP BY ALL)
+_LOGPROB = "CASE WHEN role <> 'system' AND conv_id % 7 <> 0 THEN -(length(text) % 37) / 1e1 END"
+
+
+@query("txt_2_decode_confidence", sql=f"""WITH m AS (SELECT conv_id, avg({_LOGPROB}) AS m, bool_or(length(trim(text)) > 0) AS has FROM conversations GROUP BY ALL)
 SELECT conv_id, round(CASE WHEN m IS NULL THEN CASE WHEN has THEN 5e-1 ELSE 0e0 END ELSE 1 / (1 + exp(-2 * (m + 1))) END, 9) AS confidence FROM m""")
 def decode_confidence(spark, sf_dir):
-    rows = v.table(spark, sf_dir, "conversations").where("conv_id % 7 <> 0 OR role = 'system'")
-    m = rows.groupBy("conv_id").agg(F.avg(F.expr("CASE WHEN role <> 'system' THEN -(length(text) % 37) / 1e1 END")).alias("m"), F.bool_or(F.length(F.trim("text")) > 0).alias("has"))
+    """All turns of all conversations; a seventh of the conversations has turns but no decoded segment."""
+    m = v.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.avg(F.expr(_LOGPROB)).alias("m"), F.bool_or(F.length(F.trim("text")) > 0).alias("has"))
     return m.select("conv_id", F.round(t.decode_confidence(F.col("m"), F.col("has")), 9).alias("confidence"))
 
 

@@ -27,13 +27,11 @@ def local_session(cores: str | int = "*", app: str = "voxloom") -> SparkSession:
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise a table outside executor memory so that a lost executor changes nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Uses the checkpoint folder the cluster names in ``spark.checkpoint.dir``; only where none
-    is configured (local tests) a scratch folder is chosen.
+    Only where none is configured (local tests) a scratch folder is chosen.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if spark.conf.get("spark.checkpoint.dir", None) is None and not re.match(r"local($|\[)", context.master):
@@ -41,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
         )
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise a table outside executor memory so that a lost executor changes nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

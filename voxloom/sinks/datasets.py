@@ -27,11 +27,11 @@ def write_talk_list(lines: DataFrame, path: str) -> None:
     lines.orderBy("segment_id").select("line").write.mode("errorifexists").text(path)
 
 
-def singing_items(segments: DataFrame) -> DataFrame:
-    """Parallel phone, duration, start and end arrays per segment."""
+def singing_items(segments: DataFrame, *more: str) -> DataFrame:
+    """Parallel phone, duration, start and end arrays per segment; ``more`` columns are kept."""
     p = F.col("phonemes")
     return segments.select(
-        "segment_id", "transcript", F.transform(p, lambda x: x["phoneme"]).alias("phones"),
+        *more, "segment_id", "transcript", F.transform(p, lambda x: x["phoneme"]).alias("phones"),
         F.transform(p, lambda x: F.greatest(F.lit(0.0), x["end_sec"] - x["start_sec"])).alias("durations"),
         F.transform(p, lambda x: x["start_sec"]).alias("starts"), F.transform(p, lambda x: x["end_sec"]).alias("ends"),
     )
@@ -49,10 +49,10 @@ def clip_name(segment_id: Column) -> Column:
     return F.concat(F.lit("segment_"), F.sha2(segment_id, 256))
 
 
-def transcription_rows(items: DataFrame) -> DataFrame:
-    """name, ph_seq, ph_dur of every clip."""
+def transcription_rows(items: DataFrame, *more: str) -> DataFrame:
+    """name, ph_seq, ph_dur of every clip; ``more`` columns are kept."""
     lengths = F.transform(F.arrays_zip("starts", "ends"), lambda x: significant(x["ends"] - x["starts"]))
-    return items.select(clip_name(F.col("segment_id")).alias("name"), F.array_join("phones", " ").alias("ph_seq"), F.array_join(lengths, " ").alias("ph_dur"))
+    return items.select(*more, clip_name(F.col("segment_id")).alias("name"), F.array_join("phones", " ").alias("ph_seq"), F.array_join(lengths, " ").alias("ph_dur"))
 
 
 def phone_dictionary(items: DataFrame) -> DataFrame:

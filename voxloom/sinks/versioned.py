@@ -1,64 +1,46 @@
-"""Versioned dataset folders with compare-and-swap commits.
+"""Saves that hold only on the revision they were made from.
 
-Each version is an immutable folder. A commit is one small file ``_commits/<number>`` created with
-"fail if it exists": of two writers that read the same revision, only one gets the next number, and
-readers never see a half-written version. Works on any Hadoop file system with atomic create.
+Each dataset has a current revision. A save names the revision it was read at; a join decides which
+saves still hold, and of several in one batch the first wins. What is accepted is written once, an
+ordinary Parquet table partitioned by the new revision; the rest come back as rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from voxloom.functions.fingerprints import row_digest, set_fingerprint
-from pyspark.sql import functions as F
+from voxloom.sinks.files import publish
 
 
-class RevisionConflict(RuntimeError):
-    """The dataset moved on since it was read."""
+def judge_saves(saves: DataFrame, current: DataFrame) -> DataFrame:
+    """``saves`` (dataset_id, expected, place, ...) with ``outcome`` and the new ``revision``.
 
+    ``current`` has one row a dataset: dataset_id, revision. A new dataset has none and is saved under
+    ``expected`` null. Of saves on the right revision the smallest ``place`` is accepted, the others are
+    as stale as those on another revision. A dataset may get any number of saves: the first is found by
+    a partial aggregate, not by a window.
+    """
+    now = current.select("dataset_id", F.col("revision").alias("_now"))
+    joined = saves.join(now, "dataset_id", "left").withColumn("_fits", F.col("expected").eqNullSafe(F.col("_now")))
+    first = joined.where("_fits").groupBy("dataset_id").agg(F.min("place").alias("_first"))
+    won: Column = F.coalesce(F.col("_fits") & (F.col("place") == F.col("_first")), F.lit(False))
+    return joined.join(first, "dataset_id", "left").select(
+        *saves.columns, F.when(won, F.lit("saved")).otherwise(F.lit("stale")).alias("outcome"), F.when(won, F.coalesce("_now", F.lit(0).cast("long")) + 1).alias("revision"),
+    )
 
-def _files(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
 
+def save_all(judged: DataFrame, folder: str) -> DataFrame:
+    """Write the accepted saves, one folder a revision, and read them back; refuses a folder that exists."""
+    return publish(judged.where("outcome = 'saved'").drop("outcome"), folder, "revision")
 
-def current_revision(spark: SparkSession, path: str) -> tuple[int, str | None]:
-    """(commit number, revision); (0, None) for a new dataset."""
-    jvm, fs, root = _files(spark, path)
-    commits = jvm.org.apache.hadoop.fs.Path(root, "_commits")
-    if not fs.exists(commits):
-        return 0, None
-    numbers = [int(s.getPath().getName()) for s in fs.listStatus(commits) if s.getPath().getName().isdigit()]
-    if not numbers:
-        return 0, None
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(commits, f"{max(numbers):08d}"))
-    try:
-        return max(numbers), bytes(stream.readAllBytes()).decode("utf-8")
-    finally:
-        stream.close()
 
+def advance(current: DataFrame, saved: DataFrame) -> DataFrame:
+    """The revisions after the saves: one row a dataset."""
+    both = current.select("dataset_id", "revision").unionByName(saved.select("dataset_id", "revision"))
+    return both.groupBy("dataset_id").agg(F.max("revision").alias("revision"))
 
-def read_current(spark: SparkSession, path: str) -> DataFrame | None:
-    _, revision = current_revision(spark, path)
-    return None if revision is None else spark.read.parquet(f"{path}/rev={revision}")
 
-
-def save_if_unchanged(df: DataFrame, path: str, expected: str | None) -> str:
-    """Write a new version, or raise RevisionConflict when ``expected`` is no longer current."""
-    spark = df.sparkSession
-    number, revision = current_revision(spark, path)
-    if revision != expected:
-        raise RevisionConflict(f"expected revision {expected}, found {revision}")
-    digest = row_digest(*[F.to_json(F.struct(F.col(c))) for c in sorted(df.columns)])
-    found = set_fingerprint(df, [], digest).collect()[0]["fingerprint"]
-    new = f"{number + 1:08d}-{found[:16]}"
-    df.write.mode("overwrite").parquet(f"{path}/rev={new}")
-    jvm, fs, root = _files(spark, path)
-    try:
-        stream = fs.create(jvm.org.apache.hadoop.fs.Path(root, f"_commits/{number + 1:08d}"), False)
-    except Exception as error:  # the file system refuses a second writer of the same number
-        raise RevisionConflict("another writer committed first") from error
-    stream.write(bytearray(new.encode("utf-8")))
-    stream.close()
-    return new
+def latest_rows(history: DataFrame) -> DataFrame:
+    """Of everything saved, the rows of each dataset's last revision."""
+    newest = Window.partitionBy("dataset_id").orderBy(F.desc("revision"))
+    return history.withColumn("_n", F.rank().over(newest)).where("_n = 1").drop("_n")
