@@ -365,3 +365,32 @@ def test_window_sums_inside_chunks_equal_plain_windows(spark):
         quiet = [np.sqrt(np.mean(s[i : i + block].astype(float) ** 2)) / 32768 < 0.008 for i in range(0, len(s), block)]
         assert facts[c].silence_ratio == pytest.approx(np.mean(quiet)) and facts[c].clipping_ratio == pytest.approx((level >= 32760).mean())
     assert windows == len(found)
+
+
+def test_a_record_is_known_by_its_digest(spark):
+    from voxloom.operators import text
+
+    kind = "segment_id string, audio_sha256 string, duration_sec double, conditions struct<model:string,rate:int>, phonemes array<struct<phoneme:string,start_sec:double,end_sec:double,confidence:double>>, entries array<struct<start:double,end:double,label:string>>"
+    row = ("s", "a", 1.5, ("m", 16000), [("a", 0.1, 0.4, 0.9)], [(0.1, 0.4, "a"), (0.4, 0.5, "sil")])
+    tampered = [
+        ("s", "a", 1.5, ("m", 16001), *row[4:]), (*row[:4], [("a", 0.1, 0.4, 0.91)], row[5]), (*row[:4], [("a", 0.1, 0.4000001, 0.9)], row[5]), (*row[:5], [(0.1, 0.4, "a"), (0.4, 0.6, "sil")]),
+        (*row[:5], row[5][:1]), (*row[:2], 1.6, *row[3:]), (*row[:5], None), ("s", None, *row[2:]),
+    ]
+    df = spark.createDataFrame([row, row, *tampered], kind)
+    found = [r[0] for r in df.select(text.record_print(df)).collect()]
+    assert found[0] == found[1] and len(set(found)) == 1 + len(tampered)
+
+
+def test_observations_are_known_by_their_phones(spark):
+    from voxloom.operators import completion
+
+    kind = "segment_id string, speaker_id string, source_id string, content_type string, asr_confidence double, alignment_confidence double, phonemes array<struct<phoneme:string,start_sec:double,end_sec:double,confidence:double>>"
+
+    def prints(*phones, source="src"):
+        rows = [("s1", "spk", source, "speech", 0.9, 0.9, list(phones)), ("s2", "spk", "src", "speech", 0.1, 0.9, [("x", 0.0, 1.0, 0.9)])]
+        return [r.observation_fingerprint for r in completion.observation_prints(spark.createDataFrame(rows, kind)).collect()]
+
+    a, o = ("a", 0.0, 0.1, 0.9), ("o", 0.1, 0.2, 0.9)
+    assert prints(a, o, ("k", 0.2, 0.3, 0.1)) == prints(a, o)  # unreliable phones do not count
+    assert prints(a, o, source="generated:1") == []
+    assert len({prints(*x)[0] for x in ((a, o), (o, a), (a,), (a, a), (a, ("o", 0.1, 0.2001, 0.9)), (a, ("o", 0.1, 0.2, 0.91)))}) == 6

@@ -261,18 +261,35 @@ def reliable_counts(segments: DataFrame) -> DataFrame:
     return real.select("speaker_id", F.explode(F.transform(good, lambda p: p["phoneme"])).alias("phoneme")).groupBy("speaker_id", "phoneme").agg(F.count(F.lit(1)).alias("n"))
 
 
-def candidate_problems(candidates: DataFrame, counts: DataFrame) -> DataFrame:
-    """Broken rules per generated candidate, with its phone lists recomputed from real recordings.
+def observation_prints(segments: DataFrame) -> DataFrame:
+    """(speaker_id, observation_fingerprint): the reliable recorded phones that the counts rest on.
+
+    A sum of row digests over exploded phones, so no speaker is collected; a phone that moves, changes its
+    confidence, comes or goes changes it.
+    """
+    real = _reference_segments(segments).where(~F.col("source_id").startswith("generated:"))
+    good = F.filter("phonemes", lambda p: (p["confidence"] >= RELIABLE) & ~blank(p["phoneme"]))
+    rows = real.select("speaker_id", "segment_id", F.posexplode(good).alias("pos", "p")).select("speaker_id", "segment_id", "pos", "p.phoneme", "p.start_sec", "p.end_sec", "p.confidence")
+    digest = row_digest(*plain_columns(rows, "segment_id", "pos", "phoneme", "start_sec", "end_sec", "confidence"))
+    return set_fingerprint(rows, ["speaker_id"], digest, "observation_fingerprint").select("speaker_id", "observation_fingerprint")
+
+
+def candidate_problems(candidates: DataFrame, counts: DataFrame, prints: DataFrame) -> DataFrame:
+    """Broken rules per generated candidate, with its phone lists and its observation recomputed from real
+    recordings.
 
     ``candidates``: candidate_id, speaker_id, metrics, expected, recognized, missing, weak,
-    fingerprint_current, audio_sha256. ``counts`` from :func:`reliable_counts`, folded to one
-    small map per speaker.
+    observation_fingerprint (as it was when the candidate was made), audio_sha256. ``counts`` from
+    :func:`reliable_counts`, ``prints`` from :func:`observation_prints`. Only the phones a candidate asks for
+    are looked up, by speaker and phone; speakers without reliable speech have no print on either side.
     """
-    table = counts.groupBy("speaker_id").agg(F.map_from_entries(F.collect_list(F.struct("phoneme", "n"))).alias("_n"))
-    joined = candidates.join(table, "speaker_id", "left").withColumn("_n", F.coalesce("_n", F.create_map().cast("map<string,bigint>")))
-    seen = lambda p: F.coalesce(F.try_element_at(F.col("_n"), p), F.lit(0))
-    wanted = F.array_sort(F.array_distinct("expected"))
-    real_missing, real_weak = F.filter(wanted, lambda p: seen(p) == 0), F.filter(wanted, lambda p: (seen(p) > 0) & (seen(p) < LOW_COUNT))
+    asked = candidates.select("candidate_id", "speaker_id", F.explode(F.array_distinct("expected")).alias("phoneme")).join(counts, ["speaker_id", "phoneme"], "left")
+    lists = asked.groupBy("candidate_id", "speaker_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col("phoneme")))).alias("_missing"), F.array_sort(F.collect_list(F.when(F.col("n") < LOW_COUNT, F.col("phoneme")))).alias("_weak"))
+    now = prints.select("speaker_id", F.col("observation_fingerprint").alias("_now"))
+    joined = candidates.join(lists, ["candidate_id", "speaker_id"], "left").join(now, "speaker_id", "left")
+    none = F.array().cast("array<string>")
+    real_missing, real_weak = F.coalesce("_missing", none), F.coalesce("_weak", none)
 
     def outside(name: str, low: float, high: float) -> Column:
         return ~(finite(F.col(name)) & F.col(name).between(low, high))
@@ -282,7 +299,7 @@ def candidate_problems(candidates: DataFrame, counts: DataFrame) -> DataFrame:
         (outside("asr_avg_logprob", -0.50, 0.0), "logprob"), (outside("speaker_similarity", 0.80, 1.0), "similarity"), (outside("no_speech_probability", 0.0, 0.20), "no_speech"),
         (outside("duration_sec", 2, 14), "duration"), (outside("rms", 0.008, 1), "loudness"), (outside("clipping_ratio", 0, 0.001), "clipping"), (outside("silence_ratio", 0, 0.60), "silence"),
         (~F.coalesce(F.col("audio_sha256").rlike("^[0-9a-f]{64}$"), F.lit(False)), "hash"),
-        (F.array_sort("missing") != real_missing, "missing_list_differs"), (F.array_sort("weak") != real_weak, "weak_list_differs"), (~F.col("fingerprint_current"), "observation_changed"),
+        (F.array_sort("missing") != real_missing, "missing_list_differs"), (F.array_sort("weak") != real_weak, "weak_list_differs"), (~F.col("observation_fingerprint").eqNullSafe(F.col("_now")), "observation_changed"),
     )
     return joined.select("candidate_id", "speaker_id", codes.alias("problems"))
 

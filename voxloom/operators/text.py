@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions.fingerprints import plain_columns, row_digest
 from voxloom.functions.measure import alignment_measured, asr_measured, blank, clamp, finite, in_unit, let, reasons
 from voxloom.functions.vocabulary import (
     ALIGNER_ALPHABET, CONSONANTS, FORCED_ALIGNMENT, PHONE_ALIASES, REVIEWED_ALIGNMENT, STANDALONE_PHONES, VOWELS, WORD_BOUNDARY_ALIGNMENT,
@@ -151,18 +152,36 @@ def unobserved_intervals(entries: Column, duration: Column) -> Column:
     return F.filter(F.concat(gaps, F.array(tail)), lambda g: g.isNotNull())
 
 
+def labelled_intervals(entries: Column, duration: Column) -> Column:
+    """Struct of what an aligner's intervals say besides phones: ``silence`` (label ``sil``), ``unlabelled``
+    (empty label) and ``unobserved`` (no interval at all), each a list of (start_sec, end_sec) in order.
+
+    Silence is the aligner's class only; it is never turned into pauses or breaths.
+    """
+    def spans(label: str) -> Column:
+        return F.transform(F.filter(entries, lambda e: e["label"] == label), lambda e: F.struct(e["start"].alias("start_sec"), e["end"].alias("end_sec")))
+
+    return F.struct(spans("sil").alias("silence"), spans("").alias("unlabelled"), unobserved_intervals(entries, duration).alias("unobserved"))
+
+
 def measured_flags(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", asr_measured().alias("asr_measured"), alignment_measured().alias("alignment_measured"))
 
 
+def record_print(records: DataFrame) -> Column:
+    """The digest of a measurement record: its audio, length, conditions, phones and intervals as plain text."""
+    return row_digest(*plain_columns(records, "audio_sha256", "duration_sec", "conditions", "phonemes", "entries"))
+
+
 def measurement_problems(segments: DataFrame, records: DataFrame) -> DataFrame:
     """Stored measurement records against their segments, phone by phone.
 
-    Both sides bring segment_id, phonemes and audio_sha256; records also duration_sec,
-    conditions_ok, entries and record_sha256, segments also reference_sha256, clip_sec and
-    alignment_method. Arrays are compared whole, in the row.
+    Both sides bring segment_id, phonemes, audio_sha256 and conditions; records also duration_sec and
+    entries, segments also reference_sha256 (the digest of the record they were aligned by), clip_sec and
+    alignment_method. The digest of a record is computed here. Arrays are compared whole, in the row.
     """
-    r = records.select("segment_id", F.struct(*[c for c in records.columns if c != "segment_id"]).alias("r"))
+    printed = records.withColumn("record_sha256", record_print(records))
+    r = printed.select("segment_id", F.struct(*[c for c in printed.columns if c != "segment_id"]).alias("r"))
     joined = segments.join(r, "segment_id", "full_outer")
     forced = F.col("alignment_method") == FORCED_ALIGNMENT
     has, p, q = F.col("r").isNotNull(), F.col("phonemes"), F.col("r.phonemes")
@@ -174,8 +193,8 @@ def measurement_problems(segments: DataFrame, records: DataFrame) -> DataFrame:
     labels = F.zip_with(voiced, p, lambda e, x: (e["label"] == F.try_element_at(_map(ALIGNER_ALPHABET), x["phoneme"])) & (e["start"] == x["start_sec"]) & (e["end"] == x["end_sec"]))
     codes = reasons(
         (F.col("phonemes").isNull() & has, "segment_missing"), (~forced & has, "reference_on_estimate"), (forced & ~has, "record_missing"),
-        (checked & (F.col("r.record_sha256") != F.col("reference_sha256")), "record_changed"), (checked & (F.col("r.audio_sha256") != F.col("audio_sha256")), "audio_changed"),
-        (checked & (F.abs(F.col("clip_sec") - F.col("r.duration_sec")) > EPS), "length_changed"), (checked & ~F.col("r.conditions_ok"), "conditions_differ"),
+        (checked & ~F.col("r.record_sha256").eqNullSafe(F.col("reference_sha256")), "record_changed"), (checked & (F.col("r.audio_sha256") != F.col("audio_sha256")), "audio_changed"),
+        (checked & (F.abs(F.col("clip_sec") - F.col("r.duration_sec")) > EPS), "length_changed"), (checked & ~F.col("r.conditions").eqNullSafe(F.col("conditions")), "conditions_differ"),
         (checked & ~same_length, "phone_count_differs"), (checked & same_length & ~F.forall(phones, lambda ok: F.coalesce(ok, F.lit(False))), "phones_differ"),
         (checked & ((F.size(voiced) != F.size(p)) | ~F.forall(labels, lambda ok: F.coalesce(ok, F.lit(False)))), "intervals_differ"),
     )

@@ -137,8 +137,20 @@ def resummarized(spark, sf_dir):
     return out.select("segment_id", F.round("mean_f0_hz", 6).alias("mean_f0_hz"), F.round("f0_std_dev_hz", 6).alias("f0_std_dev_hz"), F.round("voiced_ratio", 9).alias("voiced_ratio"), F.round("pitch_range_semitones", 6).alias("pitch_range_semitones"))
 
 
+def _moved(segments):
+    """The same recordings with the end of each first reliable phone a millisecond later."""
+    def one(p, i):
+        return F.when(i == 0, p.withField("end_sec", p["end_sec"] + 1e-3)).otherwise(p)
+
+    return segments.withColumn("phonemes", F.transform(F.filter("phonemes", lambda p: p["confidence"] >= c.RELIABLE), one))
+
+
 def _candidates(spark, sf_dir):
-    base = v.benchmark_candidates(spark, sf_dir)
+    """Candidates with the fingerprint of what was observed; every ninth was made from moved phones."""
+    segs = v.phoned_segments(spark, sf_dir)
+    now, then = c.observation_prints(segs), c.observation_prints(_moved(segs)).withColumnRenamed("observation_fingerprint", "_then")
+    base = v.benchmark_candidates(spark, sf_dir).join(now, "speaker_id", "left").join(then, "speaker_id", "left").withColumn(
+        "observation_fingerprint", F.when(F.col("fingerprint_current"), F.col("observation_fingerprint")).otherwise(F.col("_then"))).drop("fingerprint_current", "_then")
     i = F.col("doc_id")
     expected = F.array("common_phone", "rare_phone", "common_phone")
     return base.select(
@@ -146,6 +158,12 @@ def _candidates(spark, sf_dir):
         F.when(i % 12 == 0, F.array().cast("array<string>")).otherwise(F.array("rare_phone")).alias("missing"), F.array().cast("array<string>").alias("weak"), F.concat(F.lit("say "), "rare_phone").alias("text"))
 
 
+def _judged(spark, sf_dir):
+    segs = v.phoned_segments(spark, sf_dir)
+    cand = durable(_candidates(spark, sf_dir))
+    return segs, cand, c.candidate_problems(cand, c.reliable_counts(segs), c.observation_prints(segs))
+
+
 RELIABLE = """, rel AS (SELECT speaker_id, phoneme, count(*) AS n FROM segments s JOIN phonemes p USING (segment_id) WHERE content_type = 'speech' AND asr_confidence >= 65e-2 AND alignment_confidence >= 65e-2 AND speaker_id IS NOT NULL AND p.confidence >= 65e-2 GROUP BY ALL)
 """
 
@@ -159,13 +177,13 @@ CAND = RELIABLE + """, cx AS (SELECT c.*, coalesce(r.n, 0) AS nr, coalesce(q.n,
  cp AS (SELECT *, list_filter([CASE WHEN misrecognized THEN 'phones_disagree' END, CASE WHEN doc_id % 12 = 0 THEN 'nothing_to_add' END, CASE WHEN asr_avg_logprob < -5e-1 THEN 'logprob' END, CASE WHEN speaker_similarity < 8e-1 THEN 'similarity' END,
    CASE WHEN no_speech_probability > 2e-1 THEN 'no_speech' END, CASE WHEN duration_sec NOT BETWEEN 2 AND 14 THEN 'duration' END, CASE WHEN rms < 8e-3 THEN 'loudness' END, CASE WHEN clipping_ratio > 1e-3 THEN 'clipping' END, CASE WHEN silence_ratio > 6e-1 THEN 'silence' END,
    CASE WHEN CASE WHEN doc_id % 12 = 0 THEN '' ELSE rare_phone END <> concat(CASE WHEN nc = 0 THEN concat(common_phone, CASE WHEN nr = 0 THEN ' ' ELSE '' END) ELSE '' END, CASE WHEN nr = 0 THEN rare_phone ELSE '' END) AND NOT (nc = 0 AND false) THEN 'missing_list_differs' END,
-   CASE WHEN nr BETWEEN 1 AND 2 OR nc BETWEEN 1 AND 2 THEN 'weak_list_differs' END, CASE WHEN NOT fingerprint_current THEN 'observation_changed' END], lambda x: x IS NOT NULL) AS problems FROM cx)
+   CASE WHEN nr BETWEEN 1 AND 2 OR nc BETWEEN 1 AND 2 THEN 'weak_list_differs' END, CASE WHEN NOT fingerprint_current AND speaker_id IN (SELECT speaker_id FROM rel) THEN 'observation_changed' END], lambda x: x IS NOT NULL) AS problems FROM cx)
 """
 
 
 @query("cmp_10_candidate_gate", "segments phonemes candidates", CAND + "SELECT candidate_id, speaker_id, array_to_string(problems, ',') AS problems FROM cp")
 def candidate_gate(spark, sf_dir):
-    return c.candidate_problems(_candidates(spark, sf_dir), c.reliable_counts(v.phoned_segments(spark, sf_dir))).withColumn("problems", F.array_join("problems", ","))
+    return _judged(spark, sf_dir)[2].withColumn("problems", F.array_join("problems", ","))
 
 
 def _log(spark, sf_dir):
@@ -187,9 +205,8 @@ def accepted(spark, sf_dir):
 
 
 def _generated(spark, sf_dir):
-    segs = v.phoned_segments(spark, sf_dir)
-    cand = _candidates(spark, sf_dir)
-    return c.generated_segments(cand, c.accepted_candidates(_log(spark, sf_dir)), c.candidate_problems(cand, c.reliable_counts(segs)), segs)
+    segs, cand, problems = _judged(spark, sf_dir)
+    return c.generated_segments(cand, c.accepted_candidates(_log(spark, sf_dir)), problems, segs)
 
 
 @query("cmp_8_generated_segments", "segments phonemes candidates", CAND + LOG + """SELECT concat('generated_', candidate_id) AS segment_id, speaker_id, concat('generated:', candidate_id) AS source_id, NULL AS problem FROM acc JOIN cp USING (speaker_id, candidate_id) WHERE len(problems) = 0

@@ -170,6 +170,22 @@ def unobserved(spark, sf_dir):
     return gaps.select("segment_id", F.size("g").cast("long").alias("gaps"), F.round(F.aggregate("g", F.lit(0.0), lambda a, x: a + x["end_sec"] - x["start_sec"]), 4).alias("seconds"))
 
 
+_SAYS = "CASE pos % 7 WHEN 3 THEN 'sil' WHEN 5 THEN '' ELSE phoneme END"
+_LISTS = ("silence", "unlabelled", "unobserved")
+
+
+@query("txt_10_intervals", "segments phonemes", f""", e AS (SELECT segment_id, pos, start_sec AS s, end_sec AS e, {_SAYS} AS label FROM phonemes), l AS (SELECT segment_id, max(e) AS last FROM e GROUP BY ALL),
+ g AS (SELECT segment_id, coalesce(lag(e) OVER (PARTITION BY segment_id ORDER BY pos), 0) AS a, s AS b, 'unobserved' AS k FROM e UNION ALL SELECT segment_id, last, last + 5e-1, 'unobserved' FROM l UNION ALL SELECT segment_id, 0, 5e-1, 'unobserved' FROM segments WHERE segment_id NOT IN (SELECT segment_id FROM l)),
+ x AS (SELECT * FROM g WHERE b > a + 1e-6 UNION ALL SELECT segment_id, s, e, CASE label WHEN 'sil' THEN 'silence' ELSE 'unlabelled' END FROM e WHERE label IN ('sil', ''))
+SELECT segment_id, {", ".join(f"count(*) FILTER (k = '{k}') AS {k}, round(coalesce(sum(b - a) FILTER (k = '{k}'), 0), 4) AS {k}_sec" for k in _LISTS)} FROM x GROUP BY ALL""")
+def intervals(spark, sf_dir):
+    says = F.transform("phonemes", lambda p, i: F.struct(p["start_sec"].alias("start"), p["end_sec"].alias("end"), F.when(i % 7 == 3, "sil").when(i % 7 == 5, "").otherwise(p["phoneme"]).alias("label")))
+    rows = v.phoned_segments(spark, sf_dir).select("segment_id", says.alias("entries"), (F.coalesce(F.array_max(F.transform("phonemes", lambda p: p["end_sec"])), F.lit(0.0)) + 0.5).alias("dur"))
+    found = rows.select("segment_id", t.labelled_intervals(F.col("entries"), F.col("dur")).alias("x"))
+    long = lambda k: F.round(F.aggregate(F.col("x")[k], F.lit(0.0), lambda a, s: a + s["end_sec"] - s["start_sec"]), 4).alias(f"{k}_sec")
+    return found.select("segment_id", *[f(k) for k in _LISTS for f in (lambda k: F.size(F.col("x")[k]).cast("long").alias(k), long)])
+
+
 @query("txt_11_alignment_validity", "segments aligned", "SELECT segment_id, coalesce(valid_alignment, false) AS valid_alignment FROM aligned")
 def alignment_validity(spark, sf_dir):
     return v.phoned_segments(spark, sf_dir).select("segment_id", valid_singing_alignment().alias("valid_alignment"))
@@ -177,21 +193,25 @@ def alignment_validity(spark, sf_dir):
 
 @query("txt_12_measurement_audit", "segments phonemes", CODED + """, m AS (SELECT s.segment_id, s.doc_id, s.doc_id % 5 <> 0 AS forced, s.doc_id % 6 <> 1 AS has, coalesce(ok, false) AS ok, coalesce(n, 0) AS n FROM segments s LEFT JOIN seq USING (segment_id)),
  c AS (SELECT *, forced AND has AS k, doc_id % 13 = 0 AS rec, doc_id % 17 = 0 AS aud, doc_id % 19 = 0 AS len_, doc_id % 23 = 0 AS cond, doc_id % 29 = 0 AND n > 0 AS cut, doc_id % 31 = 0 AND n > 0 AS shift FROM m)
-SELECT segment_id, unnest(list_filter([CASE WHEN NOT forced AND has THEN 'reference_on_estimate' END, CASE WHEN forced AND NOT has THEN 'record_missing' END, CASE WHEN k AND rec THEN 'record_changed' END, CASE WHEN k AND aud THEN 'audio_changed' END,
+SELECT segment_id, unnest(list_filter([CASE WHEN NOT forced AND has THEN 'reference_on_estimate' END, CASE WHEN forced AND NOT has THEN 'record_missing' END, CASE WHEN k AND (rec OR aud OR len_ OR cond OR cut OR shift) THEN 'record_changed' END, CASE WHEN k AND aud THEN 'audio_changed' END,
   CASE WHEN k AND len_ THEN 'length_changed' END, CASE WHEN k AND cond THEN 'conditions_differ' END, CASE WHEN k AND cut THEN 'phone_count_differs' END, CASE WHEN k AND NOT cut AND shift THEN 'phones_differ' END,
   CASE WHEN k AND n > 0 AND NOT ok THEN 'intervals_differ' END], lambda x: x IS NOT NULL)) AS problem FROM c""")
 def measurement_audit(spark, sf_dir):
     i = F.col("doc_id")
     length = F.coalesce(F.array_max(F.transform("phonemes", lambda p: p["end_sec"])), F.lit(0.0)) + 1.0
-    segs = _coded(spark, sf_dir).select("segment_id", "alignment_method", "phonemes", F.col("cache_key").alias("audio_sha256"), F.lit("r").alias("reference_sha256"), length.alias("clip_sec"), "doc_id")
+    used = F.struct(F.lit("acoustic-1").alias("model"), F.lit(16000).alias("rate"))
+    segs = _coded(spark, sf_dir).select("segment_id", "alignment_method", "phonemes", F.col("cache_key").alias("audio_sha256"), length.alias("clip_sec"), used.alias("conditions"), "doc_id")
     code = lambda p: F.coalesce(F.try_element_at(t._map(ALIGNER_ALPHABET), p), F.lit("?"))
-    shifted = F.transform("phonemes", lambda p: F.struct(p["phoneme"].alias("phoneme"), p["start_sec"].alias("start_sec"), p["end_sec"].alias("end_sec"), (p["confidence"] - 1.0).alias("confidence")))
-    records = segs.where("doc_id % 6 <> 1").select(
+    entries = F.transform("phonemes", lambda p: F.struct(p["start_sec"].alias("start"), p["end_sec"].alias("end"), code(p["phoneme"]).alias("label")))
+    written = segs.where("doc_id % 6 <> 1").select("segment_id", "doc_id", "phonemes", "audio_sha256", F.col("clip_sec").alias("duration_sec"), "conditions", entries.alias("entries"))
+    # What was aligned by is known by its digest; every thirteenth segment was aligned by another record.
+    known = written.select("segment_id", F.when(i % 13 == 0, F.lit("another")).otherwise(t.record_print(written)).alias("reference_sha256"))
+    shifted = F.transform("phonemes", lambda p: p.withField("confidence", p["confidence"] - 1.0))
+    records = written.select(
         "segment_id", F.when((i % 29 == 0) & (F.size("phonemes") > 0), F.slice("phonemes", F.lit(1), F.greatest(F.size("phonemes") - 1, F.lit(0)))).when(i % 31 == 0, shifted).otherwise(F.col("phonemes")).alias("phonemes"),
-        F.when(i % 17 == 0, F.lit("x")).otherwise(F.col("audio_sha256")).alias("audio_sha256"), F.when(i % 13 == 0, F.lit("x")).otherwise(F.lit("r")).alias("record_sha256"),
-        (F.col("clip_sec") + F.when(i % 19 == 0, 0.5).otherwise(0.0)).alias("duration_sec"), (i % 23 != 0).alias("conditions_ok"),
-        F.transform("phonemes", lambda p: F.struct(p["start_sec"].alias("start"), p["end_sec"].alias("end"), code(p["phoneme"]).alias("label"))).alias("entries"))
-    return t.measurement_problems(segs.drop("doc_id"), records)
+        F.when(i % 17 == 0, F.lit("x")).otherwise(F.col("audio_sha256")).alias("audio_sha256"), (F.col("duration_sec") + F.when(i % 19 == 0, 0.5).otherwise(0.0)).alias("duration_sec"),
+        F.when(i % 23 == 0, F.struct(F.lit("acoustic-1").alias("model"), F.lit(8000).alias("rate"))).otherwise(F.col("conditions")).alias("conditions"), "entries")
+    return t.measurement_problems(segs.drop("doc_id").join(known, "segment_id", "left"), records)
 
 
 @query("txt_13_measured_flags", "segments", """SELECT segment_id, CASE asr_status WHEN 'measured' THEN true WHEN 'legacy_unknown' THEN asr_confidence > 0 ELSE false END AS asr_measured, alignment_status = 'measured' AS alignment_measured FROM segments""")
