@@ -83,11 +83,15 @@ def corrected_view(segments: DataFrame, corrected: DataFrame, filled: DataFrame,
     accepted supplements appended. Switched off, it is the observed data alone.
 
     ``corrected``: segment_id, transcript, asr_confidence, alignment_confidence, alignment_method.
-    ``filled``: segment_id, mean_f0_hz, f0_std_dev_hz, voiced_ratio. ``generated``: rows of the view.
+    ``filled``: segment_id, mean_f0_hz, f0_std_dev_hz, voiced_ratio (:func:`resummarize`). ``generated``: rows
+    of the view (:func:`generated_segments`); measurements that generated speech does not have stay NULL.
     """
     columns = ["segment_id", "source_id", "speaker_id", "content_type", "transcript", "asr_confidence", "alignment_confidence", "alignment_method", "mean_f0_hz", "f0_std_dev_hz", "voiced_ratio"]
     if not enabled:
         return segments.select(*columns)
+    for c in columns:
+        if c not in generated.columns:
+            generated = generated.withColumn(c, F.lit(None).cast(segments.schema[c].dataType))
     new_text = corrected.select("segment_id", F.struct("transcript", "asr_confidence", "alignment_confidence", "alignment_method").alias("_t"))
     new_pitch = filled.select("segment_id", F.struct("mean_f0_hz", "f0_std_dev_hz", "voiced_ratio").alias("_p"))
     kept = _not_rejected(segments).join(new_text, "segment_id", "left").join(new_pitch, "segment_id", "left")
@@ -98,6 +102,16 @@ def corrected_view(segments: DataFrame, corrected: DataFrame, filled: DataFrame,
     return kept.select(*columns).unionByName(generated.join(segments.select("segment_id"), "segment_id", "left_anti").select(*columns))
 
 
+def observed_records(segments: DataFrame) -> DataFrame:
+    """One record for each segment when correction is switched off: what was observed is used as it is.
+
+    Manual edits and exclusions hold all the same; no segment is judged, so none is left out.
+    """
+    return segments.select(
+        "segment_id", "speaker_id", F.lit("observed").alias("state"), F.lit("observed-only").alias("method"), F.lit("not_required").alias("application_status"),
+        F.lit(1.0).alias("confidence"), F.lit("correction_off").alias("reason"))
+
+
 def frame_problems(series: DataFrame) -> DataFrame:
     """One row per broken rule of stored frame series.
 

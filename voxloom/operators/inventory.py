@@ -81,8 +81,7 @@ def shared_features(segments: DataFrame) -> dict[str, DataFrame]:
     return {"embedding": embedding, "scalars": scalars, "skipped": outside.unionByName(inside)}
 
 
-def _status(condition: Column, measured: Column) -> Column:
-    total, good = F.count_if(condition), F.count_if(condition & measured)
+def _status(total: Column, good: Column) -> Column:
     return F.when((total == 0) | (good == 0), "unavailable").when(total == good, "measured").otherwise("partially_measured")
 
 
@@ -95,8 +94,10 @@ def speaker_inventory(segments: DataFrame, dataset_fingerprint: str, override_re
 
     ``segments`` brings routing roles, eligibility columns and the ``phones`` and ``bins`` arrays.
     The revision also covers the version of this calculation, the fingerprint of the dataset and the
-    revision of manual overrides. Distinct counts are exact; Spark spreads them by (speaker, value), so a large speaker is not
-    one task. Phone and bin coverage aggregate distinct (speaker, item) pairs map-side first.
+    revision of manual overrides. Distinct counts are exact without copying rows for each of them: one
+    aggregate by (speaker, source) carries the sums and marks which sources count for what, one by
+    (speaker, phone, bin or recording) does the same for the other items. Both combine before their
+    shuffle and leave a row for each different item, so a large speaker is not one task.
     """
     own = segments.where(~blank(F.col("speaker_id")))
     speech, singing = F.col("talk_role") == "primary", F.col("singing_role") == "primary"
@@ -106,32 +107,46 @@ def speaker_inventory(segments: DataFrame, dataset_fingerprint: str, override_re
     identity = (F.col("talk_role").isin(*roles) | F.col("singing_role").isin(*roles)) & (F.col("talk_eligibility") != "excluded")
     d = F.col("duration_sec")
     seconds = F.when(finite(d) & (d > 0), d).otherwise(0.0)
-
-    def total(condition: Column) -> Column:
-        return F.sum(F.when(condition, seconds).otherwise(0.0))
-
-    def distinct(condition: Column, name: str) -> Column:
-        return F.count_distinct(F.when(condition, F.col(name)))
-
-    base = own.groupBy("speaker_id").agg(
-        total(speech).alias("speech_raw_seconds"), total(speech_ok).alias("speech_eligible_seconds"),
-        distinct(speech_ok, "source_id").alias("speech_recordings"), distinct(speech_ok, "cache_key").alias("speech_utterances"),
-        F.count_if(speech_ok & ~F.col("transcript_blank")).alias("transcript_usable"),
-        total(singing).alias("singing_raw_seconds"), total(singing_ok).alias("singing_eligible_seconds"),
-        distinct(singing_ok, "source_id").alias("singing_recordings"), distinct(singing_ok, "cache_key").alias("singing_phrases"),
-        total(identity).alias("identity_seconds"), distinct(identity, "source_id").alias("identity_sources"),
-        _status(F.lit(True), d.isNotNull()).alias("status_duration"), _status(speech_ok, asr_measured()).alias("status_transcription"),
-        _status(singing_ok, F.col("has_f0")).alias("status_singing_f0"), _status(identity, F.col("has_embedding")).alias("status_speaker_identity"),
-        F.count_if(speech_ok).alias("_speech"), F.count_if(singing_ok).alias("_singing"), F.count_if(identity).alias("_identity"),
+    uses = {"speech": speech_ok, "singing": singing_ok, "identity": identity}
+    lengths = {"speech_raw_seconds": speech, "speech_eligible_seconds": speech_ok, "singing_raw_seconds": singing, "singing_eligible_seconds": singing_ok, "identity_seconds": identity}
+    measured = {
+        "status_duration": (F.lit(True), d.isNotNull()), "status_transcription": (speech_ok, asr_measured()),
+        "status_singing_f0": (singing_ok, F.col("has_f0")), "status_speaker_identity": (identity, F.col("has_embedding")),
+    }
+    counts = {f"_of_{n}": c for n, (c, _) in measured.items()} | {f"_good_{n}": c & m for n, (c, m) in measured.items()} | {f"_{n}": c for n, c in uses.items()}
+    counts["transcript_usable"] = speech_ok & ~F.col("transcript_blank")
+
+    by_source = own.groupBy("speaker_id", "source_id").agg(
+        *[F.sum(F.when(c, seconds).otherwise(0.0)).alias(n) for n, c in lengths.items()], *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+    def sources(use: str) -> Column:
+        return F.count_if((F.col(f"_{use}") > 0) & F.col("source_id").isNotNull())
+
+    base = by_source.groupBy("speaker_id").agg(
+        sources("speech").alias("speech_recordings"), sources("singing").alias("singing_recordings"), sources("identity").alias("identity_sources"),
+        *[F.sum(n).alias(n) for n in (*lengths, *counts)])
+
+    def listed(kind: str, values: Column) -> Column:
+        made = F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("value")))
+        return F.coalesce(made, F.array().cast("array<struct<kind:string,value:string>>"))
+
+    items = F.concat(
+        listed("phone", F.when(speech_ok, F.array_distinct("phones"))), listed("bin", F.when(singing_ok, F.array_distinct("bins"))),
+        listed("cache", F.when(speech_ok | singing_ok, F.array("cache_key"))),
     )
-    phones = own.where(speech_ok).select("speaker_id", F.explode("phones").alias("x")).distinct().groupBy("speaker_id").agg(F.count(F.lit(1)).alias("phoneme_coverage"))
-    bins = own.where(singing_ok).select("speaker_id", F.explode("bins").alias("x")).distinct().groupBy("speaker_id").agg(F.count(F.lit(1)).alias("pitch_bins"))
+    marked = own.select("speaker_id", F.coalesce(speech_ok, F.lit(False)).alias("_sp"), F.coalesce(singing_ok, F.lit(False)).alias("_si"), F.explode(items).alias("i"))
+    once = marked.groupBy("speaker_id", "i.kind", "i.value").agg(F.bool_or("_sp").alias("_sp"), F.bool_or("_si").alias("_si"))
+    kind, real = F.col("kind"), F.col("value").isNotNull()
+    found = once.groupBy("speaker_id").agg(
+        F.count_if((kind == "cache") & real & F.col("_sp")).alias("speech_utterances"), F.count_if((kind == "cache") & real & F.col("_si")).alias("singing_phrases"),
+        F.count_if(kind == "phone").alias("phoneme_coverage"), F.count_if(kind == "bin").alias("pitch_bins"))
     tags = F.array_compact(F.array(
         F.when(F.col("_speech") > 0, F.lit("has_speech_teacher")).otherwise("speech_teacher_absent"),
         F.when(F.col("_singing") > 0, F.lit("has_singing_teacher")).otherwise("singing_teacher_absent"),
         F.when(F.col("_identity") > 0, F.lit("has_identity_reference")),
     ))
-    joined = base.join(phones, "speaker_id", "left").join(bins, "speaker_id", "left").na.fill(0, ["phoneme_coverage", "pitch_bins"])
+    joined = base.join(found, "speaker_id", "left").na.fill(0, ["speech_utterances", "singing_phrases", "phoneme_coverage", "pitch_bins"]).withColumns(
+        {n: _status(F.col(f"_of_{n}"), F.col(f"_good_{n}")) for n in measured})
 
     def ms(name: str) -> Column:
         return F.round(F.col(name) * 1000).cast("long")
@@ -143,7 +158,7 @@ def speaker_inventory(segments: DataFrame, dataset_fingerprint: str, override_re
     )
     context = (F.lit(CALCULATION_VERSION), F.lit(dataset_fingerprint), F.lit(override_revision))
     revision = row_digest(*context, *[F.col(c) if isinstance(c, str) else c for c in columns])
-    return joined.withColumn("derived_tags", tags).withColumn("inventory_revision", revision).drop("_speech", "_singing", "_identity")
+    return joined.withColumn("derived_tags", tags).withColumn("inventory_revision", revision).drop(*[n for n in counts if n.startswith("_")])
 
 
 def timbre_references(segments: DataFrame) -> DataFrame:

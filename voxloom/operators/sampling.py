@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import finite
+from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
+from voxloom.functions.measure import finite, reasons
 from voxloom.operators.sequences import global_rank, position_in, running_sum
 
+SAMPLER_VERSION = "cell-draw-1"
 MICRO = 1_000_000
 CELL = 2 * MICRO  # the largest weight: an interval touches at most two cells
 MAX_HELD, HELD_SHARE = 5, 0.1
 
 
 def weight_problems(items: DataFrame) -> DataFrame:
-    """The items whose weight is missing, not finite or negative."""
-    return items.where(~finite(F.col("weight")) | (F.col("weight") < 0)).withColumn("problem", F.lit("bad_weight"))
+    """The items whose weight is missing, not finite or negative; none of them gets an equal weight instead."""
+    w = F.col("weight")
+    return items.where(w.isNull() | ~finite(w) | (w < 0)).withColumn("problem", F.when(w.isNull(), "missing_weight").otherwise("bad_weight"))
 
 
 def draw_epoch(items: DataFrame, keys: list[str], seed: int, epoch: int) -> DataFrame:
@@ -50,15 +53,36 @@ def draw_epoch(items: DataFrame, keys: list[str], seed: int, epoch: int) -> Data
     return points.join(intervals, [*keys, "_cell"]).where(hit).select(*keys, "draw", "name")
 
 
-def sampler_report(items: DataFrame, keys: list[str], iterations: int, epoch: int | None) -> DataFrame:
-    """What the sampler used per key; a sampler that never ran is a problem, not a success."""
-    return items.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("item_count"), F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight")
-    ).select(
-        *keys, "item_count", "min_weight", "max_weight", F.lit(iterations).alias("iterations"),
-        F.lit(epoch).cast("int").alias("last_epoch"),
-        F.when(F.lit(iterations) < 1, "sampler_never_used").alias("problem"),
+def weight_prints(items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, item_count, manifest_hash): the names and weights of each key, whatever their order."""
+    return set_fingerprint(items, keys, row_digest(*plain_columns(items, "name", "weight")), "manifest_hash").withColumnRenamed("row_count", "item_count")
+
+
+def sampler_report(items: DataFrame, keys: list[str], seed: int, iterations: int, epoch: int | None) -> DataFrame:
+    """What the sampler used per key: its version and seed, the weights by hash and range, how often it drew."""
+    ranges = items.groupBy(*keys).agg(F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"))
+    return weight_prints(items, keys).join(ranges, keys).select(
+        *keys, F.lit(SAMPLER_VERSION).alias("sampler_version"), F.lit(True).alias("applied"), F.lit(seed).alias("seed"), "item_count", "min_weight", "max_weight",
+        "manifest_hash", F.lit(iterations).alias("iterations"), F.lit(epoch).cast("int").alias("last_epoch"))
+
+
+def report_problems(items: DataFrame, reports: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """One row per key of the manifest or of the reports, with the codes of what does not hold.
+
+    A training that left no report, or whose sampler never drew, is a problem and no success; so is a
+    report of weights, seed or version other than the manifest's, or without a manifest.
+    """
+    now = weight_prints(items, keys).select(*keys, F.col("item_count").alias("_count"), F.col("manifest_hash").alias("_hash"))
+    both = now.join(reports, keys, "full")
+    there, told = F.col("_hash").isNotNull(), F.col("manifest_hash").isNotNull()
+    held = there & told
+    codes = reasons(
+        (~told, "report_missing"), (~there, "manifest_missing"),
+        (told & (~F.col("applied") | (F.col("iterations") < 1)), "sampler_never_used"), (told & (F.col("sampler_version") != SAMPLER_VERSION), "version_differs"),
+        (told & (F.col("seed") != seed), "seed_differs"), (held & (F.col("_count") != F.col("item_count")), "item_count_differs"),
+        (held & (F.col("_hash") != F.col("manifest_hash")), "weights_changed"),
     )
+    return both.select(*keys, F.col("_count").alias("manifest_items"), "item_count", "min_weight", "max_weight", "seed", "iterations", "last_epoch", "manifest_hash", codes.alias("problems"))
 
 
 def hold_out(items: DataFrame, keys: list[str], name: str, bucket: Column | None = None) -> DataFrame:

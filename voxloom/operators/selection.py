@@ -34,7 +34,7 @@ def requirement_results(requests: DataFrame, inventory: DataFrame, strategies: D
     rules = strategies.select("strategy_id", "version").join(requirements, "strategy_id")
     long = measures(inventory)
     roles = F.array(*[F.lit(r) for r in ("speech_teacher", "singing_teacher", "identity_reference", "texture_reference", "feature_only")])
-    every = requests.select("speaker_id", "target", F.explode(roles).alias("role")).join(F.broadcast(rules), "role")
+    every = requests.select("speaker_id", "target", F.explode(roles).alias("role")).join(rules, "role")
     joined = every.join(long, ["speaker_id", "role", "metric"], "left")
     actual, required = F.col("actual"), F.col("required")
     holds = (
@@ -55,7 +55,7 @@ def strategy_fits(requests: DataFrame, results: DataFrame, strategies: DataFrame
         F.array_sort(F.collect_set(F.when(F.col("outcome") == "unmet", F.concat_ws(":", F.lit("requirement"), "role", "metric")))).alias("_failed"),
     )
     s = strategies.withColumnRenamed("target", "supported_target")
-    every = worst.join(F.broadcast(s), ["strategy_id", "version"]).join(requests, ["speaker_id", "target"])
+    every = worst.join(s, ["strategy_id", "version"]).join(requests, ["speaker_id", "target"])
     preset_ok = (F.size("preset_ids") == 0) | F.array_contains("preset_ids", F.col("preset_id"))
     codes = F.concat(
         reasons((F.col("supported_target") != F.col("target"), "target_unsupported"), (~preset_ok, "preset_unsupported"), (~F.col("available"), "capability_missing")),
@@ -94,7 +94,7 @@ def plan(fits: DataFrame, stages: DataFrame) -> DataFrame:
         F.bool_or(speech_in).alias("_speech"), F.bool_or(singing_in).alias("_singing"),
     )
     talk = F.col("target") == "talk"
-    joined = fits.join(F.broadcast(facts), "strategy_id", "left")
+    joined = fits.join(facts, "strategy_id", "left")
     guard = F.when(talk & F.col("_talk_guard"), "singing_as_speech_teacher").when(~talk & F.col("_singing_guard"), "speech_as_singing_teacher")
     direct = F.when(talk, F.coalesce("_speech", F.lit(False))).otherwise(F.coalesce("_singing", F.lit(False)))
     variant = F.when(talk & direct, "speech_teacher_based").when(talk, "singing_timbre_reference").when(direct, "singing_teacher_based").otherwise("speech_timbre_reference")

@@ -289,13 +289,21 @@ def prompts(spark, sf_dir):
     return c.choose_prompts(c.supplement_needs(_quick(spark, sf_dir)).where("size(missing) > 0").select("speaker_id", "missing"), PROMPTS, 4).select("speaker_id", F.array_join(F.transform("picks", lambda p: F.concat(p["prompt"].cast("string"), F.lit(":"), F.array_join(p["targets"], "+"))), " ").alias("picks"), F.array_join("uncovered", ",").alias("uncovered"))
 
 
-@query("cmp_4_corrected_view", "segments edits candidates phonemes", APPLIED + TRIAGE.replace("kept AS", "kept4 AS") + """SELECT k.segment_id, k.speaker_id, k.content_type, sha256(CASE WHEN st = 'applied' THEN ta ELSE k.transcript END) AS transcript, round(CASE WHEN st = 'applied' THEN conf ELSE k.asr_confidence END, 9) AS asr_confidence,
-  CASE WHEN st = 'applied' THEN 'transcript-review-estimated' ELSE k.alignment_method END AS alignment_method, CASE WHEN k.doc_id % 5 = 2 THEN k.mean_f0_hz + 1 ELSE k.mean_f0_hz END AS mean_f0_hz FROM kept4 k LEFT JOIN ap USING (segment_id)
-UNION ALL SELECT concat('generated_', doc_id), speaker_id, 'speech', sha256('new'), NULL, NULL, NULL FROM segments WHERE doc_id % 40 = 3""")
+#: The clips of the frames are those of the documents of the same number.
+_CLIP = "concat('seg_', lpad(substr(segment_id, 6), 8, '0'))"
+
+
+@query("cmp_4_corrected_view", "segments edits candidates phonemes frames clip_phones", APPLIED + TRIAGE.replace("kept AS", "kept4 AS") + GAPS + CAND + LOG + f""", pit AS (SELECT {_CLIP} AS segment_id, avg(f0) FILTER (f0 > 0) AS m FROM fil WHERE segment_id IN (SELECT segment_id FROM fil WHERE filled) GROUP BY ALL)
+SELECT k.segment_id, k.speaker_id, k.content_type, sha256(CASE WHEN st = 'applied' THEN ta ELSE k.transcript END) AS transcript, round(CASE WHEN st = 'applied' THEN conf ELSE k.asr_confidence END, 9) AS asr_confidence,
+  CASE WHEN st = 'applied' THEN 'transcript-review-estimated' ELSE k.alignment_method END AS alignment_method, round(coalesce(pit.m, k.mean_f0_hz), 6) AS mean_f0_hz FROM kept4 k LEFT JOIN ap USING (segment_id) LEFT JOIN pit ON pit.segment_id = k.segment_id
+UNION ALL SELECT concat('generated_', candidate_id), speaker_id, 'speech', sha256(concat('say ', rare_phone)), NULL, NULL, NULL FROM acc JOIN cp USING (speaker_id, candidate_id) WHERE len(problems) = 0""")
 def corrected_view(spark, sf_dir):
-    segs = v.segments(spark, sf_dir)
-    filled = segs.where("doc_id % 5 = 2").select("segment_id", (F.col("mean_f0_hz") + 1).alias("mean_f0_hz"), "f0_std_dev_hz", "voiced_ratio")
-    new = segs.where("doc_id % 40 = 3").select(F.concat(F.lit("generated_"), F.col("doc_id").cast("string")).alias("segment_id"), F.concat(F.lit("generated:"), F.col("doc_id").cast("string")).alias("source_id"), "speaker_id", F.lit("speech").alias("content_type"), F.lit("new").alias("transcript"),
-                                               *[F.lit(None).cast(t).alias(n) for n, t in (("asr_confidence", "double"), ("alignment_confidence", "double"), ("alignment_method", "string"), ("mean_f0_hz", "double"), ("f0_std_dev_hz", "double"), ("voiced_ratio", "double"))])
-    out = c.corrected_view(segs, _applied(spark, sf_dir)[0], filled, new)
-    return out.select("segment_id", "speaker_id", "content_type", F.sha2("transcript", 256).alias("transcript"), F.round("asr_confidence", 9).alias("asr_confidence"), "alignment_method", "mean_f0_hz")
+    """Reviews that passed, pitch of clips with filled gaps, and the accepted supplements, in one view."""
+    filled = c.resummarize(c.filled_frames(*_decided(spark, sf_dir))).withColumn("segment_id", F.expr(_CLIP))
+    out = c.corrected_view(v.segments(spark, sf_dir), _applied(spark, sf_dir)[0], filled, _generated(spark, sf_dir)[0])
+    return out.select("segment_id", "speaker_id", "content_type", F.sha2("transcript", 256).alias("transcript"), F.round("asr_confidence", 9).alias("asr_confidence"), "alignment_method", F.round("mean_f0_hz", 6).alias("mean_f0_hz"))
+
+
+@query("cmp_4_observed_only", "segments", "SELECT segment_id, speaker_id, 'observed' AS state, 'observed-only' AS method, 'not_required' AS application_status, 1e0 AS confidence, 'correction_off' AS reason FROM segments")
+def observed_only(spark, sf_dir):
+    return c.observed_records(v.segments(spark, sf_dir))

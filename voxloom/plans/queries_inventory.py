@@ -298,6 +298,20 @@ def intake_items(spark, sf_dir):
     )
 
 
-@query("sel_4_reference_intake")
+#: The intake as a recursion: from what a job holds to the first later clip that fits.
+INTAKE = """WITH RECURSIVE items AS (SELECT source AS job_id, doc_id AS position, doc_id % 13 = 0 AS mp3, doc_id % 17 = 0 AS gone, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE n_chars / 5e1 END AS seconds, sha256(text) AS sha256 FROM documents),
+ judged AS (SELECT *, CASE WHEN mp3 THEN 'not_wav' WHEN gone THEN 'missing' WHEN seconds IS NULL OR seconds <= 0 THEN 'unreadable' WHEN seconds > 30 THEN 'too_long' END AS own FROM items),
+ fit AS (SELECT * FROM judged WHERE own IS NULL),
+ held(job_id, n, position, spent, seen) AS (SELECT job_id, 0, -1::BIGINT, 0e0, CAST([] AS VARCHAR[]) FROM (SELECT DISTINCT job_id FROM items WHERE job_id IS NOT NULL)
+  UNION ALL SELECT job_id, n + 1, nxt.position, spent + nxt.seconds, list_append(seen, nxt.sha256)
+  FROM (SELECT h.job_id, h.n, h.spent, h.seen, arg_min({'position': f.position, 'seconds': f.seconds, 'sha256': f.sha256}, f.position) AS nxt FROM held h JOIN fit f ON f.job_id = h.job_id AND f.position > h.position AND h.spent + f.seconds <= 120
+    AND NOT list_contains(h.seen, f.sha256) WHERE h.n < 8 GROUP BY h.job_id, h.n, h.spent, h.seen)),
+ got AS (SELECT h.job_id, h.position, f.seconds FROM held h JOIN fit f USING (job_id, position)),
+ seen AS (SELECT i.job_id, i.position, count(g.position) AS n, coalesce(sum(g.seconds), 0) AS spent FROM judged i LEFT JOIN got g ON g.job_id = i.job_id AND g.position < i.position GROUP BY ALL)
+"""
+
+
+@query("sel_4_reference_intake", sql=INTAKE + """SELECT i.job_id, i.position, i.sha256, i.seconds, g.position IS NOT NULL AS accepted, CASE WHEN g.position IS NOT NULL THEN NULL WHEN n >= 8 THEN 'too_many' WHEN own IS NOT NULL THEN own
+  WHEN spent + i.seconds > 120 THEN 'over_budget' ELSE 'repeated_content' END AS reason FROM judged i JOIN seen s ON s.job_id IS NOT DISTINCT FROM i.job_id AND s.position = i.position LEFT JOIN got g ON g.job_id = i.job_id AND g.position = i.position""")
 def reference_intake(spark, sf_dir):
     return sel.reference_intake(intake_items(spark, sf_dir))

@@ -77,6 +77,27 @@ def manifest_audit(spark, sf_dir):
     return weights.manifest_problems(*_stored_manifest(spark, sf_dir))
 
 
+LANES = ", ':', ".join(f"CAST(sum(CAST(concat('0x', substr(d, {1 + 15 * i}, 15)) AS BIGINT)) AS HUGEINT)" for i in range(4))
+
+
+def digest_sql(*texts: str) -> str:
+    """The SQL twin of a row digest."""
+    return "sha256(concat_ws('|', " + ", ".join(f"CASE WHEN ({t}) IS NULL THEN 'n' ELSE concat('v', length(CAST({t} AS VARCHAR)), ':', {t}) END" for t in texts) + "))"
+
+
+def billionths(number: str) -> str:
+    return f"CAST(CAST(({number}) * 1e9 AS BIGINT) AS VARCHAR)"
+
+
+def json_sql(value: str) -> str:
+    return f"CAST(to_json({value}) AS VARCHAR)"
+
+
+def set_print_sql(source: str, keys: str, digest: str, out: str) -> str:
+    """The SQL twin of a set fingerprint."""
+    return f"SELECT {keys}, count(*) AS row_count, sha256(concat(count(*), ':', {LANES})) AS {out} FROM (SELECT *, {digest} AS d FROM {source}) GROUP BY {keys}"
+
+
 def _sampled(spark, sf_dir):
     return v.segments(spark, sf_dir).where("speaker_id IS NOT NULL").select(
         F.col("speaker_id").alias("job_id"), F.expr("cast(floor(log10(length(transcript) + 1)) as int)").alias("bucket"),
@@ -104,10 +125,40 @@ def bucket_sample(spark, sf_dir):
     return sampling.draw_epoch(_sampled(spark, sf_dir), ["job_id", "bucket"], 7, 3)
 
 
-@query("wgt_13_sampler_report", "segments", """SELECT speaker_id AS job_id, count(*) AS item_count, min(25e-2 + (doc_id * 17 % 176) / 1e2) AS min_weight,
-  max(25e-2 + (doc_id * 17 % 176) / 1e2) AS max_weight, 3 AS iterations, 3 AS last_epoch, CAST(NULL AS VARCHAR) AS problem FROM segments WHERE speaker_id IS NOT NULL GROUP BY ALL""")
+def _reports(spark, sf_dir):
+    """Reports of finished trainings: one job has none, one never drew, one used another seed, one saw
+    other weights, one lost an item, and one belongs to no manifest."""
+    items = _sampled(spark, sf_dir).where("job_id <> 'spk_6'")
+    seen = items.withColumn("weight", F.col("weight") + F.when((F.col("job_id") == "spk_3") & (F.col("bucket") == 2), 0.01).otherwise(0.0)).where("job_id <> 'spk_4' OR name NOT LIKE '%00.wav'")
+    seen = seen.unionByName(items.where("job_id = 'spk_7'").withColumn("job_id", F.lit("spk_ghost")))
+    job = F.col("job_id")
+    made = sampling.sampler_report(seen, ["job_id"], 7, 3, 3)
+    return made.withColumns({"seed": F.when(job == "spk_1", 8).otherwise(F.col("seed")), "iterations": F.when(job == "spk_5", 0).otherwise(F.col("iterations")), "last_epoch": F.when(job != "spk_5", F.col("last_epoch"))})
+
+
+_WEIGHED = """, it AS (SELECT speaker_id AS job_id, CAST(floor(log10(length(transcript) + 1)) AS INTEGER) AS bucket, concat(segment_id, '.wav') AS name, 25e-2 + (doc_id * 17 % 176) / 1e2 AS weight FROM segments WHERE speaker_id IS NOT NULL),
+ saw AS (SELECT * REPLACE (weight + CASE WHEN job_id = 'spk_3' AND bucket = 2 THEN 1e-2 ELSE 0 END AS weight) FROM it WHERE job_id <> 'spk_6' AND (job_id <> 'spk_4' OR name NOT LIKE '%00.wav')
+   UNION ALL SELECT * REPLACE ('spk_ghost' AS job_id) FROM it WHERE job_id = 'spk_7')
+"""
+
+
+@query("wgt_13_sampler_report", "segments", _WEIGHED + ", mp AS (" + set_print_sql("it", "job_id", digest_sql("name", billionths("weight")), "h") + "), rp AS (" + set_print_sql("saw", "job_id", digest_sql("name", billionths("weight")), "h") + """),
+ rg AS (SELECT job_id, min(weight) AS min_weight, max(weight) AS max_weight FROM saw GROUP BY ALL), r AS (SELECT *, CASE WHEN job_id = 'spk_1' THEN 8 ELSE 7 END AS seed, CASE WHEN job_id = 'spk_5' THEN 0 ELSE 3 END AS iterations FROM rp JOIN rg USING (job_id))
+SELECT coalesce(m.job_id, r.job_id) AS job_id, m.row_count AS manifest_items, r.row_count AS item_count, round(min_weight, 9) AS min_weight, round(max_weight, 9) AS max_weight, seed, iterations, CASE WHEN iterations > 0 THEN 3 END AS last_epoch, r.h AS manifest_hash,
+  array_to_string(list_filter([CASE WHEN r.h IS NULL THEN 'report_missing' END, CASE WHEN m.h IS NULL THEN 'manifest_missing' END, CASE WHEN iterations < 1 THEN 'sampler_never_used' END, CASE WHEN seed <> 7 THEN 'seed_differs' END,
+    CASE WHEN m.row_count <> r.row_count THEN 'item_count_differs' END, CASE WHEN m.h <> r.h THEN 'weights_changed' END], lambda x: x IS NOT NULL), ',') AS problems
+FROM mp m FULL JOIN r ON m.job_id = r.job_id""")
 def report(spark, sf_dir):
-    return sampling.sampler_report(_sampled(spark, sf_dir), ["job_id"], 3, 3)
+    out = sampling.report_problems(_sampled(spark, sf_dir), _reports(spark, sf_dir), ["job_id"], 7)
+    return out.withColumns({"min_weight": F.round("min_weight", 9), "max_weight": F.round("max_weight", 9), "problems": F.array_join("problems", ",")})
+
+
+@query("wgt_13_weight_guard", "segments", """SELECT speaker_id AS job_id, concat(segment_id, '.wav') AS name, CASE WHEN doc_id % 19 = 0 THEN 'missing_weight' ELSE 'bad_weight' END AS problem FROM segments
+WHERE speaker_id IS NOT NULL AND (doc_id % 19 = 0 OR doc_id % 23 = 0 OR doc_id % 29 = 0 OR doc_id % 31 = 0)""")
+def weight_guard(spark, sf_dir):
+    i = F.substring("name", 5, 8).cast("long")
+    items = _sampled(spark, sf_dir).withColumn("weight", F.when(i % 19 == 0, F.lit(None)).when(i % 23 == 0, -F.col("weight")).when(i % 29 == 0, F.lit(float("nan"))).when(i % 31 == 0, F.lit(float("inf"))).otherwise(F.col("weight")))
+    return sampling.weight_problems(items).select("job_id", "name", "problem")
 
 
 @query("wgt_14_hold_out", "segments", """, named AS (SELECT source_id AS job_id, concat('segment_', sha256(segment_id)) AS name FROM segments),
@@ -141,27 +192,6 @@ SELECTED = """, chosen0 AS (SELECT DISTINCT speaker_id, CAST(substr(speaker_id,
  members AS (SELECT concat(t.speaker_id, '/', t.target) AS job_id, t.speaker_id, t.target, t.auto_correction, s.segment_id, a.valid_alignment
    FROM segments s JOIN targets t USING (speaker_id, content_type) JOIN aligned a ON a.segment_id = s.segment_id)
 """
-LANES = ", ':', ".join(f"CAST(sum(CAST(concat('0x', substr(d, {1 + 15 * i}, 15)) AS BIGINT)) AS HUGEINT)" for i in range(4))
-
-
-def digest_sql(*texts: str) -> str:
-    """The SQL twin of a row digest."""
-    return "sha256(concat_ws('|', " + ", ".join(f"CASE WHEN ({t}) IS NULL THEN 'n' ELSE concat('v', length(CAST({t} AS VARCHAR)), ':', {t}) END" for t in texts) + "))"
-
-
-def billionths(number: str) -> str:
-    return f"CAST(CAST(({number}) * 1e9 AS BIGINT) AS VARCHAR)"
-
-
-def json_sql(value: str) -> str:
-    return f"CAST(to_json({value}) AS VARCHAR)"
-
-
-def set_print_sql(source: str, keys: str, digest: str, out: str) -> str:
-    """The SQL twin of a set fingerprint."""
-    return f"SELECT {keys}, count(*) AS row_count, sha256(concat(count(*), ':', {LANES})) AS {out} FROM (SELECT *, {digest} AS d FROM {source}) GROUP BY {keys}"
-
-
 @query("wgt_15_job_members", "segments aligned", SELECTED + "SELECT job_id, speaker_id, target, auto_correction, segment_id, valid_alignment FROM members")
 def job_members(spark, sf_dir):
     return _members(spark, sf_dir)
