@@ -22,7 +22,16 @@ def finite(value: Column) -> Column:
 
 
 def in_unit(value: Column) -> Column:
-    return finite(value) & (value >= 0) & (value <= 1)
+    return F.coalesce((value >= 0) & (value <= 1), F.lit(False))  # NaN is above every number here
+
+
+def timed(start: Column, end: Column) -> Column:
+    """True only for finite times from zero on with the end after the start.
+
+    NaN is above every number, so an end that is below infinity and after the start excludes NaN and
+    infinity on both sides. Three comparisons, because this runs once for each phone.
+    """
+    return F.coalesce((start >= 0) & (end > start) & (end < F.lit(float("inf"))), F.lit(False))
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -105,14 +114,12 @@ def placeholder_alignment(method: str = "alignment_method") -> Column:
 def valid_singing_alignment(phones: str = "phonemes") -> Column:
     """Forced, in-range, ordered and non-overlapping phones: the alignment singing data needs."""
     def good(x: Column) -> Column:
-        return (
-            ~blank(x["phoneme"]) & finite(x["start_sec"]) & finite(x["end_sec"]) & in_unit(x["confidence"])
-            & (x["start_sec"] >= 0) & (x["end_sec"] > x["start_sec"])
-        )
+        return timed(x["start_sec"], x["end_sec"]) & in_unit(x["confidence"])
 
     def rule(p: Column) -> Column:
         later = F.zip_with(p, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda x, y: y.isNull() | (y["start_sec"] >= x["end_sec"] - F.lit(1e-6)))
-        return (F.size(p) > 0) & F.forall(p, good) & F.forall(later, lambda ok: ok)
+        spelled = F.forall(F.array_distinct(F.transform(p, lambda x: x["phoneme"])), lambda x: ~blank(x))  # each spelling once
+        return (F.size(p) > 0) & F.forall(p, good) & spelled & F.forall(later, lambda ok: ok)
 
     return F.coalesce(
         F.col("has_measurement") & (F.col("alignment_method") == FORCED_ALIGNMENT)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.measure import (
-    alignment_measured, asr_measured, blank, clamp, finite, in_unit, measurement, placeholder_alignment, reasons,
+    alignment_measured, asr_measured, blank, clamp, finite, in_unit, measurement, placeholder_alignment, reasons, timed,
 )
 from voxloom.functions.vocabulary import ELIGIBILITIES, KNOWN_PHONES, REASON_CODES, ROLES, STATUSES, TARGETS
 from voxloom.operators.sequences import with_neighbours
@@ -21,13 +21,9 @@ def observed_phones(phones: str = "phonemes") -> Column:
         ~blank(F.col("alignment_method")) & ~placeholder_alignment()
         & ~F.coalesce(F.col("alignment_status").isin("unavailable", "invalid"), F.lit(False))
     )
-    good = F.filter(
-        phones,
-        lambda x: x["phoneme"].isin(*KNOWN_PHONES) & finite(x["start_sec"]) & finite(x["end_sec"])
-        & (x["start_sec"] >= 0) & (x["end_sec"] > x["start_sec"]),
-    )
-    empty = F.array().cast("array<string>")
-    return F.when(usable, F.array_distinct(F.transform(good, lambda x: x["phoneme"]))).otherwise(empty)
+    sound = F.filter(phones, lambda x: timed(x["start_sec"], x["end_sec"]))
+    known = F.filter(F.array_distinct(F.transform(sound, lambda x: x["phoneme"])), lambda x: x.isin(*KNOWN_PHONES))
+    return F.when(usable, known).otherwise(F.array().cast("array<string>"))
 
 
 def pitch_bin(f0: Column) -> Column:

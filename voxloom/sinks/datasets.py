@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import blank, reasons
+from voxloom.functions.measure import blank, let, reasons
 from voxloom.operators.sequences import with_neighbours
 
 
@@ -37,12 +37,24 @@ def singing_items(segments: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def _whole(text: Column) -> Column:
+    return F.when(F.endswith(text, F.lit(".0")), F.substring_index(text, ".", 1)).otherwise(text)
+
+
 def significant(value: Column) -> Column:
     """Text of a positive number with up to twelve significant digits, without trailing zeros; below
-    a ten-thousandth with an exponent."""
+    a ten-thousandth with an exponent.
+
+    Numbers from a thousandth to a thousand, which phone lengths are, are rounded at the place of their
+    twelfth digit and printed as they are; formatting and trimming the others is five times slower.
+    """
+    usual = F
+    for place, top in ((14, 1e-2), (13, 1e-1), (12, 1.0), (11, 1e1), (10, 1e2), (9, 1e3)):
+        usual = usual.when(value < top, F.round(value, place))
+    short = usual.cast("string")
     plain = F.regexp_replace(F.format_string("%.12g", value), r"\.0*$|(?<=\.[0-9]{1,15})0+$", "")
     tiny = F.regexp_replace(F.format_string("%.11e", value), r"\.?0+e", "e")
-    return F.when(value >= 1e-4, plain).when(value > 0, tiny).otherwise("0")
+    return F.when((value >= 1e-3) & (value < 1e3), let(short, _whole)).when(value >= 1e-4, plain).when(value > 0, tiny).otherwise("0")
 
 
 def clip_name(segment_id: Column) -> Column:
