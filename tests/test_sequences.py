@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxloom.functions.measure import high_rank, low_rank
-from voxloom.operators import sampling, segmentation, selection, sequences as seq, signal, speakers
+from voxloom.operators import inventory, sampling, segmentation, selection, sequences as seq, signal, speakers
 from voxloom.operators.completion import choose_prompts
 from voxloom.sinks import files, versioned
 
@@ -297,3 +297,64 @@ def test_assessment_ignores_input_order(spark):
     a = weights.assess(routing.eligibility(rows)).select(*pick).collect()
     b = weights.assess(routing.eligibility(rows.repartition(13, "cache_key"))).select(*pick).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_provenance_notices_changed_files_and_jobs_without_any(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    rows = [("a b/+", "x", 1.0), ("a b/+", "y", 0.5), (None, "z", 2.0), ("c", "w", 1.0)]
+    accepted = spark.createDataFrame(rows, "job_id string, name string, training_weight double")
+    held = spark.createDataFrame([("c", "h"), ("d%", "i"), ("d%", "j")], "job_id string, segment_id string")
+    files.publish(accepted, folder, "job_id", "csv")
+    told = {r.job_id: r for r in files.record_provenance(accepted, held, folder, "job_id", "f1").collect()}
+    assert {k: (r.status, r.accepted, r.held, r.files > 0) for k, r in told.items()} == {
+        "a b/+": ("written", 2, 0, True), None: ("written", 1, 0, True), "c": ("written", 1, 1, True), "d%": ("none_accepted", 0, 2, False)}
+    assert files.provenance_problems(spark, folder, "job_id").collect() == []
+    part = next(tmp_path.glob("set/job_id=c/part-*"))
+    for crc in tmp_path.glob("set/job_id=*/.*.crc"):
+        crc.unlink()
+    part.write_bytes(part.read_bytes() + b" ")
+    next(tmp_path.glob("set/job_id=__HIVE*/part-*")).unlink()
+    found = {r.job_id: r.problem for r in files.provenance_problems(spark, folder, "job_id").collect()}
+    assert found == {"c": "files_differ", None: "files_missing"}
+
+
+def test_reports_are_held_against_the_manifest(spark):
+    items = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 0.5), ("b", "x", 2.0), ("c", "z", 1.0)], "job string, name string, weight double")
+    fine = sampling.sampler_report(items.where("job <> 'c'"), ["job"], 7, 2, 1)
+
+    def codes(reports, seed=7):
+        return {r.job: r.problems for r in sampling.report_problems(items, reports, ["job"], seed).collect()}
+
+    assert codes(fine) == {"a": [], "b": [], "c": ["report_missing"]}
+    assert codes(fine, 8)["a"] == ["seed_differs"]
+    assert codes(sampling.sampler_report(items, ["job"], 7, 0, None))["b"] == ["sampler_never_used"]
+    moved = items.withColumn("weight", F.when(F.col("name") == "y", 0.75).otherwise(F.col("weight")))
+    assert codes(sampling.sampler_report(moved, ["job"], 7, 2, 1)) == {"a": ["weights_changed"], "b": [], "c": []}
+    less = items.where("name <> 'y'").unionByName(items.limit(1).withColumn("job", F.lit("ghost")))
+    assert codes(sampling.sampler_report(less, ["job"], 7, 2, 1)) == {"a": ["item_count_differs", "weights_changed"], "b": [], "c": [], "ghost": ["manifest_missing"]}
+    odd = spark.createDataFrame([("a", "x", None), ("a", "y", float("nan")), ("a", "z", -1.0), ("a", "w", 0.0)], "job string, name string, weight double")
+    assert {r.name: r.problem for r in sampling.weight_problems(odd).collect()} == {"x": "missing_weight", "y": "bad_weight", "z": "bad_weight"}
+
+
+def test_inventory_counts_equal_plain_sets(spark):
+    rng = random.Random(5)
+    rows = [
+        (f"g{i}", rng.choice(["a", "b", " ", None]), rng.choice(["s1", "s2", "", None]), rng.choice(["k1", "k2", "k3", None]), rng.choice([None, 1.0, 2.5, -1.0]), rng.choice(["primary", "excluded", "feature_only"]), rng.choice(["primary", "none"]),
+         rng.choice(["eligible", "excluded", "needs_review"]), rng.choice(["eligible", "excluded"]), rng.sample(["a", "k", "s"], rng.randint(0, 3)), rng.choice([None, [1, 2], [2]]), rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.5, "measured", 0.9)
+        for i in range(150)]
+    names = "segment_id speaker_id source_id cache_key duration_sec talk_role singing_role talk_eligibility singing_eligibility phones bins transcript_blank has_f0 has_embedding asr_status asr_confidence".split()
+    kinds = ["string"] * 4 + ["double"] + ["string"] * 4 + ["array<string>", "array<int>"] + ["boolean"] * 3 + ["string", "double"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+    got = {r.speaker_id: r for r in inventory.speaker_inventory(df, "f").collect()}
+    all_rows = [dict(zip(names, r, strict=True)) for r in rows]
+    assert set(got) == {"a", "b"}
+    for speaker, r in got.items():
+        own = [x for x in all_rows if x["speaker_id"] == speaker]
+        sp = [x for x in own if x["talk_role"] == "primary" and x["talk_eligibility"] == "eligible"]
+        si = [x for x in own if x["singing_role"] == "primary" and x["singing_eligibility"] == "eligible"]
+        idn = [x for x in own if ({x["talk_role"], x["singing_role"]} & {"primary", "feature_only"}) and x["talk_eligibility"] != "excluded"]
+        several = lambda part, name: len({x[name] for x in part} - {None})
+        assert (r.speech_recordings, r.speech_utterances) == (several(sp, "source_id"), several(sp, "cache_key"))
+        assert (r.singing_recordings, r.singing_phrases, r.identity_sources) == (several(si, "source_id"), several(si, "cache_key"), several(idn, "source_id"))
+        assert r.phoneme_coverage == len({p for x in sp for p in x["phones"]}) and r.pitch_bins == len({b for x in si for b in x["bins"] or []})
+        assert r.speech_eligible_seconds == sum(max(x["duration_sec"] or 0, 0) for x in sp) and r.transcript_usable == sum(not x["transcript_blank"] for x in sp)

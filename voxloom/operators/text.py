@@ -227,16 +227,16 @@ def clip_problem(phones: Column, durations: Column, clip_sec: Column, sample_rat
     )
 
 
-def duration_input(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows with mora counts, held clips with a reason): nothing is dropped silently."""
+def duration_input(clips: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows with mora counts, held clips with a reason): nothing is dropped silently. ``more`` columns are kept."""
     from voxloom.sinks.datasets import clip_name, significant
 
     groups, trouble = mora_groups(F.col("phones"))
     judged = clips.withColumn("reason", F.coalesce(clip_problem(F.col("phones"), F.col("durations"), F.col("clip_sec"), F.col("sample_rate")), trouble))
     accepted = judged.where("reason IS NULL").select(
-        "segment_id", clip_name(F.col("segment_id")).alias("name"), F.array_join("phones", " ").alias("ph_seq"),
+        *more, "segment_id", clip_name(F.col("segment_id")).alias("name"), F.array_join("phones", " ").alias("ph_seq"),
         F.array_join(F.transform("durations", significant), " ").alias("ph_dur"), F.array_join(groups, " ").alias("ph_num"), "training_weight")
-    return accepted, judged.where("reason IS NOT NULL").select("segment_id", "reason")
+    return accepted, judged.where("reason IS NOT NULL").select(*more, "segment_id", "reason")
 
 
 def crop_ranges(clips: DataFrame) -> DataFrame:

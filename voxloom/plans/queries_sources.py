@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from voxloom.functions.measure import valid_singing_alignment
 from voxloom.operators import text
 from voxloom.plans import views as v
+from voxloom.plans.queries_jobs import billionths, digest_sql, set_print_sql
 from voxloom.plans.registry import query
-from voxloom.session import shared_folder
+from voxloom.session import durable, shared_folder
 from voxloom.sinks import datasets as sink, files
 from voxloom.sources import media, series
 
@@ -273,3 +274,21 @@ def duration_rows(spark, sf_dir):
   WHEN doc_id % 5 = 1 THEN 'consonant_cluster' WHEN doc_id % 5 = 2 THEN 'trailing_consonant' ELSE 'unknown_phone' END AS reason FROM segments WHERE NOT (doc_id % 5 IN (0, 3) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0)""")
 def held_clips(spark, sf_dir):
     return text.duration_input(duration_clips(spark, sf_dir))[1]
+
+
+@query("snk_9_provenance", "segments", """, k AS (SELECT CASE WHEN doc_id % 5 IN (0, 3) THEN source_id ELSE concat(source_id, '/held only') END AS job_id, segment_id, doc_id % 5 IN (0, 3) AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS ok,
+   concat('segment_', sha256(segment_id)) AS name, 25e-2 + (doc_id % 8) / 4e0 AS w FROM segments),
+ wp AS (""" + set_print_sql("(SELECT * FROM k WHERE ok)", "job_id", digest_sql("name", billionths("w")), "weights_hash") + """)
+SELECT job_id, CASE WHEN count(*) FILTER (ok) > 0 THEN 'written' ELSE 'none_accepted' END AS status, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS held, any_value(weights_hash) AS weights_hash,
+  'dataset-1' AS dataset_fingerprint, count(*) FILTER (ok) > 0 AS has_files, NULL AS problem FROM k LEFT JOIN wp USING (job_id) GROUP BY job_id""")
+def provenance(spark, sf_dir):
+    """Duration inputs of every source written as a job of its own, with their provenance read back and
+    held against the files; clips of shapes that are always held form jobs without a file."""
+    clips = duration_clips(spark, sf_dir).join(v.segments(spark, sf_dir).select("segment_id", "source_id"), "segment_id")
+    job = F.when((F.col("doc_id") % 5).isin(0, 3), F.col("source_id")).otherwise(F.concat("source_id", F.lit("/held only")))
+    accepted, held = text.duration_input(clips.withColumn("job_id", job), "job_id")
+    accepted, folder = durable(accepted), f"{shared_folder(spark)}/durations-{uuid.uuid4().hex}"
+    files.publish(accepted, folder, "job_id", "csv")
+    told = files.record_provenance(accepted, held, folder, "job_id", "dataset-1")
+    found = files.provenance_problems(spark, folder, "job_id")
+    return told.join(found, "job_id", "left").select("job_id", "status", "accepted", "held", "weights_hash", "dataset_fingerprint", ((F.col("files") > 0) & (F.col("bytes") > 0) & F.col("files_hash").isNotNull()).alias("has_files"), "problem")
