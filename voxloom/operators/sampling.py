@@ -26,8 +26,9 @@ def draw_epoch(items: DataFrame, keys: list[str], seed: int, epoch: int) -> Data
     ``items`` brings the keys, ``name`` and ``weight``. Weights are counted in millionths, so sums
     are exact whatever the partitioning. Items lie on a line in the order of md5(name); each is
     also the seat of one draw, whose point comes from md5(seed:epoch:key:draw). Points meet
-    intervals through cells one maximum weight wide: a cell holds at most nine intervals, so the
-    join has no hot key even when one job owns most rows. Keys with a bad weight draw nothing; their
+    intervals through cells one maximum weight wide: with weights from 0.25 to 2, as the policy gives
+    them, a cell holds at most nine intervals, so the join has no hot key even when one job owns most
+    rows. Many weights near zero would share a cell. Keys with a bad weight draw nothing; their
     items are in ``weight_problems``.
     """
     bad = weight_problems(items).select(*keys).distinct()
