@@ -1,11 +1,12 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-Texts are equal when identical after lower-casing A-Z. Copies meet by their bytes in one hash
-aggregation that Spark combines before its shuffle, so a text that fills a third of the table is
-one row per task there. The distinct texts then go into the index: a directory of hash prefixes
-doubles until no bucket is overfull, owner tasks take whole buckets (key ranges) and chain keys
-that collide. The aggregation decides what stays and the size of each group; documents are joined to
-the rows of the index by key and digest, not by slot and bucket.
+Texts are equal when identical after lower-casing A-Z. Documents travel as 64-bit key, SHA-256 and
+``doc_id``, never as texts. Each task first folds its copies, so a text that fills a third of the table
+is at most ``PARTS`` small rows when it leaves the tasks. A directory of key prefixes doubles until no
+bucket is overfull. Entries go through the directory to the owner of their bucket, where the chain of
+their key compares the bytes of the digests, places texts of equal key one after the other, and settles
+``keep_id`` and ``group_size``. Documents find their place in the index the same way: prefix, bucket,
+key, digest. Nothing but the chains of the buckets groups texts.
 
 Null text counts as empty. A null ``doc_id`` sorts below all others. Rows equal in ``doc_id`` and
 text cannot be told apart: one of them stays. Extra columns are left alone; an empty table gives an
@@ -20,25 +21,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxloom.llm.common import ascii_lower, fresh, stored
 
-#: Distinct texts in a bucket before it splits.
+#: Distinct keys in a bucket before it splits.
 CAPACITY = 4096
 _DEEPEST = 40
+#: Rows of one text that may reach the owner of its bucket.
+PARTS = 64
 
 
 def normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def classes(docs: DataFrame, key_bits: int = 64) -> DataFrame:
-    """One row per distinct text: key, digest, the row that stays, and the size of the group.
+def digests(docs: DataFrame, key_bits: int = 64, *more: Column) -> DataFrame:
+    """doc_id, key and text_sha256 of each row, and ``more``; stored, so that texts are read and hashed once.
 
-    Grouping is by key and by the text itself, that is, by comparing bytes. ``key_bits`` below 64
-    makes keys collide (for tests).
+    ``key_bits`` below 64 makes keys collide (for tests).
     """
-    entries = docs.select("doc_id", normal(F.col("text")).alias("body"))
-    key = F.shiftrightunsigned(F.xxhash64("body"), 64 - key_bits) if key_bits < 64 else F.xxhash64("body")
-    grouped = entries.groupBy(key.alias("key"), "body").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return grouped.select("key", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
+    body = normal(docs["text"])
+    key = F.shiftrightunsigned(F.xxhash64(body), 64 - key_bits) if key_bits < 64 else F.xxhash64(body)
+    return stored(docs.select(docs["doc_id"].alias("doc_id"), key.alias("key"), F.sha2(body.cast("binary"), 256).alias("text_sha256"), *more))
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """One row per text and part of the tasks: key, digest, largest doc_id, and how often the text occurs there."""
+    part = F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part")
+    dealt = rows.select("doc_id", "key", "text_sha256", part)
+    return dealt.groupBy("key", "text_sha256", "part").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).drop("part")
 
 
 def _prefix(key: Column, depth: int, key_bits: int) -> Column:
@@ -77,24 +85,36 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, key_bits: int = 64)
     return out, depth
 
 
-def index(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
-    """The stored index: bucket, place in the chain of its key, key, digest, keep_id, group_size."""
-    entries = stored(classes(docs, key_bits))
-    slots, depth = directory(entries, capacity, key_bits)
-    placed = entries.withColumn("slot", _prefix(F.col("key"), depth, key_bits)).join(slots, "slot").drop("slot")
+def located(rows: DataFrame, slots: DataFrame, depth: int, key_bits: int) -> DataFrame:
+    """``rows`` with the bucket (local_depth, bucket) that the directory names for their key."""
+    return rows.withColumn("slot", _prefix(F.col("key"), depth, key_bits)).join(slots, "slot").drop("slot")
+
+
+def index(rows: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> tuple[DataFrame, DataFrame, int]:
+    """The stored index of ``digests``, its directory and the directory's depth.
+
+    Index: bucket (local_depth, bucket), key, place in the chain of that key, digest, keep_id, group_size.
+    The directory has a row for each few thousand texts; whether it is broadcast is left to Spark, which
+    knows the size of the stored table.
+    """
+    entries = stored(folded(rows))
+    slots, depth = directory(stored(entries.select("key").distinct()), capacity, key_bits)
+    slots = stored(slots)
+    owned = located(entries, slots, depth, key_bits).repartition("local_depth", "bucket")
+    links = owned.groupBy("local_depth", "bucket", "key", "text_sha256").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     chain = Window.partitionBy("local_depth", "bucket", "key").orderBy("text_sha256")
-    owned = placed.repartition("local_depth", "bucket").withColumn("chain", F.row_number().over(chain))
-    return stored(owned)
+    return stored(links.withColumn("chain", F.row_number().over(chain))), slots, depth
+
+
+_PLACE = ["local_depth", "bucket", "key", "text_sha256"]
 
 
 def resolve(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    table = index(docs, capacity, key_bits).select("key", "text_sha256", "keep_id", "group_size")
-    body = normal(F.col("text"))
-    key = F.shiftrightunsigned(F.xxhash64(body), 64 - key_bits) if key_bits < 64 else F.xxhash64(body)
-    rows = docs.select("doc_id", key.alias("key"), F.sha2(body.cast("binary"), 256).alias("text_sha256"))
+    rows = digests(docs, key_bits)
+    table, slots, depth = index(rows, capacity, key_bits)
     same = rows.groupBy("doc_id", "key", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
-    found = same.join(table, ["key", "text_sha256"])
+    found = located(same, slots, depth, key_bits).join(table, _PLACE)
     return found.select(
         "doc_id", "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), "text_sha256"
     ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
@@ -102,14 +122,11 @@ def resolve(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> Da
 
 def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The documents that stay, one per distinct text, with the columns of ``docs``."""
-    uid, key, sha = fresh(docs, "uid"), fresh(docs, "key"), fresh(docs, "sha")
-    body = normal(docs["text"])
-    rows = stored(docs.select("*", F.monotonically_increasing_id().alias(uid), F.xxhash64(body).alias(key), F.sha2(body.cast("binary"), 256).alias(sha)))
-    table = index(rows.select("doc_id", "text"), capacity).select(
-        F.col("key").alias("_key"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep")
-    )
-    stay = rows.select(F.col("doc_id").alias("_id"), F.col(key).alias("_k"), F.col(sha).alias("_s"), F.col(uid).alias("_uid"))
-    stay = stay.join(table, (F.col("_k") == F.col("_key")) & (F.col("_s") == F.col("_sha"))).where(F.col("_id").eqNullSafe(F.col("_keep")))
-    stay = stored(stay.groupBy("_key", "_sha").agg(F.min("_uid").alias(uid)).select(uid))
+    uid = fresh(docs, "uid")
+    numbered = stored(docs.withColumn(uid, F.monotonically_increasing_id()))
+    rows = digests(numbered, 64, F.col(uid).alias("uid"))
+    table, slots, depth = index(rows, capacity)
+    stay = located(rows, slots, depth, 64).join(table, _PLACE).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    stay = stored(stay.groupBy(*_PLACE).agg(F.min("uid").alias(uid)).select(uid))
     # The list grows with the corpus: one plan at every size, a sort-merge join, never a broadcast.
-    return rows.join(stay.hint("merge"), uid, "left_semi").select(*docs.columns)
+    return numbered.join(stay.hint("merge"), uid, "left_semi").select(*docs.columns)
