@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.fingerprints import plain_columns, row_digest
@@ -173,30 +176,48 @@ def record_print(records: DataFrame) -> Column:
     return row_digest(*plain_columns(records, "audio_sha256", "duration_sec", "conditions", "phonemes", "entries"))
 
 
+_PHONE = {"phoneme": "string", "start_sec": "double", "end_sec": "double", "confidence": "double"}
+_ENTRY = {"label": "string", "start": "double", "end": "double"}
+
+
+def _list_print(items: Column | str, fields: dict[str, str], name: str) -> tuple[Column, Column]:
+    """SHA-256 of a list's exact text, equal if and only if all values are (a zero has no sign), and whether
+    no value is missing."""
+    of = lambda x: [(x[f].cast(kind) + 0.0 if kind == "double" else x[f]).alias(f) for f, kind in fields.items()]
+    whole = F.forall(items, lambda x: functools.reduce(operator.and_, [x[f].isNotNull() for f in fields]))
+    return F.sha2(F.to_json(F.transform(items, lambda x: F.struct(*of(x)))), 256).alias(name), whole.alias(f"{name}_whole")
+
+
 def measurement_problems(segments: DataFrame, records: DataFrame) -> DataFrame:
     """Stored measurement records against their segments, phone by phone.
 
     Both sides bring segment_id, phonemes, audio_sha256 and conditions; records also duration_sec and
     entries, segments also reference_sha256 (the digest of the record they were aligned by), clip_sec and
-    alignment_method. The digest of a record is computed here. Arrays are compared whole, in the row.
+    alignment_method. The digest of a record is computed here. Arrays are compared whole, by SHA-256 of
+    exact texts made in their own row; only these meet, so a join carries some hundred bytes a segment.
     """
-    printed = records.withColumn("record_sha256", record_print(records))
-    r = printed.select("segment_id", F.struct(*[c for c in printed.columns if c != "segment_id"]).alias("r"))
-    joined = segments.join(r, "segment_id", "full_outer")
+    left = segments.select(
+        "segment_id", "alignment_method", "audio_sha256", "conditions", "reference_sha256", "clip_sec", F.size("phonemes").alias("_n"), F.col("phonemes").isNotNull().alias("_there"),
+        *_list_print("phonemes", _PHONE, "_phones"), *_list_print(F.transform("phonemes", lambda x: F.struct(
+            F.try_element_at(_map(ALIGNER_ALPHABET), x["phoneme"]).alias("label"), x["start_sec"].alias("start"), x["end_sec"].alias("end"))), _ENTRY, "_labels"))
+    voiced = F.filter("entries", lambda e: ~e["label"].isin("", "sil"))
+    inside = F.forall("phonemes", lambda y: F.coalesce(y["end_sec"] <= F.col("duration_sec"), F.lit(False)))
+    right = records.select("segment_id", F.struct(
+        "audio_sha256", "conditions", "duration_sec", record_print(records).alias("record_sha256"), F.size("phonemes").alias("n"), inside.alias("inside"), F.size(voiced).alias("voiced"),
+        *_list_print("phonemes", _PHONE, "phones"), *_list_print(voiced, _ENTRY, "labels")).alias("r"))
+    joined = left.join(right, "segment_id", "full_outer")
     forced = F.col("alignment_method") == FORCED_ALIGNMENT
-    has, p, q = F.col("r").isNotNull(), F.col("phonemes"), F.col("r.phonemes")
+    has, there = F.col("r").isNotNull(), F.coalesce("_there", F.lit(False))
     checked = forced & has
-    same_length = F.size(p) == F.size(q)
-    phones = F.zip_with(p, q, lambda x, y: (x["phoneme"] == y["phoneme"]) & (x["start_sec"] == y["start_sec"]) & (x["end_sec"] == y["end_sec"]) & (
-        x["confidence"] == y["confidence"]) & (y["end_sec"] <= F.col("r.duration_sec")))
-    voiced = F.filter("r.entries", lambda e: ~e["label"].isin("", "sil"))
-    labels = F.zip_with(voiced, p, lambda e, x: (e["label"] == F.try_element_at(_map(ALIGNER_ALPHABET), x["phoneme"])) & (e["start"] == x["start_sec"]) & (e["end"] == x["end_sec"]))
+    same_length = F.col("_n") == F.col("r.n")
+    phones = F.col("_phones_whole") & F.col("r.inside") & (F.col("_phones") == F.col("r.phones"))
+    labels = F.when(F.col("r.labels").isNotNull(), F.col("_labels_whole") & (F.col("_labels") == F.col("r.labels")))
     codes = reasons(
-        (F.col("phonemes").isNull() & has, "segment_missing"), (~forced & has, "reference_on_estimate"), (forced & ~has, "record_missing"),
+        (~there & has, "segment_missing"), (~forced & has, "reference_on_estimate"), (forced & ~has, "record_missing"),
         (checked & ~F.col("r.record_sha256").eqNullSafe(F.col("reference_sha256")), "record_changed"), (checked & (F.col("r.audio_sha256") != F.col("audio_sha256")), "audio_changed"),
         (checked & (F.abs(F.col("clip_sec") - F.col("r.duration_sec")) > EPS), "length_changed"), (checked & ~F.col("r.conditions").eqNullSafe(F.col("conditions")), "conditions_differ"),
-        (checked & ~same_length, "phone_count_differs"), (checked & same_length & ~F.forall(phones, lambda ok: F.coalesce(ok, F.lit(False))), "phones_differ"),
-        (checked & ((F.size(voiced) != F.size(p)) | ~F.forall(labels, lambda ok: F.coalesce(ok, F.lit(False)))), "intervals_differ"),
+        (checked & ~same_length, "phone_count_differs"), (checked & same_length & ~phones, "phones_differ"),
+        (checked & ((F.col("r.voiced") != F.col("_n")) | ~labels), "intervals_differ"),
     )
     return joined.select("segment_id", F.explode(codes).alias("problem"))
 
