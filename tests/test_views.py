@@ -6,7 +6,14 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from voxloom.functions.vocabulary import ALIGNER_ALPHABET, FORCED_ALIGNMENT
+from voxloom.operators import dataset, text
 from voxloom.plans import views
+from voxloom.plans.catalog import load_all
+from voxloom.plans.registry import QUERIES
+
+load_all()
+SF = "/root/testdata/sf0.001"
 
 
 def test_rows_of_one_row_group_are_dealt_over_all_cores(spark, tmp_path):
@@ -38,3 +45,47 @@ def test_phones_of_odd_texts(spark):
             for i, c in enumerate(letters)]
         assert (None if got[key] is None else [tuple(p) for p in got[key]]) == want
     assert views.with_phones(spark.createDataFrame([], "doc_id bigint, transcript string")).count() == 0
+
+
+def _carried(df) -> str:
+    """The types that meet in the joins of a plan: what every shuffle before them has to carry."""
+    joins, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        children = [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Join":
+            joins += [c.schema().simpleString() for c in children]
+        todo += children
+    return " ".join(joins)
+
+
+def test_no_phones_travel_to_meet_an_edit(spark):
+    """dat_3 and dat_4: phones made after the join are those made before it."""
+    segs = views.segments(spark, SF)
+    for query in ("dat_3_transcript_edits", "dat_4_set_transcript"):
+        assert "confidence:double>>" not in _carried(QUERIES[query](spark, SF))
+    late = dataset.apply_transcript_edits(segs, views.edits(spark, SF), views.with_phones)
+    early = dataset.apply_transcript_edits(views.with_phones(segs), views.edits(spark, SF))
+    assert late.select(*early.columns).exceptAll(early).isEmpty() and late.count() == early.count()
+
+
+def test_records_meet_segments_by_digests(spark):
+    """txt_12: no array travels; equal zeros of any sign are equal, a billionth of a billionth is not."""
+    assert "array<" not in _carried(QUERIES["txt_12_measurement_audit"](spark, SF))
+    phone, entry = "struct<phoneme:string,start_sec:double,end_sec:double,confidence:double>", "struct<start:double,end:double,label:string>"
+    common = f"segment_id string, phonemes array<{phone}>, audio_sha256 string, conditions string"
+    seg = lambda name, phones: (name, phones, "x", "c", 1.0, FORCED_ALIGNMENT)
+    rec = lambda name, phones, entries: (name, phones, "x", "c", 1.0, entries)
+    one, said = ("a", 0.0, 0.5, 0.9), (0.0, 0.5, ALIGNER_ALPHABET["a"])
+    segments = [seg("same", [one]), seg("close", [one]), seg("none", [("a", None, 0.5, 0.9)]), seg("empty", []), seg("odd", [("?", 0.0, 0.5, 0.9)]), seg("long", [("a", 0.0, 1.5, 0.9)])]
+    records = [
+        rec("same", [("a", -0.0, 0.5, 0.9)], [said, (0.5, 0.6, "sil"), (0.6, 0.7, "")]), rec("close", [("a", 1e-18, 0.5, 0.9)], [(1e-18, 0.5, said[2])]), rec("none", [("a", None, 0.5, 0.9)], [said]),
+        rec("empty", [], []), rec("odd", [("?", 0.0, 0.5, 0.9)], [(0.0, 0.5, None)]), rec("long", [("a", 0.0, 1.5, 0.9)], [(0.0, 1.5, said[2])]), rec("lone", [one], [said]),
+    ]
+    s = spark.createDataFrame(segments, common + ", clip_sec double, alignment_method string")
+    r = spark.createDataFrame(records, common + f", duration_sec double, entries array<{entry}>")
+    known = r.select("segment_id", text.record_print(r).alias("reference_sha256"))
+    got = {(x["segment_id"], x["problem"]) for x in text.measurement_problems(s.join(known, "segment_id", "left"), r).collect()}
+    assert got == {
+        ("close", "phones_differ"), ("close", "intervals_differ"), ("none", "phones_differ"), ("none", "intervals_differ"), ("odd", "intervals_differ"),
+        ("long", "phones_differ"), ("lone", "segment_missing")}

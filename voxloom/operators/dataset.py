@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
 from voxloom.functions.measure import blank, finite, legacy_measurement, log_place
 from voxloom.functions.vocabulary import INVALIDATED_ALIGNMENT, PHONEME_METHOD_PREFIX, PROVENANCE_METHODS
 
+Phones = Callable[[DataFrame], DataFrame]
+
 
 def build(segments: DataFrame, stage: DataFrame, classes: DataFrame, assigned: DataFrame, centroids: DataFrame) -> DataFrame:
     """Segments of successfully processed sources with class, speaker and centroid attached."""
@@ -57,18 +61,27 @@ def _invalidate(rows: DataFrame, when: Column) -> DataFrame:
     )
 
 
-def apply_transcript_edits(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """The latest transcript edit wins; only a really changed text gives up its phones and alignment."""
+def apply_transcript_edits(segments: DataFrame, edits: DataFrame, phones: Phones | None = None) -> DataFrame:
+    """The latest transcript edit wins; only a really changed text gives up its phones and alignment.
+
+    ``phones`` adds ``phonemes`` from the columns of ``segments``, which then come without: only after the
+    join, so that no phones travel to meet an edit.
+    """
     joined = segments.join(latest_transcripts(edits), "segment_id", "left")
     changed = F.coalesce(F.col("new_transcript") != F.col("transcript"), F.lit(False))
     marked = joined.withColumn("_changed", changed)
+    marked = marked if phones is None else phones(marked)
     return _invalidate(marked, F.col("_changed")).withColumn("transcript", F.coalesce("new_transcript", "transcript")).drop("_changed", "new_transcript")
 
 
-def set_transcripts(segments: DataFrame, provenance: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-    """Interactive edit: always invalidates the alignment, marks the provenance, and appends to the log."""
+def set_transcripts(segments: DataFrame, provenance: DataFrame, edits: DataFrame, phones: Phones | None = None) -> dict[str, DataFrame]:
+    """Interactive edit: always invalidates the alignment, marks the provenance, and appends to the log.
+
+    ``phones``: see ``apply_transcript_edits``.
+    """
     latest = edits.groupBy("segment_id").agg(F.max_by("value", log_place(edits)).alias("_new"))
     marked = segments.join(latest, "segment_id", "left").withColumn("_hit", F.col("_new").isNotNull())
+    marked = marked if phones is None else phones(marked)
     changed = _invalidate(marked, F.col("_hit")).withColumn("transcript", F.coalesce("_new", "transcript")).drop("_new", "_hit")
     hit = edits.join(segments.select("segment_id"), "segment_id", "left_semi")
     last = provenance.where("feature = 'phonemes'").groupBy("segment_id").agg(F.max("seq").alias("_last")).join(hit.select("segment_id").distinct(), "segment_id", "left_semi")

@@ -72,13 +72,13 @@ EDITED = """, lt AS (SELECT segment_id, arg_max(value, seq) AS nt FROM edits WHE
 @query("dat_3_transcript_edits", "segments phonemes edits", EDITED + """SELECT segment_id, sha256(coalesce(nt, transcript)) AS transcript, CASE WHEN ch THEN 0 ELSE n END::INTEGER AS phones, has_measurement AND NOT ch AS has_measurement,
   CASE WHEN ch THEN 0 ELSE alignment_confidence END AS alignment_confidence, CASE WHEN ch THEN 'unavailable' ELSE alignment_status END AS alignment_status, CASE WHEN ch THEN 'invalidated-by-transcript-override' ELSE alignment_method END AS alignment_method FROM ed""")
 def transcript_edits(spark, sf_dir):
-    out = d.apply_transcript_edits(v.phoned_segments(spark, sf_dir), v.edits(spark, sf_dir))
+    out = d.apply_transcript_edits(v.segments(spark, sf_dir), v.edits(spark, sf_dir), v.with_phones)
     return out.select("segment_id", F.sha2("transcript", 256).alias("transcript"), F.size("phonemes").alias("phones"), "has_measurement", "alignment_confidence", "alignment_status", "alignment_method")
 
 
 def _set(spark, sf_dir):
     asked = v.edits(spark, sf_dir).where("field <> 'note'").select("segment_id", "value", "changed_at", "seq")
-    return d.set_transcripts(v.phoned_segments(spark, sf_dir), _sequenced(spark, sf_dir), asked.unionByName(asked.where("changed_at = 0").withColumn("segment_id", F.concat("segment_id", F.lit("_x")))))
+    return d.set_transcripts(v.segments(spark, sf_dir), _sequenced(spark, sf_dir), asked.unionByName(asked.where("changed_at = 0").withColumn("segment_id", F.concat("segment_id", F.lit("_x")))), v.with_phones)
 
 
 SET = """, ask AS (SELECT segment_id, value, changed_at, seq FROM edits WHERE field <> 'note'), lt AS (SELECT segment_id, arg_max(value, seq) AS nt FROM ask GROUP BY ALL)
