@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from voxloom.functions.vectors import unit
 from voxloom.functions.vocabulary import ALIGNER_ALPHABET, FORCED_ALIGNMENT
 from voxloom.operators import dataset, text
 from voxloom.plans import views
@@ -89,3 +92,12 @@ def test_records_meet_segments_by_digests(spark):
     assert got == {
         ("close", "phones_differ"), ("close", "intervals_differ"), ("none", "phones_differ"), ("none", "intervals_differ"), ("odd", "intervals_differ"),
         ("long", "phones_differ"), ("lone", "segment_missing")}
+
+
+def test_a_unit_vector_takes_its_length_once(spark):
+    """spk_2: the length is not summed again for every number of the vector, so long vectors take no quadratic time."""
+    wide = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x * 1.0).alias("v"))
+    start = time.monotonic()
+    total = wide.select(F.aggregate(unit(F.col("v")), F.lit(0.0), lambda a, x: a + x * x)).first()[0]
+    assert abs(total - 1) < 1e-9 and time.monotonic() - start < 15
+    assert spark.sql("SELECT array(0D, 0D) AS v").select(unit(F.col("v"))).first()[0] == [0.0, 0.0]

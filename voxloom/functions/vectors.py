@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import clamp, finite
+from voxloom.functions.measure import clamp, finite, let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,8 +17,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Scale to length one; a zero vector is left alone."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    return let(norm(a), lambda length: F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a))
 
 
 def all_finite(a: Column) -> Column:
