@@ -17,8 +17,10 @@ are fine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 import hashlib
+from itertools import compress
 import secrets
 
 import numpy as np
@@ -33,28 +35,26 @@ LONGEST = 4
 _PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _names(raw: bytes, start: np.ndarray, end: np.ndarray, key: bytes) -> np.ndarray:
+def _names(words: list[bytes], key: bytes) -> np.ndarray:
     """64-bit keyed hashes of words; each different word is hashed once."""
-    words = [raw[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)]
     known = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8, key=key).digest(), "little") for w in set(words)}
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def _units(data: np.ndarray, lens: np.ndarray, key: bytes = b"") -> tuple:
-    """Names of words, words per document, and (start, end) of each word."""
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    before = np.r_[False, inside[:-1]] if len(data) else inside
+def _split(data: bytes, lens: np.ndarray) -> Iterator[list[bytes]]:
+    """The words of each document; ``bytes.split`` cuts at the same six characters."""
     ends = np.cumsum(lens)
-    border = np.unique((ends - lens)[lens > 0])
-    before[border] = False
-    start = np.flatnonzero(inside & ~before)
-    after = np.r_[inside[1:], False] if len(data) else inside
-    after[border[1:] - 1] = False
-    after[-1:] = False
-    end = np.flatnonzero(inside & ~after) + 1
-    names = _names(data.tobytes(), start, end, key)
-    counts = np.searchsorted(start, ends) - np.searchsorted(start, ends - lens)
-    return names, counts.astype(np.int64), (start, end)
+    for x, y in zip((ends - lens).tolist(), ends.tolist(), strict=True):
+        yield data[x:y].split()
+
+
+def _units(data: np.ndarray, lens: np.ndarray, key: bytes = b"") -> tuple:
+    """Names of words and words per document."""
+    words, counts = [], np.zeros(len(lens), dtype=np.int64)
+    for i, own in enumerate(_split(data.tobytes(), lens)):
+        words += own
+        counts[i] = len(own)
+    return _names(words, key), counts, ()
 
 
 def _pair(name: np.ndarray, kind: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int):
@@ -99,14 +99,12 @@ def _anchors(units: np.ndarray, doc: np.ndarray, roll: Rolling) -> np.ndarray:
 
 def _report(with_kept: bool):
     def run(c: Chunk, mask: np.ndarray) -> pa.RecordBatch:
-        start, end = c.extra
         ends = np.cumsum(c.counts)
         total = np.r_[0, np.cumsum(mask)]
         removed = total[ends] - total[ends - c.counts]
         kept = []
-        for a, b in zip((ends - c.counts).tolist(), ends.tolist(), strict=True):
-            stay = np.flatnonzero(~mask[a:b]) + a
-            kept.append(b" ".join([c.data[x:y] for x, y in zip(start[stay].tolist(), end[stay].tolist(), strict=True)]))
+        for a, b, words in zip((ends - c.counts).tolist(), ends.tolist(), _split(c.data, c.lens), strict=True):
+            kept.append(b" ".join(compress(words, (~mask[a:b]).tobytes())))
         columns = [
             pa.array(c.ids, mask=c.ids == NULL_ID), pa.array(c.counts), pa.array(removed.astype(np.int64)),
             pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
