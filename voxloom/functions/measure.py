@@ -111,8 +111,11 @@ def placeholder_alignment(method: str = "alignment_method") -> Column:
     return F.coalesce(F.col(method) == PLACEHOLDER_ALIGNMENT, F.lit(False))
 
 
-def valid_singing_alignment(phones: str = "phonemes") -> Column:
-    """Forced, in-range, ordered and non-overlapping phones: the alignment singing data needs."""
+def valid_singing_alignment(phones: str = "phonemes", well_timed: Column | None = None) -> Column:
+    """Forced, in-range, ordered and non-overlapping phones: the alignment singing data needs.
+
+    ``well_timed`` is what ``phone_arrays.well_timed`` found, where phones were looked at as arrays.
+    """
     def good(x: Column) -> Column:
         return timed(x["start_sec"], x["end_sec"]) & in_unit(x["confidence"])
 
@@ -123,6 +126,6 @@ def valid_singing_alignment(phones: str = "phonemes") -> Column:
 
     return F.coalesce(
         F.col("has_measurement") & (F.col("alignment_method") == FORCED_ALIGNMENT)
-        & in_unit(F.col("alignment_confidence")) & let(F.col(phones), rule),
+        & in_unit(F.col("alignment_confidence")) & (let(F.col(phones), rule) if well_timed is None else well_timed),
         F.lit(False),
     )

@@ -180,7 +180,8 @@ def _selections(spark, sf_dir):
 
 
 def _members(spark, sf_dir):
-    segs = v.phoned_segments(spark, sf_dir).withColumn("valid_alignment", valid_singing_alignment())
+    segs = v.with_phones(v.segments(spark, sf_dir), v.WELL_TIMED, ("phonemes", "transcript"))
+    segs = segs.withColumn("valid_alignment", valid_singing_alignment(well_timed=F.col("_well_timed"))).drop("_well_timed")
     return jobs.job_members(_selections(spark, sf_dir), segs)
 
 

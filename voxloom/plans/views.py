@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from voxloom.functions import phone_arrays
+from voxloom.functions.vocabulary import KNOWN_PHONES
 from voxloom.operators.sequences import position_in
 from voxloom.plans import phones
 from voxloom.session import ship_package
@@ -69,15 +71,32 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(*[F.expr(e.format(sha="sha2(d.text, 256)")).alias(n) for n, e in SEGMENT_COLUMNS])
 
 
-def with_phones(segs: DataFrame) -> DataFrame:
-    """Add ``phonemes``: every letter a-z of the whole text, in order, as timed phones.
+def folded_phones(segs: DataFrame, fold, schema: T.StructType | str) -> DataFrame:
+    """What ``fold`` makes of batches of ``segs`` with ``phonemes``: every letter a-z of the whole text, in
+    order, as timed phones.
 
     They are made as arrays, a few documents at a time, and after whatever ``segs`` filters or joins.
+    ``segs`` brings ``doc_id`` and the text, as ``transcript`` or in lower case as ``_lower``.
     """
     ship_package(segs.sparkSession)
-    schema = T.StructType([*segs.schema.fields, T.StructField("phonemes", PHONES)])
-    lowered = segs.withColumn("_lower", F.lower("transcript"))
-    return lowered.mapInArrow(phones.append_phones, schema)
+    lowered = segs if "_lower" in segs.columns else segs.withColumn("_lower", F.lower("transcript"))
+    return lowered.mapInArrow(lambda batches: fold(phones.append_phones(batches)), schema)
+
+
+def with_phones(segs: DataFrame, kernels: dict | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``phonemes`` and what ``kernels`` (name: kernel of ``phone_arrays`` and type) make of them; ``drop``
+    names columns, ``phonemes`` among them, that need not leave the task."""
+    kernels = kernels or {}
+    early = [c for c in drop if c not in ("phonemes", "doc_id")]
+    lean = segs.withColumn("_lower", F.lower("transcript")).drop(*early)
+    fields = [f for f in segs.schema if f.name not in drop] + [T.StructField("phonemes", PHONES)] * ("phonemes" not in drop)
+    schema = T.StructType([*fields, *[T.StructField(n, kind) for n, (_, kind) in kernels.items()]])
+    return folded_phones(lean, phone_arrays.added({n: k for n, (k, _) in kernels.items()}, drop), schema)
+
+
+#: Kernels of ``with_phones``: alignment as singing data needs it, and the phones of the catalog.
+WELL_TIMED = {"_well_timed": (phone_arrays.well_timed, T.BooleanType())}
+KNOWN = {"_known": (phone_arrays.known_phones(KNOWN_PHONES), T.ArrayType(T.StringType()))}
 
 
 def phoned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
