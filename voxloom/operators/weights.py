@@ -15,14 +15,18 @@ BASE_HZ, BIN_SEMITONES = 55.0, 6.0
 GROUP = ["speaker_id", "target"]
 
 
-def observed_phones(phones: str = "phonemes") -> Column:
-    """Distinct reliably timed known phones of a segment, for any target (no shuffle)."""
+def observed_phones(phones: str = "phonemes", known: Column | None = None) -> Column:
+    """Distinct reliably timed known phones of a segment, for any target (no shuffle).
+
+    ``known`` is what ``phone_arrays.known_phones`` found, where phones were looked at as arrays.
+    """
     usable = (
         ~blank(F.col("alignment_method")) & ~placeholder_alignment()
         & ~F.coalesce(F.col("alignment_status").isin("unavailable", "invalid"), F.lit(False))
     )
-    sound = F.filter(phones, lambda x: timed(x["start_sec"], x["end_sec"]))
-    known = F.filter(F.array_distinct(F.transform(sound, lambda x: x["phoneme"])), lambda x: x.isin(*KNOWN_PHONES))
+    if known is None:
+        sound = F.filter(phones, lambda x: timed(x["start_sec"], x["end_sec"]))
+        known = F.filter(F.array_distinct(F.transform(sound, lambda x: x["phoneme"])), lambda x: x.isin(*KNOWN_PHONES))
     return F.when(usable, known).otherwise(F.array().cast("array<string>"))
 
 

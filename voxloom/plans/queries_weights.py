@@ -17,14 +17,14 @@ def eligible_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rarity, means and weights read this table several times, and folding the phones is the costly
     part, so the narrow result is written once.
     """
-    segs = v.phoned_segments(spark, sf_dir).withColumn(
+    segs = v.with_phones(v.segments(spark, sf_dir), v.WELL_TIMED | v.KNOWN, ("phonemes", "transcript")).withColumn(
         "f0_values", F.array(F.col("mean_f0_hz"), F.col("mean_f0_hz") + F.col("f0_std_dev_hz"), F.lit(0.0))
     )
     return durable(
-        segs.withColumn("valid_alignment", valid_singing_alignment())
-        .withColumn("phones", weights.observed_phones())
+        segs.withColumn("valid_alignment", valid_singing_alignment(well_timed=F.col("_well_timed")))
+        .withColumn("phones", weights.observed_phones(known=F.col("_known")))
         .withColumn("bins", weights.observed_bins())
-        .drop("phonemes", "f0_values", "transcript")
+        .drop("_well_timed", "_known", "f0_values")
     )
 
 
@@ -140,7 +140,8 @@ UTILITY = KNOWN + DECIDED + """
 
 @query("wgt_1_observed_phones", "segments phonemes", KNOWN + "SELECT segment_id, phoneme FROM observed")
 def observed_phones(spark, sf_dir):
-    return v.phoned_segments(spark, sf_dir).select("segment_id", F.explode(weights.observed_phones()).alias("phoneme"))
+    rows = v.with_phones(v.segments(spark, sf_dir), v.KNOWN, ("phonemes", "transcript"))
+    return rows.select("segment_id", F.explode(weights.observed_phones(known=F.col("_known"))).alias("phoneme"))
 
 
 @query("wgt_2_pitch_bins", "frames", """
