@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxloom.functions.measure import blank, clamp, let
+from voxloom.functions.measure import blank, clamp
+from voxloom.functions.phone_arrays import counted
 from voxloom.functions.vocabulary import CORE_PHONES, KANA_PHONES, VOWELS, category_phones
+from voxloom.session import ship_package
 
 LOW_COUNT, GOOD_RATIO, WARNING_RATIO = 3, 0.80, 0.50
 SUSTAINED_SEC, LOW_HZ, HIGH_HZ = 0.30, 165.0, 330.0
@@ -46,13 +48,25 @@ def _scope_rows(base: DataFrame, item: list[str], total: str) -> DataFrame:
     )
 
 
-def phone_counts(segments: DataFrame) -> DataFrame:
-    """Phone counts per scope (only phones that occur)."""
-    names = F.transform("phonemes", lambda p: p["phoneme"])  # exploding names is far cheaper than exploding structs
-    base = segments.select("speaker_id", "content_type", F.explode(names).alias("phoneme")).groupBy(
-        "speaker_id", "content_type", "phoneme"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return _scope_rows(base, ["phoneme"], "n")
+def _counts(segments: DataFrame, item: str, around: bool, folded) -> DataFrame:
+    """Counts per (speaker, type, item), added up inside the tasks first."""
+    keys = ["speaker_id", "content_type"]
+    fold = counted(keys, item, around)
+    schema = ", ".join([*[f"{k} {dict(segments.dtypes)[k]}" for k in keys], f"{item} string", "n bigint"])
+    if folded is None:
+        ship_package(segments.sparkSession)
+        partial = segments.select(*keys, "phonemes").mapInArrow(fold, schema)
+    else:
+        partial = folded(segments, fold, schema)
+    return _scope_rows(partial.groupBy(*keys, item).agg(F.sum("n").alias("n")), [item], "n")
+
+
+def phone_counts(segments: DataFrame, folded=None) -> DataFrame:
+    """Phone counts per scope (only phones that occur).
+
+    ``folded(segments, fold, schema)`` hands phones to ``fold`` where ``segments`` does not hold them yet.
+    """
+    return _counts(segments, "phoneme", False, folded)
 
 
 def scope_summary(segments: DataFrame, counts: DataFrame) -> DataFrame:
@@ -61,18 +75,9 @@ def scope_summary(segments: DataFrame, counts: DataFrame) -> DataFrame:
     return scopes_of(segments).join(sums, SCOPE, "left").na.fill(0, ["phone_total", "phone_kinds"])
 
 
-def context_counts(segments: DataFrame) -> DataFrame:
-    """Phone trigram counts per scope, with sentence borders as context."""
-    def around(names: Column) -> Column:
-        return F.transform(
-            names, lambda x, i: F.concat_ws("|", F.coalesce(F.get(names, i - 1), F.lit("<BOS>")), x, F.coalesce(F.get(names, i + 1), F.lit("<EOS>")))
-        )
-
-    trigrams = let(F.transform("phonemes", lambda x: x["phoneme"]), around)
-    base = segments.select("speaker_id", "content_type", F.explode(trigrams).alias("context")).groupBy(
-        "speaker_id", "content_type", "context"
-    ).agg(F.count(F.lit(1)).alias("n"))
-    return _scope_rows(base, ["context"], "n")
+def context_counts(segments: DataFrame, folded=None) -> DataFrame:
+    """Phone trigram counts per scope, with sentence borders as context; ``folded`` as in :func:`phone_counts`."""
+    return _counts(segments, "context", True, folded)
 
 
 def core_gaps(segments: DataFrame, counts: DataFrame) -> DataFrame:

@@ -36,8 +36,12 @@ def _segs(spark, sf_dir):
     return v.phoned_segments(spark, sf_dir).select("segment_id", "speaker_id", "content_type", "mean_f0_hz", "pitch_reliability", "phonemes")
 
 
+def _texts(spark, sf_dir):
+    return v.segments(spark, sf_dir).select("doc_id", "speaker_id", "content_type", F.lower("transcript").alias("_lower"))
+
+
 def _both(spark, sf_dir):
-    return v.segments(spark, sf_dir), durable(c.phone_counts(_segs(spark, sf_dir)))
+    return v.segments(spark, sf_dir), durable(c.phone_counts(_texts(spark, sf_dir), v.folded_phones))
 
 
 @query("cov_1_phone_coverage", "segments phonemes", SCOPED + """SELECT scope, speaker_id, content_type, coalesce(phoneme, '') AS phoneme, coalesce(n, 0) AS n
@@ -57,7 +61,7 @@ def scope_totals(spark, sf_dir):
     FROM phonemes WINDOW w AS (PARTITION BY segment_id ORDER BY pos))
   SELECT scope, speaker_id, content_type, context, CAST(sum(n) AS BIGINT) AS n FROM member JOIN (SELECT segment_id, context, count(*) AS n FROM tri GROUP BY ALL) t USING (segment_id) GROUP BY ALL""")
 def phone_contexts(spark, sf_dir):
-    return c.context_counts(_segs(spark, sf_dir))
+    return c.context_counts(_texts(spark, sf_dir), v.folded_phones)
 
 
 @query("cov_3_core_gaps", "segments phonemes", SCOPED + GAPS + "SELECT * FROM gaps")
