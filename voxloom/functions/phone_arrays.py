@@ -81,6 +81,23 @@ def known_phones(known: tuple[str, ...]) -> Kernel:
     return run
 
 
+def _listed(value: Callable[[Phones], pa.Array]) -> Kernel:
+    def run(lists: pa.Array) -> pa.Array:
+        p = Phones(lists)
+        offsets = pa.array(np.r_[0, np.cumsum(p.counts)].astype(np.int32), mask=np.r_[p.none.to_numpy(zero_copy_only=False), False])
+        return pa.ListArray.from_arrays(offsets, value(p))
+
+    return run
+
+
+#: Parallel lists of names, lengths and times, as singing sets have them.
+ITEM_LISTS: dict[str, Kernel] = {
+    "phones": _listed(lambda p: p.fields["phoneme"]),
+    "durations": _listed(lambda p: pa.array(np.maximum(0.0, p.numbers("end_sec") - p.numbers("start_sec")))),
+    "starts": _listed(lambda p: p.fields["start_sec"]), "ends": _listed(lambda p: p.fields["end_sec"]),
+}
+
+
 def _double_text(x: float) -> str:
     """A large or odd number as the engine writes it."""
     if x != x:

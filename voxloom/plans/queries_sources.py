@@ -167,13 +167,15 @@ def refused_lines(spark, sf_dir):
 
 
 def _singing(spark, sf_dir, *more):
-    segs = v.with_phones(v.segments(spark, sf_dir).where("content_type = 'singing' AND speaker_id IS NOT NULL"))
-    return sink.singing_items(segs.where(valid_singing_alignment()), *more)
+    """Items of the singing sets. Rows are dealt to their files as texts: phones are many times larger."""
+    segs = v.segments(spark, sf_dir).where("content_type = 'singing' AND speaker_id IS NOT NULL").where(valid_singing_alignment(well_timed=F.lit(True)))
+    made = v.with_phones(files.dealt(segs, "speaker_id", "segment_id"), v.WELL_TIMED | v.LISTS, ("phonemes",))
+    return sink.singing_items(made.where("_well_timed"), *more)
 
 
 def _published(spark, df, form):
-    """One folder a speaker's job, written below the shared folder and read back."""
-    return files.publish(df, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", "speaker_id", form)
+    """One folder a speaker's job, written below the shared folder and read back; the rows are dealt already."""
+    return files.publish(df, f"{shared_folder(spark)}/published-{uuid.uuid4().hex}", "speaker_id", form, deal=False)
 
 
 SINGING = """, it AS (SELECT p.*, s.speaker_id FROM phonemes p JOIN segments s USING (segment_id) JOIN aligned a USING (segment_id) WHERE s.content_type = 'singing' AND s.speaker_id IS NOT NULL AND valid_alignment)

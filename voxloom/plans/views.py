@@ -94,8 +94,9 @@ def with_phones(segs: DataFrame, kernels: dict | None = None, drop: tuple[str, .
     return folded_phones(lean, phone_arrays.added({n: k for n, (k, _) in kernels.items()}, drop), schema)
 
 
-#: Kernels of ``with_phones``: alignment as singing data needs it, and the phones of the catalog.
+#: Kernels of ``with_phones``: alignment as singing data needs it, lists of singing sets, phones of the catalog.
 WELL_TIMED = {"_well_timed": (phone_arrays.well_timed, T.BooleanType())}
+LISTS = {n: (k, T.ArrayType(T.StringType() if n == "phones" else T.DoubleType())) for n, k in phone_arrays.ITEM_LISTS.items()}
 KNOWN = {"_known": (phone_arrays.known_phones(KNOWN_PHONES), T.ArrayType(T.StringType()))}
 
 

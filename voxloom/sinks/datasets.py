@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.measure import blank, let, reasons
+from voxloom.functions.phone_arrays import ITEM_LISTS
 from voxloom.operators.sequences import with_neighbours
 
 
@@ -28,7 +29,12 @@ def write_talk_list(lines: DataFrame, path: str) -> None:
 
 
 def singing_items(segments: DataFrame, *more: str) -> DataFrame:
-    """Parallel phone, duration, start and end arrays per segment; ``more`` columns are kept."""
+    """Parallel phone, duration, start and end arrays per segment; ``more`` columns are kept.
+
+    Where ``phone_arrays.ITEM_LISTS`` made the lists already, they are taken as they are.
+    """
+    if set(ITEM_LISTS) <= set(segments.columns):
+        return segments.select(*more, "segment_id", "transcript", *ITEM_LISTS)
     p = F.col("phonemes")
     return segments.select(
         *more, "segment_id", "transcript", F.transform(p, lambda x: x["phoneme"]).alias("phones"),

@@ -7,24 +7,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from voxloom.functions.fingerprints import plain_columns, row_digest, set_fingerprint
 
 #: What keeps a table as it is through text files.
-_OPTIONS = {"csv": {"header": True, "quoteAll": True, "nullValue": "\\N", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}, "json": {"ignoreNullFields": False}}
+_OPTIONS = {"csv": {"header": True, "quoteAll": True, "nullValue": "\\N", "emptyValue": "", "compression": "gzip", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}, "json": {"ignoreNullFields": False, "compression": "gzip"}}
 
 #: Rows of one file at most, so that a file can be hashed whole.
 _ROWS = 1_000_000
 
 
-def publish(df: DataFrame, folder: str, by: str, form: str = "parquet") -> DataFrame:
+def dealt(df: DataFrame, by: str, *key: str) -> DataFrame:
+    """Rows dealt by ``by`` and a hash of ``key``, so a job with a third of all rows is written by many tasks."""
+    return df.repartition(F.col(by), F.pmod(F.xxhash64(*key), F.lit(16)))
+
+
+def publish(df: DataFrame, folder: str, by: str, form: str = "parquet", deal: bool = True) -> DataFrame:
     """Write ``df`` below ``folder``, one subfolder for each value of ``by``, and read it back.
 
     An existing folder is refused by the writer, so nothing is overwritten or mixed. Rows are dealt by
-    ``by`` and a hash of the row, so a job with a third of all rows is written by many tasks.
+    :func:`dealt` before, or the caller did so (``deal`` false) while they were still small. Text forms are
+    packed by gzip.
     """
     if form not in ("parquet", "csv", "json"):
         raise ValueError(f"unknown form {form}")
     options = _OPTIONS.get(form, {})
-    dealt = df.repartition(F.col(by), F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if not kind.startswith("map")]), F.lit(16)))
+    rows = dealt(df, by, *[c for c, kind in df.dtypes if not kind.startswith("map")]) if deal else df
     options = options | {"maxRecordsPerFile": _ROWS}
-    dealt.write.mode("errorifexists").partitionBy(by).format(form).options(**options).save(folder)
+    rows.write.mode("errorifexists").partitionBy(by).format(form).options(**options).save(folder)
     rest = [f for f in df.schema if f.name != by]
     return df.sparkSession.read.schema(type(df.schema)([*rest, df.schema[by]])).format(form).options(**options).load(folder).select(*df.columns)
 
