@@ -264,24 +264,26 @@ def resummarize(filled: DataFrame) -> DataFrame:
     return summarize(filled.join(touched, "segment_id", "left_semi")).select("segment_id", "mean_f0_hz", "f0_std_dev_hz", "voiced_ratio", "pitch_range_semitones")
 
 
-def _reference_segments(segments: DataFrame) -> DataFrame:
-    return segments.where((F.col("content_type") == "speech") & (F.col("asr_confidence") >= RELIABLE) & (F.col("alignment_confidence") >= RELIABLE) & F.col("speaker_id").isNotNull())
+def _reference_segments(segments: DataFrame, with_phones=None) -> DataFrame:
+    """Reliable speech of known speakers; ``with_phones`` adds its phones where ``segments`` has none yet."""
+    kept = segments.where((F.col("content_type") == "speech") & (F.col("asr_confidence") >= RELIABLE) & (F.col("alignment_confidence") >= RELIABLE) & F.col("speaker_id").isNotNull())
+    return kept if with_phones is None else with_phones(kept)
 
 
-def reliable_counts(segments: DataFrame) -> DataFrame:
+def reliable_counts(segments: DataFrame, with_phones=None) -> DataFrame:
     """Occurrences per speaker and phone in reliable recorded speech; generated speech never counts."""
-    real = _reference_segments(segments).where(~F.col("source_id").startswith("generated:"))
+    real = _reference_segments(segments.where(~F.col("source_id").startswith("generated:")), with_phones)
     good = F.filter("phonemes", lambda p: (p["confidence"] >= RELIABLE) & ~blank(p["phoneme"]))
     return real.select("speaker_id", F.explode(F.transform(good, lambda p: p["phoneme"])).alias("phoneme")).groupBy("speaker_id", "phoneme").agg(F.count(F.lit(1)).alias("n"))
 
 
-def observation_prints(segments: DataFrame) -> DataFrame:
+def observation_prints(segments: DataFrame, with_phones=None) -> DataFrame:
     """(speaker_id, observation_fingerprint): the reliable recorded phones that the counts rest on.
 
     A sum of row digests over exploded phones, so no speaker is collected; a phone that moves, changes its
     confidence, comes or goes changes it.
     """
-    real = _reference_segments(segments).where(~F.col("source_id").startswith("generated:"))
+    real = _reference_segments(segments.where(~F.col("source_id").startswith("generated:")), with_phones)
     good = F.filter("phonemes", lambda p: (p["confidence"] >= RELIABLE) & ~blank(p["phoneme"]))
     rows = real.select("speaker_id", "segment_id", F.posexplode(good).alias("pos", "p")).select("speaker_id", "segment_id", "pos", "p.phoneme", "p.start_sec", "p.end_sec", "p.confidence")
     digest = row_digest(*plain_columns(rows, "segment_id", "pos", "phoneme", "start_sec", "end_sec", "confidence"))

@@ -92,10 +92,13 @@ def apply_reviews(targets: DataFrame, reviews: DataFrame) -> tuple[DataFrame, Da
     target without a review is deferred with what was observed.
 
     ``reviews``: segment_id, candidate_transcript, candidate_phones, confidence, duration_sec,
-    changed, machine_passed, reasons.
+    changed, machine_passed, reasons. Of phones that are too many, and so invalid, only their number travels.
     """
-    joined = targets.join(reviews.select("segment_id", F.struct(*[c for c in reviews.columns if c != "segment_id"]).alias("r")), "segment_id", "left")
-    n = F.size("r.candidate_phones")
+    n = F.size("candidate_phones")
+    few = F.when(n <= MAX_REVIEW_PHONES, F.col("candidate_phones")).alias("candidate_phones")
+    rest = [c for c in reviews.columns if c not in ("segment_id", "candidate_phones")]
+    joined = targets.join(reviews.select("segment_id", F.struct(*rest, few, n.alias("n")).alias("r")), "segment_id", "left")
+    n = F.col("r.n")
     invalid = ~in_unit(F.col("r.confidence")) | ~finite(F.col("r.duration_sec")) | (F.col("r.duration_sec") <= 0) | (n > MAX_REVIEW_PHONES) | (
         F.col("r.machine_passed") & (~F.col("r.changed") | blank(F.col("r.candidate_transcript")) | (n == 0) | (F.col("r.confidence") < MIN_REVIEW)))
     state = F.when(F.col("r").isNull(), "deferred").when(invalid, "invalid").when(F.col("r.machine_passed"), "applied").otherwise("deferred")

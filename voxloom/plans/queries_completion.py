@@ -145,10 +145,14 @@ def _moved(segments):
     return segments.withColumn("phonemes", F.transform(F.filter("phonemes", lambda p: p["confidence"] >= c.RELIABLE), one))
 
 
-def _candidates(spark, sf_dir):
+def _observed(spark, sf_dir):
+    """The print of each speaker's reliable phones, taken once; phones are made of reliable speech only."""
+    return durable(c.observation_prints(v.segments(spark, sf_dir), v.with_phones))
+
+
+def _candidates(spark, sf_dir, now):
     """Candidates with the fingerprint of what was observed; every ninth was made from moved phones."""
-    segs = v.phoned_segments(spark, sf_dir)
-    now, then = c.observation_prints(segs), c.observation_prints(_moved(segs)).withColumnRenamed("observation_fingerprint", "_then")
+    then = c.observation_prints(v.segments(spark, sf_dir), lambda s: _moved(v.with_phones(s))).withColumnRenamed("observation_fingerprint", "_then")
     base = v.benchmark_candidates(spark, sf_dir).join(now, "speaker_id", "left").join(then, "speaker_id", "left").withColumn(
         "observation_fingerprint", F.when(F.col("fingerprint_current"), F.col("observation_fingerprint")).otherwise(F.col("_then"))).drop("fingerprint_current", "_then")
     i = F.col("doc_id")
@@ -159,9 +163,9 @@ def _candidates(spark, sf_dir):
 
 
 def _judged(spark, sf_dir):
-    segs = v.phoned_segments(spark, sf_dir)
-    cand = durable(_candidates(spark, sf_dir))
-    return segs, cand, c.candidate_problems(cand, c.reliable_counts(segs), c.observation_prints(segs))
+    segs, now = v.segments(spark, sf_dir), _observed(spark, sf_dir)
+    cand = durable(_candidates(spark, sf_dir, now))
+    return segs, cand, c.candidate_problems(cand, c.reliable_counts(segs, v.with_phones), now)
 
 
 RELIABLE = """, rel AS (SELECT speaker_id, phoneme, count(*) AS n FROM segments s JOIN phonemes p USING (segment_id) WHERE content_type = 'speech' AND asr_confidence >= 65e-2 AND alignment_confidence >= 65e-2 AND speaker_id IS NOT NULL AND p.confidence >= 65e-2 GROUP BY ALL)
@@ -170,7 +174,7 @@ RELIABLE = """, rel AS (SELECT speaker_id, phoneme, count(*) AS n FROM segments
 
 @query("cmp_9_reliable_counts", "segments phonemes", RELIABLE + "SELECT * FROM rel")
 def reliable_counts(spark, sf_dir):
-    return c.reliable_counts(v.phoned_segments(spark, sf_dir))
+    return c.reliable_counts(v.segments(spark, sf_dir), v.with_phones)
 
 
 CAND = RELIABLE + """, cx AS (SELECT c.*, coalesce(r.n, 0) AS nr, coalesce(q.n, 0) AS nc FROM candidates c LEFT JOIN rel r ON r.speaker_id = c.speaker_id AND r.phoneme = c.rare_phone LEFT JOIN rel q ON q.speaker_id = c.speaker_id AND q.phoneme = c.common_phone),
@@ -218,7 +222,7 @@ def generated_segments(spark, sf_dir):
 
 def _asked(spark, sf_dir):
     """Every generated candidate that names a rare phone, to exercise the estimate per speaker."""
-    cand = _candidates(spark, sf_dir).groupBy("speaker_id").agg(F.min_by("candidate_id", "doc_id").alias("candidate_id"), F.max("speaker_similarity").alias("speaker_similarity"))
+    cand = _candidates(spark, sf_dir, _observed(spark, sf_dir)).groupBy("speaker_id").agg(F.min_by("candidate_id", "doc_id").alias("candidate_id"), F.max("speaker_similarity").alias("speaker_similarity"))
     return cand.select(F.concat(F.lit("generated_"), "candidate_id").alias("segment_id"), "speaker_id", F.lit("speech").alias("content_type"),
                        F.when(F.col("speaker_id") == "spk_4", "src_1").otherwise(F.concat(F.lit("generated:"), "candidate_id")).alias("source_id"),
                        F.when(F.col("speaker_id") == "spk_5", F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("speaker_embedding"),
