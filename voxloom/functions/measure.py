@@ -38,6 +38,19 @@ def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
 
+def exact_mean(value: Column) -> Column:
+    """Aggregate: the mean of numbers, whatever their order, from a sum without rounding.
+
+    A sum of doubles depends in its last bits on the order and the partial sums, and a fingerprint of what is
+    made of it then depends on the partitions. Numbers below 256 are summed as whole multiples of 2^-54; with a
+    larger one, NaN or infinity in the group it is the plain mean.
+    """
+    whole = F.rint(value * F.lit(2.0**54)).try_cast("bigint").cast("decimal(20,0)")
+    fits = F.abs(value) < F.lit(256.0)  # NaN is above every number
+    total = F.sum(F.when(fits, whole)).cast("double")
+    return F.when(F.coalesce(F.bool_and(fits), F.lit(True)), total / F.count(value) / F.lit(2.0**54)).otherwise(F.avg(value))
+
+
 def blank(text: Column) -> Column:
     """NULL, or nothing but blanks of any script."""
     return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))

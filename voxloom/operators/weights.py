@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxloom.functions.measure import (
-    alignment_measured, asr_measured, blank, clamp, finite, in_unit, measurement, placeholder_alignment, reasons, timed,
+    alignment_measured, asr_measured, blank, clamp, exact_mean, finite, in_unit, measurement, placeholder_alignment, reasons, timed,
 )
 from voxloom.functions.vocabulary import ELIGIBILITIES, KNOWN_PHONES, REASON_CODES, ROLES, STATUSES, TARGETS
 from voxloom.operators.sequences import with_neighbours
@@ -120,11 +120,11 @@ def weigh(rows: DataFrame) -> DataFrame:
     """Raw and final weight per row; ``quality_value`` and ``utility_value`` may be NULL.
 
     The group mean is a partial aggregate joined back (one row per group), never a window over a
-    whole speaker.
+    whole speaker, and exact, so that weights do not depend on the order of rows.
     """
     eligible = F.col("eligibility") == "eligible"
     raw = rows.withColumn("_raw", raw_weight(F.col("quality_value"), F.col("utility_value")))
-    means = raw.where(eligible).groupBy(*GROUP).agg(F.avg("_raw").alias("_mean"))
+    means = raw.where(eligible).groupBy(*GROUP).agg(exact_mean(F.col("_raw")).alias("_mean"))
     return (
         raw.join(means, GROUP, "left")
         .withColumn("raw_weight", F.when(eligible, F.col("_raw")).otherwise(0.0))
