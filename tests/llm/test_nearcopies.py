@@ -101,3 +101,57 @@ def test_followers_are_in_one_pair():
     linked = np.concatenate([p for p in pairs if len(p)])
     linked = linked[linked[:, 0] != linked[:, 1]]
     assert len(linked) == 600 - len(leaders) == len(np.unique(linked[:, 1]))
+
+
+def meetings(fps, width, segments):
+    """All pairs that differ in at most one bit of a segment and pass the sketch, by looking at all pairs."""
+    words = np.stack([np.frombuffer(f, dtype="<u8") for f in fps])
+    bits = np.unpackbits(np.ascontiguousarray(words[:, nearcopies.SKETCH:]).view(np.uint8), axis=1, bitorder="little")[:, : width * segments].reshape(len(fps), segments, width)
+    found = set()
+    for i in range(len(fps) - 1):
+        meets = ((bits[i + 1 :] != bits[i]).sum(axis=2) <= 1).any(axis=1)
+        close = nearcopies._apart(words[i + 1 :, : nearcopies.SKETCH], words[i, : nearcopies.SKETCH]) <= nearcopies.LOOSE
+        found |= {(i, i + 1 + int(j)) for j in np.flatnonzero(meets & close)}
+    return found
+
+
+def test_no_meeting_is_left_out(spark, monkeypatch):
+    """Each pair that meets is a candidate, or both its documents meet again; without leaders all are candidates."""
+    rng, (width, segments) = np.random.default_rng(5), nearcopies.shape(500)
+    longs = -(-width * segments // 64)
+    base, fps = rng.integers(0, 2**63, nearcopies.SKETCH + longs, dtype=np.uint64), []
+    for i in range(500):
+        made = base.copy() if i < 300 else rng.integers(0, 2**63, len(base), dtype=np.uint64)
+        for bit in rng.choice(64 * nearcopies.SKETCH, 3 + i % 18, replace=False):
+            made[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        for bit in rng.choice(64 * longs, 30, replace=False):
+            made[nearcopies.SKETCH + bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        fps.append(made.tobytes())
+    want = meetings(fps, width, segments)
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(fps)], "node bigint, fp binary").repartition(4)
+    found = {tuple(r) for r in nearcopies.candidates(df, width, segments).collect()}
+    marked = {a for a, b in found if a == b}
+    left_out = [p for p in want - found if not set(p) <= marked]
+    assert len(want - found) > 1000 and not left_out
+    for cell in (nearcopies.CELL, 50):  # whole variants, and variants cut into cells
+        monkeypatch.setattr(nearcopies, "CELL", cell)
+        assert {tuple(r) for r in nearcopies.all_candidates(df, width, segments).collect()} == want
+
+
+def test_no_near_pair_that_meets_stays(spark):
+    """A crowd of texts about as far from each other as the bound: what leaders leave out is compared in the end."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    kinds = [[f"x{rng.randrange(10**6)}" if rng.random() < 0.012 else w for w in base] for _ in range(60)]
+    rows = []
+    for i in range(420):
+        copy = list(kinds[i % 60])
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(150)] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "en", "s", 1))
+    width, segments = nearcopies.shape(len(rows))
+    longs = -(-width * segments // 64)
+    met = meetings([nearcopies.sketch(r[1]).tobytes() + nearcopies.fingerprint(r[1], longs).tobytes() for r in rows], width, segments)
+    sets = [nearcopies.shingles(r[1], 5) for r in rows]
+    stays = {r.doc_id for r in nearcopies.keep_one(frame(spark, rows)).collect()}
+    assert stays and not [p for p in met if set(p) <= stays and nearcopies.alike(sets[p[0]], sets[p[1]]) >= 0.8]
