@@ -142,3 +142,33 @@ def test_only_what_is_asked_for_is_made(spark):
     assert {r.segment_id: r.application_status for r in log.collect()} == {"short": "applied", "long": "invalid", "none": "invalid"}
     extracted = [p for p in _plans(_applied(spark, "/root/testdata/sf0.001")[1]._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Project" and "regexp_extract_all" in p.toString().split("\n")[0]]
     assert extracted and all("LeftAnti" in p.toString() for p in extracted)
+
+
+def test_intervals_are_read_as_arrays(spark):
+    """txt_8: the arrays say what the column form says, and no step of the query runs once for each phone in the engine."""
+    ship_package(spark)
+    one, two = (0.0, 0.4, "a"), (0.4, 0.5, "sil")
+    cases = [
+        (["a"], 1.0, [one, two]), (["a"], 1.0, [one, (0.5, 0.5, "sil")]), (["a"], 0.3, [one]), (["a"], 1.0, []), (["a"], 1.0, None), ([], 1.0, [two]), (None, 1.0, [one]), (["?"], 1.0, [one]),
+        ([None], 1.0, [one]), (["a"], None, [one]), (["a"], NAN, [one]), (["a"], INF, [one]), (["a"], -1.0, [one]), (["a"], 1.0, [(0.0, 0.4, None)]), (["a"], 1.0, [(None, 0.4, "a")]),
+        (["a"], 1.0, [(0.0, NAN, "a")]), (["a", "u"], 1.0, [one, (0.4, 0.6, "ɯ"), (0.6, 0.7, "")]), (["a", "u"], 1.0, [one, (0.3, 0.6, "ɯ")]), (["a", "u"], 1.0, [one, (0.4, 0.6, "a")]),
+        (["a"], 1.0, [one, (0.4, 0.6, "a")]), (["a", "k"], 1.0, [one]), (["u"], 1.0, [(-1e-7, 0.5, "ɯ"), (0.5 - 1e-7, 1.0, "sil")]), (["k"], 1.0, [(-0.1, 0.5, "k")]), (["a"], 1.0, [(0.0, 0.4, "zz")]),
+    ]
+    kind = "doc_id bigint, phones array<string>, duration_sec double, entries array<struct<start:double,end:double,label:string>>"
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], kind)
+
+    def fold(batches):
+        import pyarrow as pa
+        from voxloom.functions.vocabulary import ALIGNER_ALPHABET
+
+        for b in batches:
+            problem, timed = arrays.read_intervals(b.column("phonemes"), b.column("entries"), b.column("duration_sec"), ALIGNER_ALPHABET, 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), problem, timed], ["doc_id", "problem", "timed"])
+
+    times = [F.lit(None).cast("double").alias(n) for n in ("start_sec", "end_sec", "confidence")]
+    named = rows.withColumn("phonemes", F.transform("phones", lambda p: F.struct(p.alias("phoneme"), *times)))
+    want = text.read_intervals(rows).select("doc_id", "problem", "timed")
+    got = named.mapInArrow(fold, want.schema)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.where("problem IS NULL").count() >= 3
+    assert want.select("problem").distinct().count() == 6
+    assert "transform(" not in QUERIES["txt_8_read_intervals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -8,6 +8,7 @@ give what the column forms of the operators give; a test holds the two against e
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+import hashlib
 import json
 import re
 
@@ -40,7 +41,8 @@ class Phones:
 
     def names(self) -> tuple[np.ndarray, list[str | None]]:
         """The place of each phoneme in the list of the different ones."""
-        coded = self.fields["phoneme"].dictionary_encode(null_encoding="encode")
+        coded = self.fields["phoneme"]
+        coded = coded if pa.types.is_dictionary(coded.type) else coded.dictionary_encode(null_encoding="encode")
         return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
     def place(self) -> np.ndarray:
@@ -147,6 +149,135 @@ def plain_phones(lists: pa.Array) -> pa.Array:
     return pc.if_else(p.none, pa.scalar(None, pa.string()), made)
 
 
+def _number_parts(values: pa.Array, rounded: bool) -> list[np.ndarray]:
+    """Eight bytes a number, and what they are: billionths, the number itself (zero without a sign), or nothing."""
+    kind = np.where(values.is_null().to_numpy(zero_copy_only=False), 2, 1).astype(np.uint8)
+    if pa.types.is_integer(values.type):
+        return [values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), kind]
+    x = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.int64)
+    if rounded:
+        small = np.abs(x) < 9e9
+        bits = np.where(small, np.rint(np.where(small, x, 0.0) * 1e9).astype(np.int64), bits)
+        kind[small] = 0
+    return [bits, kind]
+
+
+def _text_parts(values: pa.Array) -> list:
+    """The length of each text (-1 for none), and the bytes of all with the place where each starts."""
+    none = values.is_null().to_numpy(zero_copy_only=False)
+    texts = pa.array([""], pa.string()).take(pa.array(np.zeros(len(values), dtype=np.int8))) if pa.types.is_null(values.type) else values.cast(pa.string()).fill_null("")
+    starts = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int32)
+    lengths = np.where(none, -1, np.diff(starts)).astype(np.int32)
+    return [lengths, (memoryview(texts.buffers()[2] or b""), starts)]
+
+
+def _prints(counts: np.ndarray, none: np.ndarray, fields: list[pa.Array], rounded: bool = False) -> pa.Array:
+    """SHA-256 of each list of values, field by field in their binary form; equal if and only if all values are."""
+    parts = []
+    for f in fields:
+        text = pa.types.is_string(f.type) or pa.types.is_dictionary(f.type) or pa.types.is_null(f.type)
+        parts += _text_parts(f) if text else _number_parts(f, rounded)
+    ends, made = np.cumsum(counts), []
+    for first, last, n, nothing in zip((ends - counts).tolist(), ends.tolist(), counts.tolist(), none.tolist(), strict=True):
+        if nothing:
+            made.append(None)
+            continue
+        h = hashlib.sha256(b"%d:" % n)
+        for part in parts:
+            h.update(part[0][part[1][first] : part[1][last]] if isinstance(part, tuple) else part[first:last])
+        made.append(h.digest())
+    return pa.array(made, pa.binary())
+
+
+def list_print(lists: pa.Array) -> pa.Array:
+    """SHA-256 of each list of numbers or texts; no list, no digest."""
+    counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _prints(counts, lists.is_null().to_numpy(zero_copy_only=False), [lists.flatten()])
+
+
+def _encoded(p: Phones, alphabet: dict[str, str]) -> pa.Array:
+    """The aligner's spelling of every phone, or none."""
+    codes, names = p.names()
+    return pa.array([alphabet.get(n) for n in names], pa.string()).take(pa.array(codes))
+
+
+def _whole(p: Phones, fields: list[pa.Array], none: np.ndarray) -> pa.Array:
+    missing = np.zeros(len(p.owner), dtype=bool)
+    for f in fields:
+        missing |= f.is_null().to_numpy(zero_copy_only=False)
+    return pa.array(np.bincount(p.owner[missing], minlength=p.segments) == 0, mask=none)
+
+
+_TIMES = ["start_sec", "end_sec", "confidence"]
+
+
+def segment_prints(lists: pa.Array, alphabet: dict[str, str]) -> pa.StructArray:
+    """What an audit asks of a segment's phones: how many, and digests of them and of the labels an aligner gives them."""
+    p = Phones(lists)
+    none = p.none.to_numpy(zero_copy_only=False)
+    phones, labels = [p.fields[f] for f in ("phoneme", *_TIMES)], [_encoded(p, alphabet), p.fields["start_sec"], p.fields["end_sec"]]
+    return pa.StructArray.from_arrays([
+        pa.array(p.counts.astype(np.int32), mask=none), _prints(p.counts, none, phones), _whole(p, phones, none),
+        _prints(p.counts, none, labels), _whole(p, labels, none)], ["n", "phones", "phones_whole", "labels", "labels_whole"])
+
+
+def record_prints(lists: pa.Array, entries: pa.Array, duration: pa.Array) -> pa.StructArray:
+    """What an audit asks of a record: its phones, whether they are inside, its voiced intervals, and digests of
+    both lists in billionths."""
+    p, e = Phones(lists), Phones(entries)
+    none, no_entries = p.none.to_numpy(zero_copy_only=False), e.none.to_numpy(zero_copy_only=False)
+    phones, said = [p.fields[f] for f in ("phoneme", *_TIMES)], [e.fields[f] for f in ("label", "start", "end")]
+    length, end = duration.to_numpy(zero_copy_only=False).astype(np.float64)[p.owner], p.numbers("end_sec")
+    there = p.fields["end_sec"].is_valid().to_numpy(zero_copy_only=False) & duration.is_valid().to_numpy(zero_copy_only=False)[p.owner]
+    outside = ~(there & ((end <= length) | np.isnan(length)))  # NaN is above every number
+    voiced = pc.invert(pc.is_in(said[0], value_set=pa.array(["", "sil"]))).to_numpy(zero_copy_only=False) & said[0].is_valid().to_numpy(zero_copy_only=False)
+    at = pa.array(np.flatnonzero(voiced))
+    many, labels = np.bincount(e.owner[voiced], minlength=e.segments), [f.take(at) for f in said]
+    missing = np.zeros(len(at), dtype=bool)
+    for f in labels:
+        missing |= f.is_null().to_numpy(zero_copy_only=False)
+    return pa.StructArray.from_arrays([
+        pa.array(p.counts.astype(np.int32), mask=none), pa.array(np.bincount(p.owner[outside], minlength=p.segments) == 0, mask=none),
+        pa.array(many.astype(np.int32), mask=no_entries), _prints(p.counts, none, phones), _whole(p, phones, none), _prints(many, no_entries, labels),
+        pa.array(np.bincount(e.owner[voiced][missing], minlength=e.segments) == 0, mask=no_entries), _prints(p.counts, none, phones, True), _prints(e.counts, no_entries, said, True),
+    ], ["n", "inside", "voiced", "phones", "phones_whole", "labels", "labels_whole", "phones_print", "entries_print"])
+
+
+def read_intervals(lists: pa.Array, entries: pa.Array, duration: pa.Array, alphabet: dict[str, str], eps: float) -> tuple[pa.Array, pa.Array]:
+    """(problem, timed) as ``text.read_intervals`` has them; ``lists`` are the expected phones, named only."""
+    p, e = Phones(lists), Phones(entries)
+    codes, names = p.names()
+    labels = e.fields["label"] if pa.types.is_dictionary(e.fields["label"].type) else e.fields["label"].dictionary_encode()
+    said, number = labels.dictionary.to_pylist(), {}
+    want = np.array([number.setdefault(alphabet[n], len(number)) if n in alphabet else -1 for n in names], dtype=np.int64)[codes]
+    label = labels.indices.fill_null(len(said)).to_numpy(zero_copy_only=False).astype(np.int64)
+    voiced = np.array([x not in ("", "sil") for x in said] + [False], dtype=bool)[label]
+    spoken = np.array([number.get(x, -2) for x in said] + [-2], dtype=np.int64)[label]
+    bad = lambda owner: np.bincount(owner, minlength=p.segments) > 0
+    without = bad(p.owner[want < 0]) | (p.counts == 0)
+    length = duration.to_numpy(zero_copy_only=False).astype(np.float64)
+    no_length = ~((length > 0) & (length < np.inf))
+    start, end = e.numbers("start"), e.numbers("end")
+    before = np.r_[0.0, end[:-1]][: len(end)]
+    before[e.first[e.counts > 0]] = 0.0
+    named = np.array([x is not None for x in said] + [False], dtype=bool)[label]
+    good = np.isfinite(start) & np.isfinite(end) & (start >= before - eps) & (end > start) & (end <= length[e.owner]) & named
+    many = np.bincount(e.owner[voiced], minlength=e.segments)
+    same = many == p.counts
+    mine, theirs = same[p.owner], np.flatnonzero(voiced)[same[e.owner[voiced]]]
+    other = ~same | bad(p.owner[mine][want[mine] != spoken[theirs]])
+    rules = [(without, "phone_without_code"), (no_length, "bad_duration"), (e.counts == 0, "no_intervals"), (bad(e.owner[~good]), "bad_interval"), (other, "labels_disagree")]
+    code = np.select([r for r, _ in rules], list(range(len(rules))), len(rules))
+    problem = pa.array([*[n for _, n in rules], None], pa.string()).take(pa.array(code))
+    fine = code == len(rules)
+    rows, at = pa.array(np.flatnonzero(fine[p.owner])), pa.array(np.flatnonzero(voiced)[fine[e.owner[voiced]]])
+    fields = [p.fields["phoneme"].take(rows), e.fields["start"].take(at), e.fields["end"].take(at), pa.array(np.zeros(len(rows)))]
+    offsets = pa.array(np.r_[0, np.cumsum(np.where(fine, p.counts, 0))].astype(np.int32), mask=np.r_[~fine, False])
+    return problem, pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["phoneme", *_TIMES]))
+
+
 Spans = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
