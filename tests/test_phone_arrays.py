@@ -172,3 +172,27 @@ def test_intervals_are_read_as_arrays(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and want.where("problem IS NULL").count() >= 3
     assert want.select("problem").distinct().count() == 6
     assert "transform(" not in QUERIES["txt_8_read_intervals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_an_audit_asks_arrays(spark):
+    """txt_12: no step runs once for each phone in the engine, and prints made with the phones are those made of columns."""
+    from voxloom.functions.vocabulary import ALIGNER_ALPHABET
+
+    assert "transform(" not in QUERIES["txt_12_measurement_audit"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    rows = _rows(spark).withColumn("duration_sec", F.when(F.col("doc_id") == 4, NAN).otherwise(0.8)).withColumn("entries", F.transform("phonemes", lambda p: F.struct(
+        F.when(p["phoneme"] == "k", "sil").otherwise(p["phoneme"]).alias("label"), p["start_sec"].alias("start"), p["end_sec"].alias("end"))))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            made = [arrays.segment_prints(b.column("phonemes"), ALIGNER_ALPHABET), arrays.record_prints(b.column("phonemes"), b.column("entries"), b.column("duration_sec"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *made], ["doc_id", "s", "r"])
+
+    got = rows.select("doc_id", "phonemes", "entries", "duration_sec").mapInArrow(fold, f"doc_id bigint, s {text.SEGMENT_PRINTS}, r {text.RECORD_PRINTS}").collect()
+    want = rows.select("doc_id", text.segment_prints(rows).alias("s"), text.record_prints(rows).alias("r")).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    facts = {r.doc_id: (r.s, r.r) for r in got}
+    assert facts[0][0].n is None and facts[1][0].n == 0 and facts[2][0].n == 3 and facts[2][1].voiced == 2 and facts[2][1].inside and facts[4][1].inside and not facts[9][1].inside and not facts[11][1].inside
+    assert facts[2][0].phones == facts[2][1].phones and facts[2][0].phones_whole and not facts[8][0].phones_whole and not facts[3][0].labels_whole
+    assert len({f[0].phones for f in facts.values()}) == len(facts)

@@ -155,10 +155,14 @@ def _number_parts(values: pa.Array, rounded: bool) -> list[np.ndarray]:
     if pa.types.is_integer(values.type):
         return [values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), kind]
     x = values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) + 0.0
-    x[np.isnan(x)] = np.nan
+    odd = np.isnan(x)
+    if odd.any():
+        x[odd] = np.nan
     bits = x.view(np.int64)
     if rounded:
         small = np.abs(x) < 9e9
+        if small.all():
+            return [np.rint(x * 1e9).astype(np.int64), np.zeros(len(x), dtype=np.uint8)]
         bits = np.where(small, np.rint(np.where(small, x, 0.0) * 1e9).astype(np.int64), bits)
         kind[small] = 0
     return [bits, kind]
@@ -223,9 +227,16 @@ def segment_prints(lists: pa.Array, alphabet: dict[str, str]) -> pa.StructArray:
         _prints(p.counts, none, labels), _whole(p, labels, none)], ["n", "phones", "phones_whole", "labels", "labels_whole"])
 
 
+def known_by(lists: pa.Array, entries: pa.Array) -> pa.StructArray:
+    """Digests of a record's phones and intervals, in billionths."""
+    p, e = Phones(lists), Phones(entries)
+    return pa.StructArray.from_arrays([
+        _prints(p.counts, p.none.to_numpy(zero_copy_only=False), [p.fields[f] for f in ("phoneme", *_TIMES)], True),
+        _prints(e.counts, e.none.to_numpy(zero_copy_only=False), [e.fields[f] for f in ("label", "start", "end")], True)], ["phones_print", "entries_print"])
+
+
 def record_prints(lists: pa.Array, entries: pa.Array, duration: pa.Array) -> pa.StructArray:
-    """What an audit asks of a record: its phones, whether they are inside, its voiced intervals, and digests of
-    both lists in billionths."""
+    """What an audit asks of a record: its phones, whether they are inside, its voiced intervals, and what it is known by."""
     p, e = Phones(lists), Phones(entries)
     none, no_entries = p.none.to_numpy(zero_copy_only=False), e.none.to_numpy(zero_copy_only=False)
     phones, said = [p.fields[f] for f in ("phoneme", *_TIMES)], [e.fields[f] for f in ("label", "start", "end")]
@@ -241,7 +252,7 @@ def record_prints(lists: pa.Array, entries: pa.Array, duration: pa.Array) -> pa.
     return pa.StructArray.from_arrays([
         pa.array(p.counts.astype(np.int32), mask=none), pa.array(np.bincount(p.owner[outside], minlength=p.segments) == 0, mask=none),
         pa.array(many.astype(np.int32), mask=no_entries), _prints(p.counts, none, phones), _whole(p, phones, none), _prints(many, no_entries, labels),
-        pa.array(np.bincount(e.owner[voiced][missing], minlength=e.segments) == 0, mask=no_entries), _prints(p.counts, none, phones, True), _prints(e.counts, no_entries, said, True),
+        pa.array(np.bincount(e.owner[voiced][missing], minlength=e.segments) == 0, mask=no_entries), *known_by(lists, entries).flatten(),
     ], ["n", "inside", "voiced", "phones", "phones_whole", "labels", "labels_whole", "phones_print", "entries_print"])
 
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from voxloom.functions import phone_arrays as arrays
 from voxloom.functions.fingerprints import plain_columns, row_digest
 from voxloom.functions.measure import alignment_measured, asr_measured, blank, clamp, finite, in_unit, let, reasons
 from voxloom.functions.vocabulary import (
     ALIGNER_ALPHABET, CONSONANTS, FORCED_ALIGNMENT, PHONE_ALIASES, REVIEWED_ALIGNMENT, STANDALONE_PHONES, VOWELS, WORD_BOUNDARY_ALIGNMENT,
 )
+from voxloom.session import ship_package
 
 MIN_REVIEW, MIN_GAIN, MAX_REVIEW_PHONES, EPS = 0.72, 0.12, 512, 1e-6
 
@@ -174,21 +173,47 @@ def measured_flags(segments: DataFrame) -> DataFrame:
     return segments.select("segment_id", asr_measured().alias("asr_measured"), alignment_measured().alias("alignment_measured"))
 
 
-def record_print(records: DataFrame) -> Column:
-    """The digest of a measurement record: its audio, length, conditions, phones and intervals as plain text."""
-    return row_digest(*plain_columns(records, "audio_sha256", "duration_sec", "conditions", "phonemes", "entries"))
+_NUMBERS = ("start_sec", "end_sec", "confidence")
+_PHONES = "array<struct<phoneme:string," + ",".join(f"{n}:double" for n in _NUMBERS) + ">>"
+_ENTRIES = "array<struct<label:string,start:double,end:double>>"
+SEGMENT_PRINTS = "struct<n:int,phones:binary,phones_whole:boolean,labels:binary,labels_whole:boolean>"
+KNOWN_BY = "struct<phones_print:binary,entries_print:binary>"
+RECORD_PRINTS = "struct<n:int,inside:boolean,voiced:int,phones:binary,phones_whole:boolean,labels:binary,labels_whole:boolean,phones_print:binary,entries_print:binary>"
+
+
+def _shaped(items: Column | str, kind: str, names: tuple[str, ...]) -> Column:
+    """The list with the named fields alone, as the kernels read it."""
+    return F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in names])).cast(kind)
+
 
+def segment_prints(segments: DataFrame) -> Column:
+    """What ``phone_arrays.segment_prints`` makes of the phones; a column ``phone_prints`` has it already."""
+    if "phone_prints" in segments.columns:
+        return F.col("phone_prints")
+    ship_package(segments.sparkSession)
+    made = F.arrow_udf(lambda p: arrays.segment_prints(p, ALIGNER_ALPHABET), SEGMENT_PRINTS, F.ArrowUDFType.SCALAR)
+    return made(_shaped("phonemes", _PHONES, ("phoneme", *_NUMBERS)))
 
-_PHONE = {"phoneme": "string", "start_sec": "double", "end_sec": "double", "confidence": "double"}
-_ENTRY = {"label": "string", "start": "double", "end": "double"}
 
+def record_prints(records: DataFrame) -> Column:
+    """What ``phone_arrays.record_prints`` makes of phones and intervals; a column ``record_prints`` has it already
+    (for ``record_print`` what ``phone_arrays.known_by`` makes is enough)."""
+    if "record_prints" in records.columns:
+        return F.col("record_prints")
+    ship_package(records.sparkSession)
+    made = F.arrow_udf(arrays.record_prints, RECORD_PRINTS, F.ArrowUDFType.SCALAR)
+    return made(_shaped("phonemes", _PHONES, ("phoneme", *_NUMBERS)), _shaped("entries", _ENTRIES, ("label", "start", "end")), F.col("duration_sec").cast("double"))
 
-def _list_print(items: Column | str, fields: dict[str, str], name: str) -> tuple[Column, Column]:
-    """SHA-256 of a list's exact text, equal if and only if all values are (a zero has no sign), and whether
-    no value is missing."""
-    of = lambda x: [(x[f].cast(kind) + 0.0 if kind == "double" else x[f]).alias(f) for f, kind in fields.items()]
-    whole = F.forall(items, lambda x: functools.reduce(operator.and_, [x[f].isNotNull() for f in fields]))
-    return F.sha2(F.to_json(F.transform(items, lambda x: F.struct(*of(x)))), 256).alias(name), whole.alias(f"{name}_whole")
+
+def _known_by(records: DataFrame, prints: Column) -> Column:
+    lists = [F.hex(prints[n]) for n in ("phones_print", "entries_print")]
+    return row_digest(*plain_columns(records, "audio_sha256", "duration_sec", "conditions"), *lists)
+
+
+def record_print(records: DataFrame) -> Column:
+    """The digest of a measurement record: its audio, length and conditions as plain text, its phones and intervals
+    by digests of their numbers in billionths."""
+    return _known_by(records, record_prints(records))
 
 
 def measurement_problems(segments: DataFrame, records: DataFrame) -> DataFrame:
@@ -197,30 +222,28 @@ def measurement_problems(segments: DataFrame, records: DataFrame) -> DataFrame:
     Both sides bring segment_id, phonemes, audio_sha256 and conditions; records also duration_sec and
     entries, segments also reference_sha256 (the digest of the record they were aligned by), clip_sec and
     alignment_method. The digest of a record is computed here. Arrays are compared whole, by SHA-256 of
-    exact texts made in their own row; only these meet, so a join carries some hundred bytes a segment.
+    their exact values made in their own row; only these meet, so a join carries some hundred bytes a segment.
+    Sides whose prints were made with their phones bring them instead of the arrays (``segment_prints``,
+    ``record_prints``).
     """
     left = segments.select(
-        "segment_id", "alignment_method", "audio_sha256", "conditions", "reference_sha256", "clip_sec", F.size("phonemes").alias("_n"), F.col("phonemes").isNotNull().alias("_there"),
-        *_list_print("phonemes", _PHONE, "_phones"), *_list_print(F.transform("phonemes", lambda x: F.struct(
-            F.try_element_at(_map(ALIGNER_ALPHABET), x["phoneme"]).alias("label"), x["start_sec"].alias("start"), x["end_sec"].alias("end"))), _ENTRY, "_labels"))
-    voiced = F.filter("entries", lambda e: ~e["label"].isin("", "sil"))
-    inside = F.forall("phonemes", lambda y: F.coalesce(y["end_sec"] <= F.col("duration_sec"), F.lit(False)))
-    right = records.select("segment_id", F.struct(
-        "audio_sha256", "conditions", "duration_sec", record_print(records).alias("record_sha256"), F.size("phonemes").alias("n"), inside.alias("inside"), F.size(voiced).alias("voiced"),
-        *_list_print("phonemes", _PHONE, "phones"), *_list_print(voiced, _ENTRY, "labels")).alias("r"))
+        "segment_id", "alignment_method", "audio_sha256", "conditions", "reference_sha256", "clip_sec", segment_prints(segments).alias("_p"))
+    right = records.withColumn("_q", record_prints(records))
+    right = right.select("segment_id", F.struct("audio_sha256", "conditions", "duration_sec", _known_by(right, F.col("_q")).alias("record_sha256"), *[
+        F.col(f"_q.{n}").alias(n) for n in ("n", "inside", "voiced", "phones", "labels")]).alias("r"))
     joined = left.join(right, "segment_id", "full_outer")
     forced = F.col("alignment_method") == FORCED_ALIGNMENT
-    has, there = F.col("r").isNotNull(), F.coalesce("_there", F.lit(False))
+    has, there = F.col("r").isNotNull(), F.col("_p.n").isNotNull()
     checked = forced & has
-    same_length = F.col("_n") == F.col("r.n")
-    phones = F.col("_phones_whole") & F.col("r.inside") & (F.col("_phones") == F.col("r.phones"))
-    labels = F.when(F.col("r.labels").isNotNull(), F.col("_labels_whole") & (F.col("_labels") == F.col("r.labels")))
+    same_length = F.col("_p.n") == F.col("r.n")
+    phones = F.col("_p.phones_whole") & F.col("r.inside") & (F.col("_p.phones") == F.col("r.phones"))
+    labels = F.when(F.col("r.labels").isNotNull(), F.col("_p.labels_whole") & (F.col("_p.labels") == F.col("r.labels")))
     codes = reasons(
         (~there & has, "segment_missing"), (~forced & has, "reference_on_estimate"), (forced & ~has, "record_missing"),
         (checked & ~F.col("r.record_sha256").eqNullSafe(F.col("reference_sha256")), "record_changed"), (checked & (F.col("r.audio_sha256") != F.col("audio_sha256")), "audio_changed"),
         (checked & (F.abs(F.col("clip_sec") - F.col("r.duration_sec")) > EPS), "length_changed"), (checked & ~F.col("r.conditions").eqNullSafe(F.col("conditions")), "conditions_differ"),
         (checked & ~same_length, "phone_count_differs"), (checked & same_length & ~phones, "phones_differ"),
-        (checked & ((F.col("r.voiced") != F.col("_n")) | ~labels), "intervals_differ"),
+        (checked & ((F.col("r.voiced") != F.col("_p.n")) | ~labels), "intervals_differ"),
     )
     return joined.select("segment_id", F.explode(codes).alias("problem"))
 
