@@ -14,6 +14,7 @@ from voxloom.operators import dataset, text
 from voxloom.plans import views
 from voxloom.plans.catalog import load_all
 from voxloom.plans.registry import QUERIES
+from voxloom.sinks import datasets
 
 load_all()
 SF = "/root/testdata/sf0.001"
@@ -101,3 +102,19 @@ def test_a_unit_vector_takes_its_length_once(spark):
     total = wide.select(F.aggregate(unit(F.col("v")), F.lit(0.0), lambda a, x: a + x * x)).first()[0]
     assert abs(total - 1) < 1e-9 and time.monotonic() - start < 15
     assert spark.sql("SELECT array(0D, 0D) AS v").select(unit(F.col("v"))).first()[0] == [0.0, 0.0]
+
+
+def test_items_meet_a_snapshot_by_digests(spark):
+    """snk_7: neither texts nor lists travel; values that are nothing are equal, and order and nothing in a list count."""
+    assert "array<" not in _carried(QUERIES["snk_7_training_set_audit"](spark, SF)) and "transcript:string" not in _carried(QUERIES["snk_7_training_set_audit"](spark, SF))
+    kind = "id string, text string, names array<string>, times array<double>, n int"
+    base = ("t", ["a", "b"], [0.0, 1.5], 1)
+    changes = {
+        "same": ("t", ["a", "b"], [-0.0, 1.5], 1), "text": ("u", *base[1:]), "names": ("t", ["b", "a"], *base[2:]), "joined": ("t", ["ab", ""], *base[2:]), "nothing": ("t", ["a", "b", None], *base[2:]),
+        "times": (*base[:2], [0.0, 1.5 + 1e-15], 1), "n": (*base[:3], None), "lost": (None, None, None, None)}
+    stored = spark.createDataFrame([*[(k, *v) for k, v in changes.items()], ("void", None, None, None, None), ("more", *base)], kind)
+    snapshot = spark.createDataFrame([*[(k, *base) for k in changes], ("void", None, None, None, None), ("less", *base)], kind)
+    got = {(r["id"], r["problem"]) for r in datasets.training_set_problems(stored, snapshot, ["id"]).collect()}
+    assert got == {
+        ("text", "differs:text"), ("names", "differs:names"), ("joined", "differs:names"), ("nothing", "differs:names"), ("times", "differs:times"), ("n", "differs:n"),
+        *[("lost", f"differs:{f}") for f in ("text", "names", "times", "n")], ("more", "item_unexpected"), ("less", "item_missing")}

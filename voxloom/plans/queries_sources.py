@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import functions as F, types as T
 
+from voxloom.functions import phone_arrays
 from voxloom.functions.measure import valid_singing_alignment
 from voxloom.operators import text
 from voxloom.plans import views as v
@@ -233,13 +237,44 @@ def sample_status(spark, sf_dir):
 SELECT segment_id, unnest(list_filter([CASE WHEN doc_id % 9 = 0 THEN 'item_missing' END, CASE WHEN doc_id % 9 <> 0 AND doc_id % 7 = 0 THEN 'differs:transcript' END, CASE WHEN doc_id % 9 <> 0 AND doc_id % 11 = 0 THEN 'differs:phones' END,
   CASE WHEN doc_id % 9 <> 0 AND doc_id % 5 = 1 THEN 'differs:ends' END], lambda x: x IS NOT NULL)) AS problem FROM k UNION ALL SELECT concat(segment_id, '_x'), 'item_unexpected' FROM k WHERE doc_id % 17 = 1""")
 def training_set_audit(spark, sf_dir):
-    now = _singing(spark, sf_dir)
-    i = F.substring("segment_id", 5, 20).cast("long")
-    stored = now.where(i % 9 != 0).select(
-        "segment_id", F.when(i % 7 == 0, F.lit("changed")).otherwise(F.col("transcript")).alias("transcript"), F.when(i % 11 == 0, F.reverse(F.concat("phones", F.array(F.lit("a"))))).otherwise(F.col("phones")).alias("phones"),
-        "durations", "starts", F.when(i % 5 == 1, F.transform("ends", lambda x: x + 1)).otherwise(F.col("ends")).alias("ends"))
+    """Lists become digests in the tasks that make them: neither they nor the texts are dealt or joined."""
+    segs = v.segments(spark, sf_dir).where("content_type = 'singing' AND speaker_id IS NOT NULL").where(valid_singing_alignment(well_timed=F.lit(True)))
+    kernels = {n: (_printed(k), T.BinaryType()) for n, k in phone_arrays.ITEM_LISTS.items()}
+    changed = {"_phones": (_printed(phone_arrays.ITEM_LISTS["phones"], _backwards), T.BinaryType()), "_ends": (_printed(phone_arrays.ITEM_LISTS["ends"], _later), T.BinaryType())}
+
+    def made(more):
+        lean = segs.select("doc_id", "segment_id", "transcript")
+        rows = v.with_phones(lean.withColumn("text_print", F.unhex(F.sha2("transcript", 256))), v.WELL_TIMED | kernels | more, ("phonemes", "transcript"))
+        return rows.where("_well_timed").withColumnRenamed("text_print", "transcript")
+
+    i, now, old = F.col("doc_id"), made({}), made(changed)
+    fields = ["segment_id", "transcript", *phone_arrays.ITEM_LISTS]
+    stored = old.where(i % 9 != 0).withColumns({
+        "transcript": F.when(i % 7 == 0, F.unhex(F.sha2(F.lit("changed"), 256))).otherwise(F.col("transcript")),
+        "phones": F.when(i % 11 == 0, F.col("_phones")).otherwise(F.col("phones")), "ends": F.when(i % 5 == 1, F.col("_ends")).otherwise(F.col("ends"))})
     extra = now.where(i % 17 == 1).withColumn("segment_id", F.concat("segment_id", F.lit("_x")))
-    return sink.training_set_problems(stored.unionByName(extra.select(stored.columns)), now, ["segment_id"])
+    return sink.training_set_problems(stored.select(fields).unionByName(extra.select(fields)), now.select(fields), ["segment_id"])
+
+
+def _printed(kernel, change=None):
+    """The digest of the list that a kernel makes, or of a changed one."""
+    return lambda lists: phone_arrays.list_print(kernel(lists) if change is None else change(kernel(lists)))
+
+
+def _backwards(lists):
+    """Each list with an "a" more, backwards."""
+    counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values, ends = lists.flatten(), np.cumsum(counts + 1)
+    at = np.full(int(ends[-1]) if len(ends) else 0, len(values), dtype=np.int64)  # the "a" comes first
+    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at[np.repeat(ends, counts) - 1 - place] = np.arange(len(values))
+    more = pa.concat_arrays([values.cast(pa.string()), pa.array(["a"])])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), mask=np.r_[lists.is_null().to_numpy(zero_copy_only=False), False]), more.take(pa.array(at)))
+
+
+def _later(lists):
+    offsets = np.r_[0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[lists.is_null().to_numpy(zero_copy_only=False), False]), pc.add(lists.flatten(), 1.0))
 
 
 @query("snk_8_list_audit", "segments", f""", it AS (SELECT source_id AS job_id, doc_id AS line_no, CASE WHEN doc_id % 37 = 0 THEN 'same.wav' ELSE concat(segment_id, '.wav') END AS audio_name, coalesce(speaker_id, ' ') AS speaker_name, transcript FROM segments)

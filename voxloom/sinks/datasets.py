@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType
 
+from voxloom.functions import phone_arrays
 from voxloom.functions.measure import blank, let, reasons
 from voxloom.functions.phone_arrays import ITEM_LISTS
 from voxloom.operators.sequences import with_neighbours
+from voxloom.session import ship_package
 
 
 def bad_field(text: Column) -> Column:
@@ -96,11 +99,30 @@ def sample_status(samples: DataFrame, actual: DataFrame) -> DataFrame:
         blank(F.col("sha256")), "hash_not_recorded").when(F.lower("sha256") == F.lower("_sha"), "ok").otherwise("mismatch").alias("status"))
 
 
+def _field_prints(items: DataFrame, fields: list[str]) -> list[Column]:
+    """SHA-256 of the texts and lists among the fields, other values as they are."""
+    ship_package(items.sparkSession)
+    listed = F.arrow_udf(phone_arrays.list_print, "binary", F.ArrowUDFType.SCALAR)
+    flat = (StringType, DoubleType, LongType, IntegerType)
+
+    def one(name: str) -> Column:
+        kind = items.schema[name].dataType
+        if isinstance(kind, ArrayType) and isinstance(kind.elementType, flat):
+            return listed(F.col(name)).alias(name)
+        return (F.unhex(F.sha2(name, 256)) if isinstance(kind, StringType) else F.col(name)).alias(name)
+
+    return [one(f) for f in fields]
+
+
 def training_set_problems(stored: DataFrame, snapshot: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored items against the current snapshot, column by column, with NULL equal to NULL."""
+    """Stored items against the current snapshot, column by column, with NULL equal to NULL.
+
+    Texts and lists meet by their SHA-256, made in their own row, so the join carries some 32 bytes a column.
+    Sides that made the digests already (binary, both in the same way) bring them instead.
+    """
     fields = [c for c in snapshot.columns if c not in keys]
-    left = stored.select(*keys, F.struct(*fields).alias("_a"))
-    right = snapshot.select(*keys, F.struct(*fields).alias("_b"))
+    left = stored.select(*keys, *_field_prints(stored, fields)).select(*keys, F.struct(*fields).alias("_a"))
+    right = snapshot.select(*keys, *_field_prints(snapshot, fields)).select(*keys, F.struct(*fields).alias("_b"))
     joined = left.join(right, keys, "full_outer")
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     codes = reasons(
